@@ -9,7 +9,23 @@ from .byte_bpe import ByteBPE
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .language_id import identified
+from .license_scan import scanned
+from .lm_score import MaskedScorer
+from .pii import pseudonymised
 from .simhash_dedup import near_duplicates
+from .substring_dedup import without_repeats
+from .url_filter import ALLOW, BLOCK, filtered
+
+#: (host, path, verdict).
+URL_RULES = [
+    ("com", "/", ALLOW),
+    ("example.com", "/en/", BLOCK),
+    ("www.example.com", "/en/", ALLOW),
+    ("net", "/es/", BLOCK),
+    ("net", "/fr/", BLOCK),
+]
+#: In production the key comes from a secret store.
+PII_KEY = "pseudonym-key-1"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +43,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the label of its number: block if toxic or of low quality."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels")
+    verdict = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), BLOCK).when(F.col("quality").isNotNull(), ALLOW)
+    labelled = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", verdict.alias("verdict"))
+    return filtered(pages, URL_RULES, labelled).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return found.select("doc_id", "text", F.size("pii").cast("bigint").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("pii")), ",").alias("kinds"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -36,6 +66,21 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scanned(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("best", F.try_element_at("licenses", F.lit(1)))
+    return found.select(
+        "doc_id",
+        F.col("best.license").alias("license"),
+        F.col("best.dice").alias("dice"),
+        F.array_join(F.array_sort(F.transform("licenses", lambda x: x["license"])), ",").alias("licenses"),
+    )
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = public_bpe()
     coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
@@ -52,7 +97,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_simhash_dedup, op5_decontaminate, op8_byte_bpe, op9_exact_dedup)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return MaskedScorer().fit(documents).score(documents).select("doc_id", "n_tokens", "score", "mean_score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_url_filter, op3_pii_pseudonyms, op4_simhash_dedup, op5_decontaminate,
+        op6_license_scan, op7_substring_dedup, op8_byte_bpe, op9_exact_dedup, op10_lm_score,
+    )
+}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
