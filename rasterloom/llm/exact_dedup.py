@@ -97,7 +97,7 @@ def without_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     groups = exact_groups(df, doc_id, text)
     kept = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
     known = df.join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    nameless = groups.where("kept and doc_id is null").select("digest").distinct()
+    nameless = groups.where("kept and doc_id is null").select(F.col("digest").alias("__nameless")).distinct()
     alone = df.where(F.col(doc_id).isNull()).withColumn("__digest", sha256(normalised(F.col(text))))
-    alone = alone.join(nameless, F.col("__digest") == F.col("digest"), "left_semi").dropDuplicates(["__digest"]).drop("__digest")
+    alone = alone.join(nameless, F.col("__digest") == F.col("__nameless"), "left_semi").dropDuplicates(["__digest"]).drop("__digest")
     return known.unionByName(alone)
