@@ -2,7 +2,8 @@
 
 A text longer than a chunk is cut into chunks that overlap. Chunks are pre-tokenised in parallel,
 each from its own first character. Two neighbours are stitched at the first place in their overlap
-where both have a pre-token boundary: the pattern looks only ahead, so from there on both agree.
+where both have a pre-token boundary that does not follow white space: the pattern looks only ahead,
+and past white space only, so from there on both agree and what is before stays as it was.
 The pieces between stitches are encoded in parallel, and their ids put together in order. A text
 whose chunks do not resynchronise in an overlap (one pre-token longer than it) is encoded as one piece.
 
@@ -93,14 +94,16 @@ class ByteBPE:
         rows = staged(long.select(F.struct("*").alias("__row")).withColumn("__key", F.monotonically_increasing_id()), "bpe-long")
         body = F.col("__row").getField(text)
         count = F.ceil(F.length(body) / size).cast("int")
-        chunks = rows.select("__key", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"), count.alias("n"), body.alias("t"))
-        chunks = chunks.select("__key", "k", "n", F.expr(f"substring(t, k * {size} + 1, {size + overlap})").alias("t"))
+        slices = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(body, k * size + 1, F.lit(size + overlap)))
+        chunks = rows.select("__key", count.alias("n"), F.posexplode(slices).alias("k", "t"))
 
         def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 heads, tails = [], []
                 for k, n, t in zip(frame["k"], frame["n"], frame["t"], strict=True):
                     found = boundaries(t, pattern)
+                    # After white space no cut: the pattern looks one character past a run of it.
+                    found = np.array([p for p in found.tolist() if not (p and t[p - 1].isspace())], np.int64)
                     last = k == n - 1
                     found = found if last else found[found < len(t) - _MARGIN]
                     heads.append((found[found < overlap] + k * size).tolist() if k else [])
