@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.colors import getrgb
 from .operators import binary as B
 from .operators import color as C
 from .operators import draw as D
@@ -17,6 +18,8 @@ from .operators import point as P
 from .operators import procedural as R
 from .operators import reductions as A
 from .operators import resample as S
+from .plans.chain import Chain
+from .sources import files as FL
 from .sources import pixels as X
 from .sources import tables as T
 
@@ -389,3 +392,33 @@ query("op_effect_spread", "l", lambda a: R.effect_spread(a, 3))
 for _n, _m in (("median_cut", 0), ("max_coverage", 1), ("octree", 2)):
     query(f"op_quantize_{_n}", "rgb" if _m < 2 else "rgba", lambda a, m=_m: R.quantize(a, 16, m, 1)[0])
 query("op_quantize_palette", "rgb", lambda a: R.quantize_to(a, _FEW))
+
+
+# --- files, colour strings, chains --------------------------------------------------------------------
+
+query("op_png_round_trip", "rgb", lambda a: FL.load_pixels(FL.describe(FL.encode(a, "PNG").select("image_id", "content")), "RGB"), f"SELECT {PLACE}, b0, b1, b2 FROM rgb")
+query("op_bmp_round_trip", "rgba", lambda a: FL.load_pixels(FL.describe(FL.encode(a, "BMP").select("image_id", "content")), "RGBA"), f"SELECT {PLACE}, b0, b1, b2, b3 FROM rgba")
+query("op_open_header", "l", lambda a: FL.verify(FL.describe(FL.encode(a, "PNG").select("image_id", "content"))).select("image_id", "format", "width", "height", "ok"),
+      "SELECT DISTINCT image_id, 'PNG' AS format, 8 AS width, 8 AS height, true AS ok FROM l")
+query("op_chain", "rgb", lambda a: Chain(a, "RGB").invert().solarize(100).posterize(3).flip().mirror().transpose("TRANSPOSE").frame(),
+      "SELECT image_id, h AS w, w AS h, 7 - y AS x, 7 - x AS y, " + ", ".join(f"(CASE WHEN 255 - b{k} >= 100 THEN b{k} ELSE 255 - b{k} END) & 224 AS b{k}" for k in range(3)) + " FROM rgb")
+query("op_getrgb", "l", lambda a: a.select("image_id").distinct().select("image_id", getrgb(F.format_string("rgb(%d, %d%s)", F.col("image_id"), F.col("image_id") % 256, F.lit(", 7"))).alias("c"), getrgb(F.concat(F.lit("#"), F.lower(F.lpad(F.hex("image_id"), 6, "0")))).alias("d")).select("image_id", "c.r", "c.g", "c.b", F.col("d.g").alias("hex_g"), F.col("d.b").alias("hex_b"), F.col("d.a").alias("hex_a")),
+      "SELECT DISTINCT image_id, CAST(image_id AS INTEGER) AS r, CAST(image_id % 256 AS INTEGER) AS g, 7 AS b, CAST(image_id // 256 % 256 AS INTEGER) AS hex_g, CAST(image_id % 256 AS INTEGER) AS hex_b, 255 AS hex_a FROM l")
+
+
+def _font(spark: SparkSession) -> DataFrame:
+    """A made-up font: character c is 5 wide, its set pixels the diagonal from (0, c % 3)."""
+    codes = spark.range(48, 58).select(F.col("id").cast("int").alias("code"), F.lit(5).alias("advance"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("gx"))
+    return codes.select("code", "advance", "gx", (F.col("gx") + F.col("code") % 3).alias("gy"))
+
+
+def _text(a: DataFrame) -> DataFrame:
+    words = a.select("image_id").distinct().select("image_id", F.col("image_id").cast("string").alias("text"))
+    return D.text(a, (2, 3), words, _font(a.sparkSession), [255])
+
+
+query("op_draw_text", "s", _text, """, c AS (SELECT image_id, i, ascii(CAST(image_id AS VARCHAR)[i]) AS code FROM (SELECT DISTINCT image_id FROM s), range(1, 12) AS t(i) WHERE i <= length(CAST(image_id AS VARCHAR))),
+    p AS (SELECT DISTINCT image_id, 2 + (i - 1) * 5 + g AS x, 3 + g + code % 3 AS y FROM c, range(4) AS u(g))
+    SELECT s.image_id, w, h, s.x, s.y, CASE WHEN p.x IS NOT NULL THEN 255 ELSE b0 END AS b0 FROM s LEFT JOIN p ON p.image_id = s.image_id AND p.x = s.x AND p.y = s.y""")
+QUERIES["op_events_raster"] = lambda spark, d: P.invert(P.posterize(T.events_raster(spark, d).drop("image_id").withColumn("image_id", F.lit(0).cast("bigint")).groupBy("image_id", "w", "h", "x", "y").agg(F.least(F.lit(255), F.sum("b0")).cast("int").alias("b0")), 6))
+ORACLE_SQL["op_events_raster"] = "SELECT CAST(0 AS BIGINT) AS image_id, 24 AS w, 32 AS h, CAST(hour(ts) AS INTEGER) AS x, CAST(user_id % 32 AS INTEGER) AS y, 255 - (CAST(least(255, count(*)) AS INTEGER) & 252) AS b0 FROM events GROUP BY ALL"
