@@ -8,11 +8,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__
 import corpus_pipeline
 from rasterloom.llm import pii
 from rasterloom.llm.license_scan import scanned, template_bigrams, templates
-from rasterloom.llm.queries import URL_RULES
+from rasterloom.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
 from rasterloom.llm.url_filter import filtered, host_of, judged_sets, matched_rule, mine_rules, path_of, tokens_of
 
 SF = "/root/testdata/sf0.001"
@@ -181,15 +180,15 @@ def test_licences(spark):
     assert scanned(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in __spark_entry__.oracle_sql() if n.startswith("op")])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_agrees(spark, name):
     import duckdb
 
     base = duckdb.connect()
     for f in os.listdir(SF):
         base.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
-    df = __spark_entry__.queries()[name](spark, SF)
-    rows = base.execute(f"SELECT {', '.join(df.columns)} FROM ({__spark_entry__.oracle_sql()[name].strip().rstrip(';')})").fetchall()
+    df = QUERIES[name](spark, SF)
+    rows = base.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, rows))
 
 
