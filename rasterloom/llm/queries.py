@@ -9,7 +9,7 @@ from .byte_bpe import ByteBPE
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .language_id import identified
-from .license_scan import scanned
+from .license_scan import THRESHOLD, scanned, templates
 from .lm_score import MaskedScorer
 from .pii import pseudonymised
 from .simhash_dedup import near_duplicates
@@ -110,7 +110,40 @@ QUERIES = {
     )
 }
 
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_TEMPLATES = ", ".join(f"({_text(name)}, [{', '.join(map(_text, grams))}])" for name, grams in templates())
+
 ORACLE_SQL = {
+    "op6_license_scan": rf"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS k, text FROM documents),
+        s AS (SELECT DISTINCT k, trim(regexp_replace(translate(u.s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS s
+              FROM t, unnest(list_concat([text], string_split_regex(text, '
+[ 	]*
+'), string_split(text, chr(10)),
+                                         string_split(regexp_replace(text, '([.!?])[ 	
+]+', '' || chr(10) || chr(10), 'g'), chr(10) || chr(10)))) AS u(s)),
+        w AS (SELECT k, s, string_split(s, ' ') AS w FROM s),
+        g AS (SELECT k, s, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM w WHERE len(w) > 1),
+        l(license, lg) AS (VALUES {_TEMPLATES}),
+        d AS (SELECT k, s, license, round(2.0::DOUBLE * len(list_intersect(g, lg)) / (len(g) + len(lg)), 6) AS dice FROM g, l WHERE len(g) BETWEEN len(lg) * 0.6 AND len(lg) * 1.7),
+        h AS (SELECT k, license, max(dice) AS dice FROM d WHERE dice >= {THRESHOLD} GROUP BY k, license),
+        b AS (SELECT k, first(license ORDER BY dice DESC, license) AS license, max(dice) AS dice, string_agg(license, ',' ORDER BY license) AS licenses FROM h GROUP BY k)
+        SELECT doc_id, license, dice, coalesce(licenses, '') AS licenses FROM t LEFT JOIN b USING (k)
+    """,
+    "op7_substring_dedup": r"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS k, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        n AS (SELECT k, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM t, unnest(range(1, len(w) - 48)) AS u(i)),
+        f AS (SELECT s, min(doc_id) AS first FROM n GROUP BY s),
+        g AS (SELECT DISTINCT k, i + j AS p FROM n JOIN f USING (s), range(50) AS r(j) WHERE doc_id > first),
+        x AS (SELECT t.k, u.p, w[u.p] AS word FROM t, unnest(range(1, len(w) + 1)) AS u(p)),
+        o AS (SELECT k, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN g USING (k, p) GROUP BY k)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM t LEFT JOIN o USING (k)
+    """,
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
