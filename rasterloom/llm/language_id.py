@@ -113,8 +113,9 @@ class LanguageProfiles:
 
     def fit(self, labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageProfiles:
         rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-        sizes = rows.groupBy("l").agg(F.count("*").alias("n"))
-        chosen = rows.join(sizes, "l").where(F.expr(f"pmod(xxhash64(t, 17), 1048576) < 1048576D * {self.train_rows} / n"))
+        sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # one row a language
+        share = F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, int(min(1, self.train_rows / n) * _SCALE)))) if sizes else F.lit(None)
+        chosen = rows.where(F.pmod(F.xxhash64("t", F.lit(17)), F.lit(int(_SCALE))) < (share[F.col("l")] if sizes else F.lit(0)))
         dim, seed = self.dim, self.seed
 
         def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
