@@ -169,3 +169,11 @@ def merge(*channels: DataFrame) -> DataFrame:
     for k, c in enumerate(channels[1:], 1):
         first = first.join(c.select("image_id", "x", "y", F.col("b0").alias(f"b{k}")), ["image_id", "x", "y"])
     return with_bands(first, *(F.col(f"b{k}") for k in range(len(channels))))
+
+
+def palette_text(palette: DataFrame, mode: str = "RGB") -> DataFrame:
+    """(image_id, text): 256 lines of an index and its colour's components, missing entries black."""
+    rows = palette.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", F.concat_ws(" ", "r", "g", "b")))).alias("p"))
+    line = lambda k: F.concat_ws(" ", k.cast("string"), F.coalesce(F.try_element_at("p", k), F.lit("0 0 0")))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), line), "\n")
+    return rows.select("image_id", F.concat(F.lit(f"# Palette\n# Mode: {mode}\n"), body, F.lit("\n")).alias("text"))

@@ -19,6 +19,7 @@ from .operators import procedural as R
 from .operators import reductions as A
 from .operators import resample as S
 from .plans.chain import Chain
+from .relation import sizes
 from .sources import files as FL
 from .sources import pixels as X
 from .sources import tables as T
@@ -422,3 +423,36 @@ query("op_draw_text", "s", _text, """, c AS (SELECT image_id, i, ascii(CAST(imag
     SELECT s.image_id, w, h, s.x, s.y, CASE WHEN p.x IS NOT NULL THEN 255 ELSE b0 END AS b0 FROM s LEFT JOIN p ON p.image_id = s.image_id AND p.x = s.x AND p.y = s.y""")
 QUERIES["op_events_raster"] = lambda spark, d: P.invert(P.posterize(T.events_raster(spark, d).drop("image_id").withColumn("image_id", F.lit(0).cast("bigint")).groupBy("image_id", "w", "h", "x", "y").agg(F.least(F.lit(255), F.sum("b0")).cast("int").alias("b0")), 6))
 ORACLE_SQL["op_events_raster"] = "SELECT CAST(0 AS BIGINT) AS image_id, 24 AS w, 32 AS h, CAST(hour(ts) AS INTEGER) AS x, CAST(user_id % 32 AS INTEGER) AS y, 255 - (CAST(least(255, count(*)) AS INTEGER) & 252) AS b0 FROM events GROUP BY ALL"
+
+query("op_stat_of_histogram", "rgb", lambda a: _R4(A.statistics_of_counts(A.histogram(a))), f", {_LONG}, st AS (SELECT image_id, band, {_STAT} FROM v GROUP BY image_id, band) {_ROUNDED}")
+query("op_histogram_i", "l", lambda a: A.histogram_scaled(a.withColumn("b0", F.col("b0") * 1000 - 70000)),
+      ", e AS (SELECT image_id, min(b0) * 1000 - 70000 AS lo, max(b0) * 1000 - 70000 AS hi FROM l GROUP BY image_id) SELECT image_id, CAST(least(255, floor((b0 * 1000 - 70000 - lo) * 255.0::DOUBLE / (hi - lo))) AS INTEGER) AS v, count(*) AS n FROM l JOIN e USING (image_id) WHERE lo < hi GROUP BY ALL")
+query("op_getdata", "rgb", lambda a: X.to_frames(a).select("image_id", F.array_join("samples", " ").alias("data")), ", o AS (SELECT image_id, string_agg(concat_ws(' ', b0, b1, b2), ' ' ORDER BY y, x) AS data FROM rgb GROUP BY image_id) SELECT * FROM o")
+query("op_size", "rgb", sizes, "SELECT DISTINCT image_id, w, h FROM rgb")
+query("op_duplicate", "rgb", lambda a: a, f"SELECT {PLACE}, b0, b1, b2 FROM rgb")
+query("op_seek", "l", lambda a: FL.seek(a, 0), f"SELECT {PLACE}, b0 FROM l")
+query("op_getpalette", "l", lambda a: C.get_palette(C.put_palette(a.select("image_id").distinct(), _PAL[:20]), "BGR").select("image_id", F.array_join("palette", " ").alias("palette")),
+      ", p AS (SELECT string_agg(concat_ws(' ', k * 7 % 256, k * 5 % 256, k * 3 % 256), ' ' ORDER BY k) AS palette FROM range(20) AS t(k)) SELECT DISTINCT image_id, palette FROM l, p")
+query("op_palette_save", "l", lambda a: C.palette_text(C.put_palette(a.select("image_id").distinct(), _PAL)),
+      ", p AS (SELECT '# Palette' || chr(10) || '# Mode: RGB' || chr(10) || string_agg(concat_ws(' ', k, CASE WHEN k < 200 THEN k * 3 % 256 ELSE 0 END, CASE WHEN k < 200 THEN k * 5 % 256 ELSE 0 END, CASE WHEN k < 200 THEN k * 7 % 256 ELSE 0 END), chr(10) ORDER BY k) || chr(10) AS text FROM range(256) AS t(k)) SELECT DISTINCT image_id, text FROM l, p")
+
+
+def _words(a: DataFrame) -> DataFrame:
+    return a.select("image_id").distinct().select("image_id", F.col("image_id").cast("string").alias("text"))
+
+
+_GLYPHS = ", c AS (SELECT image_id, i, ascii(CAST(image_id AS VARCHAR)[i]) AS code FROM (SELECT DISTINCT image_id FROM s), range(1, 12) AS t(i) WHERE i <= length(CAST(image_id AS VARCHAR)))"
+query("op_text_length", "s", lambda a: D.text_length(_words(a), _font(a.sparkSession)), _GLYPHS + ' SELECT image_id, 5 * count(*) AS "length" FROM c GROUP BY image_id')
+query("op_text_bbox", "s", lambda a: D.text_bbox(_words(a), _font(a.sparkSession)),
+      _GLYPHS + ' SELECT image_id, CAST(min((i - 1) * 5) AS INTEGER) AS "left", CAST(min(code % 3) AS INTEGER) AS upper, CAST(max((i - 1) * 5 + 4) AS INTEGER) AS "right", CAST(max(code % 3 + 4) AS INTEGER) AS lower FROM c GROUP BY image_id')
+query("op_transposed_text", "s", lambda a: G.transpose(_text(a), "ROTATE_90"), _GLYPHS + """, p AS (SELECT DISTINCT image_id, 2 + (i - 1) * 5 + g AS x, 3 + g + code % 3 AS y FROM c, range(4) AS u(g))
+    SELECT s.image_id, w, h, s.y AS x, 31 - s.x AS y, CASE WHEN p.x IS NOT NULL THEN 255 ELSE b0 END AS b0 FROM s LEFT JOIN p ON p.image_id = s.image_id AND p.x = s.x AND p.y = s.y""")
+query("op_deform", "l", lambda a: S.transform_mesh(a, (8, 8), [((0, 0, 8, 8), (8, 0, 8, 8, 0, 8, 0, 0))]), "SELECT image_id, w, h, 7 - x AS x, y, b0 FROM l")
+query("op_putalpha_level", "l", lambda a: C.put_alpha(a, 77), f"SELECT {PLACE}, b0, 77 AS b1 FROM l")
+query("op_convert_rgba", "l", lambda a: C.convert(a, "L", "RGBA"), f"SELECT {PLACE}, b0, b0 AS b1, b0 AS b2, 255 AS b3 FROM l")
+query("op_convert_cmyk_l", "rgba", lambda a: C.convert(a, "CMYK", "L"), f", c AS (SELECT image_id, w, h, x, y, {', '.join(f'greatest(0, least(255, 255 - b3 - {MULDIV(f'b{k}', '255 - b3')})) AS b{k}' for k in range(3))} FROM rgba) SELECT {PLACE}, CAST({LUMA} AS INTEGER) AS b0 FROM c")
+query("op_convert_rgba_la", "rgba", lambda a: C.convert(a, "RGBA", "LA"), f"SELECT {PLACE}, CAST({LUMA} AS INTEGER) AS b0, b3 AS b1 FROM rgba")
+query("op_convert_l_1", "l", lambda a: C.convert(a, "L", "1"), f"SELECT {PLACE}, CASE WHEN b0 >= 128 THEN 255 ELSE 0 END AS b0 FROM l")
+query("op_convert_ycbcr_l", "rgb", lambda a: C.convert(a, "YCbCr", "L"), f"SELECT {PLACE}, b0 FROM rgb")
+query("op_frombytes_1", "l", lambda a: X.from_bytes(X.to_bytes(C.convert(a, "L", "1"), "1").select("image_id", "data"), "data", "1", (8, 8)), f"SELECT {PLACE}, CASE WHEN b0 >= 128 THEN 255 ELSE 0 END AS b0 FROM l")
+query("op_brightness_alpha", "rgba", lambda a: P.brightness(a, 0.7, alpha=True), f"SELECT {PLACE}, {', '.join(CLIP(f'b{k} * CAST(0.7 AS DOUBLE)') + f' AS b{k}' for k in range(3))}, b3 FROM rgba")

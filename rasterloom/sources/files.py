@@ -167,3 +167,10 @@ def encode(df: DataFrame, kind: str = "PNG") -> DataFrame:
         return pd.Series([ENCODERS[kind](a, b, n, np.asarray(s)) for a, b, s in zip(w, h, samples, strict=True)], dtype=object)
 
     return to_frames(df).select("image_id", "w", "h", of("w", "h", "samples").alias("content"))
+
+
+def seek(images: DataFrame, frame: int) -> DataFrame:
+    """The images' frame: files have their first frame only."""
+    if frame:
+        raise EOFError(f"no frame {frame}")
+    return images
