@@ -14,18 +14,22 @@ columns pass through.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .staging import staged
 
 #: A boundary this near a chunk's end may move when more text follows.
 _MARGIN = 4
+#: Rows that go through a worker together.
+_SLICE = 256
 
 
 @lru_cache(maxsize=4)
@@ -62,6 +66,23 @@ def boundaries(text: str, pattern: str) -> np.ndarray:
     return np.fromiter((m.start() for m in _splitter(pattern).finditer(text)), np.int64, -1)
 
 
+def _mapped(df: DataFrame, column: str, to: str, fn: Callable[[list], list[bytes]]) -> DataFrame:
+    """df with the column ``to``: fn of lists of the column's values. Rows go through in small slices, so
+    that a worker holds the results of a few hundred texts at most."""
+    kept = [c for c in df.columns if c != to]
+    at, keep = df.columns.index(column), [df.columns.index(c) for c in kept]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(start, _SLICE)
+                made = pa.array(fn(part.column(at).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), made], names=[*kept, to])
+
+    schema = StructType([df.schema[c] for c in kept] + [StructField(to, BinaryType())])
+    return df.mapInArrow(rows, schema)
+
+
 class ByteBPE:
     """Encoder and decoder for the ranks in the file at ``path``, which every executor can open."""
 
@@ -70,23 +91,21 @@ class ByteBPE:
             raise ValueError("overlap must be shorter than a chunk")
         self.path, self.pattern, self.chunk, self.overlap = path, pattern, chunk, overlap
 
-    def _encode(self):
+    def _encoded(self, df: DataFrame, text: str, to: str) -> DataFrame:
+        """df with the ids of its texts, each encoded whole."""
         path, pattern = self.path, self.pattern
 
-        @F.pandas_udf("binary")
-        def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def ids(texts: list[str | None]) -> list[bytes]:
             encoding = _encoding(path, pattern)
-            for texts in batches:
-                yield pd.Series([np.array(encoding.encode_ordinary(t or ""), "<u4").tobytes() for t in texts], dtype=object)
+            return [np.array(encoding.encode_ordinary(t or ""), "<u4").tobytes() for t in texts]
 
-        return ids
+        return _mapped(df, text, to, ids)
 
     def encode(self, df: DataFrame, text: str = "text", to: str = "ids") -> DataFrame:
         """df with the column named by ``to``: the ids as little-endian unsigned 32-bit integers."""
-        ids = self._encode()
         whole = df.where(F.coalesce(F.length(text), F.lit(0)) <= self.chunk)
         long = df.where(F.length(text) > self.chunk)
-        return whole.withColumn(to, ids(F.col(text))).unionByName(self._stitched(long, text, to))
+        return self._encoded(whole, text, to).unionByName(self._stitched(long, text, to))
 
     def _stitched(self, long: DataFrame, text: str, to: str) -> DataFrame:
         size, overlap, pattern = self.chunk, self.overlap, self.pattern
@@ -128,20 +147,18 @@ class ByteBPE:
         )
         pieces = spans.join(rows.select("__key", body.alias("t")), "__key")
         pieces = pieces.select("__key", "k", F.expr("substring(t, cast(a + 1 as int), cast(coalesce(b, length(t)) - a as int))").alias("t"))
-        coded = pieces.repartition("__key", "k").withColumn("ids", self._encode()(F.col("t"))).select("__key", "k", "ids")
-        joined = coded.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("k", F.hex("ids").alias("x")))).alias("p"))
-        joined = joined.select("__key", F.unhex(F.array_join(F.col("p.x"), "")).alias("__ids"))
-        return rows.join(joined, "__key").select("__row.*", F.col("__ids").alias(to))
+        coded = self._encoded(pieces.repartition("__key", "k"), "t", "ids").select("__key", "k", "ids")
+        joined = coded.groupBy("__key").agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY k)").alias("__ids"))
+        kept = [F.col("__row").getField(c).alias(c) for c in long.columns if c != to]
+        return rows.join(joined, "__key").select(*kept, F.col("__ids").alias(to))
 
     def decode(self, df: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """df with the column named by ``to``: the tokens' raw bytes put together (null ids: none).
         They need not be UTF-8 when ids are only part of a text's."""
         path = self.path
 
-        @F.pandas_udf("binary")
-        def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def raw(series: list[bytes | None]) -> list[bytes]:
             table = _pieces(path)
-            for series in batches:
-                yield pd.Series([b"".join(table[np.frombuffer(x or b"", "<u4")].tolist()) for x in series], dtype=object)
+            return [b"".join(table[np.frombuffer(x or b"", "<u4")].tolist()) for x in series]
 
-        return df.withColumn(to, raw(F.col(ids)))
+        return _mapped(df, ids, to, raw)
