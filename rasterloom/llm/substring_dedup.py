@@ -7,7 +7,8 @@ the number of documents of every minimiser that falls into it, and a minimiser h
 documents of each of its windows: a window in two documents is never estimated below two.
 
 Second pass, exact: only windows estimated repeated are emitted, with a 128-bit hash of their words,
-and grouped for the smallest id. The sketch grows with the input up to ``MAX_CELLS`` cells a row; beyond
+and grouped for the smallest id, first among the rows of a task, so that a window in very many
+documents is few rows of the shuffle. The sketch grows with the input up to ``MAX_CELLS`` cells a row; beyond
 that more windows reach the second pass, and none is lost.
 
 Edge cases: a null text has no words and keeps none. Texts under 50 words have no window. A row
@@ -26,7 +27,6 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
 from .words import Rolling, hash_words, mix, signed
 
 WINDOW = 50
@@ -102,6 +102,42 @@ def repeated(bits: np.ndarray, hashes: np.ndarray, cells: int) -> np.ndarray:
     return out
 
 
+def _reduced(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Windows (a, b, doc_id, place) of some documents, reduced before they are shuffled: of a window's
+    documents here the smallest goes on to be compared with those elsewhere. The others have an earlier
+    document already, so their rows need no comparison; they have a null b and are spread by document."""
+    a, b, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((doc, b, a))
+    a, b, doc, place = a[order], b[order], doc[order], place[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = doc > least
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.where(later, doc, a)), pa.array(b, mask=later), pa.array(doc), pa.array(place)], names=["a", "b", "doc_id", "place"])
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by window and document those that come after their window's first document. A stream:
+    only the last window and its first document are kept from one batch to the next."""
+    last = (None, None)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, doc = batch["a"].to_numpy(), batch["doc_id"].to_numpy()
+        settled = batch["b"].is_null().to_numpy(zero_copy_only=False)
+        b = batch["b"].fill_null(0).to_numpy()
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (settled[1:] != settled[:-1])
+        first = doc[np.flatnonzero(new)]
+        if (a[0], b[0], settled[0]) == last[0]:
+            first[0] = last[1]
+        first = first[np.cumsum(new) - 1]
+        last = ((a[-1], b[-1], settled[-1]), first[-1])
+        out = settled | (doc > first)
+        yield batch.select(["doc_id", "place"]).filter(pa.array(out))
+
+
 def _removed(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         kept_texts, n_words, n_removed = [], [], []
@@ -130,6 +166,7 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Rolling(), Rolling(second=True)
+        held, size = [], 0
         for batch in batches:
             for doc, mark, body in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), batch["text"], strict=True):
                 hashes = hash_words(words(body.as_py()))
@@ -139,16 +176,19 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
                 at = np.flatnonzero(repeated(bits.value, minimisers(parts, window, part), cells))
                 if len(at):
                     a, b = signed(one.windows(hashes, window))[at], signed(two.windows(hashes, window))[at]
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a), pa.array(b), pa.array(np.full(n, doc)), pa.array(np.full(n, mark, np.int32)), pa.array(at.astype(np.int32))],
-                        names=["a", "b", "doc_id", "mark", "at"])
-
-    found = docs.where("doc_id is not null and text is not null").mapInArrow(emit, "a bigint, b bigint, doc_id bigint, mark int, at int")
-    found = staged(found, "repeat-windows")
-    first = found.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    covered = found.join(first, ["a", "b"]).where("doc_id > first").groupBy("doc_id", "mark").agg(F.collect_set("at").alias("at"))
-    marks = covered.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("at").alias("__at"))
+                    held.append((a, b, np.full(len(at), doc), at + (mark << 32)))
+                    size += len(at)
+                if size >= 500_000:
+                    yield _reduced(held)
+                    held, size = [], 0
+        if held:
+            yield _reduced(held)
+
+    found = docs.where("doc_id is not null and text is not null").mapInArrow(emit, "a bigint, b bigint, doc_id bigint, place bigint")
+    covered = found.repartition("a", "b").sortWithinPartitions("a", "b", "doc_id").mapInArrow(_later, "doc_id bigint, place bigint")
+    marks = covered.select(
+        F.col("doc_id").alias("__doc"), F.shiftright("place", 32).cast("int").alias("__mark"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"))
+    marks = marks.groupBy("__doc", "__mark").agg(F.collect_list("at").alias("__at"))
     rows = df.join(marks, (F.col(doc_id) == F.col("__doc")) & (F.hash(F.col(text)) == F.col("__mark")), "left")
 
     @F.pandas_udf("n_words bigint, n_removed bigint, kept string")
