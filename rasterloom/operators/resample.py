@@ -14,6 +14,9 @@ from ..relation import KEYS, bands, grid, sizes
 from .geometry import crop, pad_to
 
 PRECISION = 22
+_LENGTH = ("size", "out_size", "lo", "hi")
+#: What a resize carries on its rows: sizes to come and the box that is cut out.
+_PLAN = ("out_w", "out_h", "x0", "y0", "x1", "y1")
 
 
 def _sinc(x: Column) -> Column:
@@ -38,8 +41,8 @@ FILTERS = {
 
 
 def weights(lengths: DataFrame, resample: str) -> DataFrame:
-    """(key, src, out, wd, wt) of rows (key, size, out_size, lo, hi): for each of out_size places of the
-    stretch lo..hi of a line, the places it is made from, with weights that sum to 1 (wd) and the same in
+    """(size, out_size, lo, hi, src, out, wd, wt) of rows (size, out_size, lo, hi): for each of out_size places of
+    the stretch lo..hi of a line, the places it is made from, with weights that sum to 1 (wd) and the same in
     fixed point (wt)."""
     support, kernel = FILTERS[resample]
     rows = lengths.where("out_size > 0 and size > 0").withColumn("out", F.explode(F.expr("sequence(0, out_size - 1)")))
@@ -52,50 +55,56 @@ def weights(lengths: DataFrame, resample: str) -> DataFrame:
     value = lambda s: kernel((s + 0.5 - F.col("centre")) * (F.lit(1.0) / F.col("stretch")))
     rows = rows.withColumn("ks", F.transform(F.sequence(F.col("a"), F.col("b") - 1), value))
     rows = rows.withColumn("total", F.aggregate("ks", F.lit(0.0), lambda s, k: s + k))
-    rows = rows.select("key", "out", "a", "total", F.posexplode("ks").alias("i", "k"))
+    rows = rows.select(*_LENGTH, "out", "a", "total", F.posexplode("ks").alias("i", "k"))
     wd = F.when(F.col("total") != 0, F.col("k") / F.col("total")).otherwise(F.col("k"))
     fixed = wd * float(1 << PRECISION)
-    return rows.select("key", (F.col("a") + F.col("i")).cast("int").alias("src"), F.col("out").cast("int").alias("out"), wd.alias("wd"),
+    return rows.select(*_LENGTH, (F.col("a") + F.col("i")).cast("int").alias("src"), F.col("out").cast("int").alias("out"), wd.alias("wd"),
                        F.when(wd >= 0, fixed + 0.5).otherwise(fixed - 0.5).cast("bigint").alias("wt"))
 
 
 def _nearest(lengths: DataFrame) -> DataFrame:
-    """(key, src, out, wt): the source place of each of out_size places."""
+    """As weights(): the one source place of each of out_size places."""
     rows = lengths.where("out_size > 0 and size > 0").withColumn("out", F.explode(F.expr("sequence(0, out_size - 1)")))
     at = F.floor((F.col("out") + 0.5) * (F.col("hi") - F.col("lo")) / F.col("out_size") + F.col("lo"))
-    return rows.select("key", F.least(F.col("size") - 1, at).cast("int").alias("src"), F.col("out").cast("int").alias("out"), F.lit(1.0).alias("wd"), F.lit(1 << PRECISION).cast("bigint").alias("wt"))
+    return rows.select(*_LENGTH, F.least(F.col("size") - 1, at).cast("int").alias("src"), F.col("out").cast("int").alias("out"), F.lit(1.0).alias("wd"), F.lit(1 << PRECISION).cast("bigint").alias("wt"))
 
 
-def _pass(df: DataFrame, plan: DataFrame, axis: str, resample: str, exact: bool) -> DataFrame:
-    """One axis, by the plan (image_id, key, size, out_size, lo, hi)."""
-    size, other = ("w", "y") if axis == "x" else ("h", "x")
-    lengths = plan.select("key", "size", "out_size", "lo", "hi").distinct()
+def _table(df: DataFrame, axis: str, resample: str) -> DataFrame:
+    """Weights of the distinct lengths of df's images along an axis, under the names of df's columns."""
+    size = "w" if axis == "x" else "h"
+    length = dict(zip((size, f"out_{size}", f"{axis}0", f"{axis}1"), _LENGTH, strict=True))
+    lengths = df.select(*(F.col(c).alias(n) for c, n in length.items())).distinct()
     table = _nearest(lengths) if resample == "NEAREST" else weights(lengths, resample)
+    return table.withColumnsRenamed({n: c for c, n in length.items()} | {"src": axis})
+
+
+def _pass(df: DataFrame, table: DataFrame, axis: str, exact: bool) -> DataFrame:
+    """One axis: the rows know their own image's length and box."""
+    size, other = ("w", "y") if axis == "x" else ("h", "x")
+    length = (size, f"out_{size}", f"{axis}0", f"{axis}1")
     own = bands(df)
-    joined = df.drop(size).join(plan.select("image_id", "key", F.col("out_size").alias(size)), "image_id")
-    joined = joined.join(table.withColumnRenamed("src", axis), ["key", axis])
-    keys = ["image_id", "w", "h", F.col("out").alias(axis), other]
+    joined = df.join(table, [*length, axis])
+    kept = [c for c in ("image_id", "w", "h", *_PLAN, other) if c in df.columns and c not in (size, f"{axis}0", f"{axis}1")]
+    keys = [*kept, F.col("out").alias(axis)]
     if exact:
         sums = joined.groupBy(*keys).agg(*(F.sum(F.col(b) * F.col("wd")).alias(b) for b in own))
     else:
         value = lambda b: clip(F.shiftright(F.sum(F.col(b) * F.col("wt")) + (1 << (PRECISION - 1)), PRECISION))
         sums = joined.groupBy(*keys).agg(*(value(b).alias(b) for b in own))
-    return sums.select(*KEYS, *own)
-
-
-def _key(*parts: Column) -> Column:
-    return F.concat_ws(":", *(p.cast("string") for p in parts))
+    return sums.withColumnRenamed(f"out_{size}", size)
 
 
-def resize_plan(df: DataFrame, plan: DataFrame, resample: str, alpha: bool = False, exact: bool = False) -> DataFrame:
-    """df by a plan (image_id, w, h, out_w, out_h, x0, y0, x1, y1): each image its own box and size."""
+def resize_plan(df: DataFrame, plan: Sequence[Column], resample: str, alpha: bool = False, exact: bool = False) -> DataFrame:
+    """df by a plan of columns (out_w, out_h, x0, y0, x1, y1) of an image's w and h: its size and its box."""
     if alpha and resample != "NEAREST":
         last = bands(df)[-1]
         df = df.withColumns({b: muldiv255(F.col(b), F.col(last)) for b in bands(df)[:-1]})
-    for axis, size, lo, hi in (("x", "w", "x0", "x1"), ("y", "h", "y0", "y1")):
-        part = plan.select("image_id", F.col(size).alias("size"), F.col(f"out_{size}").cast("int").alias("out_size"), F.col(lo).cast("double").alias("lo"), F.col(hi).cast("double").alias("hi"))
-        part = part.withColumn("key", _key(*map(F.col, ("size", "out_size", "lo", "hi"))))
-        df = _pass(df, part, axis, resample, exact)
+    kinds = ("int", "int", *["double"] * 4)
+    df = df.withColumns({n: c.cast(k) for n, c, k in zip(_PLAN, plan, kinds, strict=True)})
+    tables = {axis: _table(df, axis, resample) for axis in ("x", "y")}
+    for axis, table in tables.items():
+        df = _pass(df, table, axis, exact)
+    df = df.select(*KEYS, *bands(df))
     if alpha and resample != "NEAREST":
         a = F.col(bands(df)[-1])
         back = lambda v: F.when((a == 0) | (a == 255), v).otherwise(clip(F.floor(v * 255 / F.greatest(a, F.lit(1)))))
@@ -103,15 +112,15 @@ def resize_plan(df: DataFrame, plan: DataFrame, resample: str, alpha: bool = Fal
     return df
 
 
-def _whole(df: DataFrame, w: Column, h: Column) -> DataFrame:
-    return sizes(df).select("image_id", "w", "h", w.alias("out_w"), h.alias("out_h"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("w").alias("x1"), F.col("h").alias("y1"))
+def _whole(w: Column, h: Column) -> list[Column]:
+    return [w, h, F.lit(0), F.lit(0), F.col("w"), F.col("h")]
 
 
 def resize(df: DataFrame, size: tuple[int, int], resample: str = "BICUBIC", box: Sequence[int] | None = None, alpha: bool = False, exact: bool = False) -> DataFrame:
     """To a size; a box is cut out first. ``alpha``: the last band is alpha, samples are weighted by it.
     ``exact``: samples are I or F, without rounding or bounds."""
     df = crop(df, box) if box is not None else df
-    return resize_plan(df, _whole(df, F.lit(size[0]), F.lit(size[1])), resample, alpha, exact)
+    return resize_plan(df, _whole(F.lit(size[0]), F.lit(size[1])), resample, alpha, exact)
 
 
 def _ratio(x: Column, y: Column) -> Column:
@@ -129,7 +138,7 @@ def thumbnail(df: DataFrame, size: tuple[int, int], resample: str = "BICUBIC") -
     out_w = F.when(wide, _ratio(aspect * bh, lambda n: F.abs(aspect - n / bh))).otherwise(bw)
     out_h = F.when(wide, bh).otherwise(_ratio(bw / aspect, lambda n: F.when(n == 0, 0.0).otherwise(F.abs(aspect - bw / n))))
     small = (bw >= w) & (bh >= h)
-    return resize_plan(df, _whole(df, F.when(small, w).otherwise(out_w), F.when(small, h).otherwise(out_h)), resample)
+    return resize_plan(df, _whole(F.when(small, w).otherwise(out_w), F.when(small, h).otherwise(out_h)), resample)
 
 
 def _fitting(size: tuple[int, int], inner: bool) -> tuple[Column, Column]:
@@ -144,12 +153,12 @@ def _fitting(size: tuple[int, int], inner: bool) -> tuple[Column, Column]:
 
 def contain(df: DataFrame, size: tuple[int, int], resample: str = "BICUBIC") -> DataFrame:
     """The largest size in proportion that fits."""
-    return resize_plan(df, _whole(df, *_fitting(size, True)), resample)
+    return resize_plan(df, _whole(*_fitting(size, True)), resample)
 
 
 def cover(df: DataFrame, size: tuple[int, int], resample: str = "BICUBIC") -> DataFrame:
     """The least size in proportion that covers."""
-    return resize_plan(df, _whole(df, *_fitting(size, False)), resample)
+    return resize_plan(df, _whole(*_fitting(size, False)), resample)
 
 
 def fit(df: DataFrame, size: tuple[int, int], resample: str = "BICUBIC", bleed: float = 0.0, centering: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
@@ -164,8 +173,7 @@ def fit(df: DataFrame, size: tuple[int, int], resample: str = "BICUBIC", bleed:
     x0 = w * bleed + (live_w - cut_w) * cw
     y0 = h * bleed + (live_h - cut_h) * ch
     f32 = lambda c: c.cast("float").cast("double")
-    plan = sizes(df).select("image_id", "w", "h", F.lit(size[0]).alias("out_w"), F.lit(size[1]).alias("out_h"),
-                            f32(x0).alias("x0"), f32(y0).alias("y0"), f32(x0 + cut_w).alias("x1"), f32(y0 + cut_h).alias("y1"))
+    plan = [F.lit(size[0]), F.lit(size[1]), f32(x0), f32(y0), f32(x0 + cut_w), f32(y0 + cut_h)]
     return resize_plan(df, plan, resample)
 
 
@@ -180,7 +188,7 @@ def pad(df: DataFrame, size: tuple[int, int], fill: Sequence[int], resample: str
 
 def scale(df: DataFrame, factor: float, resample: str = "BICUBIC") -> DataFrame:
     size = lambda n: F.bround(F.col(n) * F.lit(float(factor))).cast("int")
-    return resize_plan(df, _whole(df, size("w"), size("h")), resample) if factor != 1 else df
+    return resize_plan(df, _whole(size("w"), size("h")), resample) if factor != 1 else df
 
 
 def _sampled(places: DataFrame, df: DataFrame, resample: str, fill: Sequence[int]) -> DataFrame:
