@@ -11,7 +11,11 @@ coefficients go to the licence that sorts first. Repeated rows, null ids and ext
 
 from __future__ import annotations
 
+import math
+import operator
 import re
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,11 +87,28 @@ def bigrams(segment: Column) -> Column:
     return F.array_distinct(pairs)
 
 
-def needed(grams: list[str], threshold: float) -> list[str]:
-    """Bigrams of which a segment at the threshold has at least one. It shares |B| t / (2 - t) of them or
-    more, so any set that leaves out fewer than that will do; the longest are the rarest."""
-    least = max(1, -int(-len(grams) * threshold / (2 - threshold) // 1))
-    return sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - least + 1]
+def needed(grams: list[str], threshold: float) -> int:
+    """Of how many bigrams of a template, whichever, a segment at the threshold has at least one: it shares
+    |B| t / (2 - t) of them or more, so it cannot miss all of more than the rest."""
+    return len(grams) - max(1, math.ceil(len(grams) * threshold / (2 - threshold))) + 1
+
+
+def telling_words(known: list[list[str]], threshold: float) -> list[str]:
+    """A few words of which every segment at the threshold of some template has one: words are taken by how
+    many bigrams they are in, until of each template as many bigrams hold one as are needed()."""
+    missing = [(set(g), needed(g, threshold)) for g in known]
+    chosen: list[str] = []
+    while missing:
+        counts = Counter(w for grams, _ in missing for g in grams for w in set(g.split(" ")))
+        word = max(counts, key=lambda w: (len(w) > 5, counts[w] * len(w), w))  # short words are in every text
+        chosen.append(word)
+        left = []
+        for grams, n in missing:
+            rest = {g for g in grams if word not in g.split(" ")}
+            if n - (len(grams) - len(rest)) > 0:
+                left.append((rest, n - (len(grams) - len(rest))))
+        missing = left
+    return chosen
 
 
 def scanned(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, known: list[tuple[str, list[str]]] | None = None) -> DataFrame:
@@ -99,11 +120,12 @@ def scanned(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, kno
         return df.withColumn("licenses", F.array().cast(kind))
     low = min(len(g) for _, g in known) * threshold / (2 - threshold)
     high = max(len(g) for _, g in known) * (2 - threshold) / threshold
-    some = F.array(*map(F.lit, sorted({x for _, g in known for x in needed(g, threshold)})))
-    # A segment's repeated bigrams only lower its size, so its word count bounds that from above only.
-    parts = F.filter(segments(F.col(text)), lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "))) >= low)
-    sets = F.transform(parts, lambda s: F.struct(s.alias("s"), bigrams(s).alias("g")))
-    sets = F.filter(sets, lambda x: F.size(x["g"]).between(low, high) & F.arrays_overlap(x["g"], some))
+    words = telling_words([g for _, g in known], threshold)
+    telling = lambda c: reduce(operator.or_, (F.contains(c, F.lit(w)) for w in words))
+    # Most texts have none of the words and are done. Word counts bound the size of a set from above only.
+    parts = F.filter(segments(F.col(text)), lambda s: telling(s) & (F.length(s) - F.length(F.replace(s, F.lit(" "))) >= low))
+    sets = F.filter(F.transform(parts, lambda s: F.struct(s.alias("s"), bigrams(s).alias("g"))), lambda x: F.size(x["g"]).between(low, high))
+    sets = F.when(telling(F.lower(F.col(text))), sets)
     with_sets = df.withColumn("__sets", sets)
 
     def dice(x: Column) -> Column:
