@@ -5,8 +5,9 @@ three segments, two such fingerprints have a segment in which they differ in one
 segment is indexed once for every bit of it, with that bit left out, and linked fingerprints meet in
 one of those 64 buckets. An equality join on the buckets finds candidates, an XOR verifies them.
 
-Equal fingerprints are one entry. Within a bucket not all pairs are made. First each entry is verified
-against its bucket's smallest and largest, which joins dense groups into few components. Then only
+Equal fingerprints are one entry. A bucket of two or three entries is verified as it is counted. In a
+larger one not all pairs are made. First each entry is verified against the bucket's smallest and
+largest, which joins dense groups into few components. Then only
 entries outside their bucket's most frequent component are compared, with those of other components.
 That loses no link between different components, and a link within one has nothing left to join.
 
@@ -71,13 +72,22 @@ def _near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
 
+_MID = "CASE WHEN n = 3 THEN `all` ^ lo ^ hi END"
+_SOME_NEAR = " or ".join(f"bit_count({a} ^ {b}) <= {MAX_BITS}" for a, b in (("lo", "hi"), ("lo", f"({_MID})"), (f"({_MID})", "hi")))
+
+
 def _links(prints: DataFrame) -> DataFrame:
     """(node, root): fingerprints that have a link, with the smallest one they reach."""
     entries = _buckets(prints)
-    ends = entries.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
-    members = staged(entries.join(ends, "bucket"), "simhash-members")
+    ends = entries.groupBy("bucket").agg(
+        F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("all"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Two or three entries are known from the aggregate: the third is what the others leave of the XOR.
+    few = staged(ends.where("n > 3 or " + _SOME_NEAR).withColumn("mid", F.expr(_MID)), "simhash-ends")
+    pairs = F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in (("lo", "hi"), ("lo", "mid"), ("mid", "hi"))))
+    known = few.where("n <= 3").select(F.explode(pairs).alias("p")).select("p.u", "p.v").where(_near("u", "v"))
+    members = staged(entries.join(few.where("n > 3").select("bucket", "lo", "hi"), "bucket"), "simhash-members")
     star = members.where(_near("fp", "lo")).select(F.col("fp").alias("u"), F.col("lo").alias("v"))
-    star = star.unionByName(members.where(_near("fp", "hi")).select(F.col("fp").alias("u"), F.col("hi").alias("v")))
+    star = star.unionByName(members.where(_near("fp", "hi")).select(F.col("fp").alias("u"), F.col("hi").alias("v"))).unionByName(known)
     stars = staged(components(star, "simhash-star"), "simhash-stars")
     joined = members.select("bucket", "fp").join(stars.withColumnRenamed("node", "fp"), "fp", "left")
     joined = joined.select("bucket", "fp", F.coalesce("root", "fp").alias("part"))
