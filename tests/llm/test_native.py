@@ -204,3 +204,40 @@ def test_pipeline(spark):
         assert docs.select("doc_id").distinct().count() == docs.count()
     assert docs.where("not round_trip").count() == 0
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_pipeline_against_brute_force(spark):
+    import numpy as np
+    from test_dedup import brute_near, norm
+
+    from rasterloom.llm.decontaminate import align, words
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    least = {}
+    for i, t in kept:
+        least[norm(t)] = min(i, least.get(norm(t), i))
+    kept = [(i, t) for i, t in kept if least[norm(t)] == i]
+    roots = {c for _, _, c in brute_near(kept)}
+    wanted = set()
+    for i, t in kept:
+        if i in roots:
+            ids = {}
+            code = lambda ws: [ids.setdefault(w, len(ids)) for w in ws]  # noqa: B023, E731
+            own = code(words(t))
+            if np.max(align([own] * len(items), [code(x) for x in items])) < 0.5:
+                wanted.add(i)
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == wanted
+
+
+def test_large_indexes_are_shuffled(spark, monkeypatch):
+    """The ways beyond the broadcast bounds give the same rows."""
+    from test_dedup import test_near_links_of_planted_fingerprints as near
+
+    from rasterloom.llm import simhash_dedup, url_filter
+
+    monkeypatch.setattr(simhash_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+    near(spark)
+    test_association_rules_and_their_index(spark)
