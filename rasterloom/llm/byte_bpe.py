@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .staging import staged
+from .staging import bounded_batches, staged
 
 #: A boundary this near a chunk's end may move when more text follows.
 _MARGIN = 4
@@ -69,6 +69,7 @@ def boundaries(text: str, pattern: str) -> np.ndarray:
 def _mapped(df: DataFrame, column: str, to: str, fn: Callable[[list], list[bytes]]) -> DataFrame:
     """df with the column ``to``: fn of lists of the column's values. Rows go through in small slices, so
     that a worker holds the results of a few hundred texts at most."""
+    bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c != to]
     at, keep = df.columns.index(column), [df.columns.index(c) for c in kept]
 

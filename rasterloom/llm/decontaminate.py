@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import bounded_batches, staged
 from .words import Rolling, hash_words, signed
 
 _WORD = re.compile(r"\w+")
@@ -126,6 +126,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     """(doc_id, item_id, score, seeds, begin): pairs whose score reaches the threshold. begin is the
     word of the document at which the aligned passage starts, seeds the number of shared seeds."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = bench.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item).alias("text")).where("item_id is not null and text is not null").distinct()
     seeds = staged(items.mapInArrow(_item_seeds, "item_id bigint, seed bigint, at int, n int, length int"), "leak-seeds")
     count, longest, sizes = seeds.agg(F.count(F.lit(1)), F.max("length"), F.collect_set("n")).first()
@@ -163,16 +164,15 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
         passages, "doc_id bigint, start int, passage string, seeds array<bigint>, ats array<int>")
     found = staged(found.withColumn("key", F.xxhash64("doc_id", "start", "passage")), "leak-passages")
     hits = found.select("key", F.explode(F.arrays_zip("seeds", "ats")).alias("x")).select("key", "x.seeds", F.col("x.ats").alias("pos")).withColumnRenamed("seeds", "seed")
-    known = hits.join(seeds.select("seed").distinct(), "seed", "left_semi")
-    often = known.groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
+    often = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
     # Rarity is by rank within an item: a passage that many documents copy keeps its seeds.
     rank = F.percent_rank().over(Window.partitionBy("item_id").orderBy("df"))
     rare = seeds.join(often, "seed").withColumn("rank", rank).where(f"rank <= 0.5 or df <= {few}")
-    pairs = known.join(rare.select("seed", "item_id", "at", "length"), "seed")
+    pairs = hits.join(rare.select("seed", "item_id", "at", "length"), "seed")
     pairs = pairs.groupBy("key", "item_id").agg(
         F.min(F.col("pos") - F.col("at")).alias("lo"), F.max(F.col("pos") - F.col("at") + F.col("length")).alias("hi"),
         F.max("length").alias("length"), F.countDistinct("seed").alias("seeds"))
-    placed = pairs.join(found.select("key", "doc_id", "start", "passage").dropDuplicates(["key"]), "key")
+    placed = pairs.join(found.select("key", "doc_id", "start", "passage"), "key")
     begin = F.greatest(F.col("lo") - F.ceil(F.col("length") / 2).cast("int"), F.col("start"))
     # lo and hi are words of the document; the margin leaves room for words put in before or after.
     placed = placed.withColumn("begin", begin.cast("int")).withColumn(

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import bounded_batches
+
 UNKNOWN = "und"
 #: Quantum of the integer sums that make prototypes: their order does not change the result.
 _SCALE = float(1 << 20)
@@ -29,11 +31,11 @@ class TrigramSpace:
     """Trigram vectors of one worker. Memory is bounded: the oldest vectors are dropped and can be
     made again from their letters at any time."""
 
-    def __init__(self, dim: int, seed: int, keep: int = 16384):
-        self.dim, self.seed, self.keep = dim, seed, keep
+    def __init__(self, dim: int, seed: int, keep: int = 16384, part: int = 2048):
+        self.dim, self.seed, self.keep, self.part = dim, seed, keep, min(part, keep)
         self.letters: OrderedDict[int, np.ndarray] = OrderedDict()
         self.rows: dict[int, int] = {}
-        self.vectors = np.empty((0, dim), np.float32)
+        self.vectors = np.empty((keep, dim), np.int8)  # pages are touched as they fill
         self.is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
     def letter(self, code: int) -> np.ndarray:
@@ -50,15 +52,14 @@ class TrigramSpace:
         return np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
 
     def lookup(self, grams: np.ndarray) -> np.ndarray:
-        """The vectors of at most ``keep`` distinct trigrams."""
+        """The vectors of a part of the distinct trigrams, as floats."""
         missing = [g for g in grams.tolist() if g not in self.rows]
         if len(self.rows) + len(missing) > self.keep:
-            self.rows, self.vectors = {}, np.empty((0, self.dim), np.float32)
-            missing = grams.tolist()
-        if missing:
-            self.rows |= dict(zip(missing, range(len(self.rows), len(self.rows) + len(missing)), strict=True))
-            self.vectors = np.vstack([self.vectors, np.array([self.vector(g) for g in missing], np.float32)])
-        return self.vectors[[self.rows[g] for g in grams.tolist()]]
+            self.rows, missing = {}, grams.tolist()
+        for g in missing:
+            self.vectors[len(self.rows)] = self.vector(g)
+            self.rows[g] = len(self.rows)
+        return self.vectors[[self.rows[g] for g in grams.tolist()]].astype(np.float32)
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The distinct trigrams of the text's letters and how often each occurs. A run of other
@@ -76,8 +77,8 @@ class TrigramSpace:
         out = np.zeros((len(texts), self.dim), np.float32)
         counted = [self.grams(t) if t else (np.empty(0, np.int64),) * 2 for t in texts]
         every = np.unique(np.concatenate([g for g, _ in counted])) if counted else np.empty(0, np.int64)
-        for at in range(0, len(every), self.keep // 2):
-            part = every[at : at + self.keep // 2]
+        for at in range(0, len(every), self.part):
+            part = every[at : at + self.part]
             counts = np.zeros((len(texts), len(part)), np.float32)
             for i, (g, n) in enumerate(counted):
                 lo, hi = np.searchsorted(g, [part[0], part[-1] + 1])
@@ -112,6 +113,7 @@ class LanguageProfiles:
         self.prototypes = np.empty((0, dim), np.float32)
 
     def fit(self, labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageProfiles:
+        bounded_batches(labelled.sparkSession)
         rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
         sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # one row a language
         share = F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, int(min(1, self.train_rows / n) * _SCALE)))) if sizes else F.lit(None)

@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import staged
+from .staging import bounded_batches, staged
 
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
+#: Up to so many buckets of four entries or more are broadcast to the entries.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -85,7 +87,10 @@ def _links(prints: DataFrame) -> DataFrame:
     few = staged(ends.where("n > 3 or " + _SOME_NEAR).withColumn("mid", F.expr(_MID)), "simhash-ends")
     pairs = F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in (("lo", "hi"), ("lo", "mid"), ("mid", "hi"))))
     known = few.where("n <= 3").select(F.explode(pairs).alias("p")).select("p.u", "p.v").where(_near("u", "v"))
-    members = staged(entries.join(few.where("n > 3").select("bucket", "lo", "hi"), "bucket"), "simhash-members")
+    large = few.where("n > 3").select("bucket", "lo", "hi")
+    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)  # else the entries are shuffled once more
+    members = staged(entries.join(large, "bucket"), "simhash-members")
     star = members.where(_near("fp", "lo")).select(F.col("fp").alias("u"), F.col("lo").alias("v"))
     star = star.unionByName(members.where(_near("fp", "hi")).select(F.col("fp").alias("u"), F.col("hi").alias("v"))).unionByName(known)
     stars = staged(components(star, "simhash-star"), "simhash-stars")
@@ -106,6 +111,7 @@ def _links(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of df: doc_id, fp (bigint), component_id (the smallest doc_id reachable)."""
+    bounded_batches(df.sparkSession)
     rows = staged(df.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")), "simhash-prints")
     prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     rooted = prints.join(staged(_links(prints), "simhash-links").withColumnRenamed("node", "fp"), "fp", "left")

@@ -52,3 +52,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sizes Arrow batches for rows that are whole texts: a thousand rows and about 8 MB at most, unless the
+    session has sizes of its own."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+    for key, bound in own.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, bound)

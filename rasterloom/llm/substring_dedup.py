@@ -27,6 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import bounded_batches
 from .words import Rolling, hash_words, mix, signed
 
 WINDOW = 50
@@ -159,6 +160,7 @@ def _removed(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFra
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, part: int = PART) -> DataFrame:
     """df with n_words, n_removed and kept (the words that stay, joined by one space) added."""
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.hash(F.col(text)).alias("mark"))
     sketch = RepeatSketch(docs.where("doc_id is not null"), window, part)
     bits, cells = df.sparkSession.sparkContext.broadcast(sketch.bits), sketch.cells
