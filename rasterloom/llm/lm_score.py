@@ -5,9 +5,9 @@ two after it: their embeddings, each scaled by its place's own weights, are summ
 turned into class scores. A token's probability is that of its class times its share of the class in
 the corpus. A document's score is the sum of its tokens' conditional log-probabilities.
 
-Training reads the whole corpus in every round. Each partition trains its own copy of the network, in
-numpy, on a fifth of its positions, taken by a hash of their place (the masked ones), and the copies
-are averaged by their number of positions, in blocks, by Spark. Counts of tokens cover all documents.
+Every position of the corpus is masked once, and so a training target, in every round. Each partition
+trains its own copy of the network, in numpy, on its positions, and the copies are averaged by their
+number of positions, in blocks, by Spark. Counts of tokens cover all documents.
 
 Edge cases: a null text or one without words has no tokens, score 0 and a null mean. Beyond a text's
 ends a padding token stands. Repeated rows and extra columns pass through; an empty table trains
@@ -67,8 +67,8 @@ class WindowNetwork:
         return net
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = self.embed[context]
-        return near, np.tanh((near * self.place).sum(axis=1))
+        near = np.take(self.embed, context, axis=0)
+        return near, np.tanh(np.einsum("ijk,jk->ik", near, self.place))
 
     def log_classes(self, context: np.ndarray) -> np.ndarray:
         scores = self.hidden(context)[1] @ self.out + self.bias
@@ -86,19 +86,14 @@ class WindowNetwork:
         back = (error @ self.out.T) * (1 - h * h)
         self.out -= rate / len(wanted) * (h.T @ error)
         self.bias -= rate / len(wanted) * error.sum(axis=0)
-        self.place -= rate / len(wanted) * (near * back[:, None, :]).sum(axis=0)
+        grads = (back.T[:, :, None] * self.place.T[:, None, :]).reshape(WIDTH, -1)
+        self.place -= rate / len(wanted) * np.einsum("ijk,ik->jk", near, back)
         # A token's embedding moves by the mean over its places in the batch.
-        flat, grads = context.ravel(), (back[:, None, :] * self.place).reshape(-1, WIDTH)
-        order = np.argsort(flat, kind="stable")
-        ids, starts, counts = np.unique(flat[order], return_index=True, return_counts=True)
-        self.embed[ids] -= rate * np.add.reduceat(grads[order], starts, axis=0) / np.sqrt(counts)[:, None] * 0.1
-
-
-def _masked(ids: np.ndarray, round_no: int) -> np.ndarray:
-    """About a fifth of the positions, others in each round; a hash of place and tokens chooses."""
-    at = np.arange(len(ids), dtype=np.uint64)
-    mixed = (at * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
-    return np.flatnonzero(mixed % np.uint64(5) == np.uint64(round_no % 5))
+        flat = context.ravel()
+        counts = np.bincount(flat, minlength=TOKENS)
+        ids = np.flatnonzero(counts)
+        sums = np.stack([np.bincount(flat, g, TOKENS)[ids] for g in grads], axis=1)
+        self.embed[ids] -= (rate * 0.1 * sums / np.sqrt(counts[ids])[:, None]).astype(np.float32)
 
 
 class MaskedScorer:
@@ -130,8 +125,9 @@ class MaskedScorer:
             held, size = [], 0
 
             def learn() -> None:
-                nonlocal seen
-                context, wanted = (np.concatenate(x) for x in zip(*held, strict=True))
+                nonlocal seen, counts
+                context, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+                counts, wanted = counts + np.bincount(ids, minlength=TOKENS), ids % CLASSES
                 for at in range(0, len(wanted), _BATCH):
                     net.step(context[at : at + _BATCH], wanted[at : at + _BATCH], rate)
                 seen += len(wanted)
@@ -139,11 +135,9 @@ class MaskedScorer:
             for batch in batches:
                 for body in batch["t"]:
                     ids = tokens(body.as_py())
-                    counts += np.bincount(ids, minlength=TOKENS)
-                    at = _masked(ids, round_no)
-                    if len(at):
-                        held.append((contexts(ids)[at], ids[at] % CLASSES))
-                        size += len(at)
+                    if len(ids):
+                        held.append((contexts(ids), ids))
+                        size += len(ids)
                     if size >= 4 * _BATCH:
                         learn()
                         held, size = [], 0

@@ -165,3 +165,16 @@ def test_lm_scores(spark):
     none = df.limit(0)
     assert MaskedScorer().fit(none).score(none).count() == 0
     assert df.agg(F.count("*")).first()[0] == len(rows)
+
+
+@pytest.mark.parametrize("word", ["window", "river", "winter", "paper"])
+def test_every_position_is_a_target_in_every_round(spark, word):
+    """With the query's own rounds; a choice of positions by place and token would pass a word by."""
+    df = spark.createDataFrame([(word,)] * 40, "text string")
+    before = MaskedScorer(rounds=0).fit(df).score(df).first()["score"]
+    for rounds in ({"rounds": 1}, {}):
+        model = MaskedScorer(**rounds).fit(df)
+        model.log_share[:] = 0  # the network's part alone
+        after = model.score(df).first()["score"]
+        assert after > before + 0.1
+        before = after
