@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items' word n-grams are seeds. A Bloom filter of bounded size holds their hashes; documents emit
-the passages in which n-grams pass it, with those n-grams. Of each item the rarer half of its seeds by
-the number of passages that hold them (and every seed in few passages) join passages to items. Each
-joined passage is cut to where the item could lie and aligned with the item, word by word, local
-alignment: match 2, other word -1, gap -1. The score is the best alignment's sum over that of the
+the passages in which n-grams pass it, with those n-grams. Every seed joins passages to items, however
+many passages hold it. Each joined passage is cut to where the item could lie; one that holds too few
+of the item's words to reach the threshold is dropped, the others are aligned with the item, word by
+word, local alignment: match 2, other word -1, gap -1. The score is the best alignment's sum over that of the
 item with itself, so 1 for a whole copy, and less as words are changed, dropped or put in.
 
 Edge cases: null or wordless texts and items match nothing. Items shorter than a seed are one seed
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import bounded_batches, staged
@@ -105,24 +105,30 @@ def align(passages: list[list[int]], items: list[list[int]]) -> np.ndarray:
     return best / np.array([2 * max(1, len(b)) for b in items])
 
 
-def _scores(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = np.zeros(len(frame))
-        a = [words(t) for t in frame["passage"]]
-        b = [words(t) for t in frame["item"]]
-        order = np.argsort([len(x) * 100_000 + len(y) for x, y in zip(a, b, strict=True)], kind="stable")
-        at = 0
-        while at < len(order):  # pairs of like size together, about a million cells at a time
-            n = max(1, min(256, 1_000_000 // max(1, len(a[order[min(len(order) - 1, at + 255)]]))))
-            part, ids = order[at : at + n], {}
-            code = lambda ws: [ids.setdefault(w, len(ids)) for w in ws]  # noqa: B023, E731
-            out[part] = align([code(a[i]) for i in part], [code(b[i]) for i in part])
-            at += n
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "item_id": frame["item_id"], "begin": frame["begin"], "seeds": frame["seeds"], "score": np.round(out, 6)})
+def _scores(threshold: float):
+    def scores(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            a = [words(t) for t in frame["passage"]]
+            b = [words(t) for t in frame["item"]]
+            # A score is at most the share of the item's words that the passage holds.
+            near = np.array([len(y) * threshold <= sum(map(set(x).__contains__, y)) + 1e-6 * len(y) for x, y in zip(a, b, strict=True)], bool)
+            frame, a, b = frame[near], [x for x, k in zip(a, near, strict=True) if k], [y for y, k in zip(b, near, strict=True) if k]
+            out = np.zeros(len(frame))
+            order = np.argsort([len(x) * 100_000 + len(y) for x, y in zip(a, b, strict=True)], kind="stable")
+            at = 0
+            while at < len(order):  # pairs of like size together, about a million cells at a time
+                n = max(1, min(256, 1_000_000 // max(1, len(a[order[min(len(order) - 1, at + 255)]]))))
+                part, ids = order[at : at + n], {}
+                code = lambda ws: [ids.setdefault(w, len(ids)) for w in ws]  # noqa: B023, E731
+                out[part] = align([code(a[i]) for i in part], [code(b[i]) for i in part])
+                at += n
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "item_id": frame["item_id"], "begin": frame["begin"], "seeds": frame["seeds"], "score": np.round(out, 6)})
+
+    return scores
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                 item: str = "text", threshold: float = 0.5, few: int = 20) -> DataFrame:
+                 item: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, seeds, begin): pairs whose score reaches the threshold. begin is the
     word of the document at which the aligned passage starts, seeds the number of shared seeds."""
     spark = docs.sparkSession
@@ -164,11 +170,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
         passages, "doc_id bigint, start int, passage string, seeds array<bigint>, ats array<int>")
     found = staged(found.withColumn("key", F.xxhash64("doc_id", "start", "passage")), "leak-passages")
     hits = found.select("key", F.explode(F.arrays_zip("seeds", "ats")).alias("x")).select("key", "x.seeds", F.col("x.ats").alias("pos")).withColumnRenamed("seeds", "seed")
-    often = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
-    # Rarity is by rank within an item: a passage that many documents copy keeps its seeds.
-    rank = F.percent_rank().over(Window.partitionBy("item_id").orderBy("df"))
-    rare = seeds.join(often, "seed").withColumn("rank", rank).where(f"rank <= 0.5 or df <= {few}")
-    pairs = hits.join(rare.select("seed", "item_id", "at", "length"), "seed")
+    pairs = hits.join(seeds.select("seed", "item_id", "at", "length"), "seed")
     pairs = pairs.groupBy("key", "item_id").agg(
         F.min(F.col("pos") - F.col("at")).alias("lo"), F.max(F.col("pos") - F.col("at") + F.col("length")).alias("hi"),
         F.max("length").alias("length"), F.countDistinct("seed").alias("seeds"))
@@ -178,7 +180,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     placed = placed.withColumn("begin", begin.cast("int")).withColumn(
         "passage", F.expr("array_join(slice(split(passage, ' '), begin - start + 1, hi - begin + cast(ceil(length / 2) as int)), ' ')"))
     aligned = placed.select("doc_id", "item_id", "begin", "seeds", "passage").join(items.withColumnRenamed("text", "item"), "item_id")
-    scored = aligned.mapInPandas(_scores, "doc_id bigint, item_id bigint, begin int, seeds bigint, score double").where(F.col("score") >= threshold)
+    scored = aligned.mapInPandas(_scores(threshold), "doc_id bigint, item_id bigint, begin int, seeds bigint, score double").where(F.col("score") >= threshold)
     best = F.max_by(F.struct("seeds", "begin"), F.struct("score", -F.col("begin"))).alias("b")
     return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), best).select("doc_id", "item_id", "score", "b.seeds", "b.begin")
 

@@ -114,6 +114,14 @@ def test_contaminated(leaks):
             assert abs(brute_align(texts[r["doc_id"]], tests[r["item_id"]]) - r["score"]) < 1e-6
 
 
+def test_many_edited_copies_beside_a_verbatim_one(spark):
+    item = [f"q{k}" for k in range(40)]
+    edited = lambda d: " ".join(f"e{d}" if k % 5 == 4 else w for k, w in enumerate(item))
+    docs = [(d, f"before {edited(d)} after") for d in range(60)] + [(60, " ".join(item)), (61, "q0 q1 q2 and nothing else")]
+    found = contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
+    assert {r["doc_id"]: r["seeds"] for r in found.collect()} == dict.fromkeys(range(60), 24 - 8) | {60: 38}
+
+
 def test_without_leaks(leaks):
     docs, items, wanted = leaks
     found = without_leaks(docs, items)
