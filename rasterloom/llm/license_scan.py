@@ -51,8 +51,36 @@ TEMPLATES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-4.0": [
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "This work is licensed under CC BY 4.0.",
+        "Licensed under CC BY 4.0.",
+    ],
+    "CC-BY-SA-4.0": [
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "This work is licensed under CC BY-SA 4.0.",
+        "Licensed under CC BY-SA 4.0.",
+    ],
+    "CC-BY-NC-4.0": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "This work is licensed under CC BY-NC 4.0.",
+        "Licensed under CC BY-NC 4.0.",
+    ],
+    "CC-BY-ND-4.0": [
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "This work is licensed under CC BY-ND 4.0.",
+        "Licensed under CC BY-ND 4.0.",
+    ],
+    "CC-BY-NC-SA-4.0": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "This work is licensed under CC BY-NC-SA 4.0.",
+        "Licensed under CC BY-NC-SA 4.0.",
+    ],
+    "CC-BY-NC-ND-4.0": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "This work is licensed under CC BY-NC-ND 4.0.",
+        "Licensed under CC BY-NC-ND 4.0.",
+    ],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }

@@ -164,6 +164,18 @@ def brute_licences(text, threshold=0.8):
     return best
 
 
+def test_creative_commons_short_forms(spark):
+    """Lines as documents hold them, not taken from templates()."""
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC-BY-SA-4.0": "CC-BY-SA-4.0",
+        "This work is licensed under CC BY-NC-ND 4.0": "CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0",
+    }
+    df = spark.createDataFrame([(i, f"Some text before.\n{t}\nMore text after it.") for i, t in enumerate(lines)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["licenses"] for r in scanned(df).collect()}
+    assert [found[i] and found[i][0]["license"] for i in range(len(lines))] == list(lines.values())
+
+
 def test_licences(spark):
     rng = random.Random(2)
     notice = [t for _, texts in __import__("rasterloom.llm.license_scan", fromlist=["x"]).TEMPLATES.items() for t in texts]
