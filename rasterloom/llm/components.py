@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import discard, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) for each node of the edges (u, v), which are bigint; root is the smallest node reachable.
 
-    Each round is staged in the shared folder. It ends when a round changes no edge: then every
+    Each round is staged in the shared folder, and the one before it deleted. It ends when a round changes no edge: then every
     node hangs on its root directly.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -33,7 +33,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(now)
     while seen[0]:
-        now = staged(_small_star(_large_star(now)), f"{label}-edges")
+        before, now = now, staged(_small_star(_large_star(now)), f"{label}-edges")
+        discard(before)
         then, seen = seen, mark(now)
         if then == seen:
             break

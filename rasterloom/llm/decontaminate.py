@@ -1,15 +1,23 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items' word n-grams are seeds. A Bloom filter of bounded size holds their hashes; documents emit
-the passages in which n-grams pass it, with those n-grams. Every seed joins passages to items, however
-many passages hold it. Each joined passage is cut to where the item could lie; one that holds too few
-of the item's words to reach the threshold is dropped, the others are aligned with the item, word by
-word, local alignment: match 2, other word -1, gap -1. The score is the best alignment's sum over that of the
-item with itself, so 1 for a whole copy, and less as words are changed, dropped or put in.
-
-Edge cases: null or wordless texts and items match nothing. Items shorter than a seed are one seed
-themselves. Of equal scores the passage that begins first is reported. Repeated rows are one row of
-the result for an id; a null id is reported like any other. Extra columns are not read.
+Seeds are three words of an item in their order, with one word at most skipped between two of them, on the
+item's side and on the document's, so that a changed, dropped or added word breaks few of them. A Bloom
+filter of bounded size holds their hashes; documents emit the passages in which n-grams pass it, with those
+n-grams. Every seed joins passages to items, however many passages hold it. Few seeds are broadcast; more
+are joined by shuffling, each salted, so that a frequent one is spread over many tasks. Each joined passage
+is cut to where the item could lie; one that holds too few of the item's words to reach the threshold is
+dropped, the others are aligned with the item, word by word, local alignment: match 2, other word -1,
+gap -1. The score is the best alignment's sum over that of the item with itself, so 1 for a whole copy, and
+less as words are changed, dropped or put in.
+
+A pair is missed only if it has no three matched words with at most one word between neighbours: for items of
+five words or more such a pair can reach the score 0.5 only by runs of two or more words put in after every
+second word.
+
+Edge cases: null or wordless texts and items match nothing, nor does an empty table. Items shorter than a
+seed are one seed themselves, and have to be there whole. Texts of any length are read whole. Of equal scores
+the passage that begins first is reported. Repeated rows are one row of the result for an id; a null id is
+reported like any other. An item without an id counts, as one for each text. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import text_mark
 from .staging import bounded_batches, staged
-from .words import Rolling, hash_words, signed
+from .words import hash_words, mix, signed
 
 _WORD = re.compile(r"\w+")
 SEED = 3
 #: Bits of the Bloom filter at most; 32 MB, whatever the number of test items.
 MAX_BITS = 1 << 28
+#: Up to so many seeds of items are broadcast; more are joined by shuffling, in so many parts a seed.
+BROADCAST_ROWS = 200_000
+SALTS = 16
+#: Up to so many names of rows to drop are broadcast.
+BROADCAST_LEAKS = 200_000
 _BLOCK = 32_768
 _PROBES = 4
 
@@ -42,18 +56,38 @@ def _hashes(tokens: list[str]) -> np.ndarray:
     return hash_words([w.encode("utf-8", "replace") for w in tokens])
 
 
+#: Places of a seed's second and third word after its first; in the first pattern none is skipped.
+_PATTERNS = ((1, 2), (1, 3), (2, 3), (2, 4))
+_FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def seeds_of(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, place, whether no word is skipped) of all seeds of n words; fewer words than three skip none."""
+    found = []
+    for pattern in [tuple(range(1, n))] if n < SEED else _PATTERNS:
+        count = len(hashes) - (pattern[-1] if pattern else 0)
+        if count > 0:
+            total = hashes[:count] * _FACTORS[0]
+            for at, factor in zip(pattern, _FACTORS[1:], strict=False):
+                total = total + hashes[at : at + count] * factor
+            found.append((mix(total + np.uint64(n)), np.arange(count, dtype=np.int32), np.full(count, pattern == tuple(range(1, n)))))
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rolling = Rolling()
     for batch in batches:
-        for item, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        for item, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist(), strict=True):
             tokens = words(text)
             if tokens:
                 n = min(SEED, len(tokens))
-                seeds = signed(rolling.windows(_hashes(tokens), n))
+                seeds, at, plain = seeds_of(_hashes(tokens), n)
+                size = len(seeds)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([item] * len(seeds), pa.int64()), pa.array(seeds), pa.array(np.arange(len(seeds), dtype=np.int32)),
-                     pa.array([n] * len(seeds), pa.int32()), pa.array([len(tokens)] * len(seeds), pa.int32())],
-                    names=["item_id", "seed", "at", "n", "length"])
+                    [pa.array([item] * size, pa.int64()), pa.array(signed(seeds)), pa.array(at), pa.array(plain),
+                     pa.array([n] * size, pa.int32()), pa.array([len(tokens)] * size, pa.int32())],
+                    names=["item", "seed", "at", "plain", "n", "length"])
 
 
 class SeedFilter:
@@ -109,7 +143,7 @@ def _scores(threshold: float):
     def scores(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             a = [words(t) for t in frame["passage"]]
-            b = [words(t) for t in frame["item"]]
+            b = [words(t) for t in frame["test"]]
             # A score is at most the share of the item's words that the passage holds.
             near = np.array([len(y) * threshold <= sum(map(set(x).__contains__, y)) + 1e-6 * len(y) for x, y in zip(a, b, strict=True)], bool)
             frame, a, b = frame[near], [x for x, k in zip(a, near, strict=True) if k], [y for y, k in zip(b, near, strict=True) if k]
@@ -122,71 +156,87 @@ def _scores(threshold: float):
                 code = lambda ws: [ids.setdefault(w, len(ids)) for w in ws]  # noqa: B023, E731
                 out[part] = align([code(a[i]) for i in part], [code(b[i]) for i in part])
                 at += n
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "item_id": frame["item_id"], "begin": frame["begin"], "seeds": frame["seeds"], "score": np.round(out, 6)})
+            yield frame[["doc_id", "mark", "item_id", "begin", "seeds"]].assign(score=np.round(out, 6))
 
     return scores
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                 item: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, score, seeds, begin): pairs whose score reaches the threshold. begin is the
-    word of the document at which the aligned passage starts, seeds the number of shared seeds."""
+def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+           item: str = "text", threshold: float = 0.5) -> DataFrame:
+    """(doc_id, mark, item_id, begin, seeds, score): aligned passages whose score reaches the threshold."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = bench.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item).alias("text")).where("item_id is not null and text is not null").distinct()
-    seeds = staged(items.mapInArrow(_item_seeds, "item_id bigint, seed bigint, at int, n int, length int"), "leak-seeds")
+    shape = "doc_id bigint, mark bigint, item_id bigint, begin int, seeds bigint, score double"
+    items = bench.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item).alias("text")).where("text is not null").distinct()
+    items = staged(items.withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", "text")), "leak-items")
+    seeds = staged(items.select("item", "text").mapInArrow(_item_seeds, "item bigint, seed bigint, at int, plain boolean, n int, length int"), "leak-seeds")
     count, longest, sizes = seeds.agg(F.count(F.lit(1)), F.max("length"), F.collect_set("n")).first()
     if not count:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, seeds bigint, begin int")
+        return spark.createDataFrame([], shape)
     bloom = SeedFilter(seeds, count)
     table, sizes = spark.sparkContext.broadcast(bloom.table), sorted(sizes)
     bloom.table = None
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, bits = Rolling(), table.value
+        bits = table.value
         for batch in batches:
             out: list[tuple] = []
-            for doc, body in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            for doc, mark, body in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), batch["text"], strict=True):
                 tokens = words(body.as_py())
                 hashes = _hashes(tokens)
                 found = []
                 for n in sizes:
-                    grams = rolling.windows(hashes, n)
+                    grams, at, plain = seeds_of(hashes, n)
                     hit = bloom.passes(grams, bits)
-                    found += zip(hit.tolist(), signed(grams[hit]).tolist(), [n] * len(hit), strict=True)
+                    found += zip(at[hit].tolist(), signed(grams[hit]).tolist(), plain[hit].tolist(), strict=True)
                 found.sort()
                 start = 0
                 for i in range(1, len(found) + 1):  # hits further apart than any item are passages of their own
                     if i == len(found) or found[i][0] - found[i - 1][0] > longest:
                         own = found[start:i]
                         lo, hi = max(0, own[0][0] - longest), own[-1][0] + longest
-                        out.append((doc, lo, " ".join(tokens[lo:hi]), [x[1] for x in own], [x[0] for x in own]))
+                        out.append((doc, mark, lo, " ".join(tokens[lo:hi]), *([x[k] for x in own] for k in (1, 0, 2))))
                         start = i
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())))],
-                names=["doc_id", "start", "passage", "seeds", "ats"])
-
-    found = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        passages, "doc_id bigint, start int, passage string, seeds array<bigint>, ats array<int>")
-    found = staged(found.withColumn("key", F.xxhash64("doc_id", "start", "passage")), "leak-passages")
-    hits = found.select("key", F.explode(F.arrays_zip("seeds", "ats")).alias("x")).select("key", "x.seeds", F.col("x.ats").alias("pos")).withColumnRenamed("seeds", "seed")
-    pairs = hits.join(seeds.select("seed", "item_id", "at", "length"), "seed")
-    pairs = pairs.groupBy("key", "item_id").agg(
+                [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["doc_id", "mark", "start", "passage", "seed", "pos", "run"])
+
+    found = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_mark(text).alias("mark"), F.col(text).alias("text")).mapInArrow(
+        passages, "doc_id bigint, mark bigint, start int, passage string, seed array<bigint>, pos array<int>, run array<boolean>")
+    found = staged(found.withColumn("key", F.xxhash64("doc_id", "mark", "start", "passage")), "leak-passages")
+    hits = found.select("key", F.inline(F.arrays_zip("seed", "pos", "run")))
+    wanted = seeds.select("seed", "item", "at", "plain", "length")
+    if count <= BROADCAST_ROWS:
+        pairs = hits.join(F.broadcast(wanted), "seed")
+    else:
+        wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = hits.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(wanted, ["seed", "salt"])
+    pairs = pairs.groupBy("key", "item").agg(
         F.min(F.col("pos") - F.col("at")).alias("lo"), F.max(F.col("pos") - F.col("at") + F.col("length")).alias("hi"),
-        F.max("length").alias("length"), F.countDistinct("seed").alias("seeds"))
-    placed = pairs.join(found.select("key", "doc_id", "start", "passage"), "key")
+        F.max("length").alias("length"), F.countDistinct(F.when(F.col("run") & F.col("plain"), F.col("seed"))).alias("seeds"))
+    placed = pairs.join(found.select("key", "doc_id", "mark", "start", "passage"), "key")
     begin = F.greatest(F.col("lo") - F.ceil(F.col("length") / 2).cast("int"), F.col("start"))
     # lo and hi are words of the document; the margin leaves room for words put in before or after.
     placed = placed.withColumn("begin", begin.cast("int")).withColumn(
         "passage", F.expr("array_join(slice(split(passage, ' '), begin - start + 1, hi - begin + cast(ceil(length / 2) as int)), ' ')"))
-    aligned = placed.select("doc_id", "item_id", "begin", "seeds", "passage").join(items.withColumnRenamed("text", "item"), "item_id")
-    scored = aligned.mapInPandas(_scores(threshold), "doc_id bigint, item_id bigint, begin int, seeds bigint, score double").where(F.col("score") >= threshold)
+    aligned = placed.select("doc_id", "mark", "item", "begin", "seeds", "passage").join(items.withColumnRenamed("text", "test"), "item")
+    return aligned.drop("item").mapInPandas(_scores(threshold), shape).where(F.col("score") >= threshold)
+
+
+def contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, score, seeds, begin): pairs whose score reaches the threshold. begin is the word of the
+    document at which the aligned passage starts, seeds the number of shared seeds without a skipped word."""
     best = F.max_by(F.struct("seeds", "begin"), F.struct("score", -F.col("begin"))).alias("b")
-    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), best).select("doc_id", "item_id", "score", "b.seeds", "b.begin")
+    found = _leaks(docs, bench, **options).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), best)
+    return found.select("doc_id", "item_id", "score", "b.seeds", "b.begin")
 
 
 def without_leaks(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose id is contaminated, all columns."""
-    doc_id = options.get("doc_id", "doc_id")
-    leaks = contaminated(docs, bench, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col(doc_id).eqNullSafe(F.col("__leak")), "left_anti")
+    """docs without the contaminated rows, all columns. A row is named by its id and its text's hash, so that
+    clean texts stay under an id, or a null, that a contaminated one has too."""
+    doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
+    leaks = staged(_leaks(docs, bench, **options).select(F.col("doc_id").alias("__leak"), F.col("mark").alias("__marked")).distinct(), "leaks")
+    if leaks.limit(BROADCAST_LEAKS + 1).count() <= BROADCAST_LEAKS:
+        leaks = F.broadcast(leaks)  # else the texts are shuffled by their names
+    named = F.col(doc_id).cast("bigint").eqNullSafe(F.col("__leak")) & (F.col("__mark") == F.col("__marked"))
+    return docs.withColumn("__mark", text_mark(text)).join(leaks, named, "left_anti").select(*docs.columns)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import picked
 from .staging import staged
 
 
@@ -93,11 +94,8 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
 
 
 def without_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each group of equal texts, all columns. Of repeated rows of one id one stays."""
-    groups = exact_groups(df, doc_id, text)
-    kept = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    known = df.join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    nameless = groups.where("kept and doc_id is null").select(F.col("digest").alias("__nameless")).distinct()
-    alone = df.where(F.col(doc_id).isNull()).withColumn("__digest", sha256(normalised(F.col(text))))
-    alone = alone.join(nameless, F.col("__digest") == F.col("__nameless"), "left_semi").dropDuplicates(["__digest"]).drop("__digest")
-    return known.unionByName(alone)
+    """df with one row of each group of equal texts, all columns: a row of the smallest id. Rows of one id with
+    different texts are different rows, and so are rows without an id; rows that repeat are one."""
+    groups = staged(exact_groups(df, doc_id, text), "lsm-groups")
+    chosen = groups.where("kept").groupBy(F.col("doc_id").alias("key"), F.col("digest").alias("mark")).agg(F.count(F.lit(1)).alias("n"))
+    return picked(df, chosen, sha256(normalised(F.col(text))), normalised(F.col(text)), doc_id, text)

@@ -6,14 +6,23 @@ segment is indexed once for every bit of it, with that bit left out, and linked
 one of those 64 buckets. An equality join on the buckets finds candidates, an XOR verifies them.
 
 Equal fingerprints are one entry. A bucket of two or three entries is verified as it is counted. In a
-larger one not all pairs are made. First each entry is verified against the bucket's smallest and
-largest, which joins dense groups into few components. Then only
-entries outside their bucket's most frequent component are compared, with those of other components.
-That loses no link between different components, and a link within one has nothing left to join.
+larger one not all pairs are made:
+
+1. Each entry is verified against four pivots of its bucket, the smallest, the largest and two by hash,
+   which joins dense groups into few components.
+2. In buckets of more than one component each entry is verified against two pivots from outside the
+   bucket's most frequent one.
+3. What is left is indexed again. Two linked entries of a bucket differ in at most four of the bits
+   outside its segment; cut into five pieces, one is equal. An equality join on bucket, piece and its
+   value brings together entries of different components, one of them outside the most frequent one,
+   and verifies each pair at the first key at which it meets.
+
+No link between different components is lost, and a link within one has nothing left to join.
 
 Edge cases: a text that is null or has no word has fingerprint 0, which is linked like any other.
 Null ids take part, but a component's id is null only if all its ids are. Repeated rows share a
-component. Extra columns are not read.
+component. An empty table has an empty result. Texts of any length are read whole, in blocks of
+shingles. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .rows import picked, text_mark
 from .staging import bounded_batches, staged
 
 #: First bit and width of each segment.
@@ -78,54 +88,117 @@ _MID = "CASE WHEN n = 3 THEN `all` ^ lo ^ hi END"
 _SOME_NEAR = " or ".join(f"bit_count({a} ^ {b}) <= {MAX_BITS}" for a, b in (("lo", "hi"), ("lo", f"({_MID})"), (f"({_MID})", "hi")))
 
 
+def _followed(roots: DataFrame, over: DataFrame) -> DataFrame:
+    """(node, root) of roots, whose roots have roots of their own in over, which may have further nodes."""
+    on = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return on.select("node", F.coalesce("top", "root").alias("root")).unionByName(over.join(roots, "node", "left_anti"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (bucket, fp, part) of the buckets of more than one part, with top, the bucket's largest part."""
+    parts = members.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return members.join(mixed.select("bucket", F.col("top.part").alias("top")), "bucket")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _pieces() -> list[list[int]]:
+    """Of each segment the masks of five pieces of the bits outside it."""
+    out = []
+    for start, width in SEGMENTS:
+        rest = [b for b in range(64) if not start <= b < start + width]
+        cuts = [round(k * len(rest) / (MAX_BITS + 1)) for k in range(MAX_BITS + 2)]
+        out.append([sum(1 << b for b in rest[cuts[k] : cuts[k + 1]]) for k in range(MAX_BITS + 1)])
+    return out
+
+
+def _cross_links(rest: DataFrame) -> DataFrame:
+    """(u, v): parts that a pair of members of one bucket links."""
+    bit = F.shiftrightunsigned("bucket", 22)
+    of_segment = lambda make: F.when(bit < SEGMENTS[1][0], make(0)).when(bit < SEGMENTS[2][0], make(1)).otherwise(make(2))
+    masks = _pieces()
+    cut = of_segment(lambda s: F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks[s])))
+    keyed = rest.select("bucket", "fp", "part", "top", F.posexplode(cut).alias("piece", "value"))
+    a, b = keyed.where("part <> top").alias("a"), keyed.alias("b")
+    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    differ = lambda m: F.bit_count(x.bitwiseAND(F.lit(_signed(m))))
+    whole = [((1 << width) - 1) << start for start, width in SEGMENTS]
+
+    def first(s: int):
+        """Whether a pair meets first here: in no segment before, at no variant and no piece before."""
+        ok = (differ(whole[s]) > 0) | (F.shiftrightunsigned("a.bucket", 22) == SEGMENTS[s][0])
+        for t in range(s):
+            ok &= differ(whole[t]) > 1
+        for k in range(MAX_BITS):
+            ok &= (F.col("a.piece") <= k) | (differ(masks[s][k]) > 0)
+        return ok
+
+    bit = F.shiftrightunsigned("a.bucket", 22)
+    met = F.expr("a.bucket = b.bucket and a.piece = b.piece and a.value = b.value and a.part <> b.part and (b.part = b.top or a.fp < b.fp)")
+    pairs = a.join(b, met & _near("a.fp", "b.fp") & of_segment(first))
+    return pairs.select(F.col("a.part").alias("u"), F.col("b.part").alias("v")).distinct()
+
+
 def _links(prints: DataFrame) -> DataFrame:
     """(node, root): fingerprints that have a link, with the smallest one they reach."""
     entries = _buckets(prints)
+    by_hash = lambda pick, seed: pick("fp", F.xxhash64("fp", F.lit(seed)))
     ends = entries.groupBy("bucket").agg(
-        F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("all"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("all"), F.count(F.lit(1)).alias("n"),
+        by_hash(F.min_by, 1).alias("p"), by_hash(F.max_by, 1).alias("q")).where("n > 1")
     # Two or three entries are known from the aggregate: the third is what the others leave of the XOR.
     few = staged(ends.where("n > 3 or " + _SOME_NEAR).withColumn("mid", F.expr(_MID)), "simhash-ends")
     pairs = F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in (("lo", "hi"), ("lo", "mid"), ("mid", "hi"))))
     known = few.where("n <= 3").select(F.explode(pairs).alias("p")).select("p.u", "p.v").where(_near("u", "v"))
-    large = few.where("n > 3").select("bucket", "lo", "hi")
+    large = few.where("n > 3").select("bucket", F.array_distinct(F.array("lo", "hi", "p", "q")).alias("pivots"))
     if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         large = F.broadcast(large)  # else the entries are shuffled once more
     members = staged(entries.join(large, "bucket"), "simhash-members")
-    star = members.where(_near("fp", "lo")).select(F.col("fp").alias("u"), F.col("lo").alias("v"))
-    star = star.unionByName(members.where(_near("fp", "hi")).select(F.col("fp").alias("u"), F.col("hi").alias("v"))).unionByName(known)
-    stars = staged(components(star, "simhash-star"), "simhash-stars")
-    joined = members.select("bucket", "fp").join(stars.withColumnRenamed("node", "fp"), "fp", "left")
-    joined = joined.select("bucket", "fp", F.coalesce("root", "fp").alias("part"))
-    parts = joined.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    rest = joined.join(mixed.select("bucket", F.col("top.part").alias("top")), "bucket")
-    rest = staged(rest, "simhash-mixed")
-    a, b = rest.where("part <> top").alias("a"), rest.alias("b")
-    once = F.expr("a.bucket = b.bucket and a.part <> b.part and (b.part = b.top or a.fp < b.fp)")
-    cross = a.join(b, once & _near("a.fp", "b.fp")).select(F.col("a.part").alias("u"), F.col("b.part").alias("v")).distinct()
-    over = components(cross, "simhash-cross")
-    roots = stars.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-    roots = roots.select("node", F.coalesce("top", "root").alias("root"))
-    return roots.unionByName(over.join(stars, "node", "left_anti"))
-
-
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of df: doc_id, fp (bigint), component_id (the smallest doc_id reachable)."""
+    star = members.select(F.col("fp").alias("u"), F.explode("pivots").alias("v")).where(_near("u", "v")).unionByName(known)
+    roots = staged(components(star, "simhash-star"), "simhash-stars")
+    joined = members.select("bucket", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rest = staged(_mixed(joined.select("bucket", "fp", F.coalesce("root", "fp").alias("part"))), "simhash-mixed")
+    if rest.isEmpty():
+        return roots
+    outside = rest.where("part <> top").withColumn("x", F.struct("fp", "part"))
+    outside = outside.groupBy("bucket").agg(*(f("x", F.xxhash64("fp", F.lit(2))).alias(n) for f, n in ((F.min_by, "p"), (F.max_by, "q"))))
+    tried = rest.join(outside, "bucket").select("fp", "part", F.explode(F.array("p", "q")).alias("x"))
+    tried = tried.select("fp", F.col("part").alias("u"), F.col("x.fp").alias("pivot"), F.col("x.part").alias("v"))
+    second = staged(components(tried.where((F.col("u") != F.col("v")) & _near("fp", "pivot")).select("u", "v").distinct(), "simhash-second"), "simhash-second")
+    again = rest.select("bucket", "fp", "part").join(second.withColumnRenamed("node", "part"), "part", "left")
+    rest = staged(_mixed(again.select("bucket", "fp", F.coalesce("root", "part").alias("part"))), "simhash-rest")
+    if rest.isEmpty():
+        return _followed(roots, second)
+    over = components(_cross_links(rest), "simhash-cross")
+    return _followed(_followed(roots, second), over)
+
+
+def _named(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, fp), and (fp, root, component_id) of each fingerprint."""
     bounded_batches(df.sparkSession)
-    rows = staged(df.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")), "simhash-prints")
+    rows = df.select(F.col(doc_id).alias("doc_id"), text_mark(text).alias("mark"), _fingerprints(F.col(text)).alias("fp"))
+    rows = staged(rows, "simhash-prints")
     prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     rooted = prints.join(staged(_links(prints), "simhash-links").withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return rows, rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of df: doc_id, fp (bigint), component_id (the smallest doc_id reachable)."""
+    rows, named = _named(df, doc_id, text)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def without_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each component, all columns: that of the smallest id. Rows without an id are
-    kept only where no row of their component has one, and then all of them."""
-    found = near_duplicates(df, doc_id, text)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    named = df.join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    nameless = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("__fp"))
-    alone = df.where(F.col(doc_id).isNull()).withColumn("__own", _fingerprints(F.col(text)))
-    return named.unionByName(alone.join(nameless, F.col("__own") == F.col("__fp"), "left_semi").drop("__own"))
+    """df with one row of each component, all columns: that of the smallest id, or one without an id where no
+    row has one. An id shared by texts of several components stands for a row of each. Of texts with the
+    smallest id the one with the smallest hash stays."""
+    rows, named = _named(df, doc_id, text)
+    names = rows.groupBy("doc_id", "mark", "fp").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("key"), "mark", "n")).alias("x")
+    chosen = staged(names.join(named, "fp").groupBy("root").agg(first).select("x.key", "x.mark", "x.n"), "simhash-chosen")
+    return picked(df, chosen, text_mark(text), F.coalesce(F.col(text), F.lit("")), doc_id, text)

@@ -54,6 +54,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    root = _root(df.sparkSession)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/rasterloom-staging/" in folder and folder.rsplit("/", 2)[1] == root.rsplit("/", 1)[1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Sizes Arrow batches for rows that are whole texts: a thousand rows and about 8 MB at most, unless the
     session has sizes of its own."""

@@ -197,3 +197,38 @@ def test_empty_tables(spark):
     assert exact_groups(none).count() == 0
     assert near_duplicates(none).count() == 0
     assert without_repeats(none).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a, "k"), (5, b, "k"), (5, a, "k"), (6, a, "k"), (None, c, "k"), (None, c.replace(" ", "  "), "k"), (None, b, "k"), (None, None, "k"), (7, "", "k"), (8, "long " * 50_000, "k")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, mark string")
+    wanted = sorted([(5, a), (5, b), (None, c), (7, ""), (8, "long " * 50_000)], key=str)
+    for kept in (without_copies(df), without_near_copies(df)):
+        assert kept.columns == df.columns
+        assert sorted(((r["doc_id"], norm(r["text"])) for r in kept.collect()), key=str) == wanted
+    for empty in (df.limit(0), spark.createDataFrame([(None, None, None)], df.schema)):
+        assert without_copies(empty).count() == without_near_copies(empty).count() == empty.count()
+
+
+def test_links_inside_one_hot_bucket(spark):
+    """5,000 prints that share a segment and are far from each other but for planted pairs."""
+    from rasterloom.llm.simhash_dedup import _links
+
+    rng = random.Random(12)
+    low = rng.getrandbits(22)
+    prints = [(rng.getrandbits(42) << 22) | low for _ in range(5000)]
+    for p in prints[:60]:
+        for bit in rng.sample(range(22, 64), 4):
+            p ^= 1 << bit
+        prints.append(p)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    root = {r["node"]: r["root"] for r in _links(spark.createDataFrame([(signed(p),) for p in set(prints)], "fp bigint")).collect()}
+    wanted = linked(set(prints))
+    groups = {}
+    for p, r in wanted.items():
+        groups.setdefault(r, set()).add(signed(p))
+    found = {}
+    for p in prints:
+        found.setdefault(root.get(signed(p), signed(p)), set()).add(signed(p))
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
