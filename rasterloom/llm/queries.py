@@ -24,6 +24,8 @@ URL_RULES = [
     ("net", "/es/", BLOCK),
     ("net", "/fr/", BLOCK),
 ]
+#: Visible characters under which a page counts as thin, and its label is to block it.
+THIN_PAGE = 800
 #: In production the key comes from a secret store.
 PII_KEY = "pseudonym-key-1"
 
@@ -44,12 +46,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is labelled by the label of its number: block if toxic or of low quality."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = _table(spark, sf_dir, "labels")
-    verdict = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), BLOCK).when(F.col("quality").isNotNull(), ALLOW)
-    labelled = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", verdict.alias("verdict"))
-    return filtered(pages, URL_RULES, labelled).select("page_id", "host", "path", "rule", "verdict", "mined")
+    """A page is labelled by what it holds: block if its visible text is shorter than THIN_PAGE characters."""
+    pages = _table(spark, sf_dir, "pages")
+    visible = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "), r"\s+", " ")
+    verdict = F.when(F.length(visible) < THIN_PAGE, BLOCK).when(F.col("html").isNotNull(), ALLOW)
+    labelled = pages.select("url", verdict.alias("verdict"))
+    return filtered(pages.select("page_id", "url"), URL_RULES, labelled).select("page_id", "host", "path", "rule", "verdict", "mined")
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +126,7 @@ ORACLE_SQL = {
               FROM t, unnest(list_concat([text], string_split_regex(text, '
 [ 	]*
 '), string_split(text, chr(10)),
-                                         string_split(regexp_replace(text, '([.!?])[ 	
+                                         string_split(regexp_replace(text, '([.!?])[ 	
 ]+', '' || chr(10) || chr(10), 'g'), chr(10) || chr(10)))) AS u(s)),
         w AS (SELECT k, s, string_split(s, ' ') AS w FROM s),
         g AS (SELECT k, s, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM w WHERE len(w) > 1),
