@@ -4,21 +4,28 @@ Numbers and dates that pass validation are permuted within their format by a key
 equal values get equal pseudonyms in all documents, different ones different, and a pseudonym passes
 the same validation. Kinds, and what is permuted:
 
-* card: 13 to 19 digits, spaced or not, with a right Luhn digit; all but that digit, which is set anew
+* card: 13 to 19 digits, in groups or not, with a right Luhn digit; all but that digit, which is set anew
 * iban: country, check digits and account with remainder 1 (mod 97); the account, then new check digits
 * ssn: area, group and serial with hyphens, each in its valid range
-* phone: ``+`` and country code, or the North American form; the digits after the country code
+* phone: ``+`` and country code, or the North American form without one; the digits after the country code
 * ipv4: four numbers up to 255; the 32-bit address
 * date: year-month-day, day.month.year or month/day/year, an existing day of 1900 to 2099
-* email: letters and digits before the @, each within its own kind
+* email: the letters and digits before the @, whatever their number, each within its own kind
 * token: 16 or more letters and digits after a name such as token, key or secret; each within its kind,
   hex digits within hex digits
 
 Characters are permuted by halves: each letter or digit of one half moves within its alphabet by a hash
 of the other half, in turn, eight times. Numbers with a range are permuted as two residues the same way.
+What is permuted is the bare value: a card's digits without separators, an account without spaces, a
+subscriber number without country code or punctuation, a name in lower case. Separators and case are put
+back afterwards, so that one value has one pseudonym in all its spellings.
+
+A match that fails validation is tried again by the groups it has between spaces and hyphens: from each
+group on, the longest run of groups that is valid is replaced, and the rest is looked at further.
 
 Edge cases: a null text stays null, an empty one empty. Numbers that fail validation stay as they are.
-Where kinds overlap the first to begin counts. Repeated rows, null ids and extra columns pass through.
+Where kinds overlap the first to begin counts. Texts of any length are rewritten whole. An empty table has an
+empty result. Repeated rows, null ids and extra columns pass through, but for one named pii, which is replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ _SECRET = r"(?i:token|api[_-]?key|key|secret|password|passwd|pwd)[\"']?\s{0,4}[=
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
     "token": _SECRET + r"[0-9A-Za-z_\-]{16,}",
-    "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9\-/])(?!\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
@@ -105,10 +112,18 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda s, x: s + x)
 
 
+def _refilled(m: Column, bare: Column) -> Column:
+    """m with its letters and digits replaced, in order, by those of bare; all else stays in its place."""
+    fill = lambda c, i: F.when(
+        c.rlike("[0-9A-Za-z]"), F.substring(bare, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c)
+    return F.array_join(F.transform(F.split(m, "", -1), fill), "")
+
+
 def _card(m: Column, key: str) -> Column:
-    body = permuted_text(F.substring(m, F.lit(1), F.length(m) - 1), key, "card")
-    digits = F.regexp_replace(body, "[^0-9]", "")
-    return F.concat(body, ((10 - luhn_sum(F.concat(digits, F.lit("0"))) % 10) % 10).cast("string"))
+    digits = _digits(m)
+    body = permuted_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
+    return _refilled(m, F.concat(body, check.cast("string")))
 
 
 def mod97(text: Column) -> Column:
@@ -121,10 +136,10 @@ def mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    account = permuted_text(F.substring(m, F.lit(5), F.length(m)), key, "iban")
+    account = permuted_text(F.substring(F.replace(m, F.lit(" ")), F.lit(5), F.length(m)), key, "iban")
     country = F.substring(m, 1, 2)
     check = 98 - mod97(F.concat(account, country, F.lit("00")))
-    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
+    return _refilled(m, F.concat(country, F.lpad(check.cast("string"), 2, "0"), account))
 
 
 def _number(m: Column, at: int, size: int) -> Column:
@@ -163,14 +178,21 @@ def _date(m: Column, key: str) -> Column:
     return F.coalesce(*(F.when(m.rlike(pattern), F.date_format(date, f)) for pattern, f in _FORMATS))
 
 
+#: The country codes of one and two digits; all others have three.
+_COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .\-(])[ .\-]?|\+[0-9])?", 0)
-    return F.concat(code, permuted_text(F.substring(m, F.length(code) + 1, F.length(m)), key, "phone"))
+    country = _digits(F.regexp_extract(m, _COUNTRY, 0))
+    own = F.substring(_digits(m), F.length(country) + 1, F.length(m))
+    return _refilled(m, F.concat(country, permuted_text(own, key, "phone")))
 
 
 def _email(m: Column, key: str) -> Column:
     name = F.substring_index(m, "@", 1)
-    return F.concat(permuted_text(name, key, "email"), F.substring(m, F.length(name) + 1, F.length(m)))
+    new = F.split(permuted_text(F.lower(name), key, "email"), "", -1)
+    cased = F.zip_with(F.split(name, "", -1), new, lambda old, c: F.when(old.rlike("[A-Z]"), F.upper(c)).otherwise(c))
+    return F.concat(F.array_join(cased, ""), F.substring(m, F.length(name) + 1, F.length(m)))
 
 
 def _token(m: Column, key: str) -> Column:
@@ -213,13 +235,36 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
+def _spans(m: Column) -> Column:
+    """array<struct(m, kind)>, together m: the valid values among the groups of a match that is none itself."""
+    groups = F.regexp_extract_all(m, F.lit(r"[^ \-]+[ \-]*|[ \-]+"), 0)
+    last = F.size(groups) - 1
+    part = lambda text, kind: F.struct(text.alias("m"), kind.cast("string").alias("kind"))
+
+    def step(s: Column, i: Column) -> Column:
+        text = lambda j: F.array_join(F.slice(groups, i + 1, j - i + 1), "")
+        bare = lambda j: F.regexp_replace(text(j), r"[ \-]+$", "")
+        end = F.array_max(F.filter(F.sequence(i, last), lambda j: kind_of(bare(j)).isNotNull()))
+        found = F.transform(F.array(end), lambda j: F.array(
+            part(bare(j), kind_of(bare(j))), part(F.substring(text(j), F.length(bare(j)) + 1, F.length(m)), F.lit(None))))
+        hit = F.struct((end + 1).alias("next"), F.concat(s["out"], F.flatten(found)).alias("out"))
+        miss = F.struct((i + 1).alias("next"), F.concat(s["out"], F.array(part(F.element_at(groups, i + 1), F.lit(None)))).alias("out"))
+        return F.when(i < s["next"], s).when(end.isNotNull(), hit).otherwise(miss)
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<m:string,kind:string>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), last), start, step)["out"]
+
+
 def pseudonymised(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """df with its text column rewritten, and pii added: an array of the kinds replaced, in their order."""
     body = F.col(text)
     matches = F.when(body.rlike("[0-9@=:]"), F.regexp_extract_all(body, F.lit(_ANY), 0))
     found = df.withColumn("__found", F.transform(matches, lambda x: F.struct(x.alias("m"), kind_of(x).alias("kind"))))
-    pieces = F.zip_with(F.split(body, _ANY, -1), F.transform("__found", lambda x: pseudonym(x["m"], x["kind"], key)), lambda p, q: F.concat(p, F.coalesce(q, F.lit(""))))
-    kinds = F.filter(F.transform("__found", lambda x: x["kind"]), lambda k: k.isNotNull())
+    whole = lambda x: x["kind"].isNotNull() | ~F.rlike(x["m"], F.lit(r"[^ \-][ \-]"))
+    found = found.withColumn("__found", F.transform("__found", lambda x: F.when(whole(x), F.array(x)).otherwise(_spans(x["m"]))))
+    new = lambda parts: F.array_join(F.transform(parts, lambda x: pseudonym(x["m"], x["kind"], key)), "")
+    pieces = F.zip_with(F.split(body, _ANY, -1), F.transform("__found", new), lambda p, q: F.concat(p, F.coalesce(q, F.lit(""))))
+    kinds = F.filter(F.transform(F.flatten("__found"), lambda x: x["kind"]), lambda k: k.isNotNull())
     any_kind = F.size(F.coalesce(kinds, F.array().cast("array<string>"))) > 0
     return found.withColumns({
         text: F.when(any_kind, F.array_join(pieces, "")).otherwise(body),
