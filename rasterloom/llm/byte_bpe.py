@@ -7,7 +7,10 @@ and past white space only, so from there on both agree and what is before stays
 The pieces between stitches are encoded in parallel, and their ids put together in order. A text
 whose chunks do not resynchronise in an overlap (one pre-token longer than it) is encoded as one piece.
 
-Edge cases: a null text counts as empty, an empty text has no ids. Repeated rows, null ids and extra
+Each text is cut into chunks in one pass, and a piece is cut from its own chunk, so the work grows with a
+text's length alone.
+
+Edge cases: a null text counts as empty, an empty text has no ids; an empty table has an empty result. Repeated rows, null ids and extra
 columns pass through.
 """
 
@@ -113,9 +116,19 @@ class ByteBPE:
         # Rows get a number once, in a table, so that a recomputed task cannot number them anew.
         rows = staged(long.select(F.struct("*").alias("__row")).withColumn("__key", F.monotonically_increasing_id()), "bpe-long")
         body = F.col("__row").getField(text)
-        count = F.ceil(F.length(body) / size).cast("int")
-        slices = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(body, k * size + 1, F.lit(size + overlap)))
-        chunks = rows.select("__key", count.alias("n"), F.posexplode(slices).alias("k", "t"))
+
+        def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for key, t in zip(batch["__key"].to_pylist(), batch["t"], strict=True):
+                    t = t.as_py()
+                    n = -(-len(t) // size)
+                    for at in range(0, n, 64):  # a text's chunks leave in parts
+                        ks = range(at, min(n, at + 64))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([key] * len(ks)), pa.array(ks, pa.int32()), pa.array([n] * len(ks), pa.int32()), pa.array([t[k * size : (k + 1) * size + overlap] for k in ks])],
+                            names=["__key", "k", "n", "t"])
+
+        chunks = rows.select("__key", body.alias("t")).mapInArrow(sliced, "__key bigint, k int, n int, t string")
 
         def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -126,29 +139,27 @@ class ByteBPE:
                     found = np.array([p for p in found.tolist() if not (p and t[p - 1].isspace())], np.int64)
                     last = k == n - 1
                     found = found if last else found[found < len(t) - _MARGIN]
-                    heads.append((found[found < overlap] + k * size).tolist() if k else [])
-                    tails.append((found[found >= size] + k * size).tolist() if not last else [])
-                yield frame[["__key", "k", "n"]].assign(head=heads, tail=tails)
+                    heads.append(found[found < overlap].tolist() if k else [])
+                    tails.append((found[found >= size] - size).tolist() if not last else [])
+                yield frame.assign(head=heads, tail=tails)
 
-        marks = chunks.repartition("__key", "k").mapInPandas(cut, "__key bigint, k int, n int, head array<bigint>, tail array<bigint>")
+        marks = chunks.repartition("__key", "k").mapInPandas(cut, "__key bigint, k int, n int, t string, head array<bigint>, tail array<bigint>")
         own = Window.partitionBy("__key")
         order = own.orderBy("k")
+        # Where a chunk's piece begins in it, and where the next one begins in the next: both count from a chunk's start.
         first = lambda a, b: F.array_min(F.array_intersect(a, b))
         spans = marks.select(
-            "__key", "k", "n",
+            "__key", "k", "n", "t",
             F.when(F.col("k") == 0, 0).otherwise(first(F.lag("tail").over(order), F.col("head"))).alias("a"),
             first(F.col("tail"), F.lead("head").over(order)).alias("b"),
         )
         lost = F.max(F.when(F.col("a").isNull() | (F.col("b").isNull() & (F.col("k") < F.col("n") - 1)), 1).otherwise(0)).over(own)
         spans = spans.withColumn("lost", lost).where("lost = 0 or k = 0")
-        spans = spans.select(
-            "__key", "k",
-            F.when(F.col("lost") == 1, 0).otherwise(F.col("a")).alias("a"),
-            F.when(F.col("lost") == 1, None).otherwise(F.col("b")).alias("b"),
-        )
-        pieces = spans.join(rows.select("__key", body.alias("t")), "__key")
-        pieces = pieces.select("__key", "k", F.expr("substring(t, cast(a + 1 as int), cast(coalesce(b, length(t)) - a as int))").alias("t"))
-        coded = self._encoded(pieces.repartition("__key", "k"), "t", "ids").select("__key", "k", "ids")
+        # A piece lies within its chunk, so it is cut from that alone; a text that did not resynchronise is taken whole.
+        whole = F.expr(f"if(lost = 1, null, substring(t, cast(a + 1 as int), cast(coalesce(b + {size}, length(t)) - a as int)))")
+        pieces = staged(spans.select("__key", "k", whole.alias("t")).repartition("__key", "k"), "bpe-pieces")
+        kept_whole = rows.join(pieces.where("t is null").select("__key"), "__key", "left_semi").select("__key", F.lit(0).alias("k"), body.alias("t"))
+        coded = self._encoded(pieces.where("t is not null").unionByName(kept_whole), "t", "ids").select("__key", "k", "ids")
         joined = coded.groupBy("__key").agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY k)").alias("__ids"))
         kept = [F.col("__row").getField(c).alias(c) for c in long.columns if c != to]
         return rows.join(joined, "__key").select(*kept, F.col("__ids").alias(to))

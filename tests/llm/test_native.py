@@ -1,5 +1,6 @@
 """URL rules, pseudonyms and licence scans, and the queries and the pipeline as a whole."""
 
+import hashlib
 import itertools
 import os
 import random
@@ -81,6 +82,34 @@ def test_association_rules_and_their_index(spark):
         assert got.get(r["set"]) == best or abs(got[r["set"]] - best) < 1e-9
 
 
+def test_mined_verdicts_of_the_whole_query(spark):
+    """Rules of both verdicts decide; against brute force over all token combinations. Labels are from noisy hosts."""
+    rng = random.Random(16)
+    make = lambda: f"http{rng.choice(['', 's'])}://{rng.choice(['shop', 'win', 'news'])}.{rng.choice(['aa.org', 'bb.io'])}/{rng.choice(['p', 'q'])}{rng.choice(['', '?id=1'])}"
+    label = lambda u: rng.choice(["block"] * 9 + ["allow"]) if "win" in u else "allow" if "news" in u and "aa" in u else rng.choice(["allow", "block"])
+    rows = [(u, label(u)) for u in (make() for _ in range(200))]
+    df = spark.createDataFrame(rows, "url string, verdict string")
+    tokens = {r["url"]: tuple(r["t"]) for r in df.select("url", tokens_of(F.col("url")).alias("t")).collect()}
+    wanted = brute_rules([(tokens[u], v) for u, v in rows], 0.05, 0.7)
+    support = lambda c: sum(set(c) <= set(tokens[u]) for u, _ in rows)
+    found = filtered(df.select("url"), [], df, min_support=0.05, min_confidence=0.7, min_count=1).collect()
+    for r in found:
+        own = [(x, support(c), v) for (c, v), x in wanted.items() if set(c) <= set(tokens[r["url"]])]
+        best = max((x[:2] for x in own), default=None)
+        assert r["verdict"] in ({x[2] for x in own if x[:2] == best} or {"allow"})
+    assert {r["verdict"] for r in found if r["mined"]} == {"allow", "block"}
+
+
+def test_urls_of_many_words(spark):
+    """Equal urls of forty words with both verdicts have two to the fortieth combinations of tokens."""
+    long = "http://h.org/" + "/".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))
+    rows = [(long, "block")] * 50 + [(long, "allow")] * 10 + [("http://o.org/x", "allow")] * 60 + [("http://" + "y" * 200_000 + ".org/" + "z/" * 5_000, "allow")]
+    df = spark.createDataFrame(rows, "url string, verdict string")
+    found = filtered(df.select("url"), [], df).collect()
+    assert {(r["url"] == long, r["verdict"], r["mined"] is not None) for r in found} == {(True, "block", True), (False, "allow", True), (False, "allow", False)} or {
+        (r["url"] == long, r["verdict"]) for r in found} == {(True, "block"), (False, "allow")}
+
+
 def test_filtered_urls(spark):
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS)] + [(None, URLS[0], None, None), (0, URLS[0], "x", "y")], "page_id bigint, url string, rule string, tokens string")
     none = spark.createDataFrame([], "url string, verdict string")
@@ -128,6 +157,67 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
             assert fold(got[1]) == fold(value)
 
 
+def moved(half, stream):
+    out = ""
+    for i, c in enumerate(half):
+        by = int(stream[i % 64 * 2 : i % 64 * 2 + 2], 16)
+        first, size = (48, 10) if c.isdigit() else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (ord(c), 1)
+        out += chr(first + (ord(c) - first + by) % size)
+    return out
+
+
+def feistel(text, key, kind):
+    """The eight rounds over a text's halves, written anew."""
+    left, right = text[: len(text) // 2], text[len(text) // 2 :]
+    for turn in range(8):
+        hashed = lambda other: hashlib.sha512(f"{key}|{kind}|{turn}|{len(text)}|{other}".encode()).hexdigest()  # noqa: B023, E731
+        if turn % 2:
+            right = moved(right, hashed(left))
+        else:
+            left = moved(left, hashed(right))
+    return left + right
+
+
+def test_one_value_has_one_pseudonym_in_all_spellings(spark):
+    """Against an independent Feistel network over the bare values."""
+    spellings = {
+        "card": ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],
+        "phone": ["+15551234567", "+1 555 123 4567", "(555) 123-4567", "555.123.4567"],
+        "iban": ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"],
+        "email": ["jo.smith@Mail.org", "Jo.Smith@Mail.org", "JO.SMITH@Mail.org"],
+    }
+    rows = [(f"see {v}; it", kind, v) for kind, own in spellings.items() for v in own]
+    found = pii.pseudonymised(spark.createDataFrame(rows, "text string, kind string, v string"), "k").collect()
+    for r in found:
+        got = r["text"][4:-4]
+        bare = re.sub("[^0-9A-Za-z]", "", got)
+        digits = re.sub("[^0-9]", "", r["v"])
+        assert r["pii"] == [r["kind"]] and re.sub("[0-9A-Za-z]", "x", got) == re.sub("[0-9A-Za-z]", "x", r["v"])
+        if r["kind"] == "card":
+            assert bare[:-1] == feistel(digits[:-1], "k", "card") and luhn(bare)
+        elif r["kind"] == "phone":
+            assert bare[-10:] == feistel(digits[-10:], "k", "phone") and bare[:-10] == digits[:-10]
+        elif r["kind"] == "iban":
+            assert bare[4:] == feistel(r["v"].replace(" ", "")[4:], "k", "iban") and iban_ok(bare)
+        else:
+            assert got.split("@")[0].lower() == feistel("jo.smith", "k", "email") and got.endswith("@Mail.org")
+
+
+def test_valid_values_inside_failed_matches(spark):
+    card, other = "4111 1111 1111 1111", "4111111111111111"
+    texts = {f"{card} 12/27": card, f"{other} 123": other, f"qty 2 {other}": other, "BE68539007547034 EUR 20": "BE68539007547034", f"7 {card} 99": card,
+             "mail " + "a" * 70 + ".b@x.org": "a" * 70 + ".b@x.org"}
+    df = spark.createDataFrame([(t, v) for t, v in texts.items()] * 2 + [("1 2 3 4 5 6 7 8 9 1 2 3 4 5", ""), ("", ""), (None, ""), ("x" * 300_000 + " " + other, other)], "text string, pii string")
+    for r in pii.pseudonymised(df.withColumn("v", F.col("pii")), "k").collect():
+        if not r["v"]:
+            assert r["pii"] == []
+        else:
+            assert len(r["pii"]) == 1 and r["v"] not in r["text"]
+            assert not re.search("a{3}", r["text"])
+    none = df.limit(0)
+    assert pii.pseudonymised(none, "k").count() == 0
+
+
 def test_pseudonyms_are_permutations(spark):
     df = spark.range(73_049).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     found = pii.pseudonymised(df, "k")

@@ -68,6 +68,22 @@ def test_byte_bpe_equals_the_library_and_round_trips(spark, chunk, overlap):
         assert bytes(r["decoded"]).decode() == (r["text"] or "")
 
 
+def test_byte_bpe_of_long_texts(spark):
+    """Texts of many default chunks, some of which do not resynchronise."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bpe, rng = ByteBPE(path, public_tokenizers.PATTERN), random.Random(31)
+    texts = ["".join(rng.choice("abcdé fgh 1'\n!日") for _ in range(n)) for n in (100_000, 300_001, 32_768, 32_769, 65_536)] + ["x" * 120_000 + " end", "word " * 60_000]
+    df = spark.createDataFrame([(None if i == 1 else i % 3, t, "n") for i, t in enumerate(texts)], "doc_id bigint, text string, ids string")
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+    found = bpe.decode(bpe.encode(df)).collect()
+    assert sorted(r["text"] for r in found) == sorted(texts)
+    for r in found:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(r["text"])
+        assert bytes(r["decoded"]).decode() == r["text"]
+    none = df.limit(0)
+    assert bpe.decode(bpe.encode(none)).count() == 0
+
+
 def brute_align(a, b):
     h, best = np.zeros((len(b) + 1, len(a) + 1), int), 0
     for j in range(1, len(b) + 1):
