@@ -1,14 +1,15 @@
 """Exact deduplication by a log-structured merge index, in DataFrame operations only.
 
-Each task is a memtable: it sorts its rows' digests and flushes them as a run, a Parquet file whose
-pages carry a Bloom filter and bounds of the digest. Compaction merges runs: of each digest the
-smallest identifier and the count stay. Rows whose digest occurs more than once are hits; they are
-verified byte for byte, by grouping their normalised texts themselves, so that two texts with one
-digest never count as copies.
+Rows' digests are read in batches, the memtables. Each flushes a run, (digest, smallest identifier, count)
+sorted by digest in each file. When a level has ``fanout`` runs, compaction merges them into one run of the
+next level; of each digest the smallest identifier and the sum of counts stay. The last run's filter holds the
+digests that occur more than once, as a Bloom filter in blocks of bounded size; a scan of the texts probes it,
+so that only hits are shuffled. Hits are verified byte for byte, by grouping their normalised texts
+themselves, so that two texts with one digest never count as copies.
 
 Edge cases: a null text counts as empty. Null ids sort last: such a row is kept only if no id of its
-group is known, and its keep_id is then null. Repeated rows are copies of each other. Extra columns
-are not read.
+group is known, and its keep_id is then null. Repeated rows are copies of each other. Texts of any length
+are compared whole. An empty table has an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,13 @@ from pyspark.sql import functions as F
 from .rows import picked
 from .staging import staged
 
+#: Batches of the input; runs of a level that are merged.
+MEMTABLES, FANOUT = 4, 2
+#: Blocks of a filter at most, of 64 words of 64 bits: 32 MB. With more digests than a sixteenth of its bits
+#: more rows that are no hits pass; they are verified like hits, and results stay the same.
+MAX_BLOCKS = 1 << 16
+_PROBES = 3
+
 
 def normalised(text: Column) -> Column:
     """Each run of ASCII white space becomes one space; null becomes the empty string."""
@@ -29,53 +37,87 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+class RunFilter:
+    """A Bloom filter of digests: a table (block, words) that is broadcast, as its size is bounded."""
+
+    def __init__(self, digests: DataFrame):
+        self.blocks = 1
+        count = digests.count()
+        while self.blocks < min(MAX_BLOCKS, count / 256):
+            self.blocks *= 2
+        probe = F.explode(F.array(*(F.struct(self._word(k).alias("word"), self._bit(k).alias("bit")) for k in range(_PROBES)))).alias("p")
+        words = digests.select(self._block().alias("block"), probe).groupBy("block", "p.word").agg(F.bit_or(F.expr("shiftleft(1L, p.bit)")).alias("bits"))
+        by_word = F.map_from_entries(F.collect_list(F.struct("word", "bits")))  # 64 words at most
+        self.table = words.groupBy("block").agg(by_word.alias("words"))
+
+    def _block(self) -> Column:
+        return F.pmod(F.xxhash64("digest"), F.lit(self.blocks)).cast("int")
+
+    def _word(self, k: int) -> Column:
+        return F.shiftrightunsigned(F.xxhash64("digest", F.lit(1)), 12 * k).bitwiseAND(F.lit(63)).cast("int")
+
+    def _bit(self, k: int) -> Column:
+        return F.shiftrightunsigned(F.xxhash64("digest", F.lit(1)), 12 * k + 6).bitwiseAND(F.lit(63)).cast("int")
+
+    def hits(self, rows: DataFrame) -> DataFrame:
+        """The rows whose digest is in the filter, and few others."""
+        table = F.broadcast(self.table.select(F.col("block").alias("__block"), F.col("words").alias("__words")))
+        found = rows.join(table, self._block() == F.col("__block"))
+        for k in range(_PROBES):
+            found = found.where(F.getbit(F.coalesce(F.try_element_at("__words", self._word(k)), F.lit(0).cast("bigint")), self._bit(k)) == 1)
+        return found.select(*rows.columns)
+
+
 class MergeIndex:
-    """digest -> (smallest id, count). ``digest`` is a function from text column to binary column."""
-
-    def __init__(self, digest=sha256):
-        self.digest = digest
-        self.runs: DataFrame | None = None
-        self.levels: list[DataFrame] = []
-
-    def flush(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """Writes the runs of df and returns them: (doc_id, digest), sorted by digest in each file."""
-        rows = df.select(F.col(doc_id).alias("doc_id"), self.digest(normalised(F.col(text))).alias("digest"))
-        spark = df.sparkSession
-        filters = "parquet.bloom.filter.enabled#digest"
-        before = spark.conf.get(filters, None)
-        spark.conf.set(filters, "true")
-        try:
-            run = staged(rows.sortWithinPartitions("digest"), "lsm-run")
-        finally:
-            spark.conf.unset(filters) if before is None else spark.conf.set(filters, before)
-        self.runs = run if self.runs is None else self.runs.unionByName(run)
-        self.levels.append(run.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")))
-        return run
+    """digest -> (smallest id, count), in levels of runs (digest, keep_id, n)."""
+
+    def __init__(self, fanout: int = FANOUT):
+        self.fanout = fanout
+        self.levels: list[list[DataFrame]] = []
+
+    def flush(self, rows: DataFrame) -> None:
+        """Adds a memtable's rows (doc_id, digest) as a run, and merges levels that are full."""
+        run = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        self._add(run, 0)
+
+    def _add(self, run: DataFrame, level: int) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(staged(run.sortWithinPartitions("digest"), f"lsm-run{level}"))
+        if len(self.levels[level]) >= self.fanout:
+            runs, self.levels[level] = self.levels[level], []
+            self._add(self._merged(runs), level + 1)
+
+    @staticmethod
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        every = runs[0]
+        for run in runs[1:]:
+            every = every.unionByName(run)
+        return every.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
     def compact(self) -> DataFrame:
-        """Merges all levels into one: (digest, keep_id, n)."""
-        merged = self.levels[0]
-        for level in self.levels[1:]:
-            merged = merged.unionByName(level)
-        if len(self.levels) > 1:
-            merged = merged.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        self.levels = [staged(merged, "lsm-level")]
-        return self.levels[0]
+        """Merges what is left on all levels into one run and returns it."""
+        runs = [run for level in self.levels for run in level]
+        if len(runs) > 1:
+            self.levels = [[staged(self._merged(runs).sortWithinPartitions("digest"), "lsm-run")]]
+        else:
+            self.levels = [runs]
+        return self.levels[0][0]
 
 
-def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
+def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256, memtables: int = MEMTABLES) -> DataFrame:
     """One row for each row of df: doc_id, digest, keep_id, group_size, kept.
 
     ``digest`` may be weaker than the default; results stay the same, only more rows are hits.
     """
-    index = MergeIndex(digest)
-    runs = index.flush(df, doc_id, text)
-    level = index.compact()
-    texts = df.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("text"))
-    hits = runs.join(level.where("n > 1").select("digest"), "digest", "left_semi").select("doc_id")
-    # A null id joins nothing, so rows without an id are all looked at.
-    suspects = texts.join(hits, "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
-    suspects = suspects.withColumn("digest", digest(F.col("text")))
+    named = df.select(F.col(doc_id).alias("doc_id"), digest(normalised(F.col(text))).alias("digest"))
+    rows = staged(named.withColumn("memtable", F.pmod(F.spark_partition_id(), F.lit(memtables))), "lsm-rows")
+    index = MergeIndex()
+    for k in range(memtables):
+        index.flush(rows.where(F.col("memtable") == k))
+    rows, level = rows.drop("memtable"), index.compact()
+    texts = df.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("text")).withColumn("digest", digest(F.col("text")))
+    suspects = RunFilter(level.where("n > 1").select("digest")).hits(texts)
     copies = [F.min("doc_id").alias("v_keep"), F.count(F.lit(1)).alias("v_n")]
     verified = staged(suspects.groupBy("digest", "text").agg(*copies).drop("text"), "lsm-verified")
     sizes = verified.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("v_keep").alias("v_keep"), F.min("v_n").alias("v_n"))
@@ -84,7 +126,7 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("v_keep"))
     shape = lambda rows: rows.select(
         "doc_id", "digest", keep.alias("keep_id"), F.when(alone, 1).otherwise(F.col("v_n")).cast("bigint").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"))
-    simple = runs.join(sizes.where("texts = 1").drop("texts"), "digest", "left")
+    simple = rows.join(sizes.where("texts = 1").drop("texts"), "digest", "left")
     if clash.isEmpty():
         return shape(simple)
     # Where one digest stands for several texts, rows find their group by the text itself.

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rasterloom.llm.exact_dedup import exact_groups, without_copies
+from rasterloom.llm.exact_dedup import MergeIndex, RunFilter, exact_groups, without_copies
 from rasterloom.llm.simhash_dedup import fingerprint, near_duplicates, without_near_copies
 from rasterloom.llm.substring_dedup import without_repeats
 from rasterloom.llm.components import components
@@ -71,6 +71,26 @@ def test_exact_groups_when_digests_collide(docs, rows):
     assert sorted(map(tuple, found.collect()), key=str) == sorted([x[:4] for x in brute_exact(rows)], key=str)
 
 
+@pytest.mark.parametrize("flushes,fanout,left", [(1, 2, [1]), (4, 2, [0, 0, 1]), (7, 3, [1, 2])])
+def test_runs_are_flushed_merged_and_probed(spark, flushes, fanout, left):
+    rng = random.Random(flushes)
+    batches = [[(rng.choice([None, rng.randrange(100)]), f"d{rng.randrange(60)}".encode()) for _ in range(50)] for _ in range(flushes)]
+    index = MergeIndex(fanout)
+    for batch in batches:
+        index.flush(spark.createDataFrame(batch, "doc_id bigint, digest binary"))
+    assert [len(x) for x in index.levels] == left
+    wanted = {}
+    for i, d in (row for batch in batches for row in batch):
+        keep, n = wanted.get(d, (None, 0))
+        wanted[d] = (i if keep is None else keep if i is None else min(keep, i), n + 1)
+    level = index.compact()
+    assert {bytes(r["digest"]): (r["keep_id"], r["n"]) for r in level.collect()} == wanted
+    often = {d for d, (_, n) in wanted.items() if n > 1}
+    asked = [(f"d{k}".encode(),) for k in range(2000)]
+    passed = {bytes(r["digest"]) for r in RunFilter(level.where("n > 1").select("digest")).hits(spark.createDataFrame(asked, "digest binary")).collect()}
+    assert often <= passed and len(passed) < len(often) + 60
+
+
 def test_without_copies_keeps_columns_and_one_row_of_each_text(docs, rows):
     found = without_copies(docs)
     assert found.columns == docs.columns
