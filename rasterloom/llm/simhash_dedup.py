@@ -10,12 +10,10 @@ larger one not all pairs are made:
 
 1. Each entry is verified against four pivots of its bucket, the smallest, the largest and two by hash,
    which joins dense groups into few components.
-2. In buckets of more than one component each entry is verified against two pivots from outside the
-   bucket's most frequent one.
-3. What is left is indexed again. Two linked entries of a bucket differ in at most four of the bits
-   outside its segment; cut into five pieces, one is equal. An equality join on bucket, piece and its
-   value brings together entries of different components, one of them outside the most frequent one,
-   and verifies each pair at the first key at which it meets.
+2. Outsiders, the entries outside their bucket's most frequent component, are indexed again, with all
+   others. Two linked entries of a bucket differ in at most four of the bits outside its segment; cut into
+   five pieces, one is equal. An equality join on bucket, piece and its value brings together entries of
+   different components and verifies each pair at the first key at which it meets.
 
 No link between different components is lost, and a link within one has nothing left to join.
 
@@ -94,11 +92,12 @@ def _followed(roots: DataFrame, over: DataFrame) -> DataFrame:
     return on.select("node", F.coalesce("top", "root").alias("root")).unionByName(over.join(roots, "node", "left_anti"))
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members (bucket, fp, part) of the buckets of more than one part, with top, the bucket's largest part."""
+def _outsiders(members: DataFrame) -> DataFrame:
+    """Members (bucket, fp, part) that are not of their bucket's largest part, with top, that part."""
     parts = members.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return members.join(mixed.select("bucket", F.col("top.part").alias("top")), "bucket")
+    mixed = mixed.select(F.col("bucket").alias("of"), F.col("top.part").alias("top"))
+    return members.join(mixed, (F.col("bucket") == F.col("of")) & (F.col("part") != F.col("top"))).drop("of")
 
 
 def _signed(x: int) -> int:
@@ -115,14 +114,13 @@ def _pieces() -> list[list[int]]:
     return out
 
 
-def _cross_links(rest: DataFrame) -> DataFrame:
-    """(u, v): parts that a pair of members of one bucket links."""
+def _cross_links(outsiders: DataFrame, members: DataFrame) -> DataFrame:
+    """(u, v): parts that a pair of members of one bucket links, at least one of the two an outsider."""
     bit = F.shiftrightunsigned("bucket", 22)
     of_segment = lambda make: F.when(bit < SEGMENTS[1][0], make(0)).when(bit < SEGMENTS[2][0], make(1)).otherwise(make(2))
     masks = _pieces()
     cut = of_segment(lambda s: F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks[s])))
-    keyed = rest.select("bucket", "fp", "part", "top", F.posexplode(cut).alias("piece", "value"))
-    a, b = keyed.where("part <> top").alias("a"), keyed.alias("b")
+    a, b = (rows.select("*", F.posexplode(cut).alias("piece", "value")).alias(name) for rows, name in ((outsiders, "a"), (members, "b")))
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     differ = lambda m: F.bit_count(x.bitwiseAND(F.lit(_signed(m))))
     whole = [((1 << width) - 1) << start for start, width in SEGMENTS]
@@ -137,7 +135,7 @@ def _cross_links(rest: DataFrame) -> DataFrame:
         return ok
 
     bit = F.shiftrightunsigned("a.bucket", 22)
-    met = F.expr("a.bucket = b.bucket and a.piece = b.piece and a.value = b.value and a.part <> b.part and (b.part = b.top or a.fp < b.fp)")
+    met = F.expr("a.bucket = b.bucket and a.piece = b.piece and a.value = b.value and a.part <> b.part and (b.part = a.top or a.fp < b.fp)")
     pairs = a.join(b, met & _near("a.fp", "b.fp") & of_segment(first))
     return pairs.select(F.col("a.part").alias("u"), F.col("b.part").alias("v")).distinct()
 
@@ -160,20 +158,11 @@ def _links(prints: DataFrame) -> DataFrame:
     star = members.select(F.col("fp").alias("u"), F.explode("pivots").alias("v")).where(_near("u", "v")).unionByName(known)
     roots = staged(components(star, "simhash-star"), "simhash-stars")
     joined = members.select("bucket", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    rest = staged(_mixed(joined.select("bucket", "fp", F.coalesce("root", "fp").alias("part"))), "simhash-mixed")
-    if rest.isEmpty():
+    parts = staged(joined.select("bucket", "fp", F.coalesce("root", "fp").alias("part")), "simhash-parts")
+    outsiders = staged(_outsiders(parts), "simhash-outsiders")
+    if outsiders.isEmpty():
         return roots
-    outside = rest.where("part <> top").withColumn("x", F.struct("fp", "part"))
-    outside = outside.groupBy("bucket").agg(*(f("x", F.xxhash64("fp", F.lit(2))).alias(n) for f, n in ((F.min_by, "p"), (F.max_by, "q"))))
-    tried = rest.join(outside, "bucket").select("fp", "part", F.explode(F.array("p", "q")).alias("x"))
-    tried = tried.select("fp", F.col("part").alias("u"), F.col("x.fp").alias("pivot"), F.col("x.part").alias("v"))
-    second = staged(components(tried.where((F.col("u") != F.col("v")) & _near("fp", "pivot")).select("u", "v").distinct(), "simhash-second"), "simhash-second")
-    again = rest.select("bucket", "fp", "part").join(second.withColumnRenamed("node", "part"), "part", "left")
-    rest = staged(_mixed(again.select("bucket", "fp", F.coalesce("root", "part").alias("part"))), "simhash-rest")
-    if rest.isEmpty():
-        return _followed(roots, second)
-    over = components(_cross_links(rest), "simhash-cross")
-    return _followed(_followed(roots, second), over)
+    return _followed(roots, components(_cross_links(outsiders, parts), "simhash-cross"))
 
 
 def _named(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
