@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .rows import text_mark
 from .staging import bounded_batches, staged
-from .words import hash_words, mix, signed
+from .words import hash_words, signed
 
 _WORD = re.compile(r"\w+")
 SEED = 3
@@ -61,19 +61,17 @@ _PATTERNS = ((1, 2), (1, 3), (2, 3), (2, 4))
 _FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def seeds_of(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, place, whether no word is skipped) of all seeds of n words; fewer words than three skip none."""
-    found = []
+def seeds_of(hashes: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, int, bool]]:
+    """For each pattern: the seeds of n words at all places, how far their last word is from the first, and whether
+    none is skipped. Fewer words than three skip none."""
+    terms = [hashes * factor for factor in _FACTORS[:n]]
     for pattern in [tuple(range(1, n))] if n < SEED else _PATTERNS:
-        count = len(hashes) - (pattern[-1] if pattern else 0)
-        if count > 0:
-            total = hashes[:count] * _FACTORS[0]
-            for at, factor in zip(pattern, _FACTORS[1:], strict=False):
-                total = total + hashes[at : at + count] * factor
-            found.append((mix(total + np.uint64(n)), np.arange(count, dtype=np.int32), np.full(count, pattern == tuple(range(1, n)))))
-    if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, bool)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        last = pattern[-1] if pattern else 0
+        count = max(0, len(hashes) - last)
+        seeds = terms[0][:count] + np.uint64(n)
+        for at, term in zip(pattern, terms[1:], strict=True):
+            seeds = seeds + term[at : at + count]
+        yield seeds, last, pattern == tuple(range(1, n))
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +80,10 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = words(text)
             if tokens:
                 n = min(SEED, len(tokens))
-                seeds, at, plain = seeds_of(_hashes(tokens), n)
+                found = list(seeds_of(_hashes(tokens), n))
+                seeds = np.concatenate([x for x, _, _ in found])
+                at = np.concatenate([np.arange(len(x), dtype=np.int32) for x, _, _ in found])
+                plain = np.concatenate([np.full(len(x), run) for x, _, run in found])
                 size = len(seeds)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([item] * size, pa.int64()), pa.array(signed(seeds)), pa.array(at), pa.array(plain),
@@ -181,22 +182,28 @@ def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str
         bits = table.value
         for batch in batches:
             out: list[tuple] = []
-            for doc, mark, body in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), batch["text"], strict=True):
-                tokens = words(body.as_py())
-                hashes = _hashes(tokens)
-                found = []
-                for n in sizes:
-                    grams, at, plain = seeds_of(hashes, n)
+            docs = [words(body.as_py()) for body in batch["text"]]
+            # All texts of a batch at once; a seed lies within one text.
+            hashes = _hashes([w for tokens in docs for w in tokens])
+            owner = np.repeat(np.arange(len(docs)), [len(tokens) for tokens in docs])
+            start = np.concatenate(([0], np.cumsum([len(tokens) for tokens in docs]))).astype(np.int64)
+            found: dict[int, list] = {}
+            for n in sizes:
+                for grams, last, plain in seeds_of(hashes, n):
                     hit = bloom.passes(grams, bits)
-                    found += zip(at[hit].tolist(), signed(grams[hit]).tolist(), plain[hit].tolist(), strict=True)
-                found.sort()
-                start = 0
-                for i in range(1, len(found) + 1):  # hits further apart than any item are passages of their own
-                    if i == len(found) or found[i][0] - found[i - 1][0] > longest:
-                        own = found[start:i]
+                    hit = hit[owner[hit] == owner[hit + last]]
+                    for doc, at, seed in zip(owner[hit].tolist(), (hit - start[owner[hit]]).tolist(), signed(grams[hit]).tolist(), strict=True):
+                        found.setdefault(doc, []).append((at, seed, plain))
+            for doc, hits in found.items():
+                tokens, name = docs[doc], (batch["doc_id"][doc].as_py(), batch["mark"][doc].as_py())
+                hits.sort()
+                first = 0
+                for i in range(1, len(hits) + 1):  # hits further apart than any item are passages of their own
+                    if i == len(hits) or hits[i][0] - hits[i - 1][0] > longest:
+                        own = hits[first:i]
                         lo, hi = max(0, own[0][0] - longest), own[-1][0] + longest
-                        out.append((doc, mark, lo, " ".join(tokens[lo:hi]), *([x[k] for x in own] for k in (1, 0, 2))))
-                        start = i
+                        out.append((*name, lo, " ".join(tokens[lo:hi]), *([x[k] for x in own] for k in (1, 0, 2))))
+                        first = i
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["doc_id", "mark", "start", "passage", "seed", "pos", "run"])
