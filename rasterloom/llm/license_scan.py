@@ -5,8 +5,13 @@ each run of characters other than a-z and 0-9 one space. A segment is compared w
 coefficient of their sets of word bigrams, 2 |A and B| / (|A| + |B|). A coefficient of t needs
 |B| t / (2 - t) <= |A| <= |B| (2 - t) / t, so templates of other sizes are not compared.
 
+Templates are the short forms and notices below and the whole licence texts in the folder ``licenses``, each
+as its steward publishes it. Licences with nearly one text (BSD-2-Clause and BSD-3-Clause) can both be found; the
+better one is first.
+
 Edge cases: a null or empty text, and one without a segment of two words, matches nothing. Equal
-coefficients go to the licence that sorts first. Repeated rows, null ids and extra columns pass through.
+coefficients go to the licence that sorts first. Texts of any length are read whole. An empty
+table has an empty result. Repeated rows, null ids and extra columns pass through; one named licenses is replaced.
 """
 
 from __future__ import annotations
@@ -15,12 +20,15 @@ import math
 import operator
 import re
 from collections import Counter
-from functools import reduce
+from functools import lru_cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Bigrams from which on a template is looked for by size alone; shorter ones also by telling words.
+LONG = 60
 
 #: Short forms and notices of public licences, as they are written in files.
 TEMPLATES = {
@@ -81,6 +89,12 @@ TEMPLATES = {
         "This work is licensed under CC BY-NC-ND 4.0.",
         "Licensed under CC BY-NC-ND 4.0.",
     ],
+    "CC-BY-3.0": ["This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "Licensed under CC BY 3.0."],
+    "CC-BY-SA-3.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "Licensed under CC BY-SA 3.0."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "EUPL-1.2": ["Licensed under the European Union Public Licence, version 1.2."],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "PostgreSQL": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
@@ -92,8 +106,16 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+@lru_cache(maxsize=1)
+def bodies() -> dict[str, str]:
+    """Licence -> its whole text."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
 def templates() -> list[tuple[str, list[str]]]:
-    return [(name, template_bigrams(t)) for name, texts in TEMPLATES.items() for t in texts]
+    """(licence, sorted bigrams) of all templates; no two are equal."""
+    known = [(name, template_bigrams(t)) for name, texts in TEMPLATES.items() for t in texts]
+    return known + [x for x in ((name, template_bigrams(t)) for name, t in bodies().items()) if x not in known]
 
 
 def normalised(text: Column) -> Column:
@@ -102,11 +124,11 @@ def normalised(text: Column) -> Column:
 
 
 def segments(text: Column) -> Column:
-    """The distinct normalised segments of a text."""
+    """A text's segments as they are, some more than once."""
     paragraphs = F.split(text, r"\n[ \t]*\n", -1)
     lines = F.split(text, "\n", -1)
     sentences = F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\n\n"), "\n\n", -1)
-    return F.array_distinct(F.transform(F.concat(F.array(text), paragraphs, lines, sentences), normalised))
+    return F.concat(F.array(text), paragraphs, lines, sentences)
 
 
 def bigrams(segment: Column) -> Column:
@@ -146,14 +168,25 @@ def scanned(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, kno
     kind = "array<struct<license:string,dice:double,segment:string>>"
     if not known:
         return df.withColumn("licenses", F.array().cast(kind))
-    low = min(len(g) for _, g in known) * threshold / (2 - threshold)
+    least = lambda sizes: min(sizes, default=0) * threshold / (2 - threshold)
+    short, long = [g for _, g in known if len(g) < LONG], [len(g) for _, g in known if len(g) >= LONG]
     high = max(len(g) for _, g in known) * (2 - threshold) / threshold
-    words = telling_words([g for _, g in known], threshold)
-    telling = lambda c: reduce(operator.or_, (F.contains(c, F.lit(w)) for w in words))
-    # Most texts have none of the words and are done. Word counts bound the size of a set from above only.
-    parts = F.filter(segments(F.col(text)), lambda s: telling(s) & (F.length(s) - F.length(F.replace(s, F.lit(" "))) >= low))
-    sets = F.filter(F.transform(parts, lambda s: F.struct(s.alias("s"), bigrams(s).alias("g"))), lambda x: F.size(x["g"]).between(low, high))
-    sets = F.when(telling(F.lower(F.col(text))), sets)
+    words = telling_words(short, threshold)
+    telling = lambda c: reduce(operator.or_, (F.contains(c, F.lit(w)) for w in words), F.lit(False))
+    gaps = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" ")))
+    roomy = lambda s: F.length(s) >= 2 * least(long) if long else F.lit(False)  # noqa: E731  a word and a space at least
+    # Short templates need one of a few words, long ones room. Word counts bound the size of a set from above only.
+    # Each different word that no long template has begins a bigram of its own, unless it is the last one.
+    own = sorted({w for _, g in known if len(g) >= LONG for pair in g for w in pair.split(" ")})
+    foreign = lambda s: F.size(F.array_distinct(F.filter(F.split(s, " ", -1), lambda w: ~w.isin(own)))) - 1
+    strange = 1 - threshold / (2 - threshold)
+    spacious = lambda s: (gaps(s) >= least(long)) & (foreign(s) <= gaps(s) * strange + 1e-6) if long else F.lit(False)
+    body = F.col(text)
+    raw = F.filter(segments(body), lambda s: roomy(s) | telling(F.lower(s)))
+    parts = F.array_distinct(F.transform(raw, normalised))
+    parts = F.filter(parts, lambda s: spacious(s) | (telling(s) & (gaps(s) >= least(map(len, short)))))
+    sets = F.filter(F.transform(parts, lambda s: F.struct(s.alias("s"), bigrams(s).alias("g"))), lambda x: F.size(x["g"]) <= high)
+    sets = F.when(roomy(body) | telling(F.lower(body)), sets)
     with_sets = df.withColumn("__sets", sets)
 
     def dice(x: Column) -> Column:
@@ -161,7 +194,7 @@ def scanned(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, kno
         found = []
         for name, grams in known:
             size = len(grams)
-            score = 2.0 * F.size(F.array_intersect(x["g"], F.array(*map(F.lit, grams)))) / (n + size)
+            score = 2.0 * F.size(F.array_intersect(x["g"], F.split(F.lit("|".join(grams)), r"\|", -1))) / (n + size)
             fits = n.between(size * threshold / (2 - threshold), size * (2 - threshold) / threshold)
             found.append(F.when(fits, F.struct(F.lit(name).alias("license"), F.round(score, 6).alias("dice"), x["s"].alias("segment"))))
         return F.filter(F.array(*found), lambda y: y.isNotNull() & (y["dice"] >= threshold))

@@ -117,7 +117,7 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-_TEMPLATES = ", ".join(f"({_text(name)}, [{', '.join(map(_text, grams))}])" for name, grams in templates())
+_TEMPLATES = ", ".join(f"({_text(name)}, string_split({_text('|'.join(grams))}, '|'))" for name, grams in templates())
 
 ORACLE_SQL = {
     "op6_license_scan": rf"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rasterloom.llm import pii
-from rasterloom.llm.license_scan import scanned, template_bigrams, templates
+from rasterloom.llm.license_scan import bodies, scanned, template_bigrams, templates
 from rasterloom.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
 from rasterloom.llm.url_filter import filtered, host_of, judged_sets, matched_rule, mine_rules, path_of, tokens_of
 
@@ -240,14 +240,14 @@ def test_what_is_not_personal_stays(spark):
     assert pii.pseudonymised(df.limit(0), "k").count() == 0
 
 
-def brute_licences(text, threshold=0.8):
+def brute_licences(text, threshold=0.8, known=templates()):  # noqa: B008
     if text is None:
         return {}
     sentences = re.sub(r"([.!?])[ \t\r\n]+", r"\1\n\n", text).split("\n\n")
     best = {}
     for s in {text, *re.split(r"\n[ \t]*\n", text), *text.split("\n"), *sentences}:
         a = set(template_bigrams(s))
-        for name, grams in templates():
+        for name, grams in known:
             dice = 2 * len(a & set(grams)) / max(1, len(a) + len(grams))
             if dice >= threshold:
                 best[name] = max(best.get(name, 0), round(dice, 6))
@@ -282,6 +282,25 @@ def test_licences(spark):
     assert scanned(df.limit(0)).count() == 0
 
 
+def test_whole_licences(spark):
+    """Whole texts, wrapped anew, with words dropped, and inside a longer text; against brute force."""
+    rng = random.Random(3)
+    texts, wanted = [], []
+    for name, body in bodies().items():
+        own = body.split()
+        kept = [w for w in own if rng.random() > 0.05]
+        wrapped = "\n".join(" ".join(kept[k : k + 9]) for k in range(0, len(kept), 9))
+        texts += [body, wrapped, "# Title of a file\n\n" + " ".join(own) + "\n\nint main() { return 0; }"]
+        wanted += [name] * 3
+    texts += ["".join(rng.choice("abcde ") for _ in range(3000)), texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["licenses"] for r in scanned(df).collect()}
+    for i, name in enumerate(wanted):
+        assert name in [x["license"] for x in found[i]], (i, name)
+        assert {x["license"]: x["dice"] for x in found[i]} == brute_licences(texts[i])
+    assert found[len(wanted)] == []
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_agrees(spark, name):
     import duckdb
