@@ -117,9 +117,18 @@ def nearest_palette(df: DataFrame, palette: Sequence[tuple[int, int, int]]) -> D
 
 
 def web_palette() -> list[tuple[int, int, int]]:
-    """The 216 colours with levels 0, 51, ..., 255, blue fastest."""
+    """226 colours: ten times black, then the levels 0, 51, ..., 255 of each band, red fastest."""
     levels = range(0, 256, 51)
-    return [(r, g, b) for r in levels for g in levels for b in levels]
+    return [(0, 0, 0)] * 10 + [(r, g, b) for b in levels for g in levels for r in levels]
+
+
+def to_web_palette(df: DataFrame) -> DataFrame:
+    """RGB to the index of its nearest colour of the web palette, the first of equals. Colours are looked up in
+    steps of four, so a band's level is that nearest to the step below it."""
+    level = lambda b: F.floor((2 * (b - b % 4) + 51) / 102).cast("int")
+    r, g, b = map(level, _bands(3))
+    index = r + 6 * g + 36 * b
+    return with_bands(df, F.when(index == 0, 0).otherwise(index + 10))
 
 
 def put_palette(frames: DataFrame, colours: Sequence[tuple[int, ...]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,7 +97,7 @@ query("op_contrast", "rgb", lambda a: P.contrast(a, 1.5),
       f", m AS (SELECT image_id, CAST(floor(sum({LUMA}) / count(*) + 0.5) AS INTEGER) AS mean FROM rgb GROUP BY image_id) SELECT image_id, w, h, x, y, {', '.join(CLIP(f'mean * CAST(-0.5 AS DOUBLE) + b{k} * CAST(1.5 AS DOUBLE)') + f' AS b{k}' for k in range(3))} FROM rgb JOIN m USING (image_id)")
 query("op_colorize", "l", lambda a: P.colorize(a, (0, 10, 200), (250, 120, 0), (90, 90, 90), 20, 220, 100),
       _some([f"CASE WHEN b0 < 20 THEN {k} WHEN b0 < 100 THEN {k} + CAST(floor((b0 - 20) * (90 - {k}) / 80.0) AS INTEGER) WHEN b0 < 220 THEN 90 + CAST(floor((b0 - 100) * ({m} - 90) / 120.0) AS INTEGER) ELSE {m} END" for k, m in ((0, 250), (10, 120), (200, 0))], "l"))
-query("op_color3dlut_identity", "rgb", lambda a: P.color_lut_3d(a, (2, 2, 2), P.lut_table((2, 2, 2), lambda r, g, b: (b, r, g))))
+query("op_color3dlut_identity", "rgb", lambda a: P.color_lut_3d(a, (2, 2, 2), P.lut_table((2, 2, 2), lambda r, g, b: (b, r, g))), _some(["b2", "b0", "b1"], "rgb"))
 
 # --- colour conversion --------------------------------------------------------------------------------
 
@@ -137,8 +138,10 @@ query("op_remap_palette", "l", lambda a: C.remap_palette(a, [(v * 3 + 40) % 256
 _FEW = [(v * 37 % 256, v * 91 % 256, v * 53 % 256) for v in range(24)]
 query("op_nearest_palette", "rgb", lambda a: C.nearest_palette(a, _FEW),
       ", p AS (SELECT i, i * 37 % 256 AS r, i * 91 % 256 AS g, i * 53 % 256 AS b FROM range(24) AS t(i)) SELECT image_id, w, h, x, y, CAST(arg_min(i, ((b0 - r) * (b0 - r) + (b1 - g) * (b1 - g) + (b2 - b) * (b2 - b)) * 1000 + i) AS INTEGER) AS b0 FROM rgb, p GROUP BY ALL")
-query("op_web_palette", "rgb", lambda a: C.nearest_palette(a, C.web_palette()),
-      _some(["round(b0 / 51.0) * 36 + round(b1 / 51.0) * 6 + round(b2 / 51.0)"], "rgb"))
+query("op_web_palette", "rgb", C.to_web_palette,
+      ", p AS (SELECT i, CASE WHEN i < 10 THEN 0 ELSE (i - 10) % 6 * 51 END AS r, CASE WHEN i < 10 THEN 0 ELSE (i - 10) // 6 % 6 * 51 END AS g, CASE WHEN i < 10 THEN 0 ELSE (i - 10) // 36 * 51 END AS b FROM range(226) AS t(i)), "
+      "c AS (SELECT DISTINCT b0 - b0 % 4 AS c0, b1 - b1 % 4 AS c1, b2 - b2 % 4 AS c2 FROM rgb), n AS (SELECT c0, c1, c2, arg_min(i, ((c0 - r) * (c0 - r) + (c1 - g) * (c1 - g) + (c2 - b) * (c2 - b)) * 1000 + i) AS i FROM c, p GROUP BY ALL) "
+      f"SELECT {PLACE}, CAST(i AS INTEGER) AS b0 FROM rgb JOIN n ON c0 = b0 - b0 % 4 AND c1 = b1 - b1 % 4 AND c2 = b2 - b2 % 4")
 query("op_palette_getcolor", "l", lambda a: C.palette_color(C.put_palette(a.select("image_id").distinct(), _PAL), (30, 50, 70)), "SELECT DISTINCT image_id, CAST(10 AS INTEGER) AS idx FROM l")
 query("op_putalpha", "rgb l2", lambda a, m: C.put_alpha(a, m), "SELECT a.image_id, a.w, a.h, a.x, a.y, a.b0, a.b1, a.b2, m.b0 AS b3 FROM rgb a JOIN l2 m USING (image_id, x, y)")
 query("op_split", "rgba", C.split, "SELECT image_id, w, h, x, y, CAST(k AS INTEGER) AS band, [b0, b1, b2, b3][k + 1] AS b0 FROM rgba, range(4) AS t(k)")
@@ -190,11 +193,12 @@ _KERNEL = {
 }
 
 
-def _resized(source: str, n: int, size: int, out: tuple[int, int], filt: str, where: tuple = (0.0, None, 0.0, None)) -> str:
+def _resized(source: str, n: int, size: int | tuple[int, int], out: tuple[int, int], filt: str, where: tuple = (0.0, None, 0.0, None)) -> str:
     k, support = _KERNEL[filt]
+    across, down = (size, size) if isinstance(size, int) else size
     total = lambda b: f"CAST(greatest(0, least(255, (sum({b} * wt) + 2097152) >> 22)) AS INTEGER) AS {b}"
     own = [f"b{i}" for i in range(n)]
-    return f""", {_weights('wx', size, out[0], k, support, where[0], where[1])}, {_weights('wy', size, out[1], k, support, where[2], where[3])},
+    return f""", {_weights('wx', across, out[0], k, support, where[0], where[1])}, {_weights('wy', down, out[1], k, support, where[2], where[3])},
         hx AS (SELECT image_id, o AS x, y, {', '.join(map(total, own))} FROM {source} JOIN wx ON src = x GROUP BY image_id, o, y)
         SELECT image_id, {out[0]} AS w, {out[1]} AS h, CAST(x AS INTEGER) AS x, CAST(o AS INTEGER) AS y, {', '.join(map(total, own))} FROM hx JOIN wy ON src = y GROUP BY image_id, x, o"""
 
@@ -206,16 +210,35 @@ query("op_resize_downscale", "s", lambda a: S.resize(a, (9, 7), "BICUBIC"), _res
 query("op_resize_box", "s", lambda a: S.resize(a, (4, 4), "BILINEAR", (8, 8, 24, 24)), _resized("c", 1, 16, (4, 4), "BILINEAR").replace(", ", ", c AS (SELECT image_id, x - 8 AS x, y - 8 AS y, b0 FROM s WHERE x BETWEEN 8 AND 23 AND y BETWEEN 8 AND 23), ", 1))
 query("op_resize_f", "f", lambda a: S.resize(a, (4, 4), "BOX", exact=True).withColumn("b0", F.round("b0", 6)),
       "SELECT image_id, 4 AS w, 4 AS h, x // 2 AS x, y // 2 AS y, round(sum(b0 * 0.25), 6) AS b0 FROM f GROUP BY image_id, x // 2, y // 2")
-query("op_resize_rgba", "rgba", lambda a: S.resize(a, (5, 5), "BILINEAR", alpha=True))
-query("op_thumbnail", "s", lambda a: S.thumbnail(G.crop(a, (0, 0, 32, 20)), (12, 12)))
+_MULTIPLIED = f", m AS (SELECT {PLACE}, {', '.join(f'{MULDIV(f"b{k}", "b3")} AS b{k}' for k in range(3))}, b3 FROM rgba)"
+_DIVIDED = ", ".join(f"CASE WHEN b3 IN (0, 255) THEN b{k} ELSE CAST(least(255, floor(b{k} * 255 / CAST(b3 AS DOUBLE))) AS INTEGER) END AS b{k}" for k in range(3))
+query("op_resize_rgba", "rgba", lambda a: S.resize(a, (5, 5), "BILINEAR", alpha=True),
+      _MULTIPLIED + _resized("m", 4, 8, (5, 5), "BILINEAR").replace("SELECT image_id, 5 AS w", ", r AS (SELECT image_id, 5 AS w", 1) + f") SELECT {PLACE}, {_DIVIDED}, b3 FROM r")
+query("op_thumbnail", "s", lambda a: S.thumbnail(G.crop(a, (0, 0, 32, 20)), (12, 12)),
+      ", c AS (SELECT image_id, x, y, b0 FROM s WHERE y < 20)" + _resized("c", 1, (32, 20), (12, 8), "BICUBIC"))
 query("op_contain", "s", lambda a: S.contain(a, (20, 12), "BOX"), _resized("s", 1, 32, (12, 12), "BOX"))
 query("op_cover", "s", lambda a: S.cover(a, (20, 12), "BOX"), _resized("s", 1, 32, (20, 20), "BOX"))
 query("op_fit", "s", lambda a: S.fit(a, (20, 10), "BILINEAR"), _resized("s", 1, 32, (20, 10), "BILINEAR", (0.0, 32.0, 8.0, 24.0)))
 query("op_scale", "s", lambda a: S.scale(a, 0.5, "HAMMING"), _resized("s", 1, 32, (16, 16), "HAMMING"))
 query("op_pad", "s", lambda a: S.pad(a, (20, 12), [9], "BOX"),
       _resized("s", 1, 32, (12, 12), "BOX").replace("SELECT image_id, 12 AS w, 12 AS h", "SELECT image_id", 1).replace("SELECT image_id, CAST(x", ", q AS (SELECT image_id, CAST(x", 1).replace("FROM hx JOIN wy ON src = y GROUP BY image_id, x, o", "FROM hx JOIN wy ON src = y GROUP BY image_id, x, o), i AS (SELECT DISTINCT image_id FROM q) SELECT i.image_id, 20 AS w, 12 AS h, CAST(gx AS INTEGER) AS x, CAST(gy AS INTEGER) AS y, coalesce(b0, 9) AS b0 FROM i CROSS JOIN range(20) AS a(gx) CROSS JOIN range(12) AS b(gy) LEFT JOIN q ON q.image_id = i.image_id AND q.x = gx - 4 AND q.y = gy"))
-query("op_rotate", "s", lambda a: S.rotate(a, 30))
-query("op_rotate_expand_bilinear", "l", lambda a: S.rotate(a, 45, "BILINEAR", True))
+_COS, _SIN = (f"CAST({round(v, 15)!r} AS DOUBLE)" for v in (math.cos(-math.pi / 6), math.sin(-math.pi / 6)))
+_FIX = lambda v: f"CAST(floor(({v}) * 65536 + 0.5::DOUBLE) AS BIGINT)"
+query("op_rotate", "s", lambda a: S.rotate(a, 30), f"""
+    , i AS (SELECT DISTINCT image_id FROM s), o AS (SELECT -16 * {_COS} + -16 * {_SIN} + 16 AS c, -16 * -({_SIN}) + -16 * {_COS} + 16 AS f),
+    g AS (SELECT image_id, gx, gy, floor((gx * {_FIX(_COS)} + gy * {_FIX(_SIN)} + {_FIX(f'c + {_COS} * 0.5::DOUBLE + {_SIN} * 0.5::DOUBLE')}) / 65536.0::DOUBLE) AS px,
+          floor((gx * {_FIX(f'-({_SIN})')} + gy * {_FIX(_COS)} + {_FIX(f'f + -({_SIN}) * 0.5::DOUBLE + {_COS} * 0.5::DOUBLE')}) / 65536.0::DOUBLE) AS py FROM i, o, range(32) AS a(gx), range(32) AS b(gy))
+    SELECT g.image_id, 32 AS w, 32 AS h, CAST(gx AS INTEGER) AS x, CAST(gy AS INTEGER) AS y, coalesce(b0, 0) AS b0 FROM g LEFT JOIN s ON s.image_id = g.image_id AND s.x = px AND s.y = py""")
+_COS, _SIN = (f"CAST({round(v, 15)!r} AS DOUBLE)" for v in (math.cos(-math.pi / 4), math.sin(-math.pi / 4)))
+query("op_rotate_expand_bilinear", "l", lambda a: S.rotate(a, 45, "BILINEAR", True), f"""
+    , i AS (SELECT DISTINCT image_id FROM l), o AS (SELECT -2 * {_COS} + -2 * {_SIN} + (-4 * {_COS} + -4 * {_SIN} + 4) AS c, -2 * -({_SIN}) + -2 * {_COS} + (-4 * -({_SIN}) + -4 * {_COS} + 4) AS f),
+    g AS (SELECT image_id, gx, gy, {_COS} * (gx + 0.5::DOUBLE) + {_SIN} * (gy + 0.5::DOUBLE) + c AS sx, -({_SIN}) * (gx + 0.5::DOUBLE) + {_COS} * (gy + 0.5::DOUBLE) + f AS sy FROM i, o, range(12) AS a(gx), range(12) AS b(gy)),
+    n AS (SELECT *, greatest(0, least(7, floor(sx - 0.5))) AS x0, greatest(0, least(7, floor(sx - 0.5) + 1)) AS x1, greatest(0, least(7, floor(sy - 0.5))) AS y0, greatest(0, least(7, floor(sy - 0.5) + 1)) AS y1,
+          (sx - 0.5::DOUBLE) - floor(sx - 0.5::DOUBLE) AS fx, (sy - 0.5::DOUBLE) - floor(sy - 0.5::DOUBLE) AS fy FROM g WHERE sx >= 0 AND sy >= 0 AND sx < 8 AND sy < 8),
+    v AS (SELECT n.image_id, gx, gy, p.b0 + (q.b0 - p.b0) * fx AS up, r.b0 + (t.b0 - r.b0) * fx AS down, fy FROM n
+          JOIN l p ON p.image_id = n.image_id AND p.x = x0 AND p.y = y0 JOIN l q ON q.image_id = n.image_id AND q.x = x1 AND q.y = y0
+          JOIN l r ON r.image_id = n.image_id AND r.x = x0 AND r.y = y1 JOIN l t ON t.image_id = n.image_id AND t.x = x1 AND t.y = y1)
+    SELECT g.image_id, 12 AS w, 12 AS h, CAST(g.gx AS INTEGER) AS x, CAST(g.gy AS INTEGER) AS y, CASE WHEN v.image_id IS NULL THEN 0 ELSE {CLIP('up + (down - up) * fy')} END AS b0 FROM g LEFT JOIN v ON v.image_id = g.image_id AND v.gx = g.gx AND v.gy = g.gy""")
 query("op_rotate_90", "l", lambda a: S.rotate(a, 90, expand=True), "SELECT image_id, w, h, y AS x, 7 - x AS y, b0 FROM l")
 query("op_transform_affine", "l", lambda a: S.transform_affine(a, (8, 8), (0.5, 0.25, 1, -0.25, 1.5, 0)), """
     , i AS (SELECT DISTINCT image_id FROM l), g AS (SELECT image_id, gx, gy, (gx * 32768 + gy * 16384 + 90112) >> 16 AS px, (gx * -16384 + gy * 98304 + 40960) >> 16 AS py FROM i, range(8) AS a(gx), range(8) AS b(gy))
@@ -365,9 +388,19 @@ query("op_draw_ellipse", "s", lambda a: D.ellipse(a, (4, 6, 27, 21), [255]),
 query("op_draw_polygon", "s", lambda a: D.polygon(a, [(5, 5), (25, 5), (25, 20), (5, 20)], [255]), _some(["CASE WHEN x BETWEEN 5 AND 25 AND y BETWEEN 5 AND 20 THEN 255 ELSE b0 END"], "s"))
 query("op_draw_bitmap", "s l", lambda a, m: D.bitmap(a, (3, 3), m, [250]), f"SELECT s.image_id, s.w, s.h, s.x, s.y, {_MIX('250', 's.b0', 'coalesce(m.b0, 0)')} AS b0 FROM s LEFT JOIN l m ON m.image_id = s.image_id AND s.x = m.x + 3 AND s.y = m.y + 3")
 query("op_draw_regular_polygon", "s", lambda a: D.regular_polygon(a, (16, 16), 10, 6, 15, fill=[255], outline=[0]))
-query("op_draw_rounded_rectangle", "s", lambda a: D.rounded_rectangle(a, (3, 4, 28, 24), 6, [255], [0], 2))
-query("op_draw_pieslice", "s", lambda a: D.pieslice(a, (4, 4, 27, 27), 30, 200, [255]))
-query("op_draw_arc", "s", lambda a: D.arc(a, (4, 4, 27, 27), 30, 200, [255], 2))
+def _rounded(x0: int, y0: int, x1: int, y1: int, r: int) -> str:
+    """Inside a box with corners cut by circles around the pixels' middles."""
+    dx, dy = f"least(x - {x0}, {x1} - x)", f"least(y - {y0}, {y1} - y)"
+    far = lambda d: f"(2 * {d} - {2 * r - 1}) * (2 * {d} - {2 * r - 1})"
+    return f"(x BETWEEN {x0} AND {x1} AND y BETWEEN {y0} AND {y1} AND ({dx} >= {r} OR {dy} >= {r} OR {far(dx)} + {far(dy)} <= {4 * r * r}))"
+
+
+query("op_draw_rounded_rectangle", "s", lambda a: D.rounded_rectangle(a, (3, 4, 28, 24), 6, [255], [0], 2),
+      _some([f"CASE WHEN {_rounded(5, 6, 26, 22, 4)} THEN 255 WHEN {_rounded(3, 4, 28, 24, 6)} THEN 0 ELSE b0 END"], "s"))
+_DISC = lambda d: f"(2 * x - 31) * (2 * x - 31) + (2 * y - 31) * (2 * y - 31) <= {d * d}"
+_ANGLE = "(degrees(atan2((y - 15.5::DOUBLE) / 11.5::DOUBLE, (x - 15.5::DOUBLE) / 11.5::DOUBLE)) - 30 + 360) % 360 <= 170"
+query("op_draw_pieslice", "s", lambda a: D.pieslice(a, (4, 4, 27, 27), 30, 200, [255]), _some([f"CASE WHEN {_DISC(24)} AND {_ANGLE} THEN 255 ELSE b0 END"], "s"))
+query("op_draw_arc", "s", lambda a: D.arc(a, (4, 4, 27, 27), 30, 200, [255], 2), _some([f"CASE WHEN {_DISC(24)} AND NOT {_DISC(20)} AND {_ANGLE} THEN 255 ELSE b0 END"], "s"))
 query("op_draw_chord", "s", lambda a: D.chord(a, (4, 4, 27, 27), 30, 200, [255], [0]))
 
 # --- generators, bytes, serial operators --------------------------------------------------------------
