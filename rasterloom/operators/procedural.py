@@ -115,7 +115,9 @@ def effect_spread(df: DataFrame, distance: int) -> DataFrame:
 
 
 def _nearest(points: np.ndarray, palette: np.ndarray) -> np.ndarray:
-    return ((points[:, None, :] - palette[None]) ** 2).sum(axis=2).argmin(axis=1)
+    """The first of the nearest entries, for some ten thousand points at a time."""
+    parts = [points[k : k + 16_384] for k in range(0, len(points), 16_384)]
+    return np.concatenate([((p[:, None, :] - palette[None]) ** 2).sum(axis=2).argmin(axis=1) for p in parts] or [np.empty(0, np.int64)])
 
 
 def _means(points: np.ndarray, counts: np.ndarray, group: np.ndarray, old: np.ndarray) -> np.ndarray:
@@ -151,24 +153,93 @@ def max_coverage(points: np.ndarray, counts: np.ndarray, colors: int) -> np.ndar
     return points[chosen]
 
 
-def octree(points: np.ndarray, counts: np.ndarray, colors: int) -> np.ndarray:
-    """A palette of the means of the fullest cubes of side 16."""
-    cubes, group = np.unique(points >> 4, axis=0, return_inverse=True)
-    n = np.bincount(group.ravel(), counts)
-    best = np.argsort(-n, kind="stable")[:colors]
-    means = _means(points, counts, group.ravel(), cubes << 4)
-    return means[best]
+#: Bits of a band in the fine and in the coarse cube, without and with alpha.
+_CUBES = {3: ((4, 4, 4), (2, 2, 2)), 4: ((3, 4, 3, 3), (2, 2, 2, 2))}
 
 
-METHODS = {0: median_cut, 1: max_coverage, 2: octree}
+def _cube_index(points: np.ndarray, bits: Sequence[int]) -> np.ndarray:
+    """Which cube of a grid with so many bits a band each point is in."""
+    out = np.zeros(len(points), np.int64)
+    for k, n in enumerate(bits):
+        out = (out << n) | (points[:, k] >> (8 - n))
+    return out
+
+
+def octree(points: np.ndarray, counts: np.ndarray, sums: np.ndarray, colors: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of each fine cube, palette) from an image's fine cubes: a point in each, pixels, sums of samples.
+
+    Every coarse cube in use has an entry as far as there are entries, the fullest fine cubes have the others.
+    A fine cube with an entry no longer counts in its coarse one; one that is emptied so frees its entry."""
+    fine, coarse = _CUBES[points.shape[1]]
+    at_fine, at_coarse = _cube_index(points, fine), _cube_index(points, coarse)
+    left = np.bincount(at_coarse, counts, 1 << sum(coarse)).astype(np.int64)
+    left_sums = np.stack([np.bincount(at_coarse, s, len(left)) for s in sums.T], axis=1).astype(np.int64)
+    fullest = np.lexsort((at_fine, -counts))
+    n_coarse = min(colors, int((left > 0).sum()))
+    taken = 0
+    while True:
+        for k in fullest[taken : colors - n_coarse]:
+            left[at_coarse[k]] -= counts[k]
+            left_sums[at_coarse[k]] -= sums[k]
+        taken = colors - n_coarse
+        if n_coarse <= (used := int((left > 0).sum())):
+            break
+        n_coarse = used
+    cubes = np.argsort(-left, kind="stable")[:n_coarse]
+    own = fullest[: colors - n_coarse]
+    palette = np.zeros((colors, points.shape[1]), np.int64)
+    palette[:n_coarse] = left_sums[cubes] // np.maximum(left[cubes, None], 1)
+    palette[n_coarse : n_coarse + len(own)] = sums[own] // counts[own, None]
+    of_coarse = np.zeros(len(left), np.int64)
+    of_coarse[cubes[::-1]] = np.arange(n_coarse)[::-1]
+    index = of_coarse[at_coarse]
+    index[own] = n_coarse + np.arange(len(own))
+    return index, palette
+
+
+METHODS = {0: median_cut, 1: max_coverage}
+
+
+def _by_octree(df: DataFrame, colors: int) -> tuple[DataFrame, DataFrame]:
+    """Pixels are counted by fine cube by Spark, so an image is at most 8,192 rows where its palette is made."""
+    own = bands(df)
+    if len(own) == 4:  # pixels that cannot be seen have one colour, that of the first of them
+        clear = df.where("b3 = 0").groupBy("image_id").agg(F.min_by(F.struct("b0", "b1", "b2"), F.struct("y", "x")).alias("__c"))
+        df = df.join(clear, "image_id", "left").withColumns({b: F.when(F.col("b3") == 0, F.col(f"__c.{b}")).otherwise(F.col(b)) for b in own[:3]}).drop("__c")
+    cube = F.lit(0)
+    for b, n in zip(own, _CUBES[len(own)][0], strict=True):
+        cube = F.shiftleft(cube, n).bitwiseOR(F.shiftright(F.col(b).cast("int"), 8 - n))
+    df = df.withColumn("__cube", cube)
+    cubes = df.groupBy("image_id", "__cube").agg(
+        F.count(F.lit(1)).alias("n"), *(F.min(b).cast("int").alias(b) for b in own), *(F.sum(b).alias(f"s{b}") for b in own))
+
+    def made(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("__cube")
+        index, palette = octree(frame[own].to_numpy(np.int64), frame["n"].to_numpy(np.int64), frame[[f"s{b}" for b in own]].to_numpy(np.int64), colors)
+        entry = np.arange(colors)
+        image = frame["image_id"].iloc[0]
+        out = pd.DataFrame({"image_id": image, "cube": np.concatenate([frame["__cube"], -1 - entry]), "idx": np.concatenate([index, entry])})
+        return out.assign(**{f"p{k}": palette[out["idx"], k] for k in range(len(own))})
+
+    shape = f"image_id bigint, cube int, idx int, {', '.join(f'p{k} int' for k in range(len(own)))}"
+    mapped = cubes.groupBy("image_id").applyInPandas(made, shape)
+    found = mapped.where("cube >= 0").select("image_id", F.col("cube").alias("__cube"), "idx")
+    pixels = df.join(found, ["image_id", "__cube"]).select(*KEYS, F.col("idx").alias("b0"))
+    names = zip(range(len(own)), ("r", "g", "b", "a"), strict=False)
+    return pixels, mapped.where("cube < 0").select("image_id", "idx", *(F.col(f"p{k}").alias(n) for k, n in names))
 
 
 def quantize(df: DataFrame, colors: int = 256, method: int = 0, kmeans: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(P pixels, palette (image_id, idx, bands...)). Colours are counted by Spark; the palette of an image is
-    made from its counted colours, and pixels find their index by joining on their colour."""
-    if not 1 <= colors <= 256 or method not in METHODS:
+    """(P pixels, palette (image_id, idx, bands...)). Method 0 is median cut and 1 maximum coverage, of RGB; 2 is the
+    fast octree, of RGB or RGBA, which leaves ``kmeans`` aside. Colours are counted by Spark; the palette of an image
+    is made from its counted colours or cubes, and pixels find their index by joining on them."""
+    if not 1 <= colors <= 256 or method not in (*METHODS, 2):
         raise ValueError("bad number of colors or method")
     own = bands(df)
+    if len(own) == 4 and method != 2:
+        raise ValueError("only the fast octree takes RGBA")
+    if method == 2:
+        return _by_octree(df, colors)
     counted = df.groupBy("image_id", *own).agg(F.count(F.lit(1)).alias("n"))
 
     def made(frame: pd.DataFrame) -> pd.DataFrame:

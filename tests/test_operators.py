@@ -215,7 +215,100 @@ def test_dither_and_noise(spark, images):
     assert all(set(spread[k].ravel()) <= set(a[..., 0].ravel()) for k, a in images.items())
 
 
-@pytest.mark.parametrize("method", [0, 1, 2])
+def brute_octree(img, colors):
+    """The rules of the fast octree over dictionaries of cubes."""
+    n_bands = img.shape[2]
+    fine, coarse = ((4, 4, 4), (2, 2, 2)) if n_bands == 3 else ((3, 4, 3, 3), (2, 2, 2, 2))
+    rows = [list(map(int, p)) for p in img.reshape(-1, n_bands)]
+    clear = next((p[:3] for p in rows if n_bands == 4 and p[3] == 0), None)
+    rows = [[*clear, 0] if n_bands == 4 and p[3] == 0 else p for p in rows]
+    place = lambda p, bits: tuple(v >> (8 - n) for v, n in zip(p, bits))
+    cubes = {bits: {} for bits in (fine, coarse)}
+    for bits, own in cubes.items():
+        for p in rows:
+            own.setdefault(place(p, bits), []).append(p)
+    mean = lambda ps: [sum(c) // len(ps) for c in zip(*ps)]
+    fullest = sorted(cubes[fine], key=lambda c: (-len(cubes[fine][c]), c))
+    n_coarse = min(colors, len(cubes[coarse]))
+    while True:
+        gone = set(fullest[: colors - n_coarse])
+        left = {c: kept for c, ps in cubes[coarse].items() if (kept := [p for p in ps if place(p, fine) not in gone])}
+        if n_coarse <= len(left):
+            break
+        n_coarse = len(left)
+    entries = sorted(left, key=lambda c: (-len(left[c]), c))[:n_coarse]
+    palette = [mean(left[c]) for c in entries] + [mean(cubes[fine][c]) for c in fullest[: colors - n_coarse]]
+    palette += [[0] * n_bands] * (colors - len(palette))
+    index = [n_coarse + fullest.index(place(p, fine)) if place(p, fine) in gone else entries.index(place(p, coarse)) if place(p, coarse) in entries else 0 for p in rows]
+    return index, palette
+
+
+@pytest.mark.parametrize("colors,n_bands", [(3, 3), (16, 3), (200, 3), (16, 4), (90, 4)])
+def test_quantize_by_octree(spark, colors, n_bands):
+    rng = np.random.default_rng(colors)
+    images = {k: rng.integers(0, 256, (9, 12, n_bands)) for k in (1, 2)} | {3: rng.integers(0, 40, (6, 5, n_bands)) * 6, 4: np.full((3, 3, n_bands), 77)}
+    if n_bands == 4:
+        for a in images.values():
+            a[::2, ::3, 3] = 0
+    found, palette = procedural.quantize(relation(spark, images, n_bands), colors, 2, 1)
+    got, tables = arrays(found), {}
+    for r in palette.collect():
+        tables.setdefault(r["image_id"], {})[r["idx"]] = list(r[2:])
+    for k, a in images.items():
+        index, wanted = brute_octree(a, colors)
+        assert got[k].ravel().tolist() == index
+        assert [tables[k][i] for i in range(colors)] == wanted
+
+
+def brute_diffused(img, choose):
+    """Error diffusion with the errors of all pixels in one table."""
+    h, w, n = img.shape
+    carried, out = np.zeros((h + 1, w + 2, n), int), np.zeros((h, w), int)
+    for y in range(h):
+        for x in range(w):
+            v = np.array([min(255, max(0, int(img[y, x, c]) + int(carried[y, x + 1, c] / 16))) for c in range(n)])
+            out[y, x], level = choose(v)
+            for dy, dx, share in ((0, 1, 7), (1, -1, 3), (1, 0, 5), (1, 1, 1)):
+                carried[y + dy, x + 1 + dx] += share * (v - level)
+    return out
+
+
+def test_serial_operators_exactly(spark):
+    rng = np.random.default_rng(4)
+    images = {1: rng.integers(0, 256, (7, 9, 3)), 2: rng.integers(0, 256, (5, 4, 3))}
+    grey = {k: a[..., :1] for k, a in images.items()}
+    one = arrays(procedural.dither(relation(spark, grey, 1)))
+    palette = [(k * 37 % 256, k * 91 % 256, k * 53 % 256) for k in range(24)]
+    few = arrays(procedural.quantize_to(relation(spark, images, 3), palette))
+    near = lambda v: (i := min(range(24), key=lambda i: (sum((v - palette[i]) ** 2), i)), np.array(palette[i]))
+    spread = arrays(procedural.effect_spread(relation(spark, images, 3), 3))
+    for k, a in images.items():
+        assert np.array_equal(one[k][..., 0], brute_diffused(a[..., :1], lambda v: (255, 255) if v[0] > 128 else (0, 0)))
+        assert np.array_equal(few[k][..., 0], brute_diffused(a, near))
+        x, out = 1, a.copy()
+        for i in range(a.shape[0] * a.shape[1]):
+            place = [i % a.shape[1], i // a.shape[1]]
+            there = []
+            for axis in (0, 1):
+                x = x * 16807 % (2**31 - 1)
+                there.append(place[axis] + x % 4 - 1)
+            if 0 <= there[0] < a.shape[1] and 0 <= there[1] < a.shape[0]:
+                out[place[1], place[0]], out[there[1], there[0]] = a[there[1], there[0]], a[place[1], place[0]]
+        assert np.array_equal(spread[k], out)
+    made = procedural.noise(1000, 20.0, 5)
+    state, values = 5, []
+    while len(values) < 1000:
+        pair = []
+        for _ in range(2):
+            state = state * 16807 % (2**31 - 1)
+            pair.append(2 * state / (2**31 - 1) - 1)
+        r = pair[0] ** 2 + pair[1] ** 2
+        if 0 < r < 1:
+            values += [int(min(255, max(0, 128 + 20 * v * math.sqrt(-2 * math.log(r) / r)))) for v in pair]
+    assert made == values[:1000]
+
+
+@pytest.mark.parametrize("method", [0, 1])
 def test_quantize(spark, images, method):
     df = relation(spark, images, 3)
     found, palette = procedural.quantize(df, 5, method, 2)
