@@ -26,6 +26,7 @@ shingles. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -116,28 +117,31 @@ def _pieces() -> list[list[int]]:
 
 def _cross_links(outsiders: DataFrame, members: DataFrame) -> DataFrame:
     """(u, v): parts that a pair of members of one bucket links, at least one of the two an outsider."""
-    bit = F.shiftrightunsigned("bucket", 22)
-    of_segment = lambda make: F.when(bit < SEGMENTS[1][0], make(0)).when(bit < SEGMENTS[2][0], make(1)).otherwise(make(2))
     masks = _pieces()
-    cut = of_segment(lambda s: F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks[s])))
-    a, b = (rows.select("*", F.posexplode(cut).alias("piece", "value")).alias(name) for rows, name in ((outsiders, "a"), (members, "b")))
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    differ = lambda m: F.bit_count(x.bitwiseAND(F.lit(_signed(m))))
     whole = [((1 << width) - 1) << start for start, width in SEGMENTS]
 
-    def first(s: int):
-        """Whether a pair meets first here: in no segment before, at no variant and no piece before."""
-        ok = (differ(whole[s]) > 0) | (F.shiftrightunsigned("a.bucket", 22) == SEGMENTS[s][0])
-        for t in range(s):
-            ok &= differ(whole[t]) > 1
-        for k in range(MAX_BITS):
-            ok &= (F.col("a.piece") <= k) | (differ(masks[s][k]) > 0)
-        return ok
+    def of_segment(bucket: str, make):
+        bit = F.shiftrightunsigned(bucket, 22)
+        return F.when(bit < SEGMENTS[1][0], make(0)).when(bit < SEGMENTS[2][0], make(1)).otherwise(make(2))
 
-    bit = F.shiftrightunsigned("a.bucket", 22)
-    met = F.expr("a.bucket = b.bucket and a.piece = b.piece and a.value = b.value and a.part <> b.part and (b.part = a.top or a.fp < b.fp)")
-    pairs = a.join(b, met & _near("a.fp", "b.fp") & of_segment(first))
-    return pairs.select(F.col("a.part").alias("u"), F.col("b.part").alias("v")).distinct()
+    def met(piece: int) -> DataFrame:
+        """Pairs that meet first at this piece: in no segment before, at no variant and no piece before."""
+        value = of_segment("bucket", lambda s: F.col("fp").bitwiseAND(F.lit(_signed(masks[s][piece]))))
+        a, b = outsiders.withColumn("value", value).alias("a"), members.withColumn("value", value).alias("b")
+        x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+        differ = lambda m: F.bit_count(x.bitwiseAND(F.lit(_signed(m))))
+
+        def first(s: int):
+            ok = (differ(whole[s]) > 0) | (F.shiftrightunsigned("a.bucket", 22) == SEGMENTS[s][0])
+            for earlier in [*((whole[t], 1) for t in range(s)), *((masks[s][k], 0) for k in range(piece))]:
+                ok &= differ(earlier[0]) > earlier[1]
+            return ok
+
+        once = F.expr("a.bucket = b.bucket and a.value = b.value and a.part <> b.part and (b.part = a.top or a.fp < b.fp)")
+        pairs = a.join(b, once & _near("a.fp", "b.fp") & of_segment("a.bucket", first))
+        return pairs.select(F.col("a.part").alias("u"), F.col("b.part").alias("v"))
+
+    return reduce(DataFrame.unionByName, map(met, range(MAX_BITS + 1))).distinct()
 
 
 def _links(prints: DataFrame) -> DataFrame:
@@ -151,11 +155,12 @@ def _links(prints: DataFrame) -> DataFrame:
     few = staged(ends.where("n > 3 or " + _SOME_NEAR).withColumn("mid", F.expr(_MID)), "simhash-ends")
     pairs = F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in (("lo", "hi"), ("lo", "mid"), ("mid", "hi"))))
     known = few.where("n <= 3").select(F.explode(pairs).alias("p")).select("p.u", "p.v").where(_near("u", "v"))
-    large = few.where("n > 3").select("bucket", F.array_distinct(F.array("lo", "hi", "p", "q")).alias("pivots"))
+    pivots = ("lo", "hi", "p", "q")
+    large = few.where("n > 3").select("bucket", *pivots)
     if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         large = F.broadcast(large)  # else the entries are shuffled once more
     members = staged(entries.join(large, "bucket"), "simhash-members")
-    star = members.select(F.col("fp").alias("u"), F.explode("pivots").alias("v")).where(_near("u", "v")).unionByName(known)
+    star = reduce(DataFrame.unionByName, (members.select(F.col("fp").alias("u"), F.col(p).alias("v")).where(_near("u", "v")) for p in pivots), known)
     roots = staged(components(star, "simhash-star"), "simhash-stars")
     joined = members.select("bucket", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     parts = staged(joined.select("bucket", "fp", F.coalesce("root", "fp").alias("part")), "simhash-parts")
