@@ -362,3 +362,25 @@ def test_large_indexes_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
     near(spark)
     test_association_rules_and_their_index(spark)
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    """Nulls in every column, shared and missing ids, repeated rows, columns with names that operators use, empty tables."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(12)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    names = ["mark", "digest", "score", "lang_pred", "__row_no", "fp", "ids", "n", "key"]
+    texts = [r["text"] for r in docs.select("text").distinct().orderBy("text").collect() if r["text"] and len(r["text"].split()) > 30][:4]
+    odd = [(1, texts[0], "en"), (1, texts[0], "en"), (1, texts[1], None), (None, texts[2], "en"), (None, texts[2], None), (None, texts[3] + " " + item, "en"),
+           (9, None, "en"), (None, None, None), (10, "", None), (None, item, None)]
+    rows = spark.createDataFrame([(i, t, lang, None, None) for i, t, lang in odd], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = rows.unionByName(docs.where("false")).withColumns({n: F.lit("own") for n in names})
+    wanted = {(1, texts[0]), (1, texts[1]), (None, texts[2])}
+    now, none = rows, rows.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now, none = stage(spark, now, SF).cache(), stage(spark, none, SF)
+        assert now.columns == none.columns == rows.columns, name
+        assert none.count() == 0
+        assert now.where(" and ".join(f"{n} = 'own'" for n in names)).count() == now.count()
+    assert {(r["doc_id"], r["text"]) for r in now.collect()} == wanted and now.count() == 3
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, now, SF).where("round_trip").count() == 3 and last(spark, none, SF).count() == 0
