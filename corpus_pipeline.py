@@ -1,7 +1,13 @@
 """The corpus pipeline: language ID, exact and near deduplication, decontamination, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the
-shared folder and gives it, read again, to the next. All but the last keep the columns of documents.
+shared folder and gives it, read again, to the next. All but the last keep the columns of documents, further
+ones too, whatever their names.
+
+Rows may share an id or have none: each stage decides on rows by id and text, so no text is lost under another
+one's id. Null and empty texts have no language and go in the first stage; the later ones take them as empty.
+Rows that repeat become one in the second stage. Texts of any length are read whole. An empty table, of
+documents or of test items, goes through every stage.
 """
 
 from __future__ import annotations
@@ -11,29 +17,31 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.decontaminate import without_leaks
 from rasterloom.llm.exact_dedup import without_copies
-from rasterloom.llm.language_id import UNKNOWN, identified
+from rasterloom.llm.language_id import UNKNOWN, LanguageProfiles, held_out
 from rasterloom.llm.queries import public_bpe
 from rasterloom.llm.simhash_dedup import without_near_copies
 from rasterloom.llm.staging import staged
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no identifiable language."""
-    return identified(docs).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Drops documents of no identifiable language: those whose text is null or has no letter, and all of them where
+    no document is labelled."""
+    model = LanguageProfiles().fit(docs.where(~held_out()))
+    return model.predict(docs, to="__lang", score="__cosine").where(F.col("__lang") != UNKNOWN).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
+    """Keeps one document of each group of equal texts, that of the smallest id; ids sort before no id."""
     return without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked fingerprints."""
+    """Keeps one document of each group of linked fingerprints, that of the smallest id; ids sort before no id."""
     return without_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a copy of a benchmark item, edited or not."""
+    """Drops documents that hold a copy of a benchmark item, edited or not; items with no id count too."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -14,11 +14,19 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def _filled(df: DataFrame, frames: DataFrame, fill: Sequence[int]) -> DataFrame:
-    """All places of the frames: df's samples there, else the fill."""
-    own = bands(df)
-    whole = grid(frames).join(df.select("image_id", "x", "y", *own), ["image_id", "x", "y"], "left")
-    return whole.select(*KEYS, *(F.coalesce(F.col(b), F.lit(v)).alias(b) for b, v in zip(own, fill, strict=True)))
+def _with_margins(shifted: DataFrame, frames: DataFrame, fill: Sequence[int]) -> DataFrame:
+    """shifted and, without a join, the places of the frames (image_id, w, h, ow, oh, left, top) outside the image
+    of size ow, oh whose corner is at left, top."""
+    x, y = _c("x") - _c("left"), _c("y") - _c("top")
+    margin = grid(frames).where((x < 0) | (y < 0) | (x >= _c("ow")) | (y >= _c("oh")))
+    filled = (F.lit(v).cast(shifted.schema[b].dataType).alias(b) for b, v in zip(bands(shifted), fill, strict=True))
+    return shifted.unionByName(margin.select(*KEYS, *filled))
+
+
+def _canvas(df: DataFrame, w: Column, h: Column, left: int, top: int) -> DataFrame:
+    """Frames of another size, with the old size and its corner's place beside it."""
+    kept = (_c("w").alias("ow"), _c("h").alias("oh"), F.lit(left).alias("left"), F.lit(top).alias("top"))
+    return sizes(df).select("image_id", w.cast("int").alias("w"), h.cast("int").alias("h"), *kept)
 
 
 def crop(df: DataFrame, box: Sequence[float]) -> DataFrame:
@@ -30,11 +38,8 @@ def crop(df: DataFrame, box: Sequence[float]) -> DataFrame:
     x, y = _c("x"), _c("y")
     inside = df.where((x >= left) & (x < right) & (y >= top) & (y < bottom))
     shifted = moved(inside, x - left, y - top, F.lit(w), F.lit(h))
-    frames = sizes(df)
-    outside = frames.where((F.lit(left) < 0) | (F.lit(top) < 0) | (F.lit(right) > _c("w")) | (F.lit(bottom) > _c("h")))
-    padded = _filled(shifted, outside.withColumns({"w": F.lit(w), "h": F.lit(h)}), [0] * len(bands(df)))
-    full = (F.lit(left) >= 0) & (F.lit(top) >= 0) & (F.lit(right) <= _c("w")) & (F.lit(bottom) <= _c("h"))
-    return moved(inside.where(full), x - left, y - top, F.lit(w), F.lit(h)).unionByName(padded)
+    outside = _canvas(df, F.lit(w), F.lit(h), -left, -top).where(F.lit(left < 0 or top < 0) | (F.lit(right) > _c("ow")) | (F.lit(bottom) > _c("oh")))
+    return _with_margins(shifted, outside, [0] * len(bands(df)))
 
 
 #: method -> (x, y, w, h) after it.
@@ -82,9 +87,9 @@ def offset(df: DataFrame, dx: int, dy: int) -> DataFrame:
 
 
 def expand(df: DataFrame, border: int, fill: Sequence[int]) -> DataFrame:
-    frames = sizes(df).withColumns({"w": _c("w") + 2 * border, "h": _c("h") + 2 * border})
-    shifted = moved(df, _c("x") + border, _c("y") + border)
-    return _filled(shifted, frames, fill)
+    frames = _canvas(df, _c("w") + 2 * border, _c("h") + 2 * border, border, border)
+    shifted = moved(df, _c("x") + border, _c("y") + border, _c("w") + 2 * border, _c("h") + 2 * border)
+    return _with_margins(shifted, frames, fill)
 
 
 def crop_border(df: DataFrame, border: int) -> DataFrame:
@@ -107,7 +112,10 @@ def reduce(df: DataFrame, fx: int, fy: int | None = None) -> DataFrame:
     return sums.select("image_id", ceil("w", fx), ceil("h", fy), "x", "y", *(mean(b).alias(b) for b in own))
 
 
-def pad_to(df: DataFrame, w: int, h: int, left: int, top: int, fill: Sequence[int]) -> DataFrame:
-    """Images on a canvas of another size, from a corner on."""
-    shifted = moved(df, _c("x") + left, _c("y") + top)
-    return _filled(shifted, sizes(df).withColumns({"w": F.lit(w), "h": F.lit(h)}), fill)
+def pad_to(df: DataFrame, w: int, h: int, left: Column, top: Column, fill: Sequence[int]) -> DataFrame:
+    """Images on a canvas of another size, their corner at a place that an image's w and h give."""
+    left, top = left.cast("int"), top.cast("int")
+    x, y = _c("x") + left, _c("y") + top
+    on = df.where((x >= 0) & (y >= 0) & (x < w) & (y < h))
+    frames = sizes(df).select("image_id", F.lit(w).alias("w"), F.lit(h).alias("h"), _c("w").alias("ow"), _c("h").alias("oh"), left.alias("left"), top.alias("top"))
+    return _with_margins(moved(on, x, y, F.lit(w), F.lit(h)), frames, fill)

@@ -200,6 +200,12 @@ def octree(points: np.ndarray, counts: np.ndarray, sums: np.ndarray, colors: int
 METHODS = {0: median_cut, 1: max_coverage}
 
 
+def _spread_images(df: DataFrame) -> DataFrame:
+    """df by image, in as many parts as shuffles have: an image's work is in Python, so few bytes are no reason to put
+    many images together in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+
+
 def _by_octree(df: DataFrame, colors: int) -> tuple[DataFrame, DataFrame]:
     """Pixels are counted by fine cube by Spark, so an image is at most 8,192 rows where its palette is made."""
     own = bands(df)
@@ -222,7 +228,7 @@ def _by_octree(df: DataFrame, colors: int) -> tuple[DataFrame, DataFrame]:
         return out.assign(**{f"p{k}": palette[out["idx"], k] for k in range(len(own))})
 
     shape = f"image_id bigint, cube int, idx int, {', '.join(f'p{k} int' for k in range(len(own)))}"
-    mapped = cubes.groupBy("image_id").applyInPandas(made, shape)
+    mapped = _spread_images(cubes).groupBy("image_id").applyInPandas(made, shape)
     found = mapped.where("cube >= 0").select("image_id", F.col("cube").alias("__cube"), "idx")
     pixels = df.join(found, ["image_id", "__cube"]).select(*KEYS, F.col("idx").alias("b0"))
     names = zip(range(len(own)), ("r", "g", "b", "a"), strict=False)
@@ -253,7 +259,7 @@ def quantize(df: DataFrame, colors: int = 256, method: int = 0, kmeans: int = 0)
         return out.assign(**{f"p{k}": palette[index, k].astype(np.int32) for k in range(len(own))})
 
     shape = f"image_id bigint, {', '.join(f'{b} int' for b in own)}, idx int, {', '.join(f'p{k} int' for k in range(len(own)))}"
-    mapped = counted.groupBy("image_id").applyInPandas(made, shape)
+    mapped = _spread_images(counted).groupBy("image_id").applyInPandas(made, shape)
     pixels = df.join(mapped.select("image_id", *own, "idx"), ["image_id", *own]).select(*KEYS, F.col("idx").alias("b0"))
     palette = mapped.groupBy("image_id", "idx").agg(*(F.any_value(f"p{k}").alias(n) for k, n in zip(range(len(own)), ("r", "g", "b", "a"), strict=False)))
     return pixels, palette

@@ -182,8 +182,7 @@ def pad(df: DataFrame, size: tuple[int, int], fill: Sequence[int], resample: str
     inner = contain(df, size, resample)
     cx, cy = (max(0.0, min(1.0, c)) for c in centering)
     left, top = (F.bround((F.lit(s) - F.col(n)) * c).cast("int") for s, n, c in ((size[0], "w", cx), (size[1], "h", cy)))
-    shifted = inner.withColumns({"x": F.col("x") + left, "y": F.col("y") + top})
-    return pad_to(shifted, *size, 0, 0, fill)
+    return pad_to(inner, *size, left, top, fill)
 
 
 def scale(df: DataFrame, factor: float, resample: str = "BICUBIC") -> DataFrame:
