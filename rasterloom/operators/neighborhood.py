@@ -49,24 +49,29 @@ def gathered(df: DataFrame, radius: int) -> DataFrame:
     return rows.select(*KEYS, *own, *(F.array(*(_at(F.col(f"r{b[1:]}"), k, "y") for k in steps)).alias(f"n{b[1:]}") for b in own))
 
 
-def kernel_filter(df: DataFrame, kernel: Sequence[float], scale: float | None = None, offset: float = 0, top: int | None = 255) -> DataFrame:
-    """A 3 by 3 or 5 by 5 kernel; the border that it does not fit in stays. ``top`` None is for mode I,
-    which has no upper bound."""
+def _weighted(df: DataFrame, kernel: Sequence[float], scale: float | None, offset: float, top: int | None) -> dict[str, Column]:
+    """Each band's filtered value, over the rows of gathered()."""
     size = {9: 3, 25: 5}.get(len(kernel))
     if size is None:
         raise ValueError("bad kernel size")
     scale = sum(kernel) if scale is None else scale
     scale = max(float(scale), 1e-4) if scale >= 0 else float(scale)
-    radius, own = size // 2, bands(df)
-    out = {}
-    for b in own:
+    radius, out = size // 2, {}
+    inside = F.col("x").between(radius, F.col("w") - 1 - radius) & F.col("y").between(radius, F.col("h") - 1 - radius)
+    for b in bands(df):
         n = F.col(f"n{b[1:]}")
         terms = [n[2 * radius - j][i] * F.lit(kernel[j * size + i]) for j in range(size) for i in range(size) if kernel[j * size + i]]
-        inside = F.col("x").between(radius, F.col("w") - 1 - radius) & F.col("y").between(radius, F.col("h") - 1 - radius)
         total = sum(terms[1:], terms[0]) / F.lit(scale) + F.lit(offset + 0.5)
         value = clip(total) if top == 255 else F.greatest(F.lit(0), F.floor(total)).cast("int")
         out[b] = F.when(inside, value).otherwise(F.col(b))
-    return gathered(df, radius).select(*KEYS, *(v.alias(b) for b, v in out.items()))
+    return out
+
+
+def kernel_filter(df: DataFrame, kernel: Sequence[float], scale: float | None = None, offset: float = 0, top: int | None = 255) -> DataFrame:
+    """A 3 by 3 or 5 by 5 kernel; the border that it does not fit in stays. ``top`` None is for mode I,
+    which has no upper bound."""
+    out = _weighted(df, kernel, scale, offset, top)
+    return gathered(df, {9: 1, 25: 2}[len(kernel)]).select(*KEYS, *(v.alias(b) for b, v in out.items()))
 
 
 def named_filter(df: DataFrame, name: str) -> DataFrame:
@@ -75,10 +80,9 @@ def named_filter(df: DataFrame, name: str) -> DataFrame:
 
 def sharpness(df: DataFrame, factor: float) -> DataFrame:
     """From the smoothed image (factor 0) to the image (1) and beyond."""
-    smooth = named_filter(df, "SMOOTH").select("image_id", "x", "y", *(F.col(b).alias(f"s{b[1:]}") for b in bands(df)))
-    joined = df.join(smooth, ["image_id", "x", "y"])
-    mix = lambda b: clip(F.col(f"s{b[1:]}") * F.lit(1.0 - factor) + F.col(b) * F.lit(float(factor)))
-    return joined.select(*KEYS, *(mix(b).alias(b) for b in bands(df)))
+    smooth = _weighted(df, *KERNELS["SMOOTH"], 255)
+    mix = lambda b: clip(smooth[b] * F.lit(1.0 - factor) + F.col(b) * F.lit(float(factor)))
+    return gathered(df, 1).select(*KEYS, *(mix(b).alias(b) for b in bands(df)))
 
 
 def _box(df: DataFrame, radius: float, axis: str) -> DataFrame:
@@ -126,15 +130,16 @@ def gaussian_blur(df: DataFrame, sigma: float) -> DataFrame:
 
 
 def unsharp_mask(df: DataFrame, radius: float = 2, percent: int = 150, threshold: int = 3) -> DataFrame:
-    """Samples moved from their blurred value, where they differ from it by more than the threshold."""
-    blurred = gaussian_blur(df, radius).select("image_id", "x", "y", *(F.col(b).alias(f"s{b[1:]}") for b in bands(df)))
-    joined = df.join(blurred, ["image_id", "x", "y"])
+    """Samples moved from their blurred value, where they differ from it by more than the threshold. The samples
+    ride along with their blurred ones."""
+    blurred = gaussian_blur(df.withColumns({f"s{b[1:]}": F.col(b) for b in bands(df)}), radius)
 
     def value(b: str) -> Column:
-        gap = F.col(b) - F.col(f"s{b[1:]}")
-        return F.when(F.abs(gap) > threshold, clip(F.col(b) + quotient(gap * percent, 100))).otherwise(F.col(b))
+        own = F.col(f"s{b[1:]}")
+        gap = own - F.col(b)
+        return F.when(F.abs(gap) > threshold, clip(own + quotient(gap * percent, 100))).otherwise(own)
 
-    return joined.select(*KEYS, *(value(b).alias(b) for b in bands(df)))
+    return blurred.select(*KEYS, *(value(b).alias(b) for b in bands(df)))
 
 
 def _odd(size: int) -> int:
