@@ -1,5 +1,5 @@
 """Image files. Headers are read by column functions over the binary-file source, so a query for sizes or
-formats decodes nothing; PNG and BMP are decoded and encoded in batches of files."""
+formats decodes nothing; PNG, GIF and BMP are decoded, PNG and BMP encoded, in batches of files."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..relation import BANDS, bands
+from .codecs import DECODERS, ENCODERS, decode_bmp, decode_png, encode_bmp, encode_png, exif_of, exif_tags  # noqa: F401
 
 #: Format -> the first bytes of its files, in hex.
 MAGIC = {
@@ -53,90 +54,18 @@ def describe(files: DataFrame, formats: Sequence[str] | None = None) -> DataFram
     return known.withColumns({"width": size(17, 7, 19), "height": size(21, 9, 23)})
 
 
-def decode_png(content: bytes) -> tuple[int, int, int, np.ndarray]:
-    """(w, h, bands, samples) of an 8-bit PNG without interlacing."""
-    if content[:8] != bytes.fromhex(MAGIC["PNG"][0]):
-        raise ValueError("not a PNG")
-    at, head, packed = 8, None, []
-    while at + 8 <= len(content):
-        size, kind = struct.unpack(">I4s", content[at : at + 8])
-        data = content[at + 8 : at + 8 + size]
-        if zlib.crc32(kind + data) != struct.unpack(">I", content[at + 8 + size : at + 12 + size])[0]:
-            raise ValueError("bad checksum")
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", data)
-        elif kind == b"IDAT":
-            packed.append(data)
-        at += 12 + size
-    w, h, depth, colour, _, _, interlaced = head
-    n = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
-    if depth != 8 or n is None or interlaced:
-        raise ValueError("only 8-bit PNG without a palette or interlacing")
-    rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, 1 + w * n)
-    out, above = np.zeros((h, w * n), np.uint8), np.zeros(w * n, np.uint8)
-    for y in range(h):
-        kind, line = rows[y, 0], rows[y, 1:].copy()
-        if kind == 1:
-            line = np.add.accumulate(line.reshape(w, n), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            line += above
-        elif kind in (3, 4):
-            for i in range(w * n):
-                left, up, corner = (int(line[i - n]) if i >= n else 0), int(above[i]), (int(above[i - n]) if i >= n else 0)
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    guess = min((left, up, corner), key=lambda v: abs(p - v))  # noqa: B023
-                line[i] = (int(line[i]) + guess) & 255
-        out[y] = above = line
-    return w, h, n, out.ravel()
-
-
-def encode_png(w: int, h: int, n: int, samples: np.ndarray) -> bytes:
-    rows = np.concatenate([np.zeros((h, 1), np.uint8), samples.reshape(h, w * n).astype(np.uint8)], axis=1)
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[n], 0, 0, 0)
-    return bytes.fromhex(MAGIC["PNG"][0]) + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
-
-
-def decode_bmp(content: bytes) -> tuple[int, int, int, np.ndarray]:
-    """(w, h, bands, samples) of an uncompressed 24- or 32-bit BMP."""
-    offset, = struct.unpack("<I", content[10:14])
-    w, h, _, bits, packing = struct.unpack("<iiHHI", content[18:34])
-    n = bits // 8
-    if content[:2] != b"BM" or n not in (3, 4) or packing not in (0, 3):
-        raise ValueError("only uncompressed 24- and 32-bit BMP")
-    line = (w * n + 3) // 4 * 4
-    rows = np.frombuffer(content, np.uint8, line * abs(h), offset).reshape(abs(h), line)[:, : w * n].reshape(abs(h), w, n)
-    rows = (rows[::-1] if h > 0 else rows)[:, :, [2, 1, 0, 3][:n]]
-    return w, abs(h), n, rows.ravel()
-
-
-def encode_bmp(w: int, h: int, n: int, samples: np.ndarray) -> bytes:
-    if n not in (3, 4):
-        raise ValueError("BMP files hold RGB or RGBA")
-    rows = samples.reshape(h, w, n).astype(np.uint8)[::-1, :, [2, 1, 0, 3][:n]].reshape(h, w * n)
-    data = np.pad(rows, ((0, 0), (0, -w * n % 4))).tobytes()
-    return b"BM" + struct.pack("<IHHI", 54 + len(data), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8 * n, 0, len(data), 0, 0, 0, 0) + data
-
-
-DECODERS = {"PNG": decode_png, "BMP": decode_bmp}
-ENCODERS = {"PNG": encode_png, "BMP": encode_bmp}
-
-
 def _decoded(content: Column, kind: Column) -> Column:
-    @F.pandas_udf("w int, h int, n int, samples array<int>")
+    @F.pandas_udf("w int, h int, n int, samples array<int>, error string")
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for contents, kinds in batches:
             rows = []
             for c, k in zip(contents, kinds, strict=True):
                 try:
                     w, h, n, samples = DECODERS[k](c)
-                    rows.append((w, h, n, samples.astype(np.int32)))
-                except (KeyError, ValueError, TypeError, struct.error, zlib.error):
-                    rows.append((None, None, None, None))
-            yield pd.DataFrame(rows, columns=["w", "h", "n", "samples"]).astype({c: "Int32" for c in ("w", "h", "n")})
+                    rows.append((w, h, n, samples.astype(np.int32), None))
+                except (KeyError, ValueError, TypeError, IndexError, struct.error, zlib.error) as e:
+                    rows.append((None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["w", "h", "n", "samples", "error"]).astype({c: "Int32" for c in ("w", "h", "n")})
 
     return of(content, kind)
 
@@ -146,6 +75,36 @@ def verify(files: DataFrame) -> DataFrame:
     return files.withColumn("ok", _decoded(F.col("content"), F.col("format"))["w"].isNotNull())
 
 
+def undecodable(files: DataFrame, mode: str | None = None) -> DataFrame:
+    """(image_id, error) of the files that load_pixels() leaves out: no decoder, bad content, or another mode."""
+    found = files.withColumn("d", _decoded(F.col("content"), F.col("format")))
+    other = F.lit(None) if mode is None else F.when(F.col("d.n") != BANDS[mode], F.concat(F.lit(f"bands of mode {mode} wanted, found "), F.col("d.n").cast("string")))
+    return found.select("image_id", F.coalesce("d.error", other.cast("string")).alias("error")).where("error is not null")
+
+
+def exif(files: DataFrame) -> DataFrame:
+    """(image_id, exif, tags): the raw block and the whole numbers of its first directory, null and empty without."""
+    @F.pandas_udf("exif binary, tags map<int,bigint>")
+    def of(contents: pd.Series) -> pd.DataFrame:
+        blocks, tags = [], []
+        for c in contents:
+            try:
+                block = exif_of(c)
+                tags.append(exif_tags(block))
+                blocks.append(block)
+            except (ValueError, IndexError, struct.error):
+                blocks.append(None)
+                tags.append({})
+        return pd.DataFrame({"exif": pd.Series(blocks, dtype=object), "tags": pd.Series(tags, dtype=object)})
+
+    return files.withColumn("e", of("content")).select("image_id", "e.exif", "e.tags")
+
+
+def orientations(files: DataFrame) -> DataFrame:
+    """(image_id, orientation) for geometry.exif_transpose(); 1 where a file says nothing."""
+    return exif(files).select("image_id", F.coalesce(F.try_element_at("tags", F.lit(274)), F.lit(1)).cast("int").alias("orientation"))
+
+
 def load_pixels(files: DataFrame, mode: str) -> DataFrame:
     """Pixels of the files whose content decodes to as many bands as the mode has."""
     n = BANDS[mode]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +41,17 @@ def _byte(data: Column, at: Column) -> Column:
 
 def from_bytes(df: DataFrame, data: str, mode: str, size: tuple[int, int]) -> DataFrame:
     """Pixels of (image_id, data): packed bytes in row order; I as little-endian 32-bit, I;16 as 16-bit
-    integers, 1 as bits, the first the highest, rows filled to whole bytes."""
+    integers, F as little-endian 32-bit floats, 1 as bits, the first the highest, rows filled to whole bytes."""
     w, h = size
-    n = {"I": 4, "I;16": 2}.get(mode, BANDS[mode])
+    n = {"I": 4, "F": 4, "I;16": 2}.get(mode) or BANDS[mode]
     length = (w + 7) // 8 * h if mode == "1" else w * h * n
     checked = F.when(F.octet_length(data) == length, F.col(data)).otherwise(F.raise_error(F.lit("not enough image data")))
+    if mode == "F":
+        @F.pandas_udf("array<float>")
+        def floats(blocks: pd.Series) -> pd.Series:
+            return pd.Series([np.frombuffer(b, "<f4").astype(np.float32) for b in blocks], dtype=object)
+
+        return from_array(df.select("image_id", floats(checked).alias("d")), "d", size)
     frames = df.select("image_id", checked.alias("d"), F.lit(w).alias("w"), F.lit(h).alias("h"))
     pixels, d = grid(frames), F.col("d")
     first = (F.col("y") * w + F.col("x")) * n + 1
@@ -76,6 +84,14 @@ def to_bytes(df: DataFrame, mode: str = "L", rawmode: str | None = None) -> Data
         packed = df.groupBy("image_id", "w", "h", "y", F.floor(F.col("x") / 8).alias("x")).agg(byte.cast("int").alias("b0"))
         return to_bytes(packed)
     digits = lambda p: F.concat(*(F.lpad(F.hex(p[b]), 2, "0") for b in own))
+    if mode == "F":
+        @F.pandas_udf("binary")
+        def packed_floats(samples: pd.Series) -> pd.Series:
+            return pd.Series([np.asarray(x, "<f4").tobytes() for x in samples], dtype=object)
+
+        return to_frames(df.withColumn("b0", F.col("b0").cast("double"))).select("image_id", "w", "h", packed_floats("samples").alias("data"))
+    if mode == "I;16":
+        digits = lambda p: F.hex(F.reverse(F.unhex(F.lpad(F.hex(p["b0"]), 4, "0"))))
     if mode == "I":
         digits = lambda p: F.hex(F.reverse(F.unhex(F.lpad(F.right(F.hex(p["b0"].cast("bigint")), F.lit(8)), 8, "0"))))
     rows = df.groupBy("image_id", "w", "h").agg(F.array_sort(F.collect_list(F.struct("y", "x", *own))).alias("p"))
