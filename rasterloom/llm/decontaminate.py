@@ -107,14 +107,14 @@ class SeedFilter:
             self.table[at : at + _BLOCK // 8] = np.frombuffer(bytes(row["m"]), np.uint8)[: len(self.table) - at]
 
     def _probe(self, seed, k: int):
-        # Seeds are mixed hashes, so four ranges of their bits serve as probes. The bitmap functions count from 1.
-        return F.shiftrightunsigned(seed, 9 * k).bitwiseAND(F.lit(self.bits - 1)) + 1
+        # Seeds are sums of mixed hashes, so four ranges of their bits, which overlap little, serve as probes. The bitmap functions count from 1.
+        return F.shiftrightunsigned(seed, 12 * k).bitwiseAND(F.lit(self.bits - 1)) + 1
 
     def passes(self, seeds: np.ndarray, table: np.ndarray) -> np.ndarray:
         """The positions of seeds that may be in the filter."""
         found = np.arange(len(seeds))
         for k in range(_PROBES):
-            cell = ((seeds[found] >> np.uint64(9 * k)) & np.uint64(self.bits - 1)).astype(np.int64)
+            cell = ((seeds[found] >> np.uint64(12 * k)) & np.uint64(self.bits - 1)).astype(np.int64)
             found = found[(table[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1]
         return found
 
