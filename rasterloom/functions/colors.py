@@ -82,11 +82,23 @@ def getrgb(text: Column) -> Column:
     ))
 
 
+def _hsv(r: Column, g: Column, b: Column) -> tuple[Column, ...]:
+    """Hue, saturation and value, each cut to a whole number of 255ths."""
+    r, g, b = (v / 255.0 for v in (r, g, b))
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    away = lambda v: (top - v) / F.nullif(top - low, F.lit(0.0))
+    sixth = F.when(r == top, away(b) - away(g)).when(g == top, 2.0 + away(r) - away(b)).otherwise(4.0 + away(g) - away(r))
+    whole = lambda v: F.coalesce((v * 255.0).cast("int"), F.lit(0))
+    return whole(F.pmod(sixth / 6.0, F.lit(1.0))), whole((top - low) / F.nullif(top, F.lit(0.0))), whole(top)
+
+
 def getcolor(text: Column, mode: str) -> Column:
     """An array of the colour's components in the mode, from the unbounded rgb."""
     c = getrgb(text)
     if mode in ("L", "1", "I", "F", "I;16"):
         return F.array(luma(c["r"], c["g"], c["b"]))
+    if mode == "HSV":
+        return F.array(*_hsv(c["r"], c["g"], c["b"]))
     if mode == "LA":
         return F.array(luma(c["r"], c["g"], c["b"]), c["a"])
     return F.array(c["r"], c["g"], c["b"], *([c["a"]] if mode.endswith("A") else []))

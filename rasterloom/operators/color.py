@@ -137,6 +137,16 @@ def put_palette(frames: DataFrame, colours: Sequence[tuple[int, ...]]) -> DataFr
     return frames.select("image_id", F.explode(entries).alias("p")).select("image_id", "p.*")
 
 
+def apply_transparency(palette: DataFrame, transparency: int | Sequence[int]) -> DataFrame:
+    """Palette rows with alpha from an image's transparency: an index that is clear, or alphas of the first indices."""
+    if isinstance(transparency, int):
+        alpha = F.when(F.col("idx") == transparency, 0).otherwise(F.col("a"))
+    else:
+        known = F.array(*map(F.lit, transparency)) if transparency else F.array().cast("array<int>")
+        alpha = F.coalesce(F.try_element_at(known, F.col("idx") + 1), F.col("a"))
+    return palette.withColumn("a", alpha.cast("int"))
+
+
 def get_palette(palette: DataFrame, rawmode: str = "RGB") -> DataFrame:
     """(image_id, palette): the entries' bytes in the raw mode's order, as one array."""
     order = {"RGB": ("r", "g", "b"), "RGBA": ("r", "g", "b", "a"), "BGR": ("b", "g", "r"), "RGBX": ("r", "g", "b", "a")}[rawmode]

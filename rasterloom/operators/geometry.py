@@ -98,8 +98,10 @@ def crop_border(df: DataFrame, border: int) -> DataFrame:
     return moved(inside, x - border, y - border, w - 2 * border, h - 2 * border)
 
 
-def reduce(df: DataFrame, fx: int, fy: int | None = None) -> DataFrame:
-    """The mean of each block, in 24-bit fixed point; blocks at the far edges have their own count."""
+def reduce(df: DataFrame, fx: int, fy: int | None = None, box: Sequence[int] | None = None) -> DataFrame:
+    """The mean of each block, in 24-bit fixed point; blocks at the far edges have their own count. A box is cut out
+    first."""
+    df = crop(df, box) if box is not None else df
     fy = fx if fy is None else fy
     down = lambda c, f: F.floor(c / f).cast("int")
     own = bands(df)

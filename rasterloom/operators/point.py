@@ -134,3 +134,10 @@ def lut_table(size: tuple[int, int, int], fn: Callable[[float, float, float], tu
     """A table for color_lut_3d from a function of r, g, b in 0..1."""
     axis = lambda n: [v / max(1, n - 1) for v in range(n)]
     return [v for b in axis(size[2]) for g in axis(size[1]) for r in axis(size[0]) for v in fn(r, g, b)]
+
+
+def lut_transformed(size: tuple[int, int, int], table: Sequence[float], fn: Callable[..., Sequence[float]], with_normals: bool = False) -> list[float]:
+    """A table whose entries are fn of the old ones, with r, g, b of the entry's place before them if asked for."""
+    places = zip(*[iter(lut_table(size, lambda r, g, b: (r, g, b)))] * 3, strict=True)
+    entries = zip(*[iter(table)] * 3, strict=True)
+    return [v for place, entry in zip(places, entries, strict=True) for v in (fn(*place, *entry) if with_normals else fn(*entry))]

@@ -407,6 +407,13 @@ query("op_draw_chord", "s", lambda a: D.chord(a, (4, 4, 27, 27), 30, 200, [255],
 
 QUERIES["op_linear_gradient"] = lambda spark, _: X.linear_gradient(spark)
 ORACLE_SQL["op_linear_gradient"] = "SELECT CAST(0 AS BIGINT) AS image_id, 256 AS w, 256 AS h, CAST(a.i AS INTEGER) AS x, CAST(b.i AS INTEGER) AS y, CAST(b.i AS INTEGER) AS b0 FROM range(256) AS a(i), range(256) AS b(i)"
+for _m, _v in (("1", "CASE WHEN {} > 0 THEN 255 ELSE 0 END"), ("I", "{}"), ("F", "CAST({} AS FLOAT)")):
+    QUERIES[f"op_linear_gradient_{_m.lower()}"] = lambda spark, _, m=_m: X.linear_gradient(spark, m)
+    ORACLE_SQL[f"op_linear_gradient_{_m.lower()}"] = f"SELECT CAST(0 AS BIGINT) AS image_id, 256 AS w, 256 AS h, CAST(a.i AS INTEGER) AS x, CAST(b.i AS INTEGER) AS y, {_v.format('CAST(b.i AS INTEGER)')} AS b0 FROM range(256) a(i), range(256) b(i)"
+query("op_reduce_box", "s", lambda a: G.reduce(a, 4, 2, (4, 6, 20, 26)),
+      "SELECT image_id, 4 AS w, 10 AS h, CAST((x - 4) // 4 AS INTEGER) AS x, CAST((y - 6) // 2 AS INTEGER) AS y, CAST((sum(b0) + 4) // 8 AS INTEGER) AS b0 FROM s WHERE x BETWEEN 4 AND 19 AND y BETWEEN 6 AND 25 GROUP BY ALL")
+query("op_apply_transparency", "l", lambda a: C.apply_transparency(C.put_palette(a.select("image_id").distinct(), _PAL), (9, 200)).select("image_id", "idx", "a"),
+      ", i AS (SELECT DISTINCT image_id FROM l) SELECT image_id, CAST(k AS INTEGER) AS idx, a FROM i, (VALUES " + ", ".join(f"({k}, {(9, 200)[k] if k < 2 else 255})" for k in range(len(_PAL))) + ") AS t(k, a)")
 QUERIES["op_radial_gradient"] = lambda spark, _: X.radial_gradient(spark)
 ORACLE_SQL["op_radial_gradient"] = "SELECT CAST(0 AS BIGINT) AS image_id, 256 AS w, 256 AS h, CAST(a.i AS INTEGER) AS x, CAST(b.i AS INTEGER) AS y, CAST(least(255, floor(sqrt(((a.i - 128) * (a.i - 128) + (b.i - 128) * (b.i - 128)) * 2.0::DOUBLE))) AS INTEGER) AS b0 FROM range(256) AS a(i), range(256) AS b(i)"
 QUERIES["op_mandelbrot"] = lambda spark, _: X.mandelbrot(spark, (48, 32), (-2.25, -1.5, 1.5, 1.5), 30)

@@ -395,3 +395,34 @@ def test_streams_of_frames(spark, tmp_path):
     inverted.processAllAvailable()
     inverted.stop()
     assert sorted(r["b0"] for r in spark.sql("SELECT b0 FROM inv").collect()) == [225, 235, 245, 246, 248]
+
+
+def test_colour_strings_as_hsv(spark):
+    import colorsys
+
+    texts = ["rgb(12,200,37)", "#102030", "#fff", "#000", "rgb(255,0,0)", "rgb(10,10,200)", "rgb(200,10,190)"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", getcolor(F.col("t"), "RGB").alias("c"), getcolor(F.col("t"), "HSV").alias("hsv"))
+    for r in df.collect():
+        assert r["hsv"] == [int(v * 255) for v in colorsys.rgb_to_hsv(*(c / 255 for c in r["c"]))], r["t"]
+
+
+def test_array_interfaces(spark):
+    assert pixels.array_layout((5, 7), "|u1") == ("L", 7, 5) and pixels.array_layout((5,), ">f8") == ("F", 1, 5)
+    assert pixels.array_layout((5, 7, 4), "|u1", "CMYK") == ("CMYK", 7, 5)
+    for shape, kind, mode, error in (((2, 2, 5), "|u1", None, TypeError), ((2, 2), "<c8", None, TypeError), ((2, 2, 3), "|u1", "L", ValueError), ((), "|u1", None, IndexError)):
+        with pytest.raises(error):
+            pixels.array_layout(shape, kind, mode)
+    a = np.array([[1, -2, 300], [70_000, 5, 0]], ">i4")
+    out = arrays(pixels.from_typed_array(spark.createDataFrame([(1, a.tobytes())], "image_id bigint, d binary"), "d", a.shape, ">i4"))
+    assert np.array_equal(out[1][..., 0], a)
+    b = np.array([[True, False]])
+    out = arrays(pixels.from_typed_array(spark.createDataFrame([(1, b.tobytes())], "image_id bigint, d binary"), "d", b.shape, "|b1"))
+    assert out[1][..., 0].tolist() == [[255, 0]]
+
+
+def test_lut_transformed():
+    size = (2, 3, 2)
+    table = point.lut_table(size, lambda r, g, b: (r, g, b))
+    assert point.lut_transformed(size, table, lambda r, g, b: (b, g, r)) == point.lut_table(size, lambda r, g, b: (b, g, r))
+    mixed = point.lut_transformed(size, [0.5] * len(table), lambda nr, ng, nb, r, g, b: (nr * r, ng * g, nb * b), True)
+    assert mixed == [v * 0.5 for v in table]
