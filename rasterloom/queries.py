@@ -387,7 +387,16 @@ query("op_draw_ellipse", "s", lambda a: D.ellipse(a, (4, 6, 27, 21), [255]),
       _some(["CASE WHEN x BETWEEN 4 AND 27 AND y BETWEEN 6 AND 21 AND ((2 * x - 31) * 16) * ((2 * x - 31) * 16) + ((2 * y - 27) * 24) * ((2 * y - 27) * 24) <= 384 * 384 THEN 255 ELSE b0 END"], "s"))
 query("op_draw_polygon", "s", lambda a: D.polygon(a, [(5, 5), (25, 5), (25, 20), (5, 20)], [255]), _some(["CASE WHEN x BETWEEN 5 AND 25 AND y BETWEEN 5 AND 20 THEN 255 ELSE b0 END"], "s"))
 query("op_draw_bitmap", "s l", lambda a, m: D.bitmap(a, (3, 3), m, [250]), f"SELECT s.image_id, s.w, s.h, s.x, s.y, {_MIX('250', 's.b0', 'coalesce(m.b0, 0)')} AS b0 FROM s LEFT JOIN l m ON m.image_id = s.image_id AND s.x = m.x + 3 AND s.y = m.y + 3")
-query("op_draw_regular_polygon", "s", lambda a: D.regular_polygon(a, (16, 16), 10, 6, 15, fill=[255], outline=[0]))
+_CORNERS = [tuple(round(16 + 10 * f(math.radians(105 + 60 * k)), 2) for f in (math.cos, math.sin)) for k in range(6)]  # 30 + 90 - 15 degrees for the first
+_EDGES = ", ".join(f"({ax}::DOUBLE, {ay}::DOUBLE, {bx}::DOUBLE, {by}::DOUBLE)" for (ax, ay), (bx, by) in zip(_CORNERS, [*_CORNERS[1:], _CORNERS[0]], strict=True))
+query("op_draw_regular_polygon", "s", lambda a: D.regular_polygon(a, (16, 16), 10, 6, 15, fill=[255], outline=[0]), f"""
+    , e(ax, ay, tx, ty) AS (VALUES {_EDGES}), j AS (SELECT CAST(trunc(ax) AS INTEGER) AS x0, CAST(trunc(ay) AS INTEGER) AS y0, CAST(trunc(tx) AS INTEGER) AS x1, CAST(trunc(ty) AS INTEGER) AS y1 FROM e),
+    d AS (SELECT *, abs(x1 - x0) AS dx, abs(y1 - y0) AS dy, greatest(abs(x1 - x0), abs(y1 - y0)) AS n, least(abs(x1 - x0), abs(y1 - y0)) AS m FROM j),
+    k AS (SELECT *, unnest(range(n + 1)) AS k FROM d), q AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (2 * m * k + n) // (2 * n) END AS v FROM k),
+    lines AS (SELECT DISTINCT CAST(x0 + sign(x1 - x0) * CASE WHEN dy > dx THEN v ELSE k END AS INTEGER) AS x, CAST(y0 + sign(y1 - y0) * CASE WHEN dy > dx THEN k ELSE v END AS INTEGER) AS y FROM q),
+    cuts AS (SELECT y, ceil(min(ax + (y - ay) * (tx - ax) / (ty - ay)) - 0.5::DOUBLE) AS lo, floor(max(ax + (y - ay) * (tx - ax) / (ty - ay)) + 0.5::DOUBLE) AS hi FROM e, range(32) AS r(y) WHERE y >= least(ay, ty) AND y < greatest(ay, ty) GROUP BY y)
+    SELECT s.image_id, s.w, s.h, s.x, s.y, CAST(CASE WHEN lines.x IS NOT NULL THEN 0 WHEN s.x BETWEEN lo AND hi THEN 255 ELSE b0 END AS INTEGER) AS b0
+    FROM s LEFT JOIN lines ON lines.x = s.x AND lines.y = s.y LEFT JOIN cuts ON cuts.y = s.y""")
 def _rounded(x0: int, y0: int, x1: int, y1: int, r: int) -> str:
     """Inside a box with corners cut by circles around the pixels' middles."""
     dx, dy = f"least(x - {x0}, {x1} - x)", f"least(y - {y0}, {y1} - y)"
@@ -401,7 +410,10 @@ _DISC = lambda d: f"(2 * x - 31) * (2 * x - 31) + (2 * y - 31) * (2 * y - 31) <=
 _ANGLE = "(degrees(atan2((y - 15.5::DOUBLE) / 11.5::DOUBLE, (x - 15.5::DOUBLE) / 11.5::DOUBLE)) - 30 + 360) % 360 <= 170"
 query("op_draw_pieslice", "s", lambda a: D.pieslice(a, (4, 4, 27, 27), 30, 200, [255]), _some([f"CASE WHEN {_DISC(24)} AND {_ANGLE} THEN 255 ELSE b0 END"], "s"))
 query("op_draw_arc", "s", lambda a: D.arc(a, (4, 4, 27, 27), 30, 200, [255], 2), _some([f"CASE WHEN {_DISC(24)} AND NOT {_DISC(20)} AND {_ANGLE} THEN 255 ELSE b0 END"], "s"))
-query("op_draw_chord", "s", lambda a: D.chord(a, (4, 4, 27, 27), 30, 200, [255], [0]))
+_ENDS = [15.5 + 11.5 * f(math.radians(t)) for t in (30, 200) for f in (math.cos, math.sin)]
+_SIDE = f"(x - CAST({_ENDS[0]!r} AS DOUBLE)) * CAST({_ENDS[3] - _ENDS[1]!r} AS DOUBLE) - (y - CAST({_ENDS[1]!r} AS DOUBLE)) * CAST({_ENDS[2] - _ENDS[0]!r} AS DOUBLE) >= 0"
+query("op_draw_chord", "s", lambda a: D.chord(a, (4, 4, 27, 27), 30, 200, [255], [0]),
+      _some([f"CASE WHEN x BETWEEN 4 AND 25 AND y = 21 - (20 * (25 - x) + 21) // 42 THEN 0 WHEN {_DISC(24)} AND NOT {_DISC(22)} AND {_ANGLE} THEN 0 WHEN {_DISC(24)} AND {_SIDE} THEN 255 ELSE b0 END"], "s"))
 
 # --- generators, bytes, serial operators --------------------------------------------------------------
 
