@@ -186,7 +186,10 @@ def scanned(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, kno
     parts = F.array_distinct(F.transform(raw, normalised))
     parts = F.filter(parts, lambda s: spacious(s) | (telling(s) & (gaps(s) >= least(map(len, short)))))
     sets = F.filter(F.transform(parts, lambda s: F.struct(s.alias("s"), bigrams(s).alias("g"))), lambda x: F.size(x["g"]) <= high)
-    sets = F.when(roomy(body) | telling(F.lower(body)), sets)
+    # A text without a word that some long template needs has no segment for any of them.
+    needs = telling_words([g for _, g in known if len(g) >= LONG], threshold)
+    likely = F.exists(F.split(normalised(body), " ", -1), lambda w: w.isin(needs)) if needs else F.lit(False)
+    sets = F.when(telling(F.lower(body)) | (roomy(body) & likely), sets)
     with_sets = df.withColumn("__sets", sets)
 
     def dice(x: Column) -> Column:
