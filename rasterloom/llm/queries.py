@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batch_bpe import BatchBPE
 from .byte_bpe import ByteBPE
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .language_id import identified
 from .license_scan import THRESHOLD, scanned, templates
 from .lm_score import MaskedScorer
+from .periodic_runs import with_runs
 from .pii import pseudonymised
 from .simhash_dedup import near_duplicates
 from .substring_dedup import without_repeats
 from .url_filter import ALLOW, BLOCK, filtered
+from .whitening import Whitening
 
 #: (host, path, verdict).
 URL_RULES = [
@@ -104,11 +107,70 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MaskedScorer().fit(documents).score(documents).select("doc_id", "n_tokens", "score", "mean_score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    fitted = Whitening().fit(embeddings)
+    explained = F.array(*map(F.lit, fitted.explained)).cast("array<double>")
+    rows = fitted.transform(embeddings).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return rows.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(fitted.n).cast("bigint").alias("n"),
+        F.col("deviation").try_cast("bigint").alias("deviation"),
+        "whitened",
+        F.get(explained, F.col("place")).alias("explained"),
+        F.lit(fitted.identity_error).alias("identity_error"),
+    )
+
+
+def periodic_tails(documents: DataFrame) -> DataFrame:
+    """The documents with the periodic tails that op12's contract gives to those whose crc32 ends in 0."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    marked = documents.withColumn("__w", F.when(crc % 10 == 0, words)).withColumn("__g", F.floor(crc / 10))
+    n = F.size("__w")
+    a = (F.col("__g") % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (3 + F.col("__g") % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("__w", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.array_join(F.concat(F.slice("__w", F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+    return marked.withColumn("text", F.when(n > 0, changed).otherwise(F.col("text"))).drop("__w", "__g")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_runs(periodic_tails(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("b"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.b")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / (-F.col("best.p"))).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_batch_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    bpe = BatchBPE(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_url_filter, op3_pii_pseudonyms, op4_simhash_dedup, op5_decontaminate,
         op6_license_scan, op7_substring_dedup, op8_byte_bpe, op9_exact_dedup, op10_lm_score,
+        op11_whitening, op12_periodic_runs, op13_batch_bpe,
     )
 }
 
