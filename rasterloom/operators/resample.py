@@ -97,8 +97,7 @@ def _pass(df: DataFrame, table: DataFrame, axis: str, exact: bool) -> DataFrame:
 def resize_plan(df: DataFrame, plan: Sequence[Column], resample: str, alpha: bool = False, exact: bool = False) -> DataFrame:
     """df by a plan of columns (out_w, out_h, x0, y0, x1, y1) of an image's w and h: its size and its box."""
     if alpha and resample != "NEAREST":
-        last = bands(df)[-1]
-        df = df.withColumns({b: muldiv255(F.col(b), F.col(last)) for b in bands(df)[:-1]})
+        df = _premultiplied(df)
     kinds = ("int", "int", *["double"] * 4)
     df = df.withColumns({n: c.cast(k) for n, c, k in zip(_PLAN, plan, kinds, strict=True)})
     tables = {axis: _table(df, axis, resample) for axis in ("x", "y")}
@@ -106,9 +105,7 @@ def resize_plan(df: DataFrame, plan: Sequence[Column], resample: str, alpha: boo
         df = _pass(df, table, axis, exact)
     df = df.select(*KEYS, *bands(df))
     if alpha and resample != "NEAREST":
-        a = F.col(bands(df)[-1])
-        back = lambda v: F.when((a == 0) | (a == 255), v).otherwise(clip(F.floor(v * 255 / F.greatest(a, F.lit(1)))))
-        df = df.withColumns({b: back(F.col(b)) for b in bands(df)[:-1]})
+        df = _unmultiplied(df)
     return df
 
 
@@ -190,29 +187,57 @@ def scale(df: DataFrame, factor: float, resample: str = "BICUBIC") -> DataFrame:
     return resize_plan(df, _whole(size("w"), size("h")), resample) if factor != 1 else df
 
 
-def _sampled(places: DataFrame, df: DataFrame, resample: str, fill: Sequence[int]) -> DataFrame:
+#: Taps a side of the filters that sample at a place, and the first one's offset.
+SAMPLERS = {"NEAREST": (1, 0), "BILINEAR": (2, 0), "BICUBIC": (4, -1)}
+
+
+def _premultiplied(df: DataFrame) -> DataFrame:
+    last = bands(df)[-1]
+    return df.withColumns({b: muldiv255(F.col(b), F.col(last)) for b in bands(df)[:-1]})
+
+
+def _unmultiplied(df: DataFrame) -> DataFrame:
+    a = F.col(bands(df)[-1])
+    back = lambda v: F.when((a == 0) | (a == 255), v).otherwise(clip(F.floor(v * 255 / F.greatest(a, F.lit(1)))))
+    return df.withColumns({b: back(F.col(b)) for b in bands(df)[:-1]})
+
+
+def _mixed(v: Sequence[Column], d: Column) -> Column:
+    """Two values by their share, or four by the cubic with a = -1 between the middle ones. Equal values give just that value."""
+    if len(v) == 2:
+        return v[0] + (v[1] - v[0]) * d
+    return v[1] + d * ((v[2] - v[0]) + d * ((2 * (v[0] - v[1]) + v[2] - v[3]) + d * (v[1] - v[0] + v[3] - v[2])))
+
+
+def _sampled(places: DataFrame, df: DataFrame, resample: str, fill: Sequence[int], alpha: bool = False, exact: bool = False) -> DataFrame:
     """Samples of df at the places (image_id, w, h, x, y, sx, sy): sx and sy are doubles, a pixel's middle
-    at .5. Places outside the image get the fill."""
+    at .5. Places outside the image get the fill; taps beyond its edge are the edge's. ``alpha``: the last band is alpha,
+    samples are weighted by it, the fill is taken as weighted. ``exact``: samples are I or F, without bounds."""
+    if resample not in SAMPLERS:
+        raise ValueError(f"{resample} does not sample at a place; {', '.join(SAMPLERS)} do")
+    if alpha and resample != "NEAREST":
+        return _unmultiplied(_sampled(places, _premultiplied(df), resample, fill))
     own = bands(df)
     source = df.select("image_id", F.col("w").alias("iw"), F.col("h").alias("ih"), F.col("x").alias("px"), F.col("y").alias("py"), *own)
     if resample == "NEAREST":
         at = places.withColumns({"px": F.floor("sx").cast("int"), "py": F.floor("sy").cast("int")})
         joined = at.join(source, ["image_id", "px", "py"], "left")
         return joined.select(*KEYS, *(F.coalesce(F.col(b), F.lit(v)).alias(b) for b, v in zip(own, fill, strict=True)))
+    taps, first = SAMPLERS[resample]
     frame = sizes(df).select("image_id", F.col("w").alias("iw"), F.col("h").alias("ih"))
     inside = places.join(frame, "image_id").where("sx >= 0 and sy >= 0 and sx < iw and sy < ih")
     x, y = F.col("sx") - 0.5, F.col("sy") - 0.5
-    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1))))
-    near = lambda v, k, n: F.greatest(F.lit(0), F.least(F.floor(v).cast("int") + k, F.col(n) - 1))
-    four = inside.withColumn("c", corner).withColumns({"px": near(x, F.col("c.i"), "iw"), "py": near(y, F.col("c.j"), "ih")})
-    joined = four.join(source.drop("iw", "ih"), ["image_id", "px", "py"])
-    cases = [F.max(F.when((F.col("c.i") == i) & (F.col("c.j") == j), F.col(b))).alias(f"{b}{i}{j}") for b in own for j in (0, 1) for i in (0, 1)]
-    at = joined.groupBy("image_id", "x", "y", "sx", "sy").agg(*cases)
+    tap = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in range(taps) for i in range(taps))))
+    near = lambda v, k, n: F.greatest(F.lit(0), F.least(F.floor(v).cast("int") + first + k, F.col(n) - 1))
+    some = inside.withColumn("c", tap).withColumns({"px": near(x, F.col("c.i"), "iw"), "py": near(y, F.col("c.j"), "ih")})
+    joined = some.join(source.drop("iw", "ih"), ["image_id", "px", "py"])
+    case = lambda b, i, j: F.max(F.when((F.col("c.i") == i) & (F.col("c.j") == j), F.col(b))).alias(f"{b}{i}{j}")
+    at = joined.groupBy("image_id", "x", "y", "sx", "sy").agg(*(case(b, i, j) for b in own for j in range(taps) for i in range(taps)))
     fx, fy = x - F.floor(x), y - F.floor(y)
 
     def value(b: str) -> Column:
-        line = lambda j: F.col(f"{b}0{j}") + (F.col(f"{b}1{j}") - F.col(f"{b}0{j}")) * fx
-        return clip(line(0) + (line(1) - line(0)) * fy)
+        mixed = _mixed([_mixed([F.col(f"{b}{i}{j}") for i in range(taps)], fx) for j in range(taps)], fy)
+        return mixed if exact else clip(mixed)
 
     found = at.select("image_id", "x", "y", *(value(b).alias(b) for b in own))
     whole = places.select(*KEYS).join(found, ["image_id", "x", "y"], "left")
@@ -224,7 +249,7 @@ def _places(df: DataFrame, size: tuple[int, int] | None) -> DataFrame:
     return grid(frames)
 
 
-def transform_affine(df: DataFrame, size: tuple[int, int], c: Sequence[float], resample: str = "NEAREST", fill: Sequence[int] | None = None) -> DataFrame:
+def transform_affine(df: DataFrame, size: tuple[int, int], c: Sequence[float], resample: str = "NEAREST", fill: Sequence[int] | None = None, alpha: bool = False) -> DataFrame:
     """Each place's sample is from (c0 x + c1 y + c2, c3 x + c4 y + c5), taken at the middle of pixels; the
     nearest one's place is in 16-bit fixed point."""
     fill = [0] * len(bands(df)) if fill is None else fill
@@ -234,15 +259,17 @@ def transform_affine(df: DataFrame, size: tuple[int, int], c: Sequence[float], r
         sx, sy = ((x * F.lit(fix[k]).cast("bigint") + y * F.lit(fix[k + 1]).cast("bigint") + F.lit(fix[k + 2]).cast("bigint")) / 65536.0 for k in (0, 3))
     else:
         sx, sy = (F.lit(float(c[k])) * (x + 0.5) + F.lit(float(c[k + 1])) * (y + 0.5) + F.lit(float(c[k + 2])) for k in (0, 3))
-    return _sampled(_places(df, size).withColumns({"sx": sx, "sy": sy}), df, resample, fill)
+    return _sampled(_places(df, size).withColumns({"sx": sx, "sy": sy}), df, resample, fill, alpha)
 
 
 def rotate(df: DataFrame, angle: float, resample: str = "NEAREST", expand: bool = False, center: tuple[float, float] | None = None,
-           translate: tuple[float, float] = (0, 0), fill: Sequence[int] | None = None) -> DataFrame:
+           translate: tuple[float, float] = (0, 0), fill: Sequence[int] | None = None, alpha: bool = False) -> DataFrame:
     """Counter-clockwise by degrees around the middle (or a centre), on the same canvas or on one that holds
     all of it. Each image by its own size."""
     from .geometry import transpose
 
+    if resample not in SAMPLERS:
+        raise ValueError(f"{resample} does not sample at a place; {', '.join(SAMPLERS)} do")
     angle = angle % 360.0
     plain = center is None and tuple(translate) == (0, 0)
     if plain and angle == 0:
@@ -274,15 +301,15 @@ def rotate(df: DataFrame, angle: float, resample: str = "NEAREST", expand: bool
     else:
         at = lambda p, q, r: (x + 0.5) * p + (y + 0.5) * q + F.col(r)
     places = grid(frames).withColumns({"sx": at(a, b, "c"), "sy": at(d, e, "f")})
-    return _sampled(places.select(*KEYS, "sx", "sy"), df, resample, fill)
+    return _sampled(places.select(*KEYS, "sx", "sy"), df, resample, fill, alpha)
 
 
-def transform_perspective(df: DataFrame, size: tuple[int, int], c: Sequence[float], resample: str = "NEAREST", fill: Sequence[int] | None = None) -> DataFrame:
+def transform_perspective(df: DataFrame, size: tuple[int, int], c: Sequence[float], resample: str = "NEAREST", fill: Sequence[int] | None = None, alpha: bool = False) -> DataFrame:
     fill = [0] * len(bands(df)) if fill is None else fill
     x, y = F.col("x") + 0.5, F.col("y") + 0.5
     below = x * float(c[6]) + y * float(c[7]) + 1.0
     at = lambda k: (x * float(c[k]) + y * float(c[k + 1]) + float(c[k + 2])) / below
-    return _sampled(_places(df, size).withColumns({"sx": at(0), "sy": at(3)}), df, resample, fill)
+    return _sampled(_places(df, size).withColumns({"sx": at(0), "sy": at(3)}), df, resample, fill, alpha)
 
 
 def quad_coefficients(size: tuple[int, int], quad: Sequence[float]) -> list[float]:
@@ -296,7 +323,7 @@ def quad_coefficients(size: tuple[int, int], quad: Sequence[float]) -> list[floa
     return out
 
 
-def transform_mesh(df: DataFrame, size: tuple[int, int], mesh: Sequence[tuple[Sequence[int], Sequence[float]]], resample: str = "NEAREST", fill: Sequence[int] | None = None) -> DataFrame:
+def transform_mesh(df: DataFrame, size: tuple[int, int], mesh: Sequence[tuple[Sequence[int], Sequence[float]]], resample: str = "NEAREST", fill: Sequence[int] | None = None, alpha: bool = False) -> DataFrame:
     """Boxes of the target, each from a quadrilateral of the source; places in no box get the fill. Of boxes
     that overlap the last counts. The mesh is the caller's list: cases of one projection."""
     fill = [0] * len(bands(df)) if fill is None else fill
@@ -308,8 +335,8 @@ def transform_mesh(df: DataFrame, size: tuple[int, int], mesh: Sequence[tuple[Se
         inside = (x >= box[0]) & (x < box[2]) & (y >= box[1]) & (y < box[3])
         at = lambda k, c=c, u=u, v=v: F.lit(float(c[k])) + u * float(c[k + 1]) + v * float(c[k + 2]) + u * v * float(c[k + 3])
         sx, sy = F.when(inside, at(0)).otherwise(sx), F.when(inside, at(4)).otherwise(sy)
-    return _sampled(_places(df, size).withColumns({"sx": sx, "sy": sy}), df, resample, fill)
+    return _sampled(_places(df, size).withColumns({"sx": sx, "sy": sy}), df, resample, fill, alpha)
 
 
-def transform_quad(df: DataFrame, size: tuple[int, int], quad: Sequence[float], resample: str = "NEAREST", fill: Sequence[int] | None = None) -> DataFrame:
-    return transform_mesh(df, size, [((0, 0, *size), quad)], resample, fill)
+def transform_quad(df: DataFrame, size: tuple[int, int], quad: Sequence[float], resample: str = "NEAREST", fill: Sequence[int] | None = None, alpha: bool = False) -> DataFrame:
+    return transform_mesh(df, size, [((0, 0, *size), quad)], resample, fill, alpha)

@@ -255,6 +255,39 @@ query("op_transform_quad", "l", lambda a: S.transform_quad(a, (4, 4), (0, 0, 0,
 query("op_transform_mesh", "l", lambda a: S.transform_mesh(a, (8, 8), [((0, 0, 4, 8), (4, 0, 4, 8, 8, 8, 8, 0)), ((4, 0, 8, 4), (0, 0, 0, 4, 4, 4, 4, 0))], fill=[1]),
       "SELECT image_id, w, h, x, y, CASE WHEN x >= 4 AND y >= 4 THEN 1 WHEN x < 4 THEN (SELECT b0 FROM l m WHERE m.image_id = l.image_id AND m.x = l.x + 4 AND m.y = l.y) ELSE (SELECT b0 FROM l m WHERE m.image_id = l.image_id AND m.x = l.x - 4 AND m.y = l.y) END AS b0 FROM l")
 
+
+def _cubic(v: list[str], d: str) -> str:
+    a, b, c, e = v
+    return f"({b} + {d} * (({c} - {a}) + {d} * ((2 * ({a} - {b}) + {c} - {e}) + {d} * ({b} - {a} + {e} - {c}))))"
+
+
+def _bicubic(source: str, n: int, size: int, out: tuple[int, int], places: str, fill: str = "0", extra: str = "", back: Callable[[int], str] = "b{}".format) -> str:
+    """SQL of sixteen taps around (sx, sy), which places gives for gx and gy (with i, o in scope)."""
+    near = lambda v, k: f"greatest(0, least({size - 1}, floor({v} - 0.5::DOUBLE) + {k} - 1))"
+    taps = ", ".join(f"CAST(max(CASE WHEN i = {i} AND j = {j} THEN b{k} END) AS DOUBLE) AS t{k}{i}{j}" for k in range(n) for j in range(4) for i in range(4))
+    value = lambda k: CLIP(_cubic([_cubic([f"t{k}{i}{j}" for i in range(4)], "fx") for j in range(4)], "fy"))
+    own = ", ".join(f"CASE WHEN v.image_id IS NULL THEN {fill} ELSE {value(k)} END AS b{k}" for k in range(n))
+    return f"""{extra}, i AS (SELECT DISTINCT image_id FROM {source}), {places},
+    n AS (SELECT image_id, gx, gy, i, j, {near('sx', 'i')} AS px, {near('sy', 'j')} AS py, (sx - 0.5::DOUBLE) - floor(sx - 0.5::DOUBLE) AS fx, (sy - 0.5::DOUBLE) - floor(sy - 0.5::DOUBLE) AS fy
+          FROM g, range(4) AS a(i), range(4) AS b(j) WHERE sx >= 0 AND sy >= 0 AND sx < {size} AND sy < {size}),
+    v AS (SELECT n.image_id, gx, gy, fx, fy, {taps} FROM n JOIN {source} p ON p.image_id = n.image_id AND p.x = px AND p.y = py GROUP BY ALL),
+    z AS (SELECT g.image_id, {out[0]} AS w, {out[1]} AS h, CAST(g.gx AS INTEGER) AS x, CAST(g.gy AS INTEGER) AS y, {own} FROM g LEFT JOIN v ON v.image_id = g.image_id AND v.gx = g.gx AND v.gy = g.gy)
+    SELECT {PLACE}, {', '.join(f'CAST({back(k)} AS INTEGER) AS b{k}' for k in range(n))} FROM z"""
+
+
+_COS, _SIN = (f"CAST({round(v, 15)!r} AS DOUBLE)" for v in (math.cos(-math.pi / 6), math.sin(-math.pi / 6)))
+_TURN = lambda n: f"""o AS (SELECT -{n} * {_COS} + -{n} * {_SIN} + {n} AS c, -{n} * -({_SIN}) + -{n} * {_COS} + {n} AS f),
+    g AS (SELECT image_id, gx, gy, {_COS} * (gx + 0.5::DOUBLE) + {_SIN} * (gy + 0.5::DOUBLE) + c AS sx, -({_SIN}) * (gx + 0.5::DOUBLE) + {_COS} * (gy + 0.5::DOUBLE) + f AS sy FROM i, o, range({2 * n}) AS a(gx), range({2 * n}) AS b(gy))"""
+query("op_rotate_bicubic", "s", lambda a: S.rotate(a, 30, "BICUBIC", fill=[7]), _bicubic("s", 1, 32, (32, 32), _TURN(16), "7"))
+query("op_rotate_bicubic_rgba", "rgba", lambda a: S.rotate(a, 30, "BICUBIC", alpha=True),
+      _bicubic("m", 4, 8, (8, 8), _TURN(4), extra=_MULTIPLIED, back=lambda k: "b3" if k == 3 else f"CASE WHEN b3 IN (0, 255) THEN b{k} ELSE least(255, b{k} * 255 // greatest(b3, 1)) END"))
+query("op_transform_affine_bicubic", "rgb", lambda a: S.transform_affine(a, (11, 9), (0.5, 0.25, 1, -0.25, 0.75, 2.25), "BICUBIC"),
+      _bicubic("rgb", 3, 8, (11, 9), "g AS (SELECT image_id, gx, gy, 0.5::DOUBLE * (gx + 0.5::DOUBLE) + 0.25::DOUBLE * (gy + 0.5::DOUBLE) + 1 AS sx, -0.25::DOUBLE * (gx + 0.5::DOUBLE) + 0.75::DOUBLE * (gy + 0.5::DOUBLE) + 2.25::DOUBLE AS sy FROM i, range(11) AS a(gx), range(9) AS b(gy))"))
+query("op_transform_perspective_bicubic", "l", lambda a: S.transform_perspective(a, (8, 8), (1, 0, 0, 0, 1, 0, 0.0625, 0), "BICUBIC"),
+      _bicubic("l", 1, 8, (8, 8), "g AS (SELECT image_id, gx, gy, (gx + 0.5::DOUBLE) / ((gx + 0.5::DOUBLE) * 0.0625::DOUBLE + 1) AS sx, (gy + 0.5::DOUBLE) / ((gx + 0.5::DOUBLE) * 0.0625::DOUBLE + 1) AS sy FROM i, range(8) AS a(gx), range(8) AS b(gy))"))
+query("op_transform_quad_bicubic", "l", lambda a: S.transform_quad(a, (4, 4), (1, 0, 0, 8, 8, 7, 6, 1), "BICUBIC"),
+      _bicubic("l", 1, 8, (4, 4), "g AS (SELECT image_id, gx, gy, 1 + (gx + 0.5::DOUBLE) * 1.25::DOUBLE + (gy + 0.5::DOUBLE) * -0.25::DOUBLE + (gx + 0.5::DOUBLE) * (gy + 0.5::DOUBLE) * 0.1875::DOUBLE AS sx, (gx + 0.5::DOUBLE) * 0.25::DOUBLE + (gy + 0.5::DOUBLE) * 2 + (gx + 0.5::DOUBLE) * (gy + 0.5::DOUBLE) * -0.125::DOUBLE AS sy FROM i, range(4) AS a(gx), range(4) AS b(gy))"))
+
 # --- two images ---------------------------------------------------------------------------------------
 
 _D = lambda a, b: f"trunc(({a}) / CAST({b} AS DOUBLE))"

@@ -426,3 +426,27 @@ def test_lut_transformed():
     assert point.lut_transformed(size, table, lambda r, g, b: (b, g, r)) == point.lut_table(size, lambda r, g, b: (b, g, r))
     mixed = point.lut_transformed(size, [0.5] * len(table), lambda nr, ng, nb, r, g, b: (nr * r, ng * g, nb * b), True)
     assert mixed == [v * 0.5 for v in table]
+
+
+def test_only_three_filters_sample_at_a_place(spark):
+    from rasterloom.operators import resample as S
+
+    df = spark.createDataFrame([(1, 2, 2, x, y, x + y) for x in (0, 1) for y in (0, 1)], "image_id int, w int, h int, x int, y int, b0 int")
+    for call in (lambda f: S.rotate(df, 30, f), lambda f: S.transform_affine(df, (2, 2), (1, 0, 0, 0, 1, 0), f), lambda f: S.transform_quad(df, (2, 2), (0, 0, 0, 2, 2, 2, 2, 0), f)):
+        for name in ("LANCZOS", "BOX", "HAMMING", "bicubic", "NO_SUCH"):
+            with pytest.raises(ValueError):
+                call(name)
+
+
+def test_bicubic_samples_of_images_of_many_sizes(spark):
+    """Flat images stay flat to the edge, one pixel wide or more; pixel middles give the pixels."""
+    from rasterloom.operators import resample as S
+
+    rng = random.Random(8)
+    images = {k: (w, h, [[rng.randrange(256) for _ in range(w)] for _ in range(h)]) for k, (w, h) in enumerate([(1, 1), (2, 3), (7, 5)])}
+    rows = [(k, w, h, x, y, v[y][x], 99) for k, (w, h, v) in images.items() for y in range(h) for x in range(w)]
+    df = spark.createDataFrame(rows, "image_id int, w int, h int, x int, y int, b0 int, b1 int")
+    same = {(r["image_id"], r["x"], r["y"]): (r["b0"], r["b1"]) for r in S.rotate(df, 0.0, "BICUBIC", center=(0, 0)).collect()}
+    assert same == {(k, x, y): (a, b) for k, _, _, x, y, a, b in rows}
+    turned = S.rotate(df, 17, "BICUBIC", fill=[0, 99]).collect()
+    assert len(turned) == len(rows) and {r["b1"] for r in turned} == {99}
