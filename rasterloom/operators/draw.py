@@ -1,19 +1,86 @@
-"""Drawing. A shape's cover is a predicate of the place, or spans (y, x0, x1) made from its parameters on
-the driver and looked up by row; drawing is one projection of cases, and chained drawings collapse."""
+"""Drawing. A shape is rows of spans (functions.shapes), made from its parameters on the driver; drawing is one
+projection that looks spans up by row: in a literal map where they are few, by a join with a small relation of them
+where they are more. Fill and outline are one look-up, and what they share is settled before."""
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import shapes as S
 from ..functions.samples import clip, quotient
+from ..functions.shapes import Point, Span
 from ..relation import KEYS, bands
 
-Point = tuple[float, float]
-Span = tuple[int, int, int]
+#: Spans that a plan holds as literals; more are joined, and up to the second number broadcast.
+LITERAL_SPANS, BROADCAST_SPANS = 256, 1_000_000
+
+
+class Layers:
+    """Coats of paint, the last on top. A coat's spans may differ in rows that are an image's last."""
+
+    def __init__(self) -> None:
+        self.paints: list[Sequence[int]] = []
+        #: row (or -1 - row where it is the image's last) -> layer -> pieces.
+        self.rows: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(dict)
+        self.last: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(dict)
+
+    def paint(self, fill: Sequence[int] | None, spans: Iterable[Span], final: Iterable[Span] = ()) -> Layers:
+        if fill is not None:
+            layer = len(self.paints)
+            self.paints.append(fill)
+            for to, own in ((self.rows, spans), (self.last, final)):
+                for y, a, b in own:
+                    if y >= 0:
+                        to[y].setdefault(layer, []).append((a, b))
+        return self
+
+    def resolved(self) -> dict[int, list[tuple[int, int, int]]]:
+        """key -> disjoint (a, b, layer): what is on top."""
+        out = {y: _topmost(own) for y, own in self.rows.items()}
+        out |= {-1 - y: _topmost(self.rows.get(y, {}) | own) for y, own in self.last.items()}
+        return {k: v for k, v in out.items() if v or k < 0}
+
+    def on(self, df: DataFrame) -> DataFrame:
+        rows = self.resolved()
+        if not rows:
+            return df
+        special = sorted(-1 - k for k in rows if k < 0)
+        y = F.col("y")
+        key = F.when((y == F.col("h") - 1) & y.isin(special), -1 - y).otherwise(y) if special else y
+        count = sum(map(len, rows.values()))
+        if count <= LITERAL_SPANS:
+            piece = lambda p: F.struct(*(F.lit(v).alias(n) for n, v in zip("abk", p, strict=True)))
+            none = F.array().cast("array<struct<a:int,b:int,k:int>>")
+            entries = [v for k, own in sorted(rows.items()) for v in (F.lit(k), F.array(*map(piece, own)) if own else none)]
+            hit = F.filter(F.try_element_at(F.create_map(*entries), key), lambda p: F.col("x").between(p["a"], p["b"]))
+            found = df.withColumn("__layer", F.get(hit, F.lit(0))["k"])
+        else:
+            table = df.sparkSession.createDataFrame([(k, *p) for k, own in rows.items() for p in own], "__row int, __a int, __b int, __layer int")
+            table = F.broadcast(table) if count <= BROADCAST_SPANS else table
+            found = df.withColumn("__key", key).join(table, (F.col("__key") == F.col("__row")) & F.col("x").between(F.col("__a"), F.col("__b")), "left")
+        own = bands(df)
+        value = {b: F.col(b) for b in own}
+        for k, fill in enumerate(self.paints):
+            value = {b: F.when(F.col("__layer") == k, v).otherwise(value[b]) for b, v in zip(own, fill, strict=True)}
+        return found.select(*(value[c].alias(c) if c in value else F.col(c) for c in df.columns))
+
+
+def _topmost(layers: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
+    out: list[tuple[int, int, int]] = []
+    for k in sorted(layers, reverse=True):
+        for a, b in S.merged(p for p in layers[k] if p[0] <= p[1]):
+            for c, d, _ in sorted(p for p in out if p[1] >= a and p[0] <= b):
+                if a < c:
+                    out.append((a, c - 1, k))
+                a = d + 1
+            if a <= b:
+                out.append((a, b, k))
+    return sorted(out)
 
 
 def _painted(df: DataFrame, cover: Column, fill: Sequence[int]) -> DataFrame:
@@ -21,128 +88,49 @@ def _painted(df: DataFrame, cover: Column, fill: Sequence[int]) -> DataFrame:
     return df.withColumns({b: F.when(cover, v).otherwise(F.col(b)) for b, v in zip(own, fill, strict=True)})
 
 
-def _covered(spans: Iterable[Span]) -> Column:
-    """Whether a place is in one of the spans: a literal map from row to its spans."""
-    rows: dict[int, list[tuple[int, int]]] = {}
-    for y, a, b in spans:
-        if b >= a:
-            rows.setdefault(y, []).append((a, b))
-    if not rows:
-        return F.lit(False)
-    entries = [v for y, own in sorted(rows.items()) for v in (F.lit(y), F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in own)))]
-    own = F.try_element_at(F.create_map(*entries), F.col("y"))
-    return F.coalesce(F.exists(own, lambda s: F.col("x").between(s["a"], s["b"])), F.lit(False))
+def _stroke(fill: Sequence[int] | None, outline: Sequence[int] | None, width: int) -> Sequence[int] | None:
+    """The outline's paint, if it is to be seen."""
+    return None if width < 1 or (fill is not None and outline is not None and list(outline) == list(fill)) else outline
 
 
 def points(df: DataFrame, xy: Sequence[Point], fill: Sequence[int]) -> DataFrame:
-    return _painted(df, _covered((int(y), int(x), int(x)) for x, y in xy), fill)
-
-
-def line_points(a: Point, b: Point) -> list[tuple[int, int]]:
-    """The places of a thin line: one for each step along its longer side."""
-    x0, y0, x1, y1 = int(a[0]), int(a[1]), int(b[0]), int(b[1])
-    dx, dy = abs(x1 - x0), abs(y1 - y0)
-    steep = dy > dx
-    if steep:
-        x0, y0, x1, y1, dx, dy = y0, x0, y1, x1, dy, dx
-    step_u, step_v = (1 if x1 >= x0 else -1), (1 if y1 >= y0 else -1)
-    out, error, v = [], 2 * dy - dx, y0
-    for k in range(dx + 1):
-        u = x0 + k * step_u
-        out.append((v, u) if steep else (u, v))
-        if error >= 0:
-            v += step_v
-            error -= 2 * dx
-        error += 2 * dy
-    return out
+    return Layers().paint(fill, ((int(y), int(x), int(x)) for x, y in xy)).on(df)
 
 
 def line(df: DataFrame, xy: Sequence[Point], fill: Sequence[int], width: int = 1) -> DataFrame:
-    """A chain of lines; wide ones are rectangles around their middle."""
-    spans: list[Span] = []
+    """A chain of lines; wide ones are polygons around their middle, an even width a pixel wider on one side."""
+    layers = Layers()
     for a, b in zip(xy, xy[1:], strict=False):
-        if width <= 1:
-            spans += [(y, x, x) for x, y in line_points(a, b)]
-        else:
-            length = math.hypot(b[0] - a[0], b[1] - a[1]) or 1.0
-            far, near = (width - 1 + 1) // 2, (width - 1) // 2
-            px, py = (b[1] - a[1]) / length, (b[0] - a[0]) / length
-            corners = [(a[0] - round(px * near), a[1] + round(py * far)), (b[0] - round(px * near), b[1] + round(py * far)),
-                       (b[0] + round(px * far), b[1] - round(py * near)), (a[0] + round(px * far), a[1] - round(py * near))]
-            spans += polygon_spans(corners)
-    return _painted(df, _covered(spans), fill)
-
-
-def _ring(outer: Column, inner: Column, fill, outline, width: int, df: DataFrame) -> DataFrame:
-    if fill is not None:
-        df = _painted(df, outer, fill)
-    return _painted(df, outer & ~inner, outline) if outline is not None and width > 0 else df
-
-
-def _box(box: Sequence[float], by: int = 0) -> Column:
-    x0, y0, x1, y1 = (int(v) for v in box)
-    return F.col("x").between(x0 + by, x1 - by) & F.col("y").between(y0 + by, y1 - by)
+        layers.paint(fill, *S.segment_spans(a, b, width))
+    return layers.on(df)
 
 
 def rectangle(df: DataFrame, box: Sequence[float], fill=None, outline=None, width: int = 1) -> DataFrame:
     """Corners are part of it."""
-    return _ring(_box(box), _box(box, width), fill, outline, width, df)
-
-
-def ellipse_spans(box: Sequence[float]) -> list[Span]:
-    """Rows of the ellipse that fills a box whose corners are part of it: pixels whose middle is inside."""
-    x0, y0, x1, y1 = (int(v) for v in box)
-    w, h = x1 - x0 + 1, y1 - y0 + 1
-    out = []
-    for y in range(y0, y1 + 1):
-        v = 2 * (y - y0) + 1 - h
-        half = w / 2 * math.sqrt(max(0.0, 1 - (v / h) ** 2))
-        a = math.ceil(x0 + w / 2 - half - 0.5)
-        out.append((y, a, x0 + x1 - a))
-    return [s for s in out if s[2] >= s[1]]
+    return Layers().paint(fill, S.rectangle_spans(box)).paint(outline if width > 0 else None, S.frame_spans(box, width)).on(df)
 
 
 def ellipse(df: DataFrame, box: Sequence[float], fill=None, outline=None, width: int = 1) -> DataFrame:
-    x0, y0, x1, y1 = box
-    small = (x0 + width, y0 + width, x1 - width, y1 - width)
-    inner = _covered(ellipse_spans(small)) if small[2] >= small[0] and small[3] >= small[1] else F.lit(False)
-    return _ring(_covered(ellipse_spans(box)), inner, fill, outline, width, df)
+    """The ellipse in a box whose corners are part of it; a wide outline grows inwards."""
+    return Layers().paint(fill, S.ellipse_spans(box)).paint(_stroke(fill, outline, width), S.ellipse_spans(box, width)).on(df)
 
 
 def circle(df: DataFrame, center: Point, radius: float, **paint) -> DataFrame:
     return ellipse(df, (center[0] - radius, center[1] - radius, center[0] + radius, center[1] + radius), **paint)
 
 
-def polygon_spans(xy: Sequence[Point]) -> list[Span]:
-    """Rows of a polygon by the even-odd rule at the middle of rows, with its thin outline."""
-    if len(xy) < 2:
-        return [(int(y), int(x), int(x)) for x, y in xy]
-    edges = list(zip(xy, [*xy[1:], xy[0]], strict=True))
-    ys = [p[1] for p in xy]
-    out = [(y, x, x) for a, b in edges for x, y in line_points(a, b)]
-    for y in range(math.floor(min(ys)), math.ceil(max(ys)) + 1):
-        cuts = sorted(a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in edges if min(a[1], b[1]) <= y < max(a[1], b[1]))
-        out += [(y, math.ceil(p - 0.5), math.floor(q + 0.5)) for p, q in zip(cuts[::2], cuts[1::2], strict=False)]
-    return out
-
-
 def polygon(df: DataFrame, xy: Sequence[Point], fill=None, outline=None, width: int = 1) -> DataFrame:
-    """A wide outline stays inside the polygon."""
-    cover = _covered(polygon_spans(xy))
-    if fill is not None:
-        df = _painted(df, cover, fill)
-    if outline is not None and width > 0:
-        edges = [s for a, b in zip(xy, [*xy[1:], xy[0]], strict=True) for s in _thick(a, b, width)]
-        df = _painted(df, cover & _covered(edges), outline)
-    return df
-
-
-def _thick(a: Point, b: Point, width: int) -> list[Span]:
-    if width == 1:
-        return [(y, x, x) for x, y in line_points(a, b)]
-    length = math.hypot(b[0] - a[0], b[1] - a[1]) or 1.0
-    px, py = (b[1] - a[1]) / length * (width - 0.5), (b[0] - a[0]) / length * (width - 0.5)
-    return polygon_spans([(a[0] - px, a[1] + py), (b[0] - px, b[1] + py), (b[0] + px, b[1] - py), (a[0] + px, a[1] - py)])
+    """Its inside by pairs of crossings, with its sides; a wide outline stays inside the polygon."""
+    cover, final = S.polygon_spans(xy)
+    layers = Layers().paint(fill, cover, final)
+    sides = list(zip(xy, [*xy[1:], xy[0]], strict=True)) if xy else []
+    stroke = _stroke(fill, outline, width)
+    for a, b in sides:
+        if width <= 1:
+            layers.paint(stroke, *S.segment_spans(a, b, 1))
+        else:
+            layers.paint(stroke, *S.inside(S.segment_spans(a, b, 2 * width - 1), (cover, final)))
+    return layers.on(df)
 
 
 def regular_polygon_points(center: Point, radius: float, sides: int, rotation: float = 0) -> list[Point]:
@@ -157,66 +145,102 @@ def regular_polygon(df: DataFrame, center: Point, radius: float, sides: int, rot
     return polygon(df, regular_polygon_points(center, radius, sides, rotation), **paint)
 
 
-def rounded_rectangle(df: DataFrame, box: Sequence[float], radius: float, fill=None, outline=None, width: int = 1, corners=(True,) * 4) -> DataFrame:
-    """Corners are upper left, upper right, lower right, lower left."""
-    def spans(x0, y0, x1, y1, r) -> list[Span]:
-        x0, y0, x1, y1 = (int(v) for v in (x0, y0, x1, y1))
-        d = min(int(2 * r), x1 - x0 + 1, y1 - y0 + 1)
-        arc = {y: a for y, a, _ in ellipse_spans((0, 0, d - 1, d - 1))} if d > 0 else {}
-        out = []
-        for y in range(y0, y1 + 1):
-            up, down = y - y0, y1 - y
-            left = arc.get(up, 0) if up < d / 2 and corners[0] else arc.get(down, 0) if down < d / 2 and corners[3] else 0
-            right = arc.get(up, 0) if up < d / 2 and corners[1] else arc.get(down, 0) if down < d / 2 and corners[2] else 0
-            out.append((y, x0 + left, x1 - right))
-        return out
-
-    x0, y0, x1, y1 = box
-    inner = spans(x0 + width, y0 + width, x1 - width, y1 - width, max(0, radius - width))
-    return _ring(_covered(spans(*box, radius)), _covered(inner), fill, outline, width, df)
-
-
-def _between(box: Sequence[float], start: float, end: float) -> Column:
-    """Places at angles from start to end, clockwise from three o'clock, in the ellipse's own measure."""
-    if end - start >= 360:
-        return F.lit(True)
-    x0, y0, x1, y1 = box
-    u = (F.col("x") - (x0 + x1) / 2) / F.lit(max(0.5, (x1 - x0) / 2))
-    v = (F.col("y") - (y0 + y1) / 2) / F.lit(max(0.5, (y1 - y0) / 2))
-    angle = F.pmod(F.degrees(F.atan2(v, u)) - F.lit(float(start)), F.lit(360.0))
-    return angle <= F.lit(float((end - start) % 360))
-
-
-def pieslice(df: DataFrame, box: Sequence[float], start: float, end: float, fill=None, outline=None, width: int = 1) -> DataFrame:
-    cover = _covered(ellipse_spans(box)) & _between(box, start, end)
-    if fill is not None:
-        df = _painted(df, cover, fill)
-    if outline is not None and width > 0:
-        df = arc(df, box, start, end, outline, width)
-        cx, cy, rx, ry = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, (box[2] - box[0]) / 2, (box[3] - box[1]) / 2
-        for t in (start, end):
-            df = line(df, [(cx, cy), (cx + rx * math.cos(math.radians(t)), cy + ry * math.sin(math.radians(t)))], outline, width)
-    return df
+def _arc_spans(box: Sequence[float], start: float, end: float, width: int) -> list[Span]:
+    x0, y0, x1, y1 = (int(v) for v in box)
+    s, e = S.turned(start, end)
+    if s == e:
+        return []
+    return S.ellipse_spans(box, width, None if e == s + 360 else S.arc_region(x1 - x0, y1 - y0, s, e))
 
 
 def arc(df: DataFrame, box: Sequence[float], start: float, end: float, fill: Sequence[int], width: int = 1) -> DataFrame:
-    x0, y0, x1, y1 = box
-    inner = _covered(ellipse_spans((x0 + width, y0 + width, x1 - width, y1 - width)))
-    return _painted(df, _covered(ellipse_spans(box)) & ~inner & _between(box, start, end), fill)
+    """The outer ``width`` pixels of an ellipse between two angles, clockwise from three o'clock."""
+    return Layers().paint(fill, _arc_spans(box, start, end, width)).on(df)
 
 
 def chord(df: DataFrame, box: Sequence[float], start: float, end: float, fill=None, outline=None, width: int = 1) -> DataFrame:
     """The part of the ellipse beyond the line from the start angle's point to the end angle's."""
-    x0, y0, x1, y1 = box
-    cx, cy, rx, ry = (x0 + x1) / 2, (y0 + y1) / 2, (x1 - x0) / 2, (y1 - y0) / 2
-    (ax, ay), (bx, by) = ((cx + rx * math.cos(math.radians(t)), cy + ry * math.sin(math.radians(t))) for t in (start, end))
-    side = (F.col("x") - ax) * F.lit(by - ay) - (F.col("y") - ay) * F.lit(bx - ax)
-    cover = _covered(ellipse_spans(box)) & (side >= 0 if end - start < 360 else F.lit(True))
-    if fill is not None:
-        df = _painted(df, cover, fill)
-    if outline is not None and width > 0:
-        df = line(arc(df, box, start, end, outline, width), [(ax, ay), (bx, by)], outline, width)
-    return df
+    x0, y0, x1, y1 = (int(v) for v in box)
+    a, b = x1 - x0, y1 - y0
+    s, e = S.turned(start, end)
+    if e == s + 360:
+        return ellipse(df, box, fill, outline, width)
+    if s == e or a < 0 or b < 0:
+        return df
+    stroke, beyond = _stroke(fill, outline, width), S.chord_region(a, b, s, e)
+    layers = Layers().paint(fill, S.ellipse_spans(box, a + b + 1, beyond))
+    layers.paint(stroke, S.ellipse_spans(box, a + b + 1, S.chord_region(a, b, s, e, width)))
+    return layers.paint(stroke, S.ellipse_spans(box, width, beyond)).on(df)
+
+
+def _slice_spans(box: Sequence[float], start: float, end: float) -> list[Span]:
+    x0, y0, x1, y1 = (int(v) for v in box)
+    s, e = S.turned(start, end)
+    return [] if s == e else S.ellipse_spans(box, None, None if e == s + 360 else S.slice_region(x1 - x0, y1 - y0, s, e))
+
+
+def pieslice(df: DataFrame, box: Sequence[float], start: float, end: float, fill=None, outline=None, width: int = 1) -> DataFrame:
+    """The part of the ellipse between two angles, with strokes to the middle."""
+    x0, y0, x1, y1 = (int(v) for v in box)
+    a, b = x1 - x0, y1 - y0
+    s, e = S.turned(start, end)
+    if e == s + 360:
+        return ellipse(df, box, fill, outline, width)
+    if s == e or a < 0 or b < 0:
+        return df
+    stroke = _stroke(fill, outline, width)
+    layers = Layers().paint(fill, _slice_spans(box, start, end))
+    for angle in (s, e):
+        layers.paint(stroke, S.ellipse_spans(box, a + b + 1, S.radius_region(a, b, angle, width)))
+    cx, cy = S.nearest((x0 + x1 - width) / 2), S.nearest((y0 + y1 - width) / 2)
+    layers.paint(stroke, S.ellipse_spans((cx, cy, cx + width - 1, cy + width - 1), 2 * width - 2))
+    return layers.paint(stroke, S.ellipse_spans(box, width, S.slice_region(a, b, s, e))).on(df)
+
+
+def rounded_rectangle(df: DataFrame, box: Sequence[float], radius: float, fill=None, outline=None, width: int = 1, corners=(True,) * 4) -> DataFrame:
+    """Corners are upper left, upper right, lower right, lower left."""
+    x0, y0, x1, y1 = (int(v) for v in box)
+    if x1 < x0 or y1 < y0:
+        raise ValueError("a box ends at or after its start")
+    across = down = False
+    d = radius * 2.0
+    if all(corners):
+        across = d >= x1 - x0 - 1
+        d = x1 - x0 if across else d
+        down = across and d >= y1 - y0 - 1
+        d = y1 - y0 if down else d
+        if across and down:
+            return ellipse(df, box, fill, outline, width)
+    d = int(d)
+    if d == 0 or not any(corners):
+        return rectangle(df, box, fill, outline, width)
+    r = d // 2
+    stroke = _stroke(fill, outline, width)
+    squares = [((x0, y0, x0 + d, y0 + d), 180), ((x1 - d, y0, x1, y0 + d), 270), ((x1 - d, y1 - d, x1, y1), 0), ((x0, y1 - d, x0 + d, y1), 90)]
+    if across:
+        turns = [((x0, y0, x0 + d, y0 + d), 180, 360), ((x0, y1 - d, x0 + d, y1), 0, 180)]
+    else:
+        turns = [(square, start, start + 90) for (square, start), on in zip(squares, corners, strict=True) if on]
+    # A corner that is not rounded is a rectangle, and the edges go on through it.
+    tl, tr, br, bl = corners
+    plain = [] if across else [s for s, on in zip(
+        [(x0, y0, x0 + r, y0 + r), (x1 - r, y0, x1, y0 + r), (x1 - r, y1 - r, x1, y1), (x0, y1 - r, x0 + r, y1)], corners, strict=True) if not on]
+    inner = [] if across else [(x0 + r + 1, y0, x1 - r - 1, y1), (x0, y0 + r + 1, x0 + r, y1 - r - 1), (x1 - r, y0 + r + 1, x1, y1 - r - 1)]
+    inner = [(x0, y0 + r + 1, x1, y1 - r - 1)] if across else inner
+    start = lambda on, at: at + r + 1 if on else at
+    stop = lambda on, at: at - r - 1 if on else at
+    edges = [] if across else [(start(tl, x0), y0, stop(tr, x1), y0 + width - 1), (start(bl, x0), y1 - width + 1, stop(br, x1), y1)]
+    edges += [(x0, start(tl, y0), x0 + width - 1, stop(bl, y1)), (x1 - width + 1, start(tr, y0), x1, stop(br, y1))]
+    layers = Layers()
+    for square, s, e in turns:
+        layers.paint(fill, _slice_spans(square, s, e))
+    for part in inner + plain:
+        layers.paint(fill, S.rectangle_spans(part))
+    for square, s, e in turns:
+        layers.paint(stroke, _arc_spans(square, s, e, width))
+    for part in edges:
+        layers.paint(stroke, S.rectangle_spans(part))
+    return layers.on(df)
 
 
 def bitmap(df: DataFrame, at: tuple[int, int], mask: DataFrame, fill: Sequence[int]) -> DataFrame:

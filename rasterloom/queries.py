@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import shapes as SH
 from .functions.colors import getrgb
 from .operators import binary as B
 from .operators import color as C
@@ -72,7 +73,7 @@ def query(name: str, sources: str, fn: Callable[..., DataFrame], sql: str | None
     names = sources.split()
     QUERIES[name] = lambda spark, sf_dir: fn(*(READERS[n](spark, sf_dir) for n in names))
     if sql is not None:
-        ORACLE_SQL[name] = f"WITH {', '.join(SOURCES[n] for n in names)} {sql}" if not sql.startswith(",") else f"WITH {', '.join(SOURCES[n] for n in names)}{sql}"
+        ORACLE_SQL[name] = f"WITH {'RECURSIVE ' * ('_walk' in sql)}{', '.join(SOURCES[n] for n in names)}{'' if sql.startswith(',') else ' '}{sql}"
 
 
 def _each(fn: Callable[[str], str], n: int, source: str) -> str:
@@ -416,37 +417,162 @@ query("op_draw_rectangle", "s3", lambda a: D.rectangle(a, (4, 6, 20, 15), (1, 2,
       _some([f"CASE WHEN x BETWEEN 4 AND 20 AND y BETWEEN 6 AND 15 THEN CASE WHEN x BETWEEN 6 AND 18 AND y BETWEEN 8 AND 13 THEN {k + 1} ELSE {200 + k} END ELSE b{k} END" for k in range(3)], "s3"))
 query("op_draw_point", "s", lambda a: D.points(a, [(1, 2), (30, 31), (40, 2)], [255]), _some(["CASE WHEN (x = 1 AND y = 2) OR (x = 30 AND y = 31) THEN 255 ELSE b0 END"], "s"))
 query("op_draw_line", "s", lambda a: D.line(a, [(2, 3), (18, 19), (30, 19)], [255]), _some(["CASE WHEN (y - x = 1 AND x BETWEEN 2 AND 18) OR (y = 19 AND x BETWEEN 18 AND 30) THEN 255 ELSE b0 END"], "s"))
-query("op_draw_ellipse", "s", lambda a: D.ellipse(a, (4, 6, 27, 21), [255]),
-      _some(["CASE WHEN x BETWEEN 4 AND 27 AND y BETWEEN 6 AND 21 AND ((2 * x - 31) * 16) * ((2 * x - 31) * 16) + ((2 * y - 27) * 24) * ((2 * y - 27) * 24) <= 384 * 384 THEN 255 ELSE b0 END"], "s"))
-query("op_draw_polygon", "s", lambda a: D.polygon(a, [(5, 5), (25, 5), (25, 20), (5, 20)], [255]), _some(["CASE WHEN x BETWEEN 5 AND 25 AND y BETWEEN 5 AND 20 THEN 255 ELSE b0 END"], "s"))
 query("op_draw_bitmap", "s l", lambda a, m: D.bitmap(a, (3, 3), m, [250]), f"SELECT s.image_id, s.w, s.h, s.x, s.y, {_MIX('250', 's.b0', 'coalesce(m.b0, 0)')} AS b0 FROM s LEFT JOIN l m ON m.image_id = s.image_id AND s.x = m.x + 3 AND s.y = m.y + 3")
-_CORNERS = [tuple(round(16 + 10 * f(math.radians(105 + 60 * k)), 2) for f in (math.cos, math.sin)) for k in range(6)]  # 30 + 90 - 15 degrees for the first
-_EDGES = ", ".join(f"({ax}::DOUBLE, {ay}::DOUBLE, {bx}::DOUBLE, {by}::DOUBLE)" for (ax, ay), (bx, by) in zip(_CORNERS, [*_CORNERS[1:], _CORNERS[0]], strict=True))
-query("op_draw_regular_polygon", "s", lambda a: D.regular_polygon(a, (16, 16), 10, 6, 15, fill=[255], outline=[0]), f"""
-    , e(ax, ay, tx, ty) AS (VALUES {_EDGES}), j AS (SELECT CAST(trunc(ax) AS INTEGER) AS x0, CAST(trunc(ay) AS INTEGER) AS y0, CAST(trunc(tx) AS INTEGER) AS x1, CAST(trunc(ty) AS INTEGER) AS y1 FROM e),
-    d AS (SELECT *, abs(x1 - x0) AS dx, abs(y1 - y0) AS dy, greatest(abs(x1 - x0), abs(y1 - y0)) AS n, least(abs(x1 - x0), abs(y1 - y0)) AS m FROM j),
-    k AS (SELECT *, unnest(range(n + 1)) AS k FROM d), q AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (2 * m * k + n) // (2 * n) END AS v FROM k),
-    lines AS (SELECT DISTINCT CAST(x0 + sign(x1 - x0) * CASE WHEN dy > dx THEN v ELSE k END AS INTEGER) AS x, CAST(y0 + sign(y1 - y0) * CASE WHEN dy > dx THEN k ELSE v END AS INTEGER) AS y FROM q),
-    cuts AS (SELECT y, ceil(min(ax + (y - ay) * (tx - ax) / (ty - ay)) - 0.5::DOUBLE) AS lo, floor(max(ax + (y - ay) * (tx - ax) / (ty - ay)) + 0.5::DOUBLE) AS hi FROM e, range(32) AS r(y) WHERE y >= least(ay, ty) AND y < greatest(ay, ty) GROUP BY y)
-    SELECT s.image_id, s.w, s.h, s.x, s.y, CAST(CASE WHEN lines.x IS NOT NULL THEN 0 WHEN s.x BETWEEN lo AND hi THEN 255 ELSE b0 END AS INTEGER) AS b0
-    FROM s LEFT JOIN lines ON lines.x = s.x AND lines.y = s.y LEFT JOIN cuts ON cuts.y = s.y""")
-def _rounded(x0: int, y0: int, x1: int, y1: int, r: int) -> str:
-    """Inside a box with corners cut by circles around the pixels' middles."""
-    dx, dy = f"least(x - {x0}, {x1} - x)", f"least(y - {y0}, {y1} - y)"
-    far = lambda d: f"(2 * {d} - {2 * r - 1}) * (2 * {d} - {2 * r - 1})"
-    return f"(x BETWEEN {x0} AND {x1} AND y BETWEEN {y0} AND {y1} AND ({dx} >= {r} OR {dy} >= {r} OR {far(dx)} + {far(dy)} <= {4 * r * r}))"
 
 
+def _walked(name: str, a: int, b: int) -> str:
+    """CTE ``name`` (y, r, l): the rows of a quarter of an ellipse walked from its side, (a, b % 2), to its top."""
+    off = lambda x, y: f"abs({a * a} * ({y}) * ({y}) + {b * b} * ({x}) * ({x}) - {a * a * b * b})"
+    return f"""{name}_walk(x, y) AS (SELECT CAST({a} AS BIGINT), CAST({b % 2} AS BIGINT) UNION ALL
+        SELECT CASE WHEN x <= 1 OR up <= least(aslant, inwards) THEN x ELSE x - 2 END, CASE WHEN x > 1 AND inwards < least(up, aslant) THEN y ELSE y + 2 END
+        FROM (SELECT x, y, {off('x', 'y + 2')} AS up, {off('x - 2', 'y + 2')} AS aslant, {off('x - 2', 'y')} AS inwards FROM {name}_walk WHERE x <> {a % 2} OR y <> {b})),
+        {name} AS (SELECT y, max(x) AS r, min(x) AS l FROM {name}_walk GROUP BY y)"""
+
+
+def _ring(name: str, box: tuple[int, int, int, int], width: int) -> str:
+    """CTE ``name`` (id, y, p, q): spans of the outer pixels of an ellipse, in half pixels from its middle."""
+    a, b, inset = box[2] - box[0], box[3] - box[1], 2 * (width - 1)
+    inner = min(a, b) >= inset
+    start = f"{_walked(f'{name}o', a, b)}, {_walked(f'{name}i', a - inset, b - inset) if inner else f'{name}i AS (SELECT 0 AS y, 0 AS l WHERE false)'}"
+    return f"""{start}, {name}s AS (SELECT o.y, o.r, coalesce(i.l, {a % 2}) AS l FROM {name}o o LEFT JOIN {name}i i USING (y)),
+        {name} AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT y * f AS y, CASE WHEN side = 0 THEN -r WHEN l = 0 THEN 2 ELSE l END AS p, CASE WHEN side = 0 THEN -l ELSE r END AS q
+                   FROM {name}s, (VALUES (-1), (1)) AS t(f), range(2) AS v(side) WHERE side = 0 OR l > 0 OR l < r))"""
+
+
+def _kept(spans: str, region: tuple) -> str:
+    """SQL of what a region leaves of spans: ("half", a, b, c), ("and", region, region) or ("or", region, region)."""
+    kind, *parts = region
+    if kind == "or":
+        return f"({_kept(spans, parts[0])} UNION ALL {_kept(spans, parts[1])})"
+    if kind == "and":
+        return f"(SELECT l.id, l.y, greatest(l.p, r.p) AS p, least(l.q, r.q) AS q FROM {_kept(spans, parts[0])} l JOIN {_kept(spans, parts[1])} r USING (id) WHERE greatest(l.p, r.p) <= least(l.q, r.q))"
+    a, b, c = (f"CAST({v!r} AS DOUBLE)" for v in map(float, parts))
+    if abs(parts[0]) < 1e-9:
+        return f"(SELECT id, y, p, q FROM {spans} WHERE {b} * y + {c} >= -1e-9)"
+    cut = lambda v, f: f"CASE WHEN {a} * {v} + ({b} * y + {c}) < 1e-9 THEN round({f}({v}, -({b} * y + {c}) / {a})) ELSE {v} END"
+    return f"(SELECT * FROM (SELECT id, y, {cut('p', 'greatest')} AS p, {cut('q', 'least')} AS q FROM {spans}) WHERE p <= q)"
+
+
+def _cover(name: str, spans: str, box: tuple[int, int, int, int], size: int = 32) -> str:
+    """CTE ``name`` (x, y): the pixels under half-pixel spans."""
+    a, b = box[2] - box[0], box[3] - box[1]
+    place = lambda v, at, d: f"{at} + CAST({v} + {d} AS BIGINT) // 2"
+    return f"{name} AS (SELECT DISTINCT u AS x, {place('y', box[1], b)} AS y FROM {spans}, range({size}) AS t(u) WHERE u BETWEEN {place('p', box[0], a)} AND {place('q', box[0], a)})"
+
+
+def _painted(covers: list[tuple[str, int]], source: str = "s") -> str:
+    """SQL of one band painted through covers, the first on top."""
+    joins = " ".join(f"LEFT JOIN {n} ON {n}.x = {source}.x AND {n}.y = {source}.y" for n, _ in covers)
+    cases = " ".join(f"WHEN {n}.x IS NOT NULL THEN {v}" for n, v in covers)
+    return f" SELECT {', '.join(f'{source}.{c.strip()}' for c in PLACE.split(','))}, CAST(CASE {cases} ELSE b0 END AS INTEGER) AS b0 FROM {source} {joins}"
+
+
+def _filled(name: str, xy: list[tuple[int, int]], size: int = 32) -> str:
+    """CTE ``name`` (x, y): the pixels of a polygon by pairs of crossings, in single precision."""
+    sides = ", ".join(f"({k}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for k, (a, b) in enumerate(zip(xy, [*xy[1:], xy[0]], strict=True)) if a != b)
+    at = lambda e, y: f"(CAST({y} - {e}.ay AS FLOAT) * {e}.slope + CAST({e}.ax AS FLOAT))"
+    to = f"CASE WHEN r.y = e.hi THEN r.y - 1 ELSE r.y + 1 END"
+    ends = lambda e: f"(r.y IN ({e}.lo, {e}.hi) AND {e}.slope <> 0)"
+    mine, other, near, far = at("e", "r.y"), at("o", "r.y"), at("e", f"({to})"), at("o", f"({to})")
+    one = "CAST(1 AS FLOAT)"
+    return f"""{name}v(k, ax, ay, tx, ty) AS (VALUES {sides}),
+        {name}e AS (SELECT *, least(ay, ty) AS lo, greatest(ay, ty) AS hi, CAST(tx - ax AS FLOAT) / CAST(ty - ay AS FLOAT) AS slope FROM {name}v WHERE ay <> ty),
+        {name}n AS (SELECT least(max(greatest(ay, ty)), {size - 1}) AS last FROM {name}v),
+        {name}m AS (SELECT r.y, e.k, any_value({mine}) AS x, any_value(r.y = e.hi AND r.y < last) AS twice, any_value({ends('e')}) AS ends,
+              arg_min(CASE WHEN {mine} > {near} + {one} AND {mine} > {far} + {one} THEN round(greatest({near}, {far})) + {one}
+                           WHEN {mine} < {near} - {one} AND {mine} < {far} - {one} THEN round(least({near}, {far})) - {one} ELSE {mine} END, o.k) AS turned
+              FROM {name}e e JOIN range({size}) AS r(y) ON r.y BETWEEN e.lo AND e.hi CROSS JOIN {name}n
+              LEFT JOIN {name}e o ON o.k < e.k AND {ends('o')} AND round({mine}) = round({other}) AND {to} BETWEEN o.lo AND o.hi GROUP BY r.y, e.k),
+        {name}x AS (SELECT y, x FROM {name}m, range(2) WHERE twice UNION ALL SELECT y, CASE WHEN ends THEN coalesce(turned, x) ELSE x END FROM {name}m WHERE NOT twice),
+        {name}p AS (SELECT y, CAST(x AS DOUBLE) AS p, CAST(lead(x) OVER w AS DOUBLE) AS q, row_number() OVER w AS i FROM {name}x WINDOW w AS (PARTITION BY y ORDER BY x)),
+        {name} AS (SELECT DISTINCT u AS x, y FROM (SELECT y, round(p) AS a, sign(q) * ceil(abs(q) - 0.5::DOUBLE) AS b FROM {name}p WHERE i % 2 = 1 AND q IS NOT NULL
+                   UNION ALL SELECT ay, least(ax, tx), greatest(ax, tx) FROM {name}v WHERE ay = ty), range({size}) AS t(u) WHERE u BETWEEN a AND b)"""
+
+
+def _thin(name: str, xy: list[tuple[int, int]]) -> str:
+    """CTE ``name`` (x, y): thin lines around a polygon."""
+    sides = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(xy, [*xy[1:], xy[0]], strict=True))
+    return f"""{name}j(x0, y0, x1, y1) AS (VALUES {sides}),
+        {name}d AS (SELECT *, abs(x1 - x0) AS dx, abs(y1 - y0) AS dy, greatest(abs(x1 - x0), abs(y1 - y0)) AS n, least(abs(x1 - x0), abs(y1 - y0)) AS m FROM {name}j),
+        {name}k AS (SELECT *, unnest(range(n + 1)) AS k FROM {name}d), {name}q AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (2 * m * k + n) // (2 * n) END AS v FROM {name}k),
+        {name} AS (SELECT DISTINCT CAST(x0 + sign(x1 - x0) * CASE WHEN dy > dx THEN v ELSE k END AS INTEGER) AS x, CAST(y0 + sign(y1 - y0) * CASE WHEN dy > dx THEN k ELSE v END AS INTEGER) AS y FROM {name}q)"""
+
+
+def _any(name: str, parts: list[str], within: str = "") -> str:
+    both = f" SEMI JOIN {within} USING (x, y)" if within else ""
+    return f"{name} AS (SELECT DISTINCT x, y FROM ({' UNION ALL '.join(f'SELECT x, y FROM {p}' for p in parts)}){both})"
+
+
+_OVAL = (4, 6, 27, 21)
+query("op_draw_ellipse", "s", lambda a: D.ellipse(a, _OVAL, [255], [9], 3),
+      f", {_ring('f', _OVAL, 99)}, {_ring('g', _OVAL, 3)}, {_cover('inside', 'f', _OVAL)}, {_cover('rim', 'g', _OVAL)}" + _painted([("rim", 9), ("inside", 255)]))
+_TALL = (5, 2, 24, 30)
+query("op_draw_ellipse_tall", "s", lambda a: D.ellipse(a, _TALL, None, [200], 1), f", {_ring('g', _TALL, 1)}, {_cover('rim', 'g', _TALL)}" + _painted([("rim", 200)]))
+
+
+def _polar(box: tuple[int, int, int, int], angle: float) -> tuple[float, float]:
+    return (box[2] - box[0]) * math.cos(math.radians(angle)), (box[3] - box[1]) * math.sin(math.radians(angle))
+
+
+def _normal(box: tuple[int, int, int, int], angle: float, sign: int) -> tuple:
+    """The half-plane on one side of a lying ellipse's normal at an angle."""
+    a, b, t = box[2] - box[0], box[3] - box[1], math.radians(angle)
+    return "half", -sign * a * math.sin(t), sign * b * math.cos(t), sign * (a * a - b * b) * math.sin(angle * math.pi / 90) / 2
+
+
+_WIDE = (3, 6, 28, 23)
+for _name, _start, _end, _part in (
+    ("", 30, 200, ("or", ("and", ("half", 0, 1, 0), _normal(_WIDE, 30, 1)), ("and", ("half", 0, -1, 0), _normal(_WIDE, 200, -1)))),
+    ("_quarter", 20, 75, ("and", ("and", _normal(_WIDE, 20, 1), _normal(_WIDE, 75, -1)), ("half", 0, 1, 0))),
+    ("_most", 150, 490, ("or", ("or", _normal(_WIDE, 150, 1), _normal(_WIDE, 490, -1)), ("half", 0, -1, 0))),
+    ("_half", 180, 270, ("and", _normal(_WIDE, 180, 1), _normal(_WIDE, 270, -1))),
+):
+    query(f"op_draw_arc{_name}", "s", lambda a, s=_start, e=_end: D.arc(a, _WIDE, s, e, [255], 3), f", {_ring('g', _WIDE, 3)}, {_cover('rim', _kept('g', _part), _WIDE)}" + _painted([("rim", 255)]))
+_XA, _YA, _XB, _YB = *_polar(_WIDE, 30), *_polar(_WIDE, 200)
+_LINE = ("half", _YB - _YA, _XA - _XB, -((_YB - _YA) * _XA + (_XA - _XB) * _YA))
+_STRIP = ("and", _LINE, ("half", -_LINE[1], -_LINE[2], 4 * math.hypot(*_LINE[1:3]) - _LINE[3]))
+query("op_draw_chord", "s", lambda a: D.chord(a, _WIDE, 30, 200, [255], [0], 2),
+      f", {_ring('f', _WIDE, 99)}, {_ring('g', _WIDE, 2)}, {_cover('inside', _kept('f', _LINE), _WIDE)}, {_cover('line', _kept('f', _STRIP), _WIDE)}, {_cover('rim', _kept('g', _LINE), _WIDE)}"
+      + _painted([("line", 0), ("rim", 0), ("inside", 255)]))
+_SLICE = ("and", ("half", -_YA, _XA, 0), ("half", _YB, -_XB, 0))
+_STROKE = lambda x, y: ("and", ("and", ("half", -y, x, 2 * math.hypot(x, y)), ("half", y, -x, 2 * math.hypot(x, y))), ("half", x, y, 0))
+_HUB = (15, 14, 16, 15)  # (3 + 28 - 2) / 2 and (6 + 23 - 2) / 2, halves up
+query("op_draw_pieslice", "s", lambda a: D.pieslice(a, _WIDE, 30, 200, [255], [0], 2),
+      f", {_ring('f', _WIDE, 99)}, {_ring('g', _WIDE, 2)}, {_ring('h', _HUB, 2)}, {_cover('inside', _kept('f', _SLICE), _WIDE)}, {_cover('first', _kept('f', _STROKE(_XA, _YA)), _WIDE)}, "
+      f"{_cover('second', _kept('f', _STROKE(_XB, _YB)), _WIDE)}, {_cover('rim', _kept('g', _SLICE), _WIDE)}, {_cover('hub', 'h', _HUB)}" + _painted([("first", 0), ("second", 0), ("rim", 0), ("hub", 0), ("inside", 255)]))
+
+
+def _corners(width: int | None) -> tuple[str, list[str]]:
+    """Quarters of ellipses of 12 pixels in the corners of (3, 4, 28, 24), or of their rims."""
+    squares = [((3, 4, 15, 16), (-1, -1)), ((16, 4, 28, 16), (1, -1)), ((16, 12, 28, 24), (1, 1)), ((3, 12, 15, 24), (-1, 1))]
+    ctes, name = [], "q" if width is None else "r"
+    for k, (box, (sx, sy)) in enumerate(squares):
+        quarter = ("and", ("half", sx, 0, 0), ("half", 0, sy, 0))
+        ctes += [_ring(f"{name}{k}", box, 24 if width is None else width), _cover(f"{name}{k}c", _kept(f"{name}{k}", quarter), box)]
+    return ", ".join(ctes), [f"{name}{k}c" for k in range(4)]
+
+
+_ROUND, _RIMS = _corners(None), _corners(2)
+_BARS = lambda name, boxes: f"{name} AS (SELECT DISTINCT x, y FROM (VALUES {', '.join(map(str, boxes))}) AS t(a, b, c, d), range(32) AS p(x), range(32) AS r(y) WHERE x BETWEEN a AND c AND y BETWEEN b AND d)"
 query("op_draw_rounded_rectangle", "s", lambda a: D.rounded_rectangle(a, (3, 4, 28, 24), 6, [255], [0], 2),
-      _some([f"CASE WHEN {_rounded(5, 6, 26, 22, 4)} THEN 255 WHEN {_rounded(3, 4, 28, 24, 6)} THEN 0 ELSE b0 END"], "s"))
-_DISC = lambda d: f"(2 * x - 31) * (2 * x - 31) + (2 * y - 31) * (2 * y - 31) <= {d * d}"
-_ANGLE = "(degrees(atan2((y - 15.5::DOUBLE) / 11.5::DOUBLE, (x - 15.5::DOUBLE) / 11.5::DOUBLE)) - 30 + 360) % 360 <= 170"
-query("op_draw_pieslice", "s", lambda a: D.pieslice(a, (4, 4, 27, 27), 30, 200, [255]), _some([f"CASE WHEN {_DISC(24)} AND {_ANGLE} THEN 255 ELSE b0 END"], "s"))
-query("op_draw_arc", "s", lambda a: D.arc(a, (4, 4, 27, 27), 30, 200, [255], 2), _some([f"CASE WHEN {_DISC(24)} AND NOT {_DISC(20)} AND {_ANGLE} THEN 255 ELSE b0 END"], "s"))
-_ENDS = [15.5 + 11.5 * f(math.radians(t)) for t in (30, 200) for f in (math.cos, math.sin)]
-_SIDE = f"(x - CAST({_ENDS[0]!r} AS DOUBLE)) * CAST({_ENDS[3] - _ENDS[1]!r} AS DOUBLE) - (y - CAST({_ENDS[1]!r} AS DOUBLE)) * CAST({_ENDS[2] - _ENDS[0]!r} AS DOUBLE) >= 0"
-query("op_draw_chord", "s", lambda a: D.chord(a, (4, 4, 27, 27), 30, 200, [255], [0]),
-      _some([f"CASE WHEN x BETWEEN 4 AND 25 AND y = 21 - (20 * (25 - x) + 21) // 42 THEN 0 WHEN {_DISC(24)} AND NOT {_DISC(22)} AND {_ANGLE} THEN 0 WHEN {_DISC(24)} AND {_SIDE} THEN 255 ELSE b0 END"], "s"))
+      f", {_ROUND[0]}, {_RIMS[0]}, {_BARS('bars', [(10, 4, 21, 24), (3, 11, 9, 17), (22, 11, 28, 17)])}, {_BARS('edges', [(10, 4, 21, 5), (10, 23, 21, 24), (3, 11, 4, 17), (27, 11, 28, 17)])}, "
+      f"{_any('inside', [*_ROUND[1], 'bars'])}, {_any('rim', [*_RIMS[1], 'edges'])}" + _painted([("rim", 0), ("inside", 255)]))
+
+_CONCAVE = [(3, 4), (15, 9), (28, 3), (22, 16), (27, 28), (14, 21), (14, 27), (4, 27), (9, 15)]
+query("op_draw_polygon", "s", lambda a: D.polygon(a, _CONCAVE, [255], [7]), f", {_filled('inside', _CONCAVE)}, {_thin('rim', _CONCAVE)}" + _painted([("rim", 7), ("inside", 255)]))
+_STAR = [(16, 1), (25, 30), (2, 11), (30, 12), (6, 29)]
+query("op_draw_polygon_crossing", "s", lambda a: D.polygon(a, _STAR, [255]), f", {_filled('inside', _STAR)}" + _painted([("inside", 255)]))
+_DEEP = [(2, 8), (30, 2), (21, 31), (26, 45), (9, 31), (12, 20)]
+query("op_draw_polygon_beyond", "s", lambda a: D.polygon(a, _DEEP, [255]), f", {_filled('inside', _DEEP)}" + _painted([("inside", 255)]))
+_FLAT = [(1, 20), (30, 14), (4, 22), (29, 29), (2, 29)]
+_SIDES = [_filled(f"t{k}", SH.wide_line(p, q, 5)) for k, (p, q) in enumerate(zip(_CONCAVE, [*_CONCAVE[1:], _CONCAVE[0]], strict=True))]
+query("op_draw_polygon_wide", "s", lambda a: D.polygon(a, _CONCAVE, [255], [7], 3),
+      f", {_filled('inside', _CONCAVE)}, {', '.join(_SIDES)}, {_any('rim', [f't{k}' for k in range(len(_SIDES))], 'inside')}" + _painted([("rim", 7), ("inside", 255)]))
+query("op_draw_polygon_spikes", "s", lambda a: D.polygon(a, _FLAT, [255]), f", {_filled('inside', _FLAT)}" + _painted([("inside", 255)]))
+query("op_draw_line_wide", "s", lambda a: D.line(a, [(3, 5), (28, 17), (9, 28)], [255], 4),
+      f", {_filled('first', SH.wide_line((3, 5), (28, 17), 4))}, {_filled('second', SH.wide_line((28, 17), (9, 28), 4))}" + _painted([("first", 255), ("second", 255)]))
+_SIX = [(int(round(16 + 10 * math.cos(math.radians(105 + 60 * k)), 2)), int(round(16 + 10 * math.sin(math.radians(105 + 60 * k)), 2))) for k in range(6)]  # 30 + 90 - 15 degrees for the first
+query("op_draw_regular_polygon", "s", lambda a: D.regular_polygon(a, (16, 16), 10, 6, 15, fill=[255], outline=[0]), f", {_filled('inside', _SIX)}, {_thin('rim', _SIX)}" + _painted([("rim", 0), ("inside", 255)]))
 
 # --- generators, bytes, serial operators --------------------------------------------------------------
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..relation import BANDS, bands
+from . import image_files
 from .codecs import DECODERS, ENCODERS, decode_bmp, decode_png, encode_bmp, encode_png, exif_of, exif_tags  # noqa: F401
 
 #: Format -> the first bytes of its files, in hex.
@@ -44,6 +45,37 @@ def open_images(spark: SparkSession, path: str, formats: Sequence[str] | None =
     return describe(files.select(F.xxhash64("path").alias("image_id"), "path", "content"), formats)
 
 
+#: Modes that a format holds.
+SAVED_MODES = {"PNG": ("1", "L", "LA", "RGB", "RGBA"), "BMP": ("RGB", "RGBA")}
+
+
+def read_images(spark: SparkSession, path: str, formats: Sequence[str] | None = None, headers: bool = False) -> DataFrame:
+    """(path, format, width, height, bytes, modified, content) of the image files in a folder; with ``headers`` contents
+    are null and no file is read beyond its header. Only files of the formats allowed are read whole."""
+    image_files.register(spark)
+    found = spark.read.format(image_files.NAME).option("headers", str(headers).lower()).load(path)
+    return found if formats is None else found.where(F.col("format").isin(*formats))
+
+
+def read_image_stream(spark: SparkSession, path: str, headers: bool = False) -> DataFrame:
+    """read_images() of the files that come into a folder."""
+    image_files.register(spark)
+    return spark.readStream.format(image_files.NAME).option("headers", str(headers).lower()).load(path)
+
+
+def save_images(df: DataFrame, path: str, mode: str, kind: str = "PNG", overwrite: bool = False) -> None:
+    """Writes each image of a pixel relation as a file ``<image_id>.<format>``. All files of the job are there, or none.
+    A mode that the format does not hold is refused before any work."""
+    if mode not in SAVED_MODES.get(kind, ()):
+        raise ValueError(f"cannot write mode {mode} as {kind}")
+    if len(bands(df)) != BANDS[mode]:
+        raise ValueError(f"{mode} has {BANDS[mode]} bands")
+    image_files.register(df.sparkSession)
+    name = F.concat(F.col("image_id").cast("string"), F.lit(f".{kind.lower()}"))
+    files = encode(df, kind).select(name.alias("name"), "content")
+    files.write.format(image_files.NAME).mode("overwrite" if overwrite else "append").save(path)
+
+
 def describe(files: DataFrame, formats: Sequence[str] | None = None) -> DataFrame:
     """open_images() of rows (image_id, ..., content)."""
     known = files.withColumn("format", format_of(F.col("content"))).where("format is not null")

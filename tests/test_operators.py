@@ -1,11 +1,13 @@
 """Operators without SQL, and what the queries do not reach, against plain Python and numpy."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterloom.functions import shapes
 from rasterloom.functions.colors import getcolor, getrgb
 from rasterloom.operators import binary, color, draw, equalization, geometry, neighborhood, point, procedural, reductions, resample
 from rasterloom.plans.chain import Chain, compose_transposes
@@ -339,7 +341,7 @@ def test_shapes(spark):
     box = shape(draw.rounded_rectangle(df, (2, 2, 17, 17), 5, fill=[255], corners=(True, False, False, False)))
     assert box[2, 2] == 0 and box[2, 17] == box[17, 2] == box[17, 17] == 255
     assert (shape(draw.line(df, [(0, 5), (19, 5)], [255], 3)) > 0).sum() == 60
-    assert len(draw.line_points((0, 0), (7, 3))) == 8
+    assert len(shapes.line_points((0, 0), (7, 3))) == 8
 
 
 def test_masked_operators(spark, images):
