@@ -10,7 +10,8 @@ the same validation. Kinds, and what is permuted:
 * phone: ``+`` and country code, or the North American form without one; the digits after the country code
 * ipv4: four numbers up to 255; the 32-bit address
 * date: year-month-day, day.month.year or month/day/year, an existing day of 1900 to 2099
-* email: the letters and digits before the @, whatever their number, each within its own kind
+* email: the letters and digits before the @, whatever their number, each within its own kind; a host has 127 labels
+  at most, as in the DNS
 * token: 16 or more letters and digits after a name such as token, key or secret; each within its kind,
   hex digits within hex digits
 
@@ -39,7 +40,7 @@ _SECRET = r"(?i:token|api[_-]?key|key|secret|password|passwd|pwd)[\"']?\s{0,4}[=
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
     "token": _SECRET + r"[0-9A-Za-z_\-]{16,}",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.){1,126}[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9\-/])(?!\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
@@ -52,6 +53,11 @@ _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _DAYS = (17, 4297)
 
 
+def _let(value: Column, body) -> Column:
+    """body of the value, which is worked out once: what a lambda names is worked out for each element otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hash(key: str, kind: str, turn: Column, other: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), other.cast("string")), 512)
 
@@ -76,7 +82,7 @@ def _moved(half: Column, stream: Column, hexes: bool) -> Column:
     """Each letter or digit of half moved within its alphabet by the stream's next two hex digits."""
     letters = 6 if hexes else 26
 
-    def move(c: Column, i: Column) -> Column:
+    def move(c: Column, i: Column, stream: Column) -> Column:
         by = F.conv(F.substring(stream, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
         at = F.ascii(c)
         turn = lambda first, size: F.char(first + (at - first + by) % size)
@@ -85,7 +91,7 @@ def _moved(half: Column, stream: Column, hexes: bool) -> Column:
             .when(at.between(65, 64 + letters), turn(65, letters)).otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(half, "", -1), move), "")
+    return _let(stream, lambda by: F.array_join(F.transform(F.split(half, "", -1), lambda c, i: move(c, i, by)), ""))
 
 
 def permuted_text(text: Column, key: str, kind: str, hexes: bool = False) -> Column:
@@ -219,11 +225,16 @@ _KINDS = {
 }
 
 
+#: The shortest value of the kinds whose test is dear.
+_LEAST = {"iban": 12, "card": 13}
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a match that is valid, else null."""
     found = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS.items()):
-        found = F.when(m.rlike(f"^(?:{pattern})$") & _KINDS[kind][0](m), F.lit(kind)).otherwise(found)
+        fits = m.rlike(f"^(?:{pattern})$") & _KINDS[kind][0](m)
+        found = F.when((F.length(m) >= _LEAST[kind]) & fits if kind in _LEAST else fits, F.lit(kind)).otherwise(found)
     return found
 
 
@@ -235,24 +246,37 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
+#: Characters of the shortest and the longest value that a run of groups can be: an address and an account in groups.
+_SPAN = (7, 43)
+
+
 def _spans(m: Column) -> Column:
-    """array<struct(m, kind)>, together m: the valid values among the groups of a match that is none itself."""
-    groups = F.regexp_extract_all(m, F.lit(r"[^ \-]+[ \-]*|[ \-]+"), 0)
-    last = F.size(groups) - 1
+    """array<struct(m, kind)>, together m: the valid values among the groups of a match that is none itself. A match of
+    groups has a bounded length, so this takes a bounded time for each."""
     part = lambda text, kind: F.struct(text.alias("m"), kind.cast("string").alias("kind"))
 
-    def step(s: Column, i: Column) -> Column:
-        text = lambda j: F.array_join(F.slice(groups, i + 1, j - i + 1), "")
-        bare = lambda j: F.regexp_replace(text(j), r"[ \-]+$", "")
-        end = F.array_max(F.filter(F.sequence(i, last), lambda j: kind_of(bare(j)).isNotNull()))
-        found = F.transform(F.array(end), lambda j: F.array(
-            part(bare(j), kind_of(bare(j))), part(F.substring(text(j), F.length(bare(j)) + 1, F.length(m)), F.lit(None))))
-        hit = F.struct((end + 1).alias("next"), F.concat(s["out"], F.flatten(found)).alias("out"))
-        miss = F.struct((i + 1).alias("next"), F.concat(s["out"], F.array(part(F.element_at(groups, i + 1), F.lit(None)))).alias("out"))
-        return F.when(i < s["next"], s).when(end.isNotNull(), hit).otherwise(miss)
-
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<m:string,kind:string>>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), last), start, step)["out"]
+    def of(groups: Column) -> Column:
+        last = F.size(groups) - 1
+
+        def step(s: Column, i: Column) -> Column:
+            text = lambda j: F.array_join(F.slice(groups, i + 1, j - i + 1), "")
+            bare = lambda j: F.struct(j.alias("j"), F.regexp_replace(text(j), r"[ \-]+$", "").alias("m"))
+            some = F.filter(F.transform(F.sequence(i, last), bare), lambda x: F.length(x["m"]).between(*_SPAN))
+            known = F.transform(some, lambda x: F.struct(x["j"].alias("j"), x["m"].alias("m"), kind_of(x["m"]).alias("kind")))
+
+            def longest(found: Column) -> Column:
+                x = F.get(found, F.size(found) - 1)
+                rest = F.substring(text(x["j"]), F.length(x["m"]) + 1, F.length(m))
+                hit = F.struct((x["j"] + 1).alias("next"), F.concat(s["out"], F.array(part(x["m"], x["kind"]), part(rest, F.lit(None)))).alias("out"))
+                miss = F.struct((i + 1).alias("next"), F.concat(s["out"], F.array(part(F.element_at(groups, i + 1), F.lit(None)))).alias("out"))
+                return F.when(F.size(found) > 0, hit).otherwise(miss)
+
+            return F.when(i < s["next"], s).otherwise(_let(F.filter(known, lambda x: x["kind"].isNotNull()), longest))
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<m:string,kind:string>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), last), start, step)["out"]
+
+    return _let(F.regexp_extract_all(m, F.lit(r"[^ \-]+[ \-]*|[ \-]+"), 0), of)
 
 
 def pseudonymised(df: DataFrame, key: str, text: str = "text") -> DataFrame:

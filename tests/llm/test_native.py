@@ -384,3 +384,22 @@ def test_pipeline_stages_with_odd_rows(spark):
     assert {(r["doc_id"], r["text"]) for r in now.collect()} == wanted and now.count() == 3
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, now, SF).where("round_trip").count() == 3 and last(spark, none, SF).count() == 0
+
+
+def test_hostile_values_neither_crash_nor_take_long(spark):
+    """Hosts of many labels, long values and long runs of digits: each text by itself, in a time in proportion to its length."""
+    import time
+
+    texts = {
+        "labels": "a@" + "b." * 100_000 + "c1 bob@ex.com.", "token": "token=" + "a1" * 50_000, "email": "x" * 100_000 + "@ex.com",
+        "digits": "1 " * 20_000, "run": "7" * 1_000_000, "card": "1 " * 200 + "x 4111 1111 1111 1111 12/27",
+    }
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    start = time.time()
+    found = {r["name"]: r for r in pii.pseudonymised(df, "k").collect()}
+    assert time.time() - start < 120
+    assert {n: r["pii"] for n, r in found.items()} == {"labels": ["email"], "token": ["token"], "email": ["email"], "digits": [], "run": [], "card": ["card"]}
+    for n in ("digits", "run"):
+        assert found[n]["text"] == texts[n]
+    assert found["labels"]["text"].startswith(texts["labels"][:200_000]) and len(found["token"]["text"]) == len(texts["token"]) and found["token"]["text"] != texts["token"]
+    assert found["card"]["text"].endswith(" 12/27") and "4111 1111 1111 1111" not in found["card"]["text"]
