@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from .operators import binary as B
 from .operators import color as C
 from .operators import draw as D
 from .operators import equalization as E
+from .operators import fonts as FO
 from .operators import geometry as G
 from .operators import neighborhood as N
 from .operators import point as P
@@ -656,8 +657,6 @@ _GLYPHS = ", c AS (SELECT image_id, i, ascii(CAST(image_id AS VARCHAR)[i]) AS co
 query("op_text_length", "s", lambda a: D.text_length(_words(a), _font(a.sparkSession)), _GLYPHS + ' SELECT image_id, 5 * count(*) AS "length" FROM c GROUP BY image_id')
 query("op_text_bbox", "s", lambda a: D.text_bbox(_words(a), _font(a.sparkSession)),
       _GLYPHS + ' SELECT image_id, CAST(min((i - 1) * 5) AS INTEGER) AS "left", CAST(min(code % 3) AS INTEGER) AS upper, CAST(max((i - 1) * 5 + 4) AS INTEGER) AS "right", CAST(max(code % 3 + 4) AS INTEGER) AS lower FROM c GROUP BY image_id')
-query("op_transposed_text", "s", lambda a: G.transpose(_text(a), "ROTATE_90"), _GLYPHS + """, p AS (SELECT DISTINCT image_id, 2 + (i - 1) * 5 + g AS x, 3 + g + code % 3 AS y FROM c, range(4) AS u(g))
-    SELECT s.image_id, w, h, s.y AS x, 31 - s.x AS y, CASE WHEN p.x IS NOT NULL THEN 255 ELSE b0 END AS b0 FROM s LEFT JOIN p ON p.image_id = s.image_id AND p.x = s.x AND p.y = s.y""")
 query("op_deform", "l", lambda a: S.transform_mesh(a, (8, 8), [((0, 0, 8, 8), (8, 0, 8, 8, 0, 8, 0, 0))]), "SELECT image_id, w, h, 7 - x AS x, y, b0 FROM l")
 query("op_putalpha_level", "l", lambda a: C.put_alpha(a, 77), f"SELECT {PLACE}, b0, 77 AS b1 FROM l")
 query("op_convert_rgba", "l", lambda a: C.convert(a, "L", "RGBA"), f"SELECT {PLACE}, b0, b0 AS b1, b0 AS b2, 255 AS b3 FROM l")
@@ -667,3 +666,83 @@ query("op_convert_l_1", "l", lambda a: C.convert(a, "L", "1"), f"SELECT {PLACE},
 query("op_convert_ycbcr_l", "rgb", lambda a: C.convert(a, "YCbCr", "L"), f"SELECT {PLACE}, b0 FROM rgb")
 query("op_frombytes_1", "l", lambda a: X.from_bytes(X.to_bytes(C.convert(a, "L", "1"), "1").select("image_id", "data"), "data", "1", (8, 8)), f"SELECT {PLACE}, CASE WHEN b0 >= 128 THEN 255 ELSE 0 END AS b0 FROM l")
 query("op_brightness_alpha", "rgba", lambda a: P.brightness(a, 0.7, alpha=True), f"SELECT {PLACE}, {', '.join(CLIP(f'b{k} * CAST(0.7 AS DOUBLE)') + f' AS b{k}' for k in range(3))}, b3 FROM rgba")
+
+
+# --- bitmap fonts -----------------------------------------------------------------------------------------
+
+_SIGNED = lambda v: (v & 0xFFFF).to_bytes(2, "big")
+
+
+def font_file(record: Callable[[int], Sequence[int]], info: str = "") -> bytes:
+    """A bitmap font's metrics file: a header, lines of information, and ten numbers for each of 256 glyphs."""
+    return f"PILfont\n;;;;;;9;\n{info}DATA\n".encode() + b"".join(_SIGNED(v) for c in range(256) for v in record(c))
+
+
+def _record(c: int) -> list[int]:
+    """Glyph c is 3 to 5 wide and 4 to 7 high, stands in a field of 8 by 8 of a strip of 128 by 128, hangs over its advance
+    by one, sinks by c % 2 after every third, and reaches over the strip's right edge in its last column."""
+    w, h = 3 + c % 3 + 4 * (c % 16 == 15), 4 + c % 4
+    left, top = c % 16 * 8, c // 16 * 8
+    return [w - 1 - 4 * (c % 16 == 15), (c % 3 == 0) * (c % 2), -1, -h, w - 1, 0, left, top, left + w, top + h]
+
+
+def _font_of(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    font = spark.createDataFrame([(0, bytearray(font_file(_record)))], "font_id int, content binary")
+    x, y = F.col("x"), F.col("y")
+    strip = spark.range(128 * 128).select(F.lit(0).alias("image_id"), F.lit(128).alias("w"), F.lit(128).alias("h"), (F.col("id") % 128).cast("int").alias("x"), F.floor(F.col("id") / 128).cast("int").alias("y"))
+    strip = strip.withColumn("b0", F.when((x * 5 + y * 3) % 4 == 0, 0).otherwise((x * 37 + y * 91) % 256).cast("int"))
+    glyphs = FO.font_glyphs(font, strip)
+    return glyphs, FO.font_strokes(glyphs, strip)
+
+
+def _word(a: DataFrame, multiline: bool = False) -> DataFrame:
+    """Each image's key, a slash and a number, in one line or in three, the middle one empty."""
+    key = F.col("image_id").cast("string")
+    end = (F.col("image_id") * 7 % 1000).cast("string")
+    return a.select("image_id").distinct().select("image_id", F.lit(0).alias("font_id"), F.concat(key, F.lit("\n\n/" if multiline else "/"), end).alias("text"))
+
+
+def _with_font(fn: Callable[..., DataFrame], multiline: bool = False) -> Callable[[DataFrame], DataFrame]:
+    return lambda a: fn(a, _word(a, multiline), *_font_of(a.sparkSession))
+
+
+_GLYPH_SQL = """fg AS (SELECT c AS code, w - 1 - 4 * o AS dx, CASE WHEN c % 6 = 3 THEN 1 ELSE 0 END AS dy, h, c % 16 * 8 AS sx, c // 16 * 8 AS sy, least(w, 128 - c % 16 * 8) AS cut
+              FROM (SELECT c, CASE WHEN c % 16 = 15 THEN 1 ELSE 0 END AS o, 3 + c % 3 + CASE WHEN c % 16 = 15 THEN 4 ELSE 0 END AS w, 4 + c % 4 AS h FROM range(256) AS t(c)))"""
+
+
+def _lines_sql(multiline: bool, share: float = 0.0, across: float = 0.0, down: float = 0.0, spacing: int = 4) -> str:
+    """CTEs ln (lines with their place) and ch (characters with their pen)."""
+    break_ = "chr(10) || chr(10) || '/'" if multiline else "'/'"
+    return f""", {_GLYPH_SQL},
+        tx AS (SELECT DISTINCT image_id, image_id || {break_} || (image_id * 7 % 1000) AS t FROM s),
+        li AS (SELECT image_id, k - 1 AS line, string_split(t, chr(10))[k] AS t FROM tx, range(1, 4) AS r(k) WHERE k <= len(string_split(t, chr(10)))),
+        ca AS (SELECT image_id, line, i, ascii(t[i]) AS code FROM li, range(1, 20) AS r(i) WHERE i <= length(t)),
+        cp AS (SELECT ca.*, dx, h, sx, sy, cut, coalesce(sum(dx) OVER w, 0) AS pen, 7 + coalesce(sum(dy) OVER w, 0) AS base FROM ca JOIN fg USING (code) WINDOW w AS (PARTITION BY image_id, line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        lw AS (SELECT li.image_id, li.line, li.t, coalesce(sum(dx), 0) AS width FROM li LEFT JOIN cp USING (image_id, line) GROUP BY ALL),
+        lt AS (SELECT *, coalesce(sum(CASE WHEN t = '' THEN 10 ELSE 7 END + {spacing}) OVER (PARTITION BY image_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top, max(width) OVER (PARTITION BY image_id) AS widest FROM lw),
+        ln AS (SELECT image_id, line, t, width, floor((widest - width) * {share}::DOUBLE) - floor(widest * {across}::DOUBLE) AS l,
+                      top - floor(max(CASE WHEN t = '' THEN 0 ELSE top + 7 END) OVER (PARTITION BY image_id) * {down}::DOUBLE) AS top FROM lt),
+        st AS (SELECT image_id, line, i, pen - 1 + gx AS x, base - h + gy AS y, CASE WHEN ((sx + gx) * 5 + (sy + gy) * 3) % 4 = 0 THEN 0 ELSE ((sx + gx) * 37 + (sy + gy) * 91) % 256 END AS v
+               FROM cp, range(9) AS p(gx), range(7) AS r(gy) WHERE gx < cut AND gy < h),
+        px AS (SELECT image_id, l + x AS x, top + y AS y, arg_max(v, line * 100 + i) AS v FROM st JOIN ln USING (image_id, line) WHERE x >= 0 AND x < width AND y >= 0 AND y < 7 GROUP BY ALL)"""
+
+
+def _inked(at: tuple[int, int], level: str = "px") -> str:
+    mixed = "(v * 250 + b0 * (255 - v) + 127) // 255"
+    return f" SELECT s.image_id, s.w, s.h, s.x, s.y, CAST(CASE WHEN coalesce(v, 0) = 0 THEN b0 ELSE {mixed} END AS INTEGER) AS b0 FROM s LEFT JOIN {level} p ON p.image_id = s.image_id AND p.x + {at[0]} = s.x AND p.y + {at[1]} = s.y"
+
+
+_BOX_SQL = ' SELECT image_id, CAST(min(l) AS INTEGER) AS "left", CAST(min(top) AS INTEGER) AS upper, CAST(max(l + width) AS INTEGER) AS "right", CAST(max(top) + 7 AS INTEGER) AS lower FROM ln WHERE t <> \'\' GROUP BY image_id'
+query("op_font_glyphs", "s", lambda a: _font_of(a.sparkSession)[0].join(F.broadcast(a.groupBy((F.col("image_id") % 256).cast("int").alias("code")).agg(F.count_distinct("image_id").alias("n"))), "code").select("code", "dx", "dy", "x0", "y0", "x1", "y1", "sx0", "sy0", "sx1", "sy1", "height", "baseline", "n"),
+      f", {_GLYPH_SQL}, u AS (SELECT image_id % 256 AS code, count(DISTINCT image_id) AS n FROM s GROUP BY 1) SELECT code, dx, dy, -1 AS x0, -h AS y0, cut - 1 AS x1, 0 AS y1, sx AS sx0, sy AS sy0, sx + cut AS sx1, sy + h AS sy1, 7 AS height, 7 AS baseline, n FROM fg JOIN u USING (code)")
+query("op_font_mask", "s", _with_font(lambda a, words, *font: FO.text_mask(words, *font)),
+      _lines_sql(False) + " SELECT ln.image_id, CAST(width AS INTEGER) AS w, 7 AS h, CAST(gx AS INTEGER) AS x, CAST(gy AS INTEGER) AS y, CAST(coalesce(v, 0) AS INTEGER) AS b0 FROM ln JOIN range(99) AS a(gx) ON gx < width CROSS JOIN range(7) AS b(gy) LEFT JOIN px ON px.image_id = ln.image_id AND px.x = gx AND px.y = gy")
+query("op_font_text", "s", _with_font(lambda a, words, *font: FO.draw_text(a, (3, 5), words, *font, [250])), _lines_sql(False) + _inked((3, 5)))
+query("op_transposed_text", "s", _with_font(lambda a, words, *font: FO.draw_text(a, (9, 4), words, *font, [250], "ROTATE_90")),
+      _lines_sql(False) + ", tp AS (SELECT image_id, px.y AS x, width - 1 - px.x AS y, v FROM px JOIN ln USING (image_id))" + _inked((9, 4), "tp"))
+query("op_transposed_bbox", "s", _with_font(lambda a, words, glyphs, _: FO.text_size(words, glyphs, "ROTATE_270")),
+      _lines_sql(False) + ' SELECT image_id, 0 AS "left", 0 AS upper, 7 AS "right", CAST(width AS INTEGER) AS lower FROM ln')
+query("op_font_length", "s", _with_font(lambda a, words, glyphs, _: FO.text_advance(words, glyphs, "ROTATE_180")), _lines_sql(False) + ' SELECT image_id, CAST(width AS INTEGER) AS "length" FROM ln')
+query("op_multiline_text", "s", _with_font(lambda a, words, *font: FO.draw_multiline(a, (14, 1), words, *font, [250], 2, "center", "ma"), True), _lines_sql(True, 0.5, 0.5, 0, 2) + _inked((14, 1)))
+query("op_multiline_text_right", "s", _with_font(lambda a, words, *font: FO.draw_multiline(a, (30, 30), words, *font, [250], 4, "right", "rd"), True), _lines_sql(True, 1.0, 1.0, 1.0) + _inked((30, 30)))
+query("op_multiline_bbox", "s", _with_font(lambda a, words, glyphs, _: FO.multiline_box(words, glyphs, 4, "right", "mm"), True), _lines_sql(True, 1.0, 0.5, 0.5) + _BOX_SQL)
