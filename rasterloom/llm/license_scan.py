@@ -5,6 +5,9 @@ each run of characters other than a-z and 0-9 one space. A segment is compared w
 coefficient of their sets of word bigrams, 2 |A and B| / (|A| + |B|). A coefficient of t needs
 |B| t / (2 - t) <= |A| <= |B| (2 - t) / t, so templates of other sizes are not compared.
 
+Texts with no word that all matches need are done at once. The segments' bigrams of the others are joined by equality to
+the bigrams of the templates of fitting size, and counted for each segment and template.
+
 Templates are the short forms and notices below and the whole licence texts in the folder ``licenses``, each
 as its steward publishes it. Licences with nearly one text (BSD-2-Clause and BSD-3-Clause) can both be found; the
 better one is first.
@@ -26,6 +29,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 THRESHOLD = 0.8
 #: Bigrams from which on a template is looked for by size alone; shorter ones also by telling words.
 LONG = 60
@@ -165,48 +170,40 @@ def scanned(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, kno
     """df with licenses added: an array of struct(license, dice, segment), one for each licence found,
     the best segment of each, the largest coefficient first."""
     known = templates() if known is None else known
-    kind = "array<struct<license:string,dice:double,segment:string>>"
+    none = F.array().cast("array<struct<license:string,dice:double,segment:string>>")
     if not known:
-        return df.withColumn("licenses", F.array().cast(kind))
-    least = lambda sizes: min(sizes, default=0) * threshold / (2 - threshold)
-    short, long = [g for _, g in known if len(g) < LONG], [len(g) for _, g in known if len(g) >= LONG]
-    high = max(len(g) for _, g in known) * (2 - threshold) / threshold
+        return df.withColumn("licenses", none)
+    share = threshold / (2 - threshold)
+    least = lambda sizes: min(sizes, default=0) * share
+    short, long = [g for _, g in known if len(g) < LONG], [g for _, g in known if len(g) >= LONG]
     words = telling_words(short, threshold)
     telling = lambda c: reduce(operator.or_, (F.contains(c, F.lit(w)) for w in words), F.lit(False))
     gaps = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" ")))
-    roomy = lambda s: F.length(s) >= 2 * least(long) if long else F.lit(False)  # noqa: E731  a word and a space at least
-    # Short templates need one of a few words, long ones room. Word counts bound the size of a set from above only.
-    # Each different word that no long template has begins a bigram of its own, unless it is the last one.
-    own = sorted({w for _, g in known if len(g) >= LONG for pair in g for w in pair.split(" ")})
-    foreign = lambda s: F.size(F.array_distinct(F.filter(F.split(s, " ", -1), lambda w: ~w.isin(own)))) - 1
-    strange = 1 - threshold / (2 - threshold)
-    spacious = lambda s: (gaps(s) >= least(long)) & (foreign(s) <= gaps(s) * strange + 1e-6) if long else F.lit(False)
+    roomy = lambda s: F.length(s) >= 2 * least(map(len, long)) if long else F.lit(False)  # noqa: E731  a word and a space at least
     body = F.col(text)
-    raw = F.filter(segments(body), lambda s: roomy(s) | telling(F.lower(s)))
-    parts = F.array_distinct(F.transform(raw, normalised))
-    parts = F.filter(parts, lambda s: spacious(s) | (telling(s) & (gaps(s) >= least(map(len, short)))))
-    sets = F.filter(F.transform(parts, lambda s: F.struct(s.alias("s"), bigrams(s).alias("g"))), lambda x: F.size(x["g"]) <= high)
-    # A text without a word that some long template needs has no segment for any of them.
-    needs = telling_words([g for _, g in known if len(g) >= LONG], threshold)
+    # Short templates need one of a few words, long ones room and a word of theirs. Texts without go no further.
+    needs = telling_words(long, threshold)
     likely = F.exists(F.split(normalised(body), " ", -1), lambda w: w.isin(needs)) if needs else F.lit(False)
-    sets = F.when(telling(F.lower(body)) | (roomy(body) & likely), sets)
-    with_sets = df.withColumn("__sets", sets)
-
-    def dice(x: Column) -> Column:
-        n = F.size(x["g"])
-        found = []
-        for name, grams in known:
-            size = len(grams)
-            score = 2.0 * F.size(F.array_intersect(x["g"], F.split(F.lit("|".join(grams)), r"\|", -1))) / (n + size)
-            fits = n.between(size * threshold / (2 - threshold), size * (2 - threshold) / threshold)
-            found.append(F.when(fits, F.struct(F.lit(name).alias("license"), F.round(score, 6).alias("dice"), x["s"].alias("segment"))))
-        return F.filter(F.array(*found), lambda y: y.isNotNull() & (y["dice"] >= threshold))
-
-    hits = F.flatten(F.transform("__sets", dice))
-    first = lambda a, b: (
-        F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["license"] < b["license"], -1)
-        .when(a["license"] > b["license"], 1).when(a["segment"] < b["segment"], -1).when(a["segment"] > b["segment"], 1).otherwise(0))
-    hits = F.array_sort(hits, first)
-    names = F.array_distinct(F.transform(hits, lambda x: x["license"]))
-    best = F.transform(names, lambda name: F.filter(hits, lambda x: x["license"] == name)[0])
-    return with_sets.withColumn("licenses", F.coalesce(best, F.array().cast(kind))).drop("__sets")
+    gate = F.coalesce(telling(F.lower(body)) | (roomy(body) & likely), F.lit(False))
+    plain = df.where(~gate).withColumn("licenses", none)
+
+    rows = df.where(gate).select(F.struct("*").alias("__row")).withColumn("__key", F.monotonically_increasing_id())
+    rows = staged(rows, "license-rows")
+    raw = F.filter(segments(F.col("__row").getField(text)), lambda s: roomy(s) | telling(F.lower(s)))
+    parts = rows.select("__key", F.explode(F.array_distinct(F.transform(raw, normalised))).alias("s"))
+    # Words bound the size of a set of bigrams from above only.
+    enough = telling(F.col("s")) & (gaps(F.col("s")) >= least(map(len, short)))
+    parts = parts.where(enough | (gaps(F.col("s")) >= least(map(len, long))) if long else enough)
+    sets = parts.withColumn("g", bigrams(F.col("s"))).withColumn("n", F.size("g"))
+    entry = lambda k, name, grams: F.struct(F.lit(k).alias("k"), F.lit(name).alias("license"), F.lit(len(grams)).alias("size"), F.lit("|".join(grams)).alias("grams"))
+    index = df.sparkSession.range(1).select(F.inline(F.array(*(entry(k, *x) for k, x in enumerate(known)))))
+    index = F.broadcast(index.select("k", "license", "size", F.explode(F.split("grams", r"\|", -1)).alias("gram")))  # as large as the templates
+    met = sets.select("__key", "s", "n", F.explode("g").alias("gram")).join(index, "gram").where(F.col("n").between(F.col("size") * share, F.col("size") / share))
+    common = met.groupBy("__key", "s", "n", "k", "license", "size").agg(F.count(F.lit(1)).alias("common"))
+    dice = F.round(2.0 * F.col("common") / (F.col("n") + F.col("size")), 6)
+    best = common.withColumn("dice", dice).where(F.col("dice") >= threshold).groupBy("__key", "license").agg(F.min(F.struct((-F.col("dice")).alias("d"), "s")).alias("b"))
+    found = best.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("b.d", "license", "b.s"))).alias("found"))  # one for each licence at most
+    licenses = F.transform("found", lambda x: F.struct(x["license"].alias("license"), (-x["d"]).alias("dice"), x["s"].alias("segment")))
+    judged = rows.join(found, "__key", "left")
+    own = [(F.coalesce(licenses, none) if c == "licenses" else F.col("__row").getField(c)).alias(c) for c in plain.columns]
+    return plain.unionByName(judged.select(*own))
