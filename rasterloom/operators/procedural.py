@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..relation import KEYS, bands
@@ -55,36 +55,50 @@ def dither(df: DataFrame) -> DataFrame:
     return per_image(df, floyd_steinberg, 1)
 
 
-class ParkMiller:
-    """The generator 16807 x mod 2**31 - 1."""
+#: The generator x -> 16807 x mod 2**31 - 1. The k-th number after x is x * 16807**k, so any can be had by itself.
+FACTOR, MODULUS = 16807, 2147483647
+#: Places are taken apart into digits of so many bits, whose powers are looked up.
+_DIGIT, _DIGITS = 10, 4
 
-    def __init__(self, seed: int = 1):
-        self.x = seed
 
-    def next(self) -> int:
-        self.x = self.x * 16807 % 2147483647
-        return self.x
+def draws(first: int, count: int, seed: int = 1) -> np.ndarray:
+    """The numbers first, first + 1, ... of the generator's stream after the seed, 0 being the first."""
+    out = np.empty(count, np.int64)
+    if count:
+        out[0] = seed * pow(FACTOR, first + 1, MODULUS) % MODULUS
+    done = 1
+    while done < count:  # as many again, by one power
+        more = min(done, count - done)
+        out[done : done + more] = out[:more] * pow(FACTOR, done, MODULUS) % MODULUS
+        done += more
+    return out
+
 
-    def share(self) -> float:
-        return self.next() / 2147483647.0
+def drawn(place: Column) -> Column:
+    """The number at a place (a bigint under 2**40) of the stream after the seed 1, by digits of the place."""
+    number = F.lit(FACTOR).cast("bigint")
+    for k in range(_DIGITS):
+        powers = F.array(*(F.lit(pow(FACTOR, j << (_DIGIT * k), MODULUS)).cast("bigint") for j in range(1 << _DIGIT)))
+        digit = F.shiftright(place, _DIGIT * k).bitwiseAND(F.lit((1 << _DIGIT) - 1)).cast("int")
+        number = number * F.get(powers, digit) % MODULUS
+    return number
 
 
 def noise(size: int, sigma: float, seed: int = 1) -> list[int]:
-    """128 with normal noise, by the polar method, cut to 0..255."""
-    random, out, spare = ParkMiller(seed), [], None
-    while len(out) < size:
-        if spare is None:
-            while True:
-                a, b = 2.0 * random.share() - 1.0, 2.0 * random.share() - 1.0
-                r = a * a + b * b
-                if 0 < r < 1:
-                    break
-            f = float(np.sqrt(-2.0 * np.log(r) / r))
-            value, spare = f * a, f * b
-        else:
-            value, spare = spare, None
-        out.append(int(min(255, max(0, 128 + sigma * value))))
-    return out
+    """128 with normal noise, by the polar method, cut to 0..255. Pairs of the stream are tried in order, and give two
+    numbers each if they are in the circle."""
+    out: list[np.ndarray] = []
+    made = tried = 0
+    while made < size:
+        n = (size - made) * 2 // 3 + 16
+        u, v = (2.0 * draws(2 * tried, 2 * n, seed).reshape(n, 2) / float(MODULUS) - 1.0).T
+        r = u * u + v * v
+        kept = (r > 0) & (r < 1)
+        f = np.sqrt(-2.0 * np.log(r[kept]) / r[kept])
+        out.append(np.column_stack([f * u[kept], f * v[kept]]).ravel())
+        made, tried = made + len(out[-1]), tried + n
+    values = np.concatenate(out or [np.empty(0)])[:size]
+    return np.clip(128 + sigma * values, 0, 255).astype(np.int64).tolist()
 
 
 def effect_noise(frames: DataFrame, sigma: float) -> DataFrame:
@@ -97,21 +111,24 @@ def effect_noise(frames: DataFrame, sigma: float) -> DataFrame:
     return rows.select("image_id", "w", "h", (F.col("i") % F.col("w")).alias("x"), F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), "b0")
 
 
-def spread(img: np.ndarray, distance: int) -> np.ndarray:
-    """Each pixel from one at a random place near it, if that is inside the image."""
-    h, w, _ = img.shape
-    out, random = img.copy(), ParkMiller(1)
-    for y in range(h):
-        for x in range(w):
-            p = x + random.next() % (distance + 1) - distance // 2
-            q = y + random.next() % (distance + 1) - distance // 2
-            if 0 <= p < w and 0 <= q < h:
-                out[y, x], out[q, p] = img[q, p], img[y, x]
-    return out
-
-
 def effect_spread(df: DataFrame, distance: int) -> DataFrame:
-    return per_image(df, lambda img: spread(img, distance))
+    """Each pixel changes places with one at a random place near it, if that is inside the image: in row order, with the
+    samples of the image as it was, so what comes last to a place stays. A pixel's two numbers are those at twice its
+    place in the image's stream, so pixels are drawn in parallel."""
+    own = bands(df)
+    at = F.col("y").cast("bigint") * F.col("w") + F.col("x")
+    step = lambda k: (drawn(2 * at + k) % (distance + 1)).cast("int") - distance // 2
+    rows = df.withColumns({"__at": at, "__x": F.col("x") + step(0), "__y": F.col("y") + step(1)})
+    inside = (F.col("__x") >= 0) & (F.col("__x") < F.col("w")) & (F.col("__y") >= 0) & (F.col("__y") < F.col("h"))
+    source = df.select("image_id", F.col("x").alias("__x"), F.col("y").alias("__y"), *(F.col(b).alias(f"__{b}") for b in own))
+    pairs = rows.where(inside).join(source, ["image_id", "__x", "__y"])
+    write = lambda x, y, when, *samples: F.struct(x.alias("x"), y.alias("y"), when.alias("t"), *(v.alias(b) for b, v in zip(own, samples, strict=True)))
+    here = write(F.col("x"), F.col("y"), F.col("__at"), *(F.col(f"__{b}") for b in own))
+    there = write(F.col("__x"), F.col("__y"), F.col("__at"), *map(F.col, own))
+    changed = pairs.select("image_id", "w", "h", F.inline(F.array(here, there)))
+    kept = df.select("image_id", "w", "h", "x", "y", F.lit(-1).cast("bigint").alias("t"), *own)
+    last = kept.unionByName(changed).groupBy(*KEYS).agg(F.max_by(F.struct(*own), "t").alias("__s"))
+    return last.select(*KEYS, *(F.col(f"__s.{b}").alias(b) for b in own))
 
 
 def _nearest(points: np.ndarray, palette: np.ndarray) -> np.ndarray:
@@ -126,21 +143,91 @@ def _means(points: np.ndarray, counts: np.ndarray, group: np.ndarray, old: np.nd
     return np.where(n[:, None] > 0, np.floor(sums / np.maximum(n, 1)[:, None] + 0.5), old).astype(np.int64)
 
 
-def median_cut(points: np.ndarray, counts: np.ndarray, colors: int) -> np.ndarray:
-    """A palette: the box with the most pixels is cut at the median of its longest side, again and again."""
-    boxes = [np.arange(len(points))]
-    while len(boxes) < colors:
-        able = [k for k, b in enumerate(boxes) if len(b) > 1]
-        if not able:
-            break
-        k = max(able, key=lambda k: (counts[boxes[k]].sum(), -k))
-        own = boxes.pop(k)
-        side = int(np.ptp(points[own], axis=0).argmax())
-        own = own[np.argsort(points[own, side], kind="stable")]
-        below = np.cumsum(counts[own])
-        at = int(np.clip(np.searchsorted(below, below[-1] / 2) + 1, 1, len(own) - 1))
-        boxes += [own[:at], own[at:]]
-    return np.array([np.floor((points[b] * counts[b, None]).sum(axis=0) / counts[b].sum() + 0.5) for b in boxes], np.int64)
+#: A histogram has so many cells at most; a band loses bits until it has. Without three of them it always has.
+CELLS, COARSEST = 65_536, 3
+#: Weights of the bands where the longest side of a box is looked for.
+_SIDES = np.array([77, 150, 29])
+
+
+class _Fullest:
+    """A binary heap of boxes by their pixels. Of equal ones that came up first stays above: a box rises only over smaller
+    ones, the left one of two equal children is taken, and sinks under equal ones."""
+
+    def __init__(self) -> None:
+        self.heap: list[tuple[int, int]] = []
+
+    def push(self, pixels: int, box: int) -> None:
+        at = len(self.heap)
+        self.heap.append((pixels, box))
+        while at and self.heap[(at - 1) // 2][0] < pixels:
+            self.heap[at] = self.heap[(at - 1) // 2]
+            at = (at - 1) // 2
+        self.heap[at] = (pixels, box)
+
+    def pop(self) -> int:
+        top, moved = self.heap[0], self.heap.pop()
+        if self.heap:
+            at, n = 0, len(self.heap)
+            while (child := 2 * at + 1) < n:
+                child += child + 1 < n and self.heap[child + 1][0] > self.heap[child][0]
+                if self.heap[child][0] < moved[0]:
+                    break
+                self.heap[at] = self.heap[child]
+                at = child
+            self.heap[at] = moved
+        return top[1]
+
+
+def _halves(cells: np.ndarray, counts: np.ndarray) -> np.ndarray | None:
+    """Which of a box's cells are in its high half: the fewest highest levels of its longest side with over half of the
+    pixels, but not all levels."""
+    side = int((np.ptp(cells, axis=0) * _SIDES).argmax())
+    levels, where = np.unique(cells[:, side], return_inverse=True)
+    if len(levels) < 2:
+        return None
+    above = np.cumsum(np.bincount(where, counts)[::-1])[::-1]
+    return where >= max(1, int(np.flatnonzero(2 * above > counts.sum())[-1]))
+
+
+def median_cut(cells: np.ndarray, counts: np.ndarray, sums: np.ndarray, colors: int) -> tuple[np.ndarray, np.ndarray]:
+    """(box of each cell, palette): the box with the most pixels is cut, again and again. Boxes are numbered by the cuts they
+    come from, high halves first; entries without a box are the last one's."""
+    boxes, cuts, heap = [np.arange(len(cells))], {}, _Fullest()
+    heap.push(int(counts.sum()), 0)
+    while len(cuts) + 1 < colors and heap.heap:
+        box = heap.pop()
+        own = boxes[box]
+        high = _halves(cells[own], counts[own])
+        if high is not None:
+            cuts[box] = len(boxes)
+            boxes += [own[high], own[~high]]
+            for k in (-2, -1):
+                heap.push(int(counts[boxes[k]].sum()), len(boxes) + k)
+    order, stack = [], [0]
+    while stack:
+        box = stack.pop()
+        if box in cuts:
+            stack += [cuts[box] + 1, cuts[box]]
+        else:
+            order.append(boxes[box])
+    index, palette = np.zeros(len(cells), np.int64), np.zeros((colors, cells.shape[1]), np.int64)
+    for k, own in enumerate(order):
+        index[own] = k
+        n = counts[own].sum()
+        palette[k:] = (sums[own].sum(axis=0) + n // 2) // n
+    return index, palette
+
+
+def _nearer(points: np.ndarray, start: np.ndarray, palette: np.ndarray) -> np.ndarray:
+    """The nearest entry to each point; of equally near ones the point's own one (start), then what is nearest to that."""
+    gaps = ((palette[:, None, :] - palette[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(gaps, -1)
+    rank = np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1, kind="stable")
+    parts = []
+    for k in range(0, len(points), 16_384):
+        p, own = points[k : k + 16_384], start[k : k + 16_384]
+        parts.append(((((p[:, None, :] - palette[None]) ** 2).sum(axis=2) << 8) + rank[own]).argmin(axis=1))
+    return np.concatenate(parts or [np.empty(0, np.int64)])
 
 
 def max_coverage(points: np.ndarray, counts: np.ndarray, colors: int) -> np.ndarray:
@@ -197,7 +284,8 @@ def octree(points: np.ndarray, counts: np.ndarray, sums: np.ndarray, colors: int
     return index, palette
 
 
-METHODS = {0: median_cut, 1: max_coverage}
+#: Distinct colours that look for their entry together.
+_TOGETHER = 65_536
 
 
 def _spread_images(df: DataFrame) -> DataFrame:
@@ -235,23 +323,77 @@ def _by_octree(df: DataFrame, colors: int) -> tuple[DataFrame, DataFrame]:
     return pixels, mapped.where("cube < 0").select("image_id", "idx", *(F.col(f"p{k}").alias(n) for k, n in names))
 
 
+def _assigned(started: DataFrame, palette: DataFrame) -> DataFrame:
+    """started (image_id, buckets, b0, b1, b2, n, start) with idx, the entry of each colour; start becomes idx. Colours of an
+    image are dealt into buckets, each of which gets the palette (image_id, buckets, idx, p0, p1, p2)."""
+    own = ["b0", "b1", "b2"]
+    dealt = started.withColumn("bucket", F.pmod(F.xxhash64(*own), F.col("buckets")).cast("int"))
+    copies = palette.withColumn("bucket", F.explode(F.expr("sequence(0, buckets - 1)")))
+
+    def made(colours: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        table = entries.sort_values("idx")[["p0", "p1", "p2"]].to_numpy(np.int64)
+        index = _nearer(colours[own].to_numpy(np.int64), colours["start"].to_numpy(np.int64), table)
+        return colours[["image_id", "buckets", *own, "n"]].assign(start=index.astype(np.int32))
+
+    shape = "image_id bigint, buckets int, b0 int, b1 int, b2 int, n bigint, start int"
+    return dealt.groupBy("image_id", "bucket").cogroup(copies.groupBy("image_id", "bucket")).applyInPandas(made, shape)
+
+
+def _by_median_cut(df: DataFrame, colors: int, kmeans: int) -> tuple[DataFrame, DataFrame]:
+    """Colours, and the cells of a histogram whose precision is chosen by their number, are counted by Spark: an image is at
+    most CELLS rows where its boxes are cut. Means of rounds of k-means are grouped by Spark too."""
+    own = ["b0", "b1", "b2"]
+    counted = df.groupBy("image_id", *own).agg(F.count(F.lit(1)).alias("n"))
+    cell = lambda s: F.struct(*(F.shiftright(F.col(b).cast("int"), s) for b in own))
+    found = counted.groupBy("image_id").agg(F.count(F.lit(1)).alias("n0"), *(F.count_distinct(cell(s)).alias(f"n{s}") for s in range(1, COARSEST)))
+    fits = F.coalesce(*(F.when(F.col(f"n{s}") <= CELLS, s) for s in range(COARSEST)), F.lit(COARSEST))
+    scales = found.select("image_id", fits.alias("scale"), F.ceil(F.col("n0") / _TOGETHER).cast("int").alias("buckets"))
+    placed = counted.join(scales, "image_id").withColumns({f"c{k}": F.expr(f"shiftright(cast({b} as int), scale)") for k, b in enumerate(own)})
+    cells = placed.groupBy("image_id", "c0", "c1", "c2").agg(F.sum("n").alias("n"), F.max("buckets").alias("buckets"), *(F.sum(F.col("n") * F.col(b)).alias(f"s{b}") for b in own))
+
+    def made(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["c0", "c1", "c2"])
+        points = frame[["c0", "c1", "c2"]].to_numpy(np.int64)
+        index, palette = median_cut(points, frame["n"].to_numpy(np.int64), frame[[f"s{b}" for b in own]].to_numpy(np.int64), colors)
+        entry, none = np.arange(colors), np.full((colors, 3), -1)
+        places, values = np.concatenate([points, none]), np.concatenate([np.zeros_like(points), palette])
+        out = {"image_id": frame["image_id"].iloc[0], "buckets": frame["buckets"].iloc[0], "idx": np.concatenate([index, entry])}
+        return pd.DataFrame(out | {f"c{k}": places[:, k] for k in range(3)} | {f"p{k}": values[:, k] for k in range(3)})
+
+    shape = "image_id bigint, buckets int, idx int, c0 int, c1 int, c2 int, p0 int, p1 int, p2 int"
+    mapped = _spread_images(cells).groupBy("image_id").applyInPandas(made, shape)
+    palette = mapped.where("c0 < 0").select("image_id", "buckets", "idx", "p0", "p1", "p2")
+    boxes = mapped.where("c0 >= 0").select("image_id", "c0", "c1", "c2", F.col("idx").alias("start"))
+    colours = placed.join(boxes, ["image_id", "c0", "c1", "c2"]).select("image_id", "buckets", *(F.col(b).cast("int").alias(b) for b in own), "n", "start")
+    colours = _assigned(colours, palette)
+    for _ in range(kmeans):
+        mean = lambda b: F.floor(F.sum(F.col("n") * F.col(b)) / F.sum("n") + 0.5).cast("int")
+        means = colours.groupBy("image_id", F.col("start").alias("idx")).agg(*(mean(b).alias(f"m{k}") for k, b in enumerate(own)))
+        palette = palette.join(means, ["image_id", "idx"], "left").select("image_id", "buckets", "idx", *(F.coalesce(f"m{k}", f"p{k}").alias(f"p{k}") for k in range(3)))
+        colours = _assigned(colours, palette)
+    pixels = df.join(colours.select("image_id", *own, "start"), ["image_id", *own]).select(*KEYS, F.col("start").alias("b0"))
+    return pixels, palette.select("image_id", "idx", F.col("p0").alias("r"), F.col("p1").alias("g"), F.col("p2").alias("b"))
+
+
 def quantize(df: DataFrame, colors: int = 256, method: int = 0, kmeans: int = 0) -> tuple[DataFrame, DataFrame]:
     """(P pixels, palette (image_id, idx, bands...)). Method 0 is median cut and 1 maximum coverage, of RGB; 2 is the
     fast octree, of RGB or RGBA, which leaves ``kmeans`` aside. Colours are counted by Spark; the palette of an image
     is made from its counted colours or cubes, and pixels find their index by joining on them."""
-    if not 1 <= colors <= 256 or method not in (*METHODS, 2):
+    if not 1 <= colors <= 256 or method not in (0, 1, 2):
         raise ValueError("bad number of colors or method")
     own = bands(df)
     if len(own) == 4 and method != 2:
         raise ValueError("only the fast octree takes RGBA")
     if method == 2:
         return _by_octree(df, colors)
+    if method == 0:
+        return _by_median_cut(df, colors, kmeans)
     counted = df.groupBy("image_id", *own).agg(F.count(F.lit(1)).alias("n"))
 
     def made(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(own)  # whatever order the rows came in
         points, counts = frame[own].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
-        palette = METHODS[method](points, counts, colors)
+        palette = max_coverage(points, counts, colors)
         for _ in range(kmeans):
             palette = _means(points, counts, _nearest(points, palette), palette)
         index = _nearest(points, palette)
