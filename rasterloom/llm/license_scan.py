@@ -177,23 +177,28 @@ def scanned(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, kno
     least = lambda sizes: min(sizes, default=0) * share
     short, long = [g for _, g in known if len(g) < LONG], [g for _, g in known if len(g) >= LONG]
     words = telling_words(short, threshold)
-    telling = lambda c: reduce(operator.or_, (F.contains(c, F.lit(w)) for w in words), F.lit(False))
+    # Short words are in many others, so they have to stand alone.
+    alone = "|".join(w for w in words if len(w) < 6)
+    inside = [w for w in words if len(w) >= 6]
+    apart = lambda c: F.rlike(c, F.lit(f"(?<![a-z0-9])(?:{alone})(?![a-z0-9])")) if alone else F.lit(False)
+    telling = lambda c: reduce(operator.or_, (F.contains(c, F.lit(w)) for w in inside), apart(c))
     gaps = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" ")))
     roomy = lambda s: F.length(s) >= 2 * least(map(len, long)) if long else F.lit(False)  # noqa: E731  a word and a space at least
     body = F.col(text)
     # Short templates need one of a few words, long ones room and a word of theirs. Texts without go no further.
     needs = telling_words(long, threshold)
     likely = F.exists(F.split(normalised(body), " ", -1), lambda w: w.isin(needs)) if needs else F.lit(False)
-    gate = F.coalesce(telling(F.lower(body)) | (roomy(body) & likely), F.lit(False))
+    long_too = F.coalesce(roomy(body) & likely, F.lit(False))
+    gate = F.coalesce(telling(F.lower(body)), F.lit(False)) | long_too
     plain = df.where(~gate).withColumn("licenses", none)
 
-    rows = df.where(gate).select(F.struct("*").alias("__row")).withColumn("__key", F.monotonically_increasing_id())
+    rows = df.where(gate).select(F.struct("*").alias("__row"), long_too.alias("__long")).withColumn("__key", F.monotonically_increasing_id())
     rows = staged(rows, "license-rows")
-    raw = F.filter(segments(F.col("__row").getField(text)), lambda s: roomy(s) | telling(F.lower(s)))
-    parts = rows.select("__key", F.explode(F.array_distinct(F.transform(raw, normalised))).alias("s"))
+    raw = F.filter(segments(F.col("__row").getField(text)), lambda s: (F.col("__long") & roomy(s)) | telling(F.lower(s)))
+    parts = rows.select("__key", "__long", F.explode(F.array_distinct(F.transform(raw, normalised))).alias("s"))
     # Words bound the size of a set of bigrams from above only.
     enough = telling(F.col("s")) & (gaps(F.col("s")) >= least(map(len, short)))
-    parts = parts.where(enough | (gaps(F.col("s")) >= least(map(len, long))) if long else enough)
+    parts = parts.where(enough | (F.col("__long") & (gaps(F.col("s")) >= least(map(len, long)))) if long else enough)
     sets = parts.withColumn("g", bigrams(F.col("s"))).withColumn("n", F.size("g"))
     entry = lambda k, name, grams: F.struct(F.lit(k).alias("k"), F.lit(name).alias("license"), F.lit(len(grams)).alias("size"), F.lit("|".join(grams)).alias("grams"))
     index = df.sparkSession.range(1).select(F.inline(F.array(*(entry(k, *x) for k, x in enumerate(known)))))
