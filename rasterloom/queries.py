@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from .operators import resample as S
 from .plans.chain import Chain
 from .relation import sizes
 from .sources import files as FL
+from .sources import metadata as MD
 from .sources import pixels as X
 from .sources import tables as T
 
@@ -746,3 +748,44 @@ query("op_font_length", "s", _with_font(lambda a, words, glyphs, _: FO.text_adva
 query("op_multiline_text", "s", _with_font(lambda a, words, *font: FO.draw_multiline(a, (14, 1), words, *font, [250], 2, "center", "ma"), True), _lines_sql(True, 0.5, 0.5, 0, 2) + _inked((14, 1)))
 query("op_multiline_text_right", "s", _with_font(lambda a, words, *font: FO.draw_multiline(a, (30, 30), words, *font, [250], 4, "right", "rd"), True), _lines_sql(True, 1.0, 1.0, 1.0) + _inked((30, 30)))
 query("op_multiline_bbox", "s", _with_font(lambda a, words, glyphs, _: FO.multiline_box(words, glyphs, 4, "right", "mm"), True), _lines_sql(True, 1.0, 0.5, 0.5) + _BOX_SQL)
+
+# --- metadata ---------------------------------------------------------------------------------------------
+
+
+def _little(v: Any, size: int) -> Any:
+    """A number's hex digits, the low byte first."""
+    digits = F.lpad(F.hex(v if not isinstance(v, int) else F.lit(v)), 2 * size, "0")
+    return F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))))
+
+
+def _exif_of(a: DataFrame) -> DataFrame:
+    """A block for each image: its orientation, a resolution of its id to 7, and a directory of its own with a speed."""
+    key = F.col("image_id")
+    entry = lambda tag, kind, value: F.concat(_little(tag, 2), _little(kind, 2), _little(1, 4), value)
+    short = lambda v: F.concat(_little(v, 2), F.lit("0000"))
+    first = F.concat(_little(3, 2), entry(274, 3, short(key % 8 + 1)), entry(282, 5, _little(50, 4)), entry(34665, 4, _little(58, 4)), _little(0, 4))
+    block = F.concat(F.lit("49492A00"), _little(8, 4), first, _little(key, 4), _little(7, 4), _little(1, 2), entry(34855, 3, short(key * 100 % 60_000)), _little(0, 4))
+    return a.select("image_id").distinct().withColumn("exif", F.unhex(block))
+
+
+def _exif_rows(a: DataFrame) -> DataFrame:
+    rows = MD.exif_entries(_exif_of(a))
+    ratio = F.array_join(F.transform("ratio", lambda r: F.concat_ws("/", r["n"], r["d"])), " ")
+    return rows.select("image_id", "directory", "tag", "kind", "count", F.coalesce(F.array_join("whole", " "), ratio).alias("value"))
+
+
+query("op_exif_entries", "l", _exif_rows, """, i AS (SELECT DISTINCT image_id FROM l)
+    SELECT image_id, directory, tag, kind, 1::BIGINT AS "count", CASE tag WHEN 274 THEN CAST(image_id % 8 + 1 AS VARCHAR) WHEN 282 THEN image_id || '/7' WHEN 34665 THEN '58' ELSE CAST(image_id * 100 % 60000 AS VARCHAR) END AS "value"
+    FROM i, (VALUES ('image', 274, 3), ('image', 282, 5), ('image', 34665, 4), ('exif', 34855, 3)) AS t(directory, tag, kind)""")
+query("op_exif_orientation", "l", lambda a: MD.orientation_of(_exif_of(a)), "SELECT DISTINCT image_id, CAST(image_id % 8 + 1 AS INTEGER) AS orientation FROM l")
+
+
+def _xmp_rows(a: DataFrame) -> DataFrame:
+    key = F.col("image_id").cast("string")
+    text = F.concat(F.lit("head<x:xmpmeta xmlns:x='adobe:ns:meta/'><rdf:RDF><rdf:Description xmp:Rating=\""), (F.col("image_id") % 6).cast("string"), F.lit('"><dc:subject><rdf:Bag><rdf:li>'), key,
+                    F.lit("</rdf:li><rdf:li>a &amp; ö</rdf:li></rdf:Bag></dc:subject></rdf:Description></rdf:RDF></x:xmpmeta>tail"))
+    files = a.select("image_id").distinct().select("image_id", F.encode(text, "UTF-8").alias("content"))
+    return MD.xmp_properties(MD.xmp(files)).select("image_id", "property", F.array_join("values", "|").alias("value"))
+
+
+query("op_getxmp", "l", _xmp_rows, ", i AS (SELECT DISTINCT image_id FROM l) SELECT image_id, 'xmp:Rating' AS property, CAST(image_id % 6 AS VARCHAR) AS \"value\" FROM i UNION ALL SELECT image_id, 'dc:subject', image_id || '|a & ö' FROM i")

@@ -34,8 +34,8 @@ def format_of(content: Column) -> Column:
 
 
 def _number(content: Column, at: int, size: int, big: bool) -> Column:
-    raw = F.substring(content, F.lit(at), F.lit(size))
-    return F.conv(F.hex(raw if big else F.reverse(raw)), 16, 10).cast("bigint")
+    raw = F.hex(F.substring(content, F.lit(at), F.lit(size)))
+    return F.conv(raw if big else F.concat(*(F.substring(raw, 2 * k + 1, 2) for k in reversed(range(size)))), 16, 10).cast("bigint")
 
 
 def open_images(spark: SparkSession, path: str, formats: Sequence[str] | None = None) -> DataFrame:
