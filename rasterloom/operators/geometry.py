@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.samples import clip, muldiv255
 from ..relation import KEYS, bands, grid, moved, sizes
 
 
@@ -98,10 +99,25 @@ def crop_border(df: DataFrame, border: int) -> DataFrame:
     return moved(inside, x - border, y - border, w - 2 * border, h - 2 * border)
 
 
-def reduce(df: DataFrame, fx: int, fy: int | None = None, box: Sequence[int] | None = None) -> DataFrame:
+def premultiplied(df: DataFrame) -> DataFrame:
+    """Samples weighted by alpha, the last band."""
+    last = bands(df)[-1]
+    return df.withColumns({b: muldiv255(F.col(b), F.col(last)) for b in bands(df)[:-1]})
+
+
+def unmultiplied(df: DataFrame) -> DataFrame:
+    """Samples without the weight of alpha, the last band."""
+    a = F.col(bands(df)[-1])
+    back = lambda v: F.when((a == 0) | (a == 255), v).otherwise(clip(F.floor(v * 255 / F.greatest(a, F.lit(1)))))
+    return df.withColumns({b: back(F.col(b)) for b in bands(df)[:-1]})
+
+
+def reduce(df: DataFrame, fx: int, fy: int | None = None, box: Sequence[int] | None = None, alpha: bool = False) -> DataFrame:
     """The mean of each block, in 24-bit fixed point; blocks at the far edges have their own count. A box is cut out
-    first."""
+    first. ``alpha``: the last band is alpha, samples are weighted by it."""
     df = crop(df, box) if box is not None else df
+    if alpha:
+        return unmultiplied(reduce(premultiplied(df), fx, fy))
     fy = fx if fy is None else fy
     down = lambda c, f: F.floor(c / f).cast("int")
     own = bands(df)

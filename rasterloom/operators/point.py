@@ -90,12 +90,20 @@ def saturation(df: DataFrame, factor: float) -> DataFrame:
     return map_bands(df, lambda v: mixed(grey, v, factor), ["b0", "b1", "b2"])
 
 
-def contrast(df: DataFrame, factor: float) -> DataFrame:
-    """L or RGB towards or away from the image's mean grey, rounded. One aggregate, joined back."""
+def contrast(df: DataFrame, factor: float, mode: str | None = None) -> DataFrame:
+    """L, RGB or CMYK (to be named) towards or away from the image's mean grey, rounded. One aggregate, joined back. The
+    grey of CMYK is black ink alone."""
+    from .color import convert
+
     own = bands(df)
-    grey = F.col("b0") if len(own) < 3 else luma(*map(F.col, own[:3]))
-    means = df.groupBy("image_id").agg(F.floor(F.sum(grey) / F.count(F.lit(1)) + 0.5).cast("int").alias("mean"))
+    cmyk = mode == "CMYK"
+    grey = F.col("b0") if len(own) < 3 or cmyk else luma(*map(F.col, own[:3]))
+    source = convert(df, "CMYK", "L") if cmyk else df
+    means = source.groupBy("image_id").agg(F.floor(F.sum(grey) / F.count(F.lit(1)) + 0.5).cast("int").alias("mean"))
     joined = df.join(means, "image_id")
+    if cmyk:
+        low = [F.lit(0), F.lit(0), F.lit(0), 255 - F.col("mean")]
+        return joined.withColumns({b: mixed(v, F.col(b), factor) for b, v in zip(own, low, strict=True)}).select(df.columns)
     return map_bands(joined, lambda v: mixed(F.col("mean"), v, factor), own[: 1 if len(own) < 3 else 3]).select(df.columns)
 
 

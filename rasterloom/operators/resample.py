@@ -9,9 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.samples import clip, muldiv255
+from ..functions.samples import clip
 from ..relation import KEYS, bands, grid, sizes
-from .geometry import crop, pad_to
+from .geometry import crop, pad_to, premultiplied, unmultiplied
 
 PRECISION = 22
 _LENGTH = ("size", "out_size", "lo", "hi")
@@ -97,7 +97,7 @@ def _pass(df: DataFrame, table: DataFrame, axis: str, exact: bool) -> DataFrame:
 def resize_plan(df: DataFrame, plan: Sequence[Column], resample: str, alpha: bool = False, exact: bool = False) -> DataFrame:
     """df by a plan of columns (out_w, out_h, x0, y0, x1, y1) of an image's w and h: its size and its box."""
     if alpha and resample != "NEAREST":
-        df = _premultiplied(df)
+        df = premultiplied(df)
     kinds = ("int", "int", *["double"] * 4)
     df = df.withColumns({n: c.cast(k) for n, c, k in zip(_PLAN, plan, kinds, strict=True)})
     tables = {axis: _table(df, axis, resample) for axis in ("x", "y")}
@@ -105,7 +105,7 @@ def resize_plan(df: DataFrame, plan: Sequence[Column], resample: str, alpha: boo
         df = _pass(df, table, axis, exact)
     df = df.select(*KEYS, *bands(df))
     if alpha and resample != "NEAREST":
-        df = _unmultiplied(df)
+        df = unmultiplied(df)
     return df
 
 
@@ -191,17 +191,6 @@ def scale(df: DataFrame, factor: float, resample: str = "BICUBIC") -> DataFrame:
 SAMPLERS = {"NEAREST": (1, 0), "BILINEAR": (2, 0), "BICUBIC": (4, -1)}
 
 
-def _premultiplied(df: DataFrame) -> DataFrame:
-    last = bands(df)[-1]
-    return df.withColumns({b: muldiv255(F.col(b), F.col(last)) for b in bands(df)[:-1]})
-
-
-def _unmultiplied(df: DataFrame) -> DataFrame:
-    a = F.col(bands(df)[-1])
-    back = lambda v: F.when((a == 0) | (a == 255), v).otherwise(clip(F.floor(v * 255 / F.greatest(a, F.lit(1)))))
-    return df.withColumns({b: back(F.col(b)) for b in bands(df)[:-1]})
-
-
 def _mixed(v: Sequence[Column], d: Column) -> Column:
     """Two values by their share, or four by the cubic with a = -1 between the middle ones. Equal values give just that value."""
     if len(v) == 2:
@@ -216,7 +205,7 @@ def _sampled(places: DataFrame, df: DataFrame, resample: str, fill: Sequence[int
     if resample not in SAMPLERS:
         raise ValueError(f"{resample} does not sample at a place; {', '.join(SAMPLERS)} do")
     if alpha and resample != "NEAREST":
-        return _unmultiplied(_sampled(places, _premultiplied(df), resample, fill))
+        return unmultiplied(_sampled(places, premultiplied(df), resample, fill))
     own = bands(df)
     source = df.select("image_id", F.col("w").alias("iw"), F.col("h").alias("ih"), F.col("x").alias("px"), F.col("y").alias("py"), *own)
     if resample == "NEAREST":

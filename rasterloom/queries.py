@@ -599,7 +599,8 @@ query("op_new", "l", lambda a: X.constant(a.select("image_id").distinct(), (4, 3
 query("op_tobytes", "rgb", lambda a: X.to_bytes(a, "RGB", "BGR").select("image_id", F.sha2("data", 256).alias("sha")),
       ", o AS (SELECT image_id, string_agg(printf('%02X%02X%02X', b2, b1, b0), '' ORDER BY y, x) AS d FROM rgb GROUP BY image_id) SELECT image_id, sha256(unhex(d)) AS sha FROM o")
 query("op_frombytes", "rgb", lambda a: X.from_bytes(X.to_bytes(a, "RGB").select("image_id", "data"), "data", "RGB", (8, 8)), f"SELECT {PLACE}, b0, b1, b2 FROM rgb")
-query("op_tobitmap", "l", lambda a: X.to_bitmap(P.posterize(a, 1)).select("image_id", F.length("source").alias("n")), "SELECT DISTINCT image_id, CAST(%d AS INTEGER) AS n FROM l" % (len("#define image_width 8\n#define image_height 8\nstatic char image_bits[] = {\n\n};") + 8 * 5 - 1))
+query("op_tobitmap", "l", lambda a: X.to_bitmap(P.posterize(a, 1)), """, r AS (SELECT image_id, y, '0x' || lower(lpad(printf('%X', CAST(sum(CASE WHEN b0 >= 128 THEN 1 << x ELSE 0 END) AS INTEGER)), 2, '0')) AS v FROM l GROUP BY image_id, y)
+    SELECT image_id, '#define image_width 8' || chr(10) || '#define image_height 8' || chr(10) || 'static char image_bits[] = {' || chr(10) || string_agg(v, ',' ORDER BY y) || chr(10) || '};' AS source FROM r GROUP BY image_id""")
 query("op_fromarray", "f", lambda a: a, f"SELECT {PLACE}, b0 FROM f")
 query("op_dither", "l", R.dither)
 query("op_effect_noise", "l", lambda a: R.effect_noise(a.select("image_id", "w", "h").distinct(), 20.0))
@@ -789,3 +790,11 @@ def _xmp_rows(a: DataFrame) -> DataFrame:
 
 
 query("op_getxmp", "l", _xmp_rows, ", i AS (SELECT DISTINCT image_id FROM l) SELECT image_id, 'xmp:Rating' AS property, CAST(image_id % 6 AS VARCHAR) AS \"value\" FROM i UNION ALL SELECT image_id, 'dc:subject', image_id || '|a & ö' FROM i")
+
+# --- weighted and four-band cases ----------------------------------------------------------------------------
+
+query("op_reduce_rgba", "rgba", lambda a: G.reduce(a, 3, 2, alpha=True),
+      _MULTIPLIED + f", r AS (SELECT image_id, 3 AS w, 4 AS h, x // 3 AS x, y // 2 AS y, {', '.join(f'CAST(((sum(b{k}) + count(*) // 2) * (16777216 // count(*))) >> 24 AS INTEGER) AS b{k}' for k in range(4))} FROM m GROUP BY image_id, x // 3, y // 2) SELECT {PLACE}, {_DIVIDED}, b3 FROM r")
+query("op_contrast_cmyk", "rgba", lambda a: P.contrast(a, 1.5, "CMYK"),
+      f", c AS (SELECT image_id, {', '.join(f'greatest(0, least(255, 255 - b3 - {MULDIV(f'b{k}', '255 - b3')})) AS b{k}' for k in range(3))} FROM rgba), m AS (SELECT image_id, CAST(floor(sum(CAST({LUMA} AS INTEGER)) / count(*) + 0.5) AS INTEGER) AS mean FROM c GROUP BY image_id) "
+      f"SELECT image_id, w, h, x, y, {', '.join(CLIP(f'{low} * CAST(-0.5 AS DOUBLE) + b{k} * CAST(1.5 AS DOUBLE)') + f' AS b{k}' for k, low in enumerate(('0', '0', '0', '(255 - mean)')))} FROM rgba JOIN m USING (image_id)")

@@ -34,27 +34,29 @@ def from_array(df: DataFrame, array: str, size: tuple[int, int], n_bands: int =
         *(F.element_at("a", F.col("i") * n_bands + (k + 1)).alias(f"b{k}") for k in range(n_bands)))
 
 
-#: Array type -> mode, of arrays of rows of samples, and of rows of pixels by their number of samples.
-_SAMPLE_MODES = {
-    "|b1": "1", "|u1": "L", "|i1": "I", "<u2": "I", ">u2": "I", "<i2": "I", ">i2": "I", "<u4": "I", ">u4": "I", "<i4": "I", ">i4": "I",
-    "<f4": "F", ">f4": "F", "<f8": "F", ">f8": "F",
+#: The modes of arrays, by what a place holds (nothing further, or so many samples) and the samples' type.
+ARRAY_MODES = {
+    ((), "|b1"): "1", ((), "|u1"): "L", ((), "|i1"): "I", ((), "<u2"): "I", ((), ">u2"): "I", ((), "<i2"): "I", ((), ">i2"): "I", ((), "<u4"): "I",
+    ((), ">u4"): "I", ((), "<i4"): "I", ((), ">i4"): "I", ((), "<f4"): "F", ((), ">f4"): "F", ((), "<f8"): "F", ((), ">f8"): "F",
+    ((2,), "|u1"): "LA", ((3,), "|u1"): "RGB", ((4,), "|u1"): "RGBA",
 }
-_PIXEL_MODES = {2: "LA", 3: "RGB", 4: "RGBA"}
+#: Dimensions that an array of a mode can have; of other modes four.
+ARRAY_DIMENSIONS = {"1": 2, "L": 2, "I": 2, "P": 2, "F": 2, "RGB": 3}
 
 
 def array_layout(shape: Sequence[int], typestr: str, mode: str | None = None) -> tuple[str, int, int]:
-    """(mode, w, h) of an array with the shape and type of its interface. A mode given stands for that of the type."""
-    if not shape:
-        raise IndexError("an array without a dimension")
-    tail = tuple(shape[2:])
-    own = _SAMPLE_MODES.get(typestr) if not tail else _PIXEL_MODES.get(tail[0]) if len(tail) == 1 and typestr == "|u1" else None
-    if own is None:
-        raise TypeError(f"Cannot handle this data type: {(1, 1, *tail)}, {typestr}")
-    mode = mode or own
-    most = 2 if mode in ("1", "L", "I", "P", "F") else 3 if mode == "RGB" else 4
-    if len(shape) > most:
-        raise ValueError(f"Too many dimensions: {len(shape)} > {most}.")
-    return (mode, 1, shape[0]) if len(shape) == 1 else (mode, shape[1], shape[0])
+    """(mode, w, h) of an array with the shape and type of its interface: rows, columns, and what a place holds. An
+    array of one dimension is a column. A mode that is given stands for that of the array."""
+    if len(shape) == 0:
+        raise IndexError("an image needs rows")
+    kind = tuple(shape[2:]), typestr
+    if kind not in ARRAY_MODES:
+        raise TypeError(f"no mode has places of shape {kind[0]} and type {typestr}")
+    mode = mode or ARRAY_MODES[kind]
+    limit = ARRAY_DIMENSIONS.get(mode, 4)
+    if len(shape) > limit:
+        raise ValueError(f"an array of mode {mode} has {limit} dimensions or fewer, this one {len(shape)}")
+    return mode, *([*shape, 1][1::-1] if len(shape) == 1 else shape[1::-1])
 
 
 def from_typed_array(df: DataFrame, data: str, shape: Sequence[int], typestr: str, mode: str | None = None) -> DataFrame:
