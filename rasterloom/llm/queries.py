@@ -27,8 +27,10 @@ URL_RULES = [
     ("net", "/es/", BLOCK),
     ("net", "/fr/", BLOCK),
 ]
-#: Visible characters under which a page counts as thin, and its label is to block it.
+#: Visible characters under which a page counts as thin, and languages that pages are wanted in; the label of other
+#: pages is to block them.
 THIN_PAGE = 800
+WANTED_LANGUAGES = ("en",)
 #: In production the key comes from a secret store.
 PII_KEY = "pseudonym-key-1"
 
@@ -49,10 +51,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is labelled by what it holds: block if its visible text is shorter than THIN_PAGE characters."""
+    """A page is labelled by what it holds: block if its visible text is shorter than THIN_PAGE characters, or if it names
+    a language that is not wanted. Rules mined from the urls of such pages judge all urls."""
     pages = _table(spark, sf_dir, "pages")
     visible = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "), r"\s+", " ")
-    verdict = F.when(F.length(visible) < THIN_PAGE, BLOCK).when(F.col("html").isNotNull(), ALLOW)
+    language = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*\blang=[\"']?([a-z]+)", 1))
+    unwanted = (language != "") & ~language.isin(*WANTED_LANGUAGES)
+    verdict = F.when((F.length(visible) < THIN_PAGE) | unwanted, BLOCK).when(F.col("html").isNotNull(), ALLOW)
     labelled = pages.select("url", verdict.alias("verdict"))
     return filtered(pages.select("page_id", "url"), URL_RULES, labelled).select("page_id", "host", "path", "rule", "verdict", "mined")
 

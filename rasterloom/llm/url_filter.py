@@ -119,7 +119,7 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_confidence: f
     items = staged(items, "url-items")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (least - 0.5) / max(1, total))), minConfidence=min_confidence).fit(items)
     mined = model.associationRules.where("lift > 1 and size(consequent) = 1 and consequent[0] like '=%' and not exists(antecedent, x -> x like '=%')")
-    rules = mined.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 2, 99).alias("verdict"), "confidence", "lift", "support")
+    rules = mined.select(F.array_sort("antecedent").alias("tokens"), F.regexp_replace(F.col("consequent")[0], "^=", "").alias("verdict"), "confidence", "lift", "support")
     rules = staged(rules.withColumn("rule", F.array_join("tokens", " ")), "url-mined")
     # A rule of more tokens has to be more confident than every rule of all its tokens but one.
     fewer = F.explode(F.transform("tokens", lambda x: F.array_join(F.array_remove(F.col("tokens"), x), " ")))
