@@ -1,6 +1,7 @@
 """Language ID, byte-level BPE, decontamination and LM scoring."""
 
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +13,7 @@ from rasterloom.llm.byte_bpe import ByteBPE, _ranks
 from rasterloom.llm.decontaminate import align, contaminated, without_leaks, words
 from rasterloom.llm.language_id import LanguageProfiles, TrigramSpace
 from rasterloom.llm.lm_score import MaskedScorer, WindowNetwork
+from rasterloom.llm.queries import op1_language_id
 
 LETTERS = {"xx": "abcdefgh", "yy": "ijklmnop", "zz": "äöüßqrst"}
 
@@ -30,6 +32,45 @@ def test_language_id(spark):
     assert all(r["lang_pred"] == r["wanted"] and 0 <= r["score"] <= 1 for r in found)
 
 
+def test_language_query_against_brute_force(spark, tmp_path):
+    """op1 whole: bundles of the rows that are not held out, one trigram after the other, and each row's nearest one."""
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, lang, rng.randint(1, 12)), lang if rng.random() < 0.9 else None) for i, lang in enumerate(rng.choice(list(LETTERS)) for _ in range(160))]
+    rows += [(200, None, "xx"), (201, "", "yy"), (202, "12 !?", "zz"), (203, "ÄÖ ab\tij  ", None), (204, "a" * 5_000, "xx"), (205, "x", "other")]
+    rows += rows[:5]  # repeated rows, and ties between equal texts
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], schema).write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    space = TrigramSpace(1024, 7)
+
+    def bundle(text):
+        letters = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in (text or '').lower()).split())} "
+        total = np.zeros(1024)
+        for k in range(len(letters) - 2 if letters.strip() else 0):
+            a, b, c = map(ord, letters[k : k + 3])
+            total += space.vector((a << 42) | (b << 21) | c)
+        norm = np.linalg.norm(total)
+        return total / norm if norm else total
+
+    sums = {}
+    for i, t, lang in rows:
+        if lang is not None and t is not None and not out(i):
+            sums[lang] = sums.get(lang, 0) + bundle(t)
+    names = sorted(sums)
+    prototypes = np.array([sums[n] / (np.linalg.norm(sums[n]) or 1) for n in names])
+    found = op1_language_id(spark, f"file://{tmp_path}").collect()
+    assert len(found) == len(rows)
+    texts = {i: t for i, t, _ in rows}
+    for r in found:
+        own = bundle(texts[r["doc_id"]])
+        assert r["held_out"] == out(r["doc_id"])
+        if not own.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        cosine = prototypes @ own
+        assert abs(cosine[names.index(r["lang_pred"])] - cosine.max()) < 1e-4 and abs(r["score"] - max(0, cosine.max())) < 1e-3
+
+
 def test_language_id_without_labels(spark):
     none = spark.createDataFrame([], "text string, lang string")
     model = LanguageProfiles(dim=64).fit(none)
