@@ -68,8 +68,8 @@ def convert(df: DataFrame, source: str, target: str) -> DataFrame:
     if target in ("RGBA", "RGBX"):
         return with_bands(df, *_to_rgb(source), alpha if target == "RGBA" else full)
     if target == "CMYK":
-        if source in ("L", "LA", "1"):
-            return with_bands(df, F.lit(0), F.lit(0), F.lit(0), 255 - b[0])
+        if source in ("L", "LA", "1", "I", "F"):
+            return with_bands(df, F.lit(0), F.lit(0), F.lit(0), 255 - _luma(source))
         return with_bands(df, *(255 - v for v in _to_rgb(source)), F.lit(0))
     if target == "YCbCr":
         if source in ("L", "LA", "1"):

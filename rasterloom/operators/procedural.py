@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..relation import KEYS, bands
+from ..relation import KEYS, bands, with_bands
 from ..sources.pixels import to_frames
+from .color import convert, put_palette, to_web_palette, web_palette
 
 
 def per_image(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], n_out: int | None = None) -> DataFrame:
@@ -407,6 +408,24 @@ def quantize(df: DataFrame, colors: int = 256, method: int = 0, kmeans: int = 0)
     return pixels, palette
 
 
+def convert_to_palette(df: DataFrame, source: str, alpha: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(P pixels, or PA with ``alpha``, palette (image_id, idx, r, g, b, a)), without dithering. Grey modes keep their samples
+    over a grey palette; RGBA with its alpha gets a palette of its own by median cut of the colours; others the web palette
+    and, with ``alpha``, full alpha."""
+    frames = df.select("image_id").distinct()
+    if source in ("L", "1", "LA"):
+        level = F.col("b1") if source == "LA" else F.lit(255)
+        return with_bands(df, F.col("b0"), *([level] if alpha else [])), put_palette(frames, [(k, k, k) for k in range(256)])
+    if source == "RGBA":
+        if not alpha:
+            raise ValueError("RGBA becomes PA; quantize() makes P of it")
+        found, palette = quantize(df.drop("b3"), 256, 0)
+        joined = found.join(df.select("image_id", "x", "y", F.col("b3").alias("b1")), ["image_id", "x", "y"])
+        return with_bands(joined, F.col("b0"), F.col("b1")), palette.withColumn("a", F.lit(255))
+    found = to_web_palette(convert(df, source, "RGB"))
+    return with_bands(found, F.col("b0"), *([F.lit(255)] if alpha else [])), put_palette(frames, web_palette())
+
+
 def quantize_to(df: DataFrame, palette: Sequence[tuple[int, int, int]]) -> DataFrame:
     """RGB to the nearest of the palette's colours, the error diffused in sixteenths."""
     table = np.array(palette, np.int64)

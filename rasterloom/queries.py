@@ -798,3 +798,8 @@ query("op_reduce_rgba", "rgba", lambda a: G.reduce(a, 3, 2, alpha=True),
 query("op_contrast_cmyk", "rgba", lambda a: P.contrast(a, 1.5, "CMYK"),
       f", c AS (SELECT image_id, {', '.join(f'greatest(0, least(255, 255 - b3 - {MULDIV(f'b{k}', '255 - b3')})) AS b{k}' for k in range(3))} FROM rgba), m AS (SELECT image_id, CAST(floor(sum(CAST({LUMA} AS INTEGER)) / count(*) + 0.5) AS INTEGER) AS mean FROM c GROUP BY image_id) "
       f"SELECT image_id, w, h, x, y, {', '.join(CLIP(f'{low} * CAST(-0.5 AS DOUBLE) + b{k} * CAST(1.5 AS DOUBLE)') + f' AS b{k}' for k, low in enumerate(('0', '0', '0', '(255 - mean)')))} FROM rgba JOIN m USING (image_id)")
+query("op_convert_i_cmyk", "l", lambda a: C.convert(a.withColumn("b0", F.col("b0") * 3 - 200), "I", "CMYK"), _some(["0", "0", "0", "255 - greatest(0, least(255, b0 * 3 - 200))"], "l"))
+_WEB_SQL = ORACLE_SQL["op_web_palette"].rsplit(f"SELECT {PLACE}, CAST(i AS INTEGER) AS b0", 1)
+QUERIES["op_convert_pa"] = lambda spark, d: R.convert_to_palette(C.convert(READERS["rgb"](spark, d), "RGB", "CMYK"), "CMYK", True)[0]
+ORACLE_SQL["op_convert_pa"] = f"SELECT {PLACE}, CAST(i AS INTEGER) AS b0, 255 AS b1".join(_WEB_SQL)
+query("op_convert_pa_rgba", "rgba", lambda a: C.expand_palette(*R.convert_to_palette(a, "RGBA", True), alpha=True), f"SELECT {PLACE}, b0, b1, b2, b3 FROM rgba")
