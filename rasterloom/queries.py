@@ -604,7 +604,12 @@ query("op_tobitmap", "l", lambda a: X.to_bitmap(P.posterize(a, 1)), """, r AS (S
 query("op_fromarray", "f", lambda a: a, f"SELECT {PLACE}, b0 FROM f")
 query("op_dither", "l", R.dither)
 query("op_effect_noise", "l", lambda a: R.effect_noise(a.select("image_id", "w", "h").distinct(), 20.0))
-query("op_effect_spread", "l", lambda a: R.effect_spread(a, 3))
+query("op_effect_spread", "l", lambda a: R.effect_spread(a, 3), """, d_walk(k, v) AS (SELECT 0, 16807::BIGINT UNION ALL SELECT k + 1, v * 16807 % 2147483647 FROM d_walk WHERE k < 127),
+    st AS (SELECT a.k // 2 AS i, a.v % 4 - 1 AS dx, b.v % 4 - 1 AS dy FROM d_walk a JOIN d_walk b ON b.k = a.k + 1 WHERE a.k % 2 = 0),
+    m AS (SELECT image_id, x, y, i, x + dx AS px, y + dy AS py, b0 FROM l JOIN st ON i = y * 8 + x),
+    p AS (SELECT m.*, s.b0 AS c0 FROM m JOIN l s ON s.image_id = m.image_id AND s.x = px AND s.y = py),
+    wr AS (SELECT image_id, x, y, -1 AS t, b0 FROM l UNION ALL SELECT image_id, x, y, i, c0 FROM p UNION ALL SELECT image_id, px, py, i, b0 FROM p)
+    SELECT image_id, 8 AS w, 8 AS h, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, arg_max(b0, t) AS b0 FROM wr GROUP BY image_id, wr.x, wr.y""")
 for _n, _m in (("median_cut", 0), ("max_coverage", 1), ("octree", 2)):
     query(f"op_quantize_{_n}", "rgb" if _m < 2 else "rgba", lambda a, m=_m: R.quantize(a, 16, m, 1)[0])
 query("op_quantize_palette", "rgb", lambda a: R.quantize_to(a, _FEW))
