@@ -160,6 +160,8 @@ def test_periodic_runs_query(spark, tmp_path):
     rows += [(r["doc_id"] + 1000, r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r["text"] or "") < 6_000]
     rows += [(i, f"{i} b c d e f g h i j k l m n o p q r s t u v w x y z") for i in range(20_000, 20_300)]
     rows += rows[3:6]
+    tailed = [i for i in range(30_000, 30_200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows += list(zip(tailed, [None, "", " \n ", "a", "a b", "a b c d e f g h " * 4, "z " * 30], strict=False))
     path = folder(spark, tmp_path, [(*r, "en", "s", 1) for r in rows], DOCUMENTS, "documents")
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, op12_periodic_runs(spark, path).collect()), key=key) == sorted((expected_runs(*r) for r in rows), key=key)
