@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +80,8 @@ def drawn(place: Column) -> Column:
     """The number at a place (a bigint under 2**40) of the stream after the seed 1, by digits of the place."""
     number = F.lit(FACTOR).cast("bigint")
     for k in range(_DIGITS):
-        powers = F.array(*(F.lit(pow(FACTOR, j << (_DIGIT * k), MODULUS)).cast("bigint") for j in range(1 << _DIGIT)))
+        # One literal, which the optimizer takes apart once.
+        powers = F.split(F.lit(",".join(str(pow(FACTOR, j << (_DIGIT * k), MODULUS)) for j in range(1 << _DIGIT))), ",").cast("array<bigint>")
         digit = F.shiftright(place, _DIGIT * k).bitwiseAND(F.lit((1 << _DIGIT) - 1)).cast("int")
         number = number * F.get(powers, digit) % MODULUS
     return number
@@ -331,13 +333,18 @@ def _assigned(started: DataFrame, palette: DataFrame) -> DataFrame:
     dealt = started.withColumn("bucket", F.pmod(F.xxhash64(*own), F.col("buckets")).cast("int"))
     copies = palette.withColumn("bucket", F.explode(F.expr("sequence(0, buckets - 1)")))
 
-    def made(colours: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        table = entries.sort_values("idx")[["p0", "p1", "p2"]].to_numpy(np.int64)
-        index = _nearer(colours[own].to_numpy(np.int64), colours["start"].to_numpy(np.int64), table)
-        return colours[["image_id", "buckets", *own, "n"]].assign(start=index.astype(np.int32))
+    def made(colours: pa.Table, entries: pa.Table) -> pa.Table:
+        table = _columns(entries, "p0", "p1", "p2")[np.argsort(_columns(entries, "idx")[:, 0])]
+        index = _nearer(_columns(colours, *own), _columns(colours, "start")[:, 0], table)
+        kept = colours.select(["image_id", "buckets", *own, "n"])
+        return kept.append_column("start", pa.array(index, pa.int32()))
 
     shape = "image_id bigint, buckets int, b0 int, b1 int, b2 int, n bigint, start int"
-    return dealt.groupBy("image_id", "bucket").cogroup(copies.groupBy("image_id", "bucket")).applyInPandas(made, shape)
+    return dealt.groupBy("image_id", "bucket").cogroup(copies.groupBy("image_id", "bucket")).applyInArrow(made, shape)
+
+
+def _columns(table: pa.Table, *names: str) -> np.ndarray:
+    return np.column_stack([table[n].to_numpy().astype(np.int64) for n in names])
 
 
 def _by_median_cut(df: DataFrame, colors: int, kmeans: int) -> tuple[DataFrame, DataFrame]:
@@ -352,17 +359,20 @@ def _by_median_cut(df: DataFrame, colors: int, kmeans: int) -> tuple[DataFrame,
     placed = counted.join(scales, "image_id").withColumns({f"c{k}": F.expr(f"shiftright(cast({b} as int), scale)") for k, b in enumerate(own)})
     cells = placed.groupBy("image_id", "c0", "c1", "c2").agg(F.sum("n").alias("n"), F.max("buckets").alias("buckets"), *(F.sum(F.col("n") * F.col(b)).alias(f"s{b}") for b in own))
 
-    def made(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["c0", "c1", "c2"])
-        points = frame[["c0", "c1", "c2"]].to_numpy(np.int64)
-        index, palette = median_cut(points, frame["n"].to_numpy(np.int64), frame[[f"s{b}" for b in own]].to_numpy(np.int64), colors)
-        entry, none = np.arange(colors), np.full((colors, 3), -1)
+    def made(table: pa.Table) -> pa.Table:
+        points = _columns(table, "c0", "c1", "c2")
+        order = np.lexsort(points.T[::-1])
+        points = points[order]
+        index, palette = median_cut(points, _columns(table, "n")[order, 0], _columns(table, *(f"s{b}" for b in own))[order], colors)
+        none = np.full((colors, 3), -1)
         places, values = np.concatenate([points, none]), np.concatenate([np.zeros_like(points), palette])
-        out = {"image_id": frame["image_id"].iloc[0], "buckets": frame["buckets"].iloc[0], "idx": np.concatenate([index, entry])}
-        return pd.DataFrame(out | {f"c{k}": places[:, k] for k in range(3)} | {f"p{k}": values[:, k] for k in range(3)})
+        image, buckets, size = table["image_id"][0].as_py(), table["buckets"][0].as_py(), len(places)
+        columns = [pa.array(np.full(size, image), pa.int64()), pa.array(np.full(size, buckets), pa.int32()), pa.array(np.concatenate([index, np.arange(colors)]), pa.int32())]
+        columns += [pa.array(v[:, k], pa.int32()) for v in (places, values) for k in range(3)]
+        return pa.Table.from_arrays(columns, names=["image_id", "buckets", "idx", "c0", "c1", "c2", "p0", "p1", "p2"])
 
     shape = "image_id bigint, buckets int, idx int, c0 int, c1 int, c2 int, p0 int, p1 int, p2 int"
-    mapped = _spread_images(cells).groupBy("image_id").applyInPandas(made, shape)
+    mapped = _spread_images(cells).groupBy("image_id").applyInArrow(made, shape)
     palette = mapped.where("c0 < 0").select("image_id", "buckets", "idx", "p0", "p1", "p2")
     boxes = mapped.where("c0 >= 0").select("image_id", "c0", "c1", "c2", F.col("idx").alias("start"))
     colours = placed.join(boxes, ["image_id", "c0", "c1", "c2"]).select("image_id", "buckets", *(F.col(b).cast("int").alias(b) for b in own), "n", "start")
