@@ -34,6 +34,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from ..shipping import ship
+
 NAME = "rasterloom_images"
 SCHEMA = "path string, format string, width int, height int, bytes bigint, modified timestamp, content binary"
 PARTITION_BYTES, OPEN_COST = 128 << 20, 4 << 20
@@ -314,6 +316,7 @@ class ImageFiles(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to the session, with filters pushed down."""
+    """Makes the format known to the session, with filters pushed down, and its workers find this package."""
+    ship(spark)
     spark.dataSource.register(ImageFiles)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
