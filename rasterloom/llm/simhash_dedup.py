@@ -10,10 +10,10 @@ larger one not all pairs are made:
 
 1. Each entry is verified against four pivots of its bucket, the smallest, the largest and two by hash,
    which joins dense groups into few components.
-2. Outsiders, the entries outside their bucket's most frequent component, are indexed again, with all
-   others. Two linked entries of a bucket differ in at most four of the bits outside its segment; cut into
-   five pieces, one is equal. An equality join on bucket, piece and its value brings together entries of
-   different components and verifies each pair at the first key at which it meets.
+2. Outsiders are the entries outside their bucket's most frequent component. The fingerprints of buckets that have
+   some get a second index: 31 covering masks of about 33 bits (Pagh, Locality-sensitive Hashing without False Negatives,
+   2016), under one of which any two linked ones agree. Of unrelated ones at t differing bits about one pair in
+   2^t / 31 agrees. Under each key again only outsiders are compared, with members of other components.
 
 No link between different components is lost, and a link within one has nothing left to join.
 
@@ -105,43 +105,38 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _pieces() -> list[list[int]]:
-    """Of each segment the masks of five pieces of the bits outside it."""
-    out = []
-    for start, width in SEGMENTS:
-        rest = [b for b in range(64) if not start <= b < start + width]
-        cuts = [round(k * len(rest) / (MAX_BITS + 1)) for k in range(MAX_BITS + 2)]
-        out.append([sum(1 << b for b in rest[cuts[k] : cuts[k + 1]]) for k in range(MAX_BITS + 1)])
-    return out
+def covering_masks(radius: int = MAX_BITS) -> list[int]:
+    """Masks of about 33 bits, under one of which any two fingerprints agree that differ in at most radius bits.
 
+    Each bit has a vector of radius + 1 bits, not zero; mask v keeps the bits whose vector has an odd product with v. The
+    vectors of radius bits leave a v with which all their products are even, so that v keeps none of these bits."""
+    vectors = (1 << (radius + 1)) - 1
+    return [sum(1 << i for i in range(64) if ((i % vectors + 1) & v).bit_count() % 2) for v in range(1, vectors + 1)]
 
-def _cross_links(outsiders: DataFrame, members: DataFrame) -> DataFrame:
-    """(u, v): parts that a pair of members of one bucket links, at least one of the two an outsider."""
-    masks = _pieces()
-    whole = [((1 << width) - 1) << start for start, width in SEGMENTS]
 
-    def of_segment(bucket: str, make):
-        bit = F.shiftrightunsigned(bucket, 22)
-        return F.when(bit < SEGMENTS[1][0], make(0)).when(bit < SEGMENTS[2][0], make(1)).otherwise(make(2))
+def _keyed(prints: DataFrame) -> DataFrame:
+    """(bucket, v, fp, part): a row for each covering mask v of each fingerprint; bucket stands for v and the bits it keeps."""
+    keys = [F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("kept")) for v, m in enumerate(covering_masks())]
+    return prints.select("fp", "part", F.explode(F.array(*keys)).alias("k")).select(F.xxhash64("k.v", "k.kept").alias("bucket"), F.col("k.v").alias("v"), "fp", "part")
 
-    def met(piece: int) -> DataFrame:
-        """Pairs that meet first at this piece: in no segment before, at no variant and no piece before."""
-        value = of_segment("bucket", lambda s: F.col("fp").bitwiseAND(F.lit(_signed(masks[s][piece]))))
-        a, b = outsiders.withColumn("value", value).alias("a"), members.withColumn("value", value).alias("b")
-        x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-        differ = lambda m: F.bit_count(x.bitwiseAND(F.lit(_signed(m))))
 
-        def first(s: int):
-            ok = (differ(whole[s]) > 0) | (F.shiftrightunsigned("a.bucket", 22) == SEGMENTS[s][0])
-            for earlier in [*((whole[t], 1) for t in range(s)), *((masks[s][k], 0) for k in range(piece))]:
-                ok &= differ(earlier[0]) > earlier[1]
-            return ok
+def _met(outsiders: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of fingerprints of different parts, and v, that meet under a mask and are to be compared."""
+    a, b = outsiders.alias("a"), members.alias("b")
+    once = F.expr("a.bucket = b.bucket and a.v = b.v and a.part <> b.part and (b.part = a.top or a.fp < b.fp)")
+    return a.join(b, once).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.col("a.part").alias("u"), F.col("b.part").alias("w"), "a.v")
 
-        once = F.expr("a.bucket = b.bucket and a.value = b.value and a.part <> b.part and (b.part = a.top or a.fp < b.fp)")
-        pairs = a.join(b, once & _near("a.fp", "b.fp") & of_segment("a.bucket", first))
-        return pairs.select(F.col("a.part").alias("u"), F.col("b.part").alias("v"))
 
-    return reduce(DataFrame.unionByName, map(met, range(MAX_BITS + 1))).distinct()
+def _cross_links(parts: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(u, v): parts that are linked by fingerprints in the mixed buckets, those with members of several parts."""
+    prints = parts.join(mixed, "bucket", "left_semi").groupBy("fp").agg(F.first("part").alias("part"))
+    keyed = staged(_keyed(prints), "simhash-keyed")
+    pairs = _met(_outsiders(keyed), keyed).where(_near("a", "b"))
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.lit(None).cast("int")
+    for v, m in reversed(list(enumerate(covering_masks()))):
+        first = F.when(x.bitwiseAND(F.lit(_signed(m))) == 0, v).otherwise(first)
+    return pairs.where(first == F.col("v")).select("u", F.col("w").alias("v")).distinct()
 
 
 def _links(prints: DataFrame) -> DataFrame:
@@ -164,10 +159,10 @@ def _links(prints: DataFrame) -> DataFrame:
     roots = staged(components(star, "simhash-star"), "simhash-stars")
     joined = members.select("bucket", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     parts = staged(joined.select("bucket", "fp", F.coalesce("root", "fp").alias("part")), "simhash-parts")
-    outsiders = staged(_outsiders(parts), "simhash-outsiders")
-    if outsiders.isEmpty():
+    mixed = staged(_outsiders(parts).select("bucket").distinct(), "simhash-mixed")
+    if mixed.isEmpty():
         return roots
-    return _followed(roots, components(_cross_links(outsiders, parts), "simhash-cross"))
+    return _followed(roots, components(_cross_links(parts, mixed), "simhash-cross"))
 
 
 def _named(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:

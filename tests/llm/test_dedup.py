@@ -252,3 +252,25 @@ def test_links_inside_one_hot_bucket(spark):
     for p in prints:
         found.setdefault(root.get(signed(p), signed(p)), set()).add(signed(p))
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+
+
+def test_compared_pairs_of_clouds(spark):
+    """Pairs that meet under a covering mask, not links: few of those in a cloud that is 5 to 10 bits from its centre."""
+    from rasterloom.llm.simhash_dedup import _keyed, _met, _outsiders, covering_masks
+
+    masks = covering_masks()
+    rng = random.Random(41)
+    changes = [sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for _ in range(20_000)]
+    assert all(any(not m & c for m in masks) for c in changes)
+    met = []
+    for n in (1_000, 2_000, 4_000):
+        centre = rng.getrandbits(64)
+        prints = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(5, 10))) for _ in range(n)} | {rng.getrandbits(64) for _ in range(n)}
+        signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+        keyed = _keyed(spark.createDataFrame([(p, p) for p in signed], "fp bigint, part bigint"))
+        pairs = _met(_outsiders(keyed), keyed).select("a", "b").collect()
+        met.append(len(pairs))
+        if n == 1_000:
+            found = {frozenset(r) for r in pairs}
+            assert all(frozenset((a, b)) in found for k, a in enumerate(signed) for b in signed[:k] if ((a ^ b) % (1 << 64)).bit_count() <= 4)
+    assert met[2] < 4_000 * 4_000 / 100, met
