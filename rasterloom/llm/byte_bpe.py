@@ -1,14 +1,16 @@
 """Byte-level BPE encoding and decoding over overlapping chunks.
 
-A text longer than a chunk is cut into chunks that overlap. Chunks are pre-tokenised in parallel,
-each from its own first character. Two neighbours are stitched at the first place in their overlap
+A text longer than a chunk is cut into chunks that overlap. Each chunk is pre-tokenised on its own, from its own
+first character. Two neighbours are stitched at the first place in their overlap
 where both have a pre-token boundary that does not follow white space: the pattern looks only ahead,
 and past white space only, so from there on both agree and what is before stays as it was.
-The pieces between stitches are encoded in parallel, and their ids put together in order. A text
-whose chunks do not resynchronise in an overlap (one pre-token longer than it) is encoded as one piece.
+The pieces between stitches are encoded on their own, and their ids put together in order. Where chunks do not
+resynchronise in an overlap (one pre-token longer than it), the rest of the text is one piece.
 
-Each text is cut into chunks in one pass, and a piece is cut from its own chunk, so the work grows with a
-text's length alone.
+Cutting is done twice. A text of many chunks is cut into sections first, of ``spread`` chunks each, which overlap and are
+stitched in the same way; its sections go to different tasks. The chunks of a section, or of a text that is no longer than
+one, are stitched inside a task. A text is cut in one pass, and a piece is cut from its own section, so the work grows with
+a text's length alone. A text whose sections do not resynchronise is one section.
 
 Edge cases: a null text counts as empty, an empty text has no ids; an empty table has an empty result. Repeated rows, null ids and extra
 columns pass through.
@@ -69,6 +71,33 @@ def boundaries(text: str, pattern: str) -> np.ndarray:
     return np.fromiter((m.start() for m in _splitter(pattern).finditer(text)), np.int64, -1)
 
 
+def _ends(t: str, pattern: str, size: int, overlap: int, last: bool) -> tuple[list[int], list[int]]:
+    """Boundaries that t, a chunk, can be stitched at: in the overlap with the chunk before, and in that with the next one,
+    counted from the next one's start."""
+    found = boundaries(t, pattern)
+    if not last:
+        found = found[found < len(t) - _MARGIN]
+    # After white space no cut: the pattern looks one character past a run of it.
+    firm = lambda some: [p for p in some.tolist() if not (p and t[p - 1].isspace())]
+    return firm(found[found < overlap]), [] if last else [p - size for p in firm(found[found >= size])]
+
+
+def pieces(text: str, pattern: str, size: int, overlap: int) -> list[str]:
+    """The text, cut where its neighbouring chunks resynchronise."""
+    if len(text) <= size:
+        return [text]
+    out, at, n, tail = [], 0, -(-len(text) // size), []
+    for k in range(n):
+        head, own = _ends(text[k * size : (k + 1) * size + overlap], pattern, size, overlap, k == n - 1)
+        if k:
+            both = set(tail).intersection(head)
+            if not both:
+                break  # nothing is known of where this chunk's pre-tokens begin
+            out.append(text[at : (at := k * size + min(both))])
+        tail = own
+    return [*out, text[at:]]
+
+
 def _mapped(df: DataFrame, column: str, to: str, fn: Callable[[list], list[bytes]]) -> DataFrame:
     """df with the column ``to``: fn of lists of the column's values. Rows go through in small slices, so
     that a worker holds the results of a few hundred texts at most."""
@@ -90,29 +119,29 @@ def _mapped(df: DataFrame, column: str, to: str, fn: Callable[[list], list[bytes
 class ByteBPE:
     """Encoder and decoder for the ranks in the file at ``path``, which every executor can open."""
 
-    def __init__(self, path: str, pattern: str, chunk: int = 32_768, overlap: int = 2_048):
+    def __init__(self, path: str, pattern: str, chunk: int = 1_024, overlap: int = 128, spread: int = 32):
         if not _MARGIN < overlap < chunk:
             raise ValueError("overlap must be shorter than a chunk")
-        self.path, self.pattern, self.chunk, self.overlap = path, pattern, chunk, overlap
+        self.path, self.pattern, self.chunk, self.overlap, self.section = path, pattern, chunk, overlap, chunk * spread
 
     def _encoded(self, df: DataFrame, text: str, to: str) -> DataFrame:
-        """df with the ids of its texts, each encoded whole."""
-        path, pattern = self.path, self.pattern
+        """df with the ids of its texts, whose chunks are stitched and whose pieces are encoded inside a task."""
+        path, pattern, size, overlap = self.path, self.pattern, self.chunk, self.overlap
 
         def ids(texts: list[str | None]) -> list[bytes]:
-            encoding = _encoding(path, pattern)
-            return [np.array(encoding.encode_ordinary(t or ""), "<u4").tobytes() for t in texts]
+            encode = _encoding(path, pattern).encode_ordinary
+            return [b"".join(np.array(encode(piece), "<u4").tobytes() for piece in pieces(t or "", pattern, size, overlap)) for t in texts]
 
         return _mapped(df, text, to, ids)
 
     def encode(self, df: DataFrame, text: str = "text", to: str = "ids") -> DataFrame:
         """df with the column named by ``to``: the ids as little-endian unsigned 32-bit integers."""
-        whole = df.where(F.coalesce(F.length(text), F.lit(0)) <= self.chunk)
-        long = df.where(F.length(text) > self.chunk)
+        whole = df.where(F.coalesce(F.length(text), F.lit(0)) <= self.section)
+        long = df.where(F.length(text) > self.section)
         return self._encoded(whole, text, to).unionByName(self._stitched(long, text, to))
 
     def _stitched(self, long: DataFrame, text: str, to: str) -> DataFrame:
-        size, overlap, pattern = self.chunk, self.overlap, self.pattern
+        size, overlap, pattern = self.section, self.overlap, self.pattern
         # Rows get a number once, in a table, so that a recomputed task cannot number them anew.
         rows = staged(long.select(F.struct("*").alias("__row")).withColumn("__key", F.monotonically_increasing_id()), "bpe-long")
         body = F.col("__row").getField(text)
@@ -122,31 +151,27 @@ class ByteBPE:
                 for key, t in zip(batch["__key"].to_pylist(), batch["t"], strict=True):
                     t = t.as_py()
                     n = -(-len(t) // size)
-                    for at in range(0, n, 64):  # a text's chunks leave in parts
+                    for at in range(0, n, 64):  # a text's sections leave in parts
                         ks = range(at, min(n, at + 64))
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([key] * len(ks)), pa.array(ks, pa.int32()), pa.array([n] * len(ks), pa.int32()), pa.array([t[k * size : (k + 1) * size + overlap] for k in ks])],
                             names=["__key", "k", "n", "t"])
 
-        chunks = rows.select("__key", body.alias("t")).mapInArrow(sliced, "__key bigint, k int, n int, t string")
+        sections = rows.select("__key", body.alias("t")).mapInArrow(sliced, "__key bigint, k int, n int, t string")
 
         def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 heads, tails = [], []
                 for k, n, t in zip(frame["k"], frame["n"], frame["t"], strict=True):
-                    found = boundaries(t, pattern)
-                    # After white space no cut: the pattern looks one character past a run of it.
-                    found = np.array([p for p in found.tolist() if not (p and t[p - 1].isspace())], np.int64)
-                    last = k == n - 1
-                    found = found if last else found[found < len(t) - _MARGIN]
-                    heads.append(found[found < overlap].tolist() if k else [])
-                    tails.append((found[found >= size] - size).tolist() if not last else [])
+                    head, tail = _ends(t, pattern, size, overlap, k == n - 1)
+                    heads.append(head if k else [])
+                    tails.append(tail)
                 yield frame.assign(head=heads, tail=tails)
 
-        marks = chunks.repartition("__key", "k").mapInPandas(cut, "__key bigint, k int, n int, t string, head array<bigint>, tail array<bigint>")
+        marks = sections.repartition("__key", "k").mapInPandas(cut, "__key bigint, k int, n int, t string, head array<bigint>, tail array<bigint>")
         own = Window.partitionBy("__key")
         order = own.orderBy("k")
-        # Where a chunk's piece begins in it, and where the next one begins in the next: both count from a chunk's start.
+        # Where a section's piece begins in it, and where the next one begins in the next: both count from a section's start.
         first = lambda a, b: F.array_min(F.array_intersect(a, b))
         spans = marks.select(
             "__key", "k", "n", "t",
@@ -155,11 +180,11 @@ class ByteBPE:
         )
         lost = F.max(F.when(F.col("a").isNull() | (F.col("b").isNull() & (F.col("k") < F.col("n") - 1)), 1).otherwise(0)).over(own)
         spans = spans.withColumn("lost", lost).where("lost = 0 or k = 0")
-        # A piece lies within its chunk, so it is cut from that alone; a text that did not resynchronise is taken whole.
+        # A piece lies within its section, so it is cut from that alone; a text that did not resynchronise is taken whole.
         whole = F.expr(f"if(lost = 1, null, substring(t, cast(a + 1 as int), cast(coalesce(b + {size}, length(t)) - a as int)))")
-        pieces = staged(spans.select("__key", "k", whole.alias("t")).repartition("__key", "k"), "bpe-pieces")
-        kept_whole = rows.join(pieces.where("t is null").select("__key"), "__key", "left_semi").select("__key", F.lit(0).alias("k"), body.alias("t"))
-        coded = self._encoded(pieces.where("t is not null").unionByName(kept_whole), "t", "ids").select("__key", "k", "ids")
+        cuts = staged(spans.select("__key", "k", whole.alias("t")).repartition("__key", "k"), "bpe-pieces")
+        kept_whole = rows.join(cuts.where("t is null").select("__key"), "__key", "left_semi").select("__key", F.lit(0).alias("k"), body.alias("t"))
+        coded = self._encoded(cuts.where("t is not null").unionByName(kept_whole), "t", "ids").select("__key", "k", "ids")
         joined = coded.groupBy("__key").agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY k)").alias("__ids"))
         kept = [F.col("__row").getField(c).alias(c) for c in long.columns if c != to]
         return rows.join(joined, "__key").select(*kept, F.col("__ids").alias(to))

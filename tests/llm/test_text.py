@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from rasterloom.llm.byte_bpe import ByteBPE, _ranks
+from rasterloom.llm.byte_bpe import ByteBPE, _ranks, pieces
 from rasterloom.llm.decontaminate import align, contaminated, without_leaks, words
 from rasterloom.llm.language_id import LanguageProfiles, TrigramSpace
 from rasterloom.llm.lm_score import MaskedScorer, WindowNetwork
@@ -93,7 +93,7 @@ BPE_TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("chunk,overlap", [(64, 32), (17, 9), (32_768, 2_048)])
+@pytest.mark.parametrize("chunk,overlap", [(64, 32), (17, 9), (1_024, 128)])
 def test_byte_bpe_equals_the_library_and_round_trips(spark, chunk, overlap):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     bpe = ByteBPE(path, public_tokenizers.PATTERN, chunk, overlap)
@@ -109,8 +109,23 @@ def test_byte_bpe_equals_the_library_and_round_trips(spark, chunk, overlap):
         assert bytes(r["decoded"]).decode() == (r["text"] or "")
 
 
+def test_pieces_of_ordinary_texts():
+    """The texts that queries meet are cut as well, and their pieces encode to the ids of the whole."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+    rng = random.Random(8)
+    plain = " ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 9))) for _ in range(3_000))
+    assert len(pieces(plain, public_tokenizers.PATTERN, 1_024, 128)) == -(-len(plain) // 1_024)
+    texts = [plain, "x" * 5_000 + plain, plain[:2_000] + " " * 1_500 + plain, "".join(rng.choice("ab 1'rest\n!é \u0085日") for _ in range(9_000)), ""]
+    for size, overlap in ((1_024, 128), (64, 32), (17, 9)):
+        for text in texts:
+            cut = pieces(text, public_tokenizers.PATTERN, size, overlap)
+            assert "".join(cut) == text
+            assert [i for piece in cut for i in library.encode_ordinary(piece)] == library.encode_ordinary(text)
+
+
 def test_byte_bpe_of_long_texts(spark):
-    """Texts of many default chunks, some of which do not resynchronise."""
+    """Texts of many sections, some of which do not resynchronise."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     bpe, rng = ByteBPE(path, public_tokenizers.PATTERN), random.Random(31)
     texts = ["".join(rng.choice("abcdé fgh 1'\n!日") for _ in range(n)) for n in (100_000, 300_001, 32_768, 32_769, 65_536)] + ["x" * 120_000 + " end", "word " * 60_000]
