@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.samples import clip
-from ..relation import KEYS, bands
+from ..relation import KEYS, bands, with_rows
 from .reductions import histogram
 
 
@@ -15,7 +15,7 @@ def _through(df: DataFrame, levels: DataFrame) -> DataFrame:
     own = bands(df)
     for k, b in enumerate(own):
         table = levels.where(F.col("band") == k).select("image_id", F.col("v").alias(b), F.col("to").alias(f"to{k}"))
-        df = df.join(table, ["image_id", b], "left")
+        df = with_rows(df, table, ["image_id", b], "left")
     return df.select(*KEYS, *(F.coalesce(f"to{k}", b).alias(b) for k, b in enumerate(own)))
 
 
@@ -29,7 +29,7 @@ def autocontrast(df: DataFrame, cutoff: float = 0, mask: DataFrame | None = None
     ends = ranked.withColumns({"lo": first(float(cutoff)), "hi": first(100.0 - float(cutoff))}).groupBy("image_id", "band").agg(
         F.min("lo").alias("lo"), F.min("hi").alias("hi"))
     # The mask chooses the ends; all levels of the image are stretched by them.
-    levels = (counts if mask is None else histogram(df)).select("image_id", "band", "v").join(ends, ["image_id", "band"])
+    levels = with_rows((counts if mask is None else histogram(df)).select("image_id", "band", "v"), ends, ["image_id", "band"])
     scale = F.lit(255.0) / (F.col("hi") - F.col("lo"))
     to = F.when(F.col("hi") <= F.col("lo"), F.col("v")).otherwise(clip(F.col("v") * scale + (-F.col("lo") * scale)))
     return _through(df, levels.withColumn("to", to))

@@ -62,4 +62,10 @@ def grid(frames: DataFrame) -> DataFrame:
 def same_places(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     """Pixels of a with those of b at the same place of the image with the same id; b's bands are c0, c1, ..."""
     other = b.select("image_id", "x", "y", *(F.col(x).alias(f"c{x[1:]}") for x in bands(b)))
-    return a.join(other, ["image_id", "x", "y"], how)
+    return with_rows(a, other, ["image_id", "x", "y"], how)
+
+
+def with_rows(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """df joined with a relation of many rows an image, by merging. Spark takes exploded rows for no more bytes than what they
+    are made of, and would broadcast them."""
+    return df.join(other.hint("merge"), list(on), how)
