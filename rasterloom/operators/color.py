@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import samples as S
-from ..relation import BANDS, with_bands
+from ..relation import BANDS, with_bands, with_rows
 
 
 def _bands(n: int) -> list[Column]:
@@ -93,7 +93,7 @@ def expand_palette(df: DataFrame, palette: DataFrame, alpha: bool = False) -> Da
     """P or PA to RGB(A) by a palette (image_id, idx, r, g, b, a). An index without an entry is black,
     and opaque; PA keeps its own alpha. The join is on image and index, so a palette may be any size."""
     entries = palette.select("image_id", F.col("idx").alias("b0"), "r", "g", "b", "a")
-    joined = df.join(entries, ["image_id", "b0"], "left")
+    joined = with_rows(df, entries, ["image_id", "b0"], "left")
     rgb = [F.coalesce(c, F.lit(0)) for c in ("r", "g", "b")]
     own = F.col("b1") if "b1" in df.columns else F.coalesce("a", F.lit(255))
     return with_bands(joined, *rgb, *([own] if alpha else []))
@@ -168,7 +168,7 @@ def put_alpha(df: DataFrame, alpha: int | DataFrame) -> DataFrame:
     if isinstance(alpha, int):
         return with_bands(df, *map(F.col, own), F.lit(alpha))
     mask = alpha.select("image_id", "x", "y", F.col("b0").alias("m"))
-    return with_bands(df.join(mask, ["image_id", "x", "y"]), *map(F.col, own), F.col("m"))
+    return with_bands(with_rows(df, mask, ["image_id", "x", "y"]), *map(F.col, own), F.col("m"))
 
 
 def split(df: DataFrame) -> DataFrame:
@@ -186,13 +186,16 @@ def merge(*channels: DataFrame) -> DataFrame:
     """L relations with the same places to one of as many bands."""
     first = channels[0].select("image_id", "w", "h", "x", "y", "b0")
     for k, c in enumerate(channels[1:], 1):
-        first = first.join(c.select("image_id", "x", "y", F.col("b0").alias(f"b{k}")), ["image_id", "x", "y"])
+        first = with_rows(first, c.select("image_id", "x", "y", F.col("b0").alias(f"b{k}")), ["image_id", "x", "y"])
     return with_bands(first, *(F.col(f"b{k}") for k in range(len(channels))))
 
 
 def palette_text(palette: DataFrame, mode: str = "RGB") -> DataFrame:
     """(image_id, text): 256 lines of an index and its colour's components, missing entries black."""
-    rows = palette.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", F.concat_ws(" ", "r", "g", "b")))).alias("p"))
-    line = lambda k: F.concat_ws(" ", k.cast("string"), F.coalesce(F.try_element_at("p", k), F.lit("0 0 0")))
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), line), "\n")
+    line = F.struct(F.col("idx").cast("int").alias("k"), F.concat_ws(" ", "idx", "r", "g", "b").alias("t"))
+    rows = palette.groupBy("image_id").agg(F.collect_list(F.when(F.col("idx").between(0, 255), line)).alias("p"))
+    twice = F.size(F.array_distinct("p.k")) < F.size("p")
+    rows = rows.withColumn("p", F.when(twice, F.raise_error(F.lit("an index of a palette has two entries"))).otherwise(F.col("p")))
+    black = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(255)), F.col("p.k")), lambda k: F.struct(k.alias("k"), F.concat(k.cast("string"), F.lit(" 0 0 0")).alias("t")))
+    body = F.array_join(F.array_sort(F.concat("p", black))["t"], "\n")
     return rows.select("image_id", F.concat(F.lit(f"# Palette\n# Mode: {mode}\n"), body, F.lit("\n")).alias("text"))
