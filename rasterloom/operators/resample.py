@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.samples import clip
-from ..relation import KEYS, bands, grid, sizes
+from ..relation import KEYS, bands, grid, sizes, with_rows
 from .geometry import crop, pad_to, premultiplied, unmultiplied
 
 PRECISION = 22
@@ -189,6 +189,8 @@ def scale(df: DataFrame, factor: float, resample: str = "BICUBIC") -> DataFrame:
 
 #: Taps a side of the filters that sample at a place, and the first one's offset.
 SAMPLERS = {"NEAREST": (1, 0), "BILINEAR": (2, 0), "BICUBIC": (4, -1)}
+#: A tile is 32 by 32 pixels, and as many more at its edges as the taps of its last places need.
+TILE_BITS = 5
 
 
 def _mixed(v: Sequence[Column], d: Column) -> Column:
@@ -198,44 +200,67 @@ def _mixed(v: Sequence[Column], d: Column) -> Column:
     return v[1] + d * ((v[2] - v[0]) + d * ((2 * (v[0] - v[1]) + v[2] - v[3]) + d * (v[1] - v[0] + v[3] - v[2])))
 
 
+def _span(tile: Column, size: Column, first: int, taps: int) -> tuple[Column, Column]:
+    """The first place of a tile along an axis, and how many it has."""
+    start = F.greatest(F.shiftleft(tile, TILE_BITS) + first, F.lit(0))
+    return start, F.least(F.shiftleft(tile + 1, TILE_BITS) + (first + taps - 1), size) - start
+
+
+def _tiles(df: DataFrame, first: int, taps: int) -> DataFrame:
+    """(image_id, tx, ty, s0, ...): samples of tiles in row order, a band an array; places without a pixel are null, and of
+    pixels at one place the highest sample counts."""
+    own = bands(df)
+    reach = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.shiftright(F.col(c) - (first + taps - 1), TILE_BITS)), F.least(F.shiftright(F.col(n) - 1, TILE_BITS), F.shiftright(F.col(c) - first, TILE_BITS))))
+    rows = df.withColumn("tx", reach("x", "w")).withColumn("ty", reach("y", "h"))
+    (x0, nx), (y0, ny) = _span(F.col("tx"), F.col("w"), first, taps), _span(F.col("ty"), F.col("h"), first, taps)
+    at = ((F.col("y") - y0) * nx + (F.col("x") - x0)).cast("int").alias("at")
+    found = rows.groupBy("image_id", "tx", "ty").agg(F.array_sort(F.collect_list(F.struct(at, *own))).alias("p"), F.any_value((nx * ny).cast("int")).alias("n"))
+    dense = (F.size("p") == F.col("n")) & (F.size(F.array_distinct("p.at")) == F.col("n"))
+    each = lambda b: F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.array_max(F.transform(F.filter("p", lambda e: e["at"] == k), lambda e: e[b])))
+    return found.withColumn("dense", dense).select("image_id", "tx", "ty", *(F.when(F.col("dense"), F.col(f"p.{b}")).otherwise(each(b)).alias(f"s{b[1:]}") for b in own))
+
+
 def _sampled(places: DataFrame, df: DataFrame, resample: str, fill: Sequence[int], alpha: bool = False, exact: bool = False) -> DataFrame:
-    """Samples of df at the places (image_id, w, h, x, y, sx, sy): sx and sy are doubles, a pixel's middle
-    at .5. Places outside the image get the fill; taps beyond its edge are the edge's. ``alpha``: the last band is alpha,
-    samples are weighted by it, the fill is taken as weighted. ``exact``: samples are I or F, without bounds."""
+    """Samples of df at the places (image_id, w, h, x, y, iw, ih, sx, sy): iw and ih are the size of df's image, sx and sy are
+    doubles, a pixel's middle at .5. Places outside the image get the fill; taps beyond its edge are the edge's. ``alpha``: the
+    last band is alpha, samples are weighted by it, the fill is taken as weighted. ``exact``: samples are I or F, without
+    bounds. A place is one row, joined with the tile that has all its taps."""
     if resample not in SAMPLERS:
         raise ValueError(f"{resample} does not sample at a place; {', '.join(SAMPLERS)} do")
     if alpha and resample != "NEAREST":
         return unmultiplied(_sampled(places, premultiplied(df), resample, fill))
     own = bands(df)
-    source = df.select("image_id", F.col("w").alias("iw"), F.col("h").alias("ih"), F.col("x").alias("px"), F.col("y").alias("py"), *own)
     if resample == "NEAREST":
-        at = places.withColumns({"px": F.floor("sx").cast("int"), "py": F.floor("sy").cast("int")})
-        joined = at.join(source, ["image_id", "px", "py"], "left")
+        source = df.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), *own)
+        at = places.select(*KEYS, F.floor("sx").cast("int").alias("px"), F.floor("sy").cast("int").alias("py"))
+        joined = with_rows(at, source, ["image_id", "px", "py"], "left")
         return joined.select(*KEYS, *(F.coalesce(F.col(b), F.lit(v)).alias(b) for b, v in zip(own, fill, strict=True)))
     taps, first = SAMPLERS[resample]
-    frame = sizes(df).select("image_id", F.col("w").alias("iw"), F.col("h").alias("ih"))
-    inside = places.join(frame, "image_id").where("sx >= 0 and sy >= 0 and sx < iw and sy < ih")
+    inside = F.expr("sx >= 0 and sy >= 0 and sx < iw and sy < ih")
     x, y = F.col("sx") - 0.5, F.col("sy") - 0.5
-    tap = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in range(taps) for i in range(taps))))
+    tile = lambda v: F.when(inside, F.shiftright(F.greatest(F.lit(0), F.floor(v).cast("int")), TILE_BITS))
+    joined = with_rows(places.withColumns({"tx": tile(x), "ty": tile(y)}), _tiles(df, first, taps), ["image_id", "tx", "ty"], "left")
     near = lambda v, k, n: F.greatest(F.lit(0), F.least(F.floor(v).cast("int") + first + k, F.col(n) - 1))
-    some = inside.withColumn("c", tap).withColumns({"px": near(x, F.col("c.i"), "iw"), "py": near(y, F.col("c.j"), "ih")})
-    joined = some.join(source.drop("iw", "ih"), ["image_id", "px", "py"])
-    case = lambda b, i, j: F.max(F.when((F.col("c.i") == i) & (F.col("c.j") == j), F.col(b))).alias(f"{b}{i}{j}")
-    at = joined.groupBy("image_id", "x", "y", "sx", "sy").agg(*(case(b, i, j) for b in own for j in range(taps) for i in range(taps)))
-    fx, fy = x - F.floor(x), y - F.floor(y)
-
-    def value(b: str) -> Column:
-        mixed = _mixed([_mixed([F.col(f"{b}{i}{j}") for i in range(taps)], fx) for j in range(taps)], fy)
-        return mixed if exact else clip(mixed)
-
-    found = at.select("image_id", "x", "y", *(value(b).alias(b) for b in own))
-    whole = places.select(*KEYS).join(found, ["image_id", "x", "y"], "left")
-    return whole.select(*KEYS, *(F.coalesce(F.col(b), F.lit(v)).alias(b) for b, v in zip(own, fill, strict=True)))
+    (x0, nx), (y0, _) = _span(F.col("tx"), F.col("iw"), first, taps), _span(F.col("ty"), F.col("ih"), first, taps)
+    across, down = ([near(x, k, "iw") - x0 for k in range(taps)], [(near(y, k, "ih") - y0) * nx for k in range(taps)])
+    some = lambda samples: F.exists(samples, lambda v: v.isNotNull())
+    # Whole-stage code of all this is one method, too long to be compiled in time. A higher-order function in a step ends it.
+    at = joined.select(*KEYS, *(f"s{b[1:]}" for b in own), *(v.alias(f"{n}{k}") for n, vs in (("i", across), ("j", down)) for k, v in enumerate(vs)),
+                       (x - F.floor(x)).alias("fx"), (y - F.floor(y)).alias("fy"), some(f"s{own[0][1:]}").alias("tile"))
+    grid_of = [f"t{i}{j}" for j in range(taps) for i in range(taps)]
+    for b, v in zip(own, fill, strict=True):
+        at = at.withColumns({t: F.get(f"s{b[1:]}", F.col(f"i{t[1]}") + F.col(f"j{t[2]}")) for t in grid_of})
+        at = at.withColumns({f"v{j}": _mixed([F.col(f"t{i}{j}") for i in range(taps)], F.col("fx")) for j in range(taps)} | {"some": some(F.array(*grid_of))})
+        mixed = _mixed([F.col(f"v{j}") for j in range(taps)], F.col("fy"))
+        at = at.withColumn(b, F.coalesce(F.when(F.col("tile") & F.col("some"), mixed if exact else clip(mixed)), F.lit(v)))
+        at = at.drop("some", f"s{b[1:]}", *grid_of, *(f"v{j}" for j in range(taps)))
+    return at.select(*KEYS, *own)
 
 
 def _places(df: DataFrame, size: tuple[int, int] | None) -> DataFrame:
-    frames = sizes(df) if size is None else sizes(df).withColumns({"w": F.lit(size[0]), "h": F.lit(size[1])})
-    return grid(frames)
+    """Every place of images of the size, with that of df's image."""
+    frames = sizes(df).withColumns({"iw": F.col("w"), "ih": F.col("h")})
+    return grid(frames if size is None else frames.withColumns({"w": F.lit(size[0]), "h": F.lit(size[1])}))
 
 
 def transform_affine(df: DataFrame, size: tuple[int, int], c: Sequence[float], resample: str = "NEAREST", fill: Sequence[int] | None = None, alpha: bool = False) -> DataFrame:
@@ -290,7 +315,7 @@ def rotate(df: DataFrame, angle: float, resample: str = "NEAREST", expand: bool
     else:
         at = lambda p, q, r: (x + 0.5) * p + (y + 0.5) * q + F.col(r)
     places = grid(frames).withColumns({"sx": at(a, b, "c"), "sy": at(d, e, "f")})
-    return _sampled(places.select(*KEYS, "sx", "sy"), df, resample, fill, alpha)
+    return _sampled(places.select(*KEYS, "iw", "ih", "sx", "sy"), df, resample, fill, alpha)
 
 
 def transform_perspective(df: DataFrame, size: tuple[int, int], c: Sequence[float], resample: str = "NEAREST", fill: Sequence[int] | None = None, alpha: bool = False) -> DataFrame:
