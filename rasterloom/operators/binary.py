@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.samples import clip, clip_round, muldiv255, quotient
-from ..relation import KEYS, bands, same_places, sizes
+from ..relation import KEYS, bands, same_places, sizes, with_rows
 
 
 def _least_size(a: DataFrame, b: DataFrame, joined: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def composite(a: DataFrame, b: DataFrame, mask: DataFrame) -> DataFrame:
     """a where the mask is 255, b where it is 0, a rounded mix between; b where a or the mask has no pixel.
     The mask is L, or its last band counts."""
     own, level = bands(b), bands(mask)[-1]
-    joined = same_places(b, a, "left").join(mask.select("image_id", "x", "y", F.col(level).alias("m")), ["image_id", "x", "y"], "left")
+    joined = with_rows(same_places(b, a, "left"), mask.select("image_id", "x", "y", F.col(level).alias("m")), ["image_id", "x", "y"], "left")
     mix = lambda x: quotient(F.col(f"c{x[1:]}") * F.col("m") + F.col(x) * (255 - F.col("m")) + 127, 255)
     return joined.select(*KEYS, *(F.coalesce(mix(x), F.col(x)).alias(x) for x in own))
 
@@ -129,7 +129,7 @@ def paste_color(dest: DataFrame, colour: tuple[int, ...], box: tuple[int, int, i
     if mask is None:
         return dest.withColumns({b: F.when(inside, v).otherwise(F.col(b)) for b, v in zip(own, colour, strict=True)})
     level = mask.select("image_id", (F.col("x") + box[0]).alias("x"), (F.col("y") + box[1]).alias("y"), F.col("b0").alias("m"))
-    joined = dest.join(level, ["image_id", "x", "y"], "left")
+    joined = with_rows(dest, level, ["image_id", "x", "y"], "left")
     mix = lambda b, v: F.when(inside & F.col("m").isNotNull(), quotient(F.col("m") * v + F.col(b) * (255 - F.col("m")) + 127, 255)).otherwise(F.col(b))
     return joined.select(*KEYS, *(mix(b, v).alias(b) for b, v in zip(own, colour, strict=True)))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import shapes as S
 from ..functions.samples import clip, quotient
 from ..functions.shapes import Point, Span
-from ..relation import KEYS, bands
+from ..relation import KEYS, bands, with_rows
 
 #: Spans that a plan holds as literals; more are joined, and up to the second number broadcast.
 LITERAL_SPANS, BROADCAST_SPANS = 256, 1_000_000
@@ -247,7 +247,7 @@ def bitmap(df: DataFrame, at: tuple[int, int], mask: DataFrame, fill: Sequence[i
     """The fill through a mask (L or 1) from a corner on."""
     own = bands(df)
     level = mask.select("image_id", (F.col("x") + at[0]).alias("x"), (F.col("y") + at[1]).alias("y"), F.col("b0").alias("m"))
-    joined = df.join(level, ["image_id", "x", "y"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    joined = with_rows(df, level, ["image_id", "x", "y"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
     mix = lambda b, v: quotient(F.col("m") * v + F.col(b) * (255 - F.col("m")) + 127, 255)
     return joined.select(*KEYS, *(mix(b, v).alias(b) for b, v in zip(own, fill, strict=True)))
 
@@ -263,7 +263,7 @@ def get_pixel(df: DataFrame, xy: tuple[int, int]) -> DataFrame:
 def put_data(df: DataFrame, values: DataFrame, scale: float = 1.0, offset: float = 0.0) -> DataFrame:
     """L pixels by (image_id, values), an array in row order; pixels beyond its end stay."""
     rows = values.select("image_id", F.posexplode("values").alias("i", "v"))
-    at = df.withColumn("i", F.col("y") * F.col("w") + F.col("x")).join(rows, ["image_id", "i"], "left")
+    at = with_rows(df.withColumn("i", F.col("y") * F.col("w") + F.col("x")), rows, ["image_id", "i"], "left")
     return at.select(*KEYS, F.when(F.col("v").isNull(), F.col("b0")).otherwise(clip(F.col("v") * F.lit(float(scale)) + F.lit(float(offset)))).alias("b0"))
 
 
@@ -271,7 +271,7 @@ def text(df: DataFrame, at: tuple[int, int], words: DataFrame, font: DataFrame,
     """Each image's string (image_id, text) in a bitmap font: rows (code, advance, width, gx, gy) of set
     pixels, with at least one row a glyph (gx null for a blank one)."""
     pixels = text_pixels(words, font).select("image_id", (F.col("px") + at[0]).alias("x"), (F.col("py") + at[1]).alias("y")).distinct()
-    joined = df.join(pixels.withColumn("hit", F.lit(1)), ["image_id", "x", "y"], "left")
+    joined = with_rows(df, pixels.withColumn("hit", F.lit(1)), ["image_id", "x", "y"], "left")
     return joined.select(*KEYS, *(F.when(F.col("hit") == 1, v).otherwise(F.col(b)).alias(b) for b, v in zip(bands(df), fill, strict=True)))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.samples import quotient
-from ..relation import KEYS, bands, grid, sizes
+from ..relation import KEYS, bands, grid, sizes, with_rows
 from .geometry import transpose
 
 GLYPHS = 256
@@ -95,7 +95,7 @@ def lines_of(words: DataFrame, glyphs: DataFrame, spacing: int = 4, align: str =
     chars = lines.select("image_id", "font_id", "line", F.explode(F.split("text", "", -1)).alias("c")).where("c <> ''").withColumn("code", _code("c"))
     widths = chars.join(steps, ["font_id", "code"]).groupBy("image_id", "font_id", "line").agg(F.sum("dx").cast("int").alias("width"))
     heights = glyphs.groupBy("font_id").agg(F.any_value("height").alias("height"), F.any_value("baseline").alias("baseline"))
-    rows = lines.join(widths, ["image_id", "font_id", "line"], "left").join(heights, "font_id").withColumn("width", F.coalesce("width", F.lit(0)))
+    rows = with_rows(lines, widths, ["image_id", "font_id", "line"], "left").join(heights, "font_id").withColumn("width", F.coalesce("width", F.lit(0)))
     empty = F.length("text") == 0
     text = Window.partitionBy("image_id", "font_id")
     before = text.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,7 +133,7 @@ def text_mask(words: DataFrame, glyphs: DataFrame, strokes: DataFrame, orientati
     lines = lines_of(words, glyphs, multiline=False)
     frames = lines.select("image_id", F.col("width").alias("w"), F.col("height").alias("h"))
     pixels = line_pixels(lines, glyphs, strokes).select("image_id", F.col("px").alias("x"), F.col("py").alias("y"), "value")
-    mask = grid(frames).join(pixels, ["image_id", "x", "y"], "left").select(*KEYS, F.coalesce("value", F.lit(0)).alias("b0"))
+    mask = with_rows(grid(frames), pixels, ["image_id", "x", "y"], "left").select(*KEYS, F.coalesce("value", F.lit(0)).alias("b0"))
     return mask if orientation is None else transpose(mask, orientation)
 
 
@@ -161,7 +161,7 @@ def multiline_box(words: DataFrame, glyphs: DataFrame, spacing: int = 4, align:
 def through_mask(df: DataFrame, pixels: DataFrame, at: tuple[int, int], fill: Sequence[int]) -> DataFrame:
     """df with the fill through the levels (image_id, px, py, value) from a place on."""
     level = pixels.select("image_id", (F.col("px") + at[0]).alias("x"), (F.col("py") + at[1]).alias("y"), F.col("value").alias("m"))
-    joined = df.join(level, ["image_id", "x", "y"], "left")
+    joined = with_rows(df, level, ["image_id", "x", "y"], "left")
     mix = lambda b, v: F.when(F.coalesce("m", F.lit(0)) == 0, F.col(b)).otherwise(quotient(F.col("m") * v + F.col(b) * (255 - F.col("m")) + 127, 255))
     return joined.select(*KEYS, *(mix(b, v).alias(b) for b, v in zip(bands(df), fill, strict=True)))
 

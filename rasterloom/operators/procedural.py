@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..relation import KEYS, bands, with_bands
+from ..relation import KEYS, bands, with_bands, with_rows
 from ..sources.pixels import to_frames
 from .color import convert, put_palette, to_web_palette, web_palette
 
@@ -124,7 +124,7 @@ def effect_spread(df: DataFrame, distance: int) -> DataFrame:
     rows = df.withColumns({"__at": at, "__x": F.col("x") + step(0), "__y": F.col("y") + step(1)})
     inside = (F.col("__x") >= 0) & (F.col("__x") < F.col("w")) & (F.col("__y") >= 0) & (F.col("__y") < F.col("h"))
     source = df.select("image_id", F.col("x").alias("__x"), F.col("y").alias("__y"), *(F.col(b).alias(f"__{b}") for b in own))
-    pairs = rows.where(inside).join(source, ["image_id", "__x", "__y"])
+    pairs = with_rows(rows.where(inside), source, ["image_id", "__x", "__y"])
     write = lambda x, y, when, *samples: F.struct(x.alias("x"), y.alias("y"), when.alias("t"), *(v.alias(b) for b, v in zip(own, samples, strict=True)))
     here = write(F.col("x"), F.col("y"), F.col("__at"), *(F.col(f"__{b}") for b in own))
     there = write(F.col("__x"), F.col("__y"), F.col("__at"), *map(F.col, own))
@@ -430,7 +430,7 @@ def convert_to_palette(df: DataFrame, source: str, alpha: bool = False) -> tuple
         if not alpha:
             raise ValueError("RGBA becomes PA; quantize() makes P of it")
         found, palette = quantize(df.drop("b3"), 256, 0)
-        joined = found.join(df.select("image_id", "x", "y", F.col("b3").alias("b1")), ["image_id", "x", "y"])
+        joined = with_rows(found, df.select("image_id", "x", "y", F.col("b3").alias("b1")), ["image_id", "x", "y"])
         return with_bands(joined, F.col("b0"), F.col("b1")), palette.withColumn("a", F.lit(255))
     found = to_web_palette(convert(df, source, "RGB"))
     return with_bands(found, F.col("b0"), *([F.lit(255)] if alpha else [])), put_palette(frames, web_palette())

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..relation import bands
+from ..relation import bands, with_rows
 
 
 def samples(df: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     """(image_id, band, v): a row for each sample, where the mask (L or 1) is not zero."""
     if mask is not None:
-        df = df.join(mask.where("b0 <> 0").select("image_id", "x", "y"), ["image_id", "x", "y"], "left_semi")
+        df = with_rows(df, mask.where("b0 <> 0").select("image_id", "x", "y"), ["image_id", "x", "y"], "left_semi")
     own = bands(df)
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.col(b).alias("v")) for k, b in enumerate(own))))
     return df.select("image_id", rows.alias("s")).select("image_id", "s.band", "s.v")
@@ -24,7 +24,7 @@ def histogram(df: DataFrame, mask: DataFrame | None = None, zeros: bool = False)
         return counts
     levels = df.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(len(bands(df)) - 1))).alias("band"))
     levels = levels.select("image_id", "band", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("v"))
-    return levels.join(counts, ["image_id", "band", "v"], "left").fillna(0, ["n"])
+    return with_rows(levels, counts, ["image_id", "band", "v"], "left").fillna(0, ["n"])
 
 
 def histogram_scaled(df: DataFrame) -> DataFrame:

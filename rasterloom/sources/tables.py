@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Pixels of a task at most, as far as images are of even size.
+TASK_PIXELS = 1 << 19
+
+
+def by_image(images: DataFrame, pixels: int) -> DataFrame:
+    """Images (image_id, ...) of so many pixels each, dealt by image over as many tasks as their pixels need, which files of
+    a few bytes an image do not tell. What is grouped or joined by image, and by more, stays in its task then."""
+    tasks = max(images.sparkSession.sparkContext.defaultParallelism, math.ceil(images.count() * pixels / TASK_PIXELS))
+    return images.repartition(tasks, "image_id")
+
+
 def embeddings_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mode F: one image for each vector of 64 numbers."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding")
+    vectors = by_image(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding"), 64)
     return from_array(vectors, "embedding", (8, 8)).withColumn("b0", F.col("b0").cast("double"))
 
 
 def embeddings_bytes(spark: SparkSession, sf_dir: str, n_bands: int = 1, shift: int = 0) -> DataFrame:
     """Levels of the vectors: a band k of place i is number (i * (2 k + 1) + 5 k) % 64 of the vector. The
     ids are moved by ``shift``, to pair an image with a later one."""
-    vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") - shift).alias("image_id"), "embedding")
+    vectors = by_image(table(spark, sf_dir, "embeddings").select((F.col("vec_id") - shift).alias("image_id"), "embedding"), 64)
     level = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 0.6) * 210))).cast("int")
     bands = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array(*(level(F.col("embedding")[(i * (2 * k + 1) + 5 * k) % 64]) for k in range(n_bands)))))
     return from_array(vectors.select("image_id", bands.alias("a")), "a", (8, 8), n_bands)
@@ -30,8 +43,8 @@ def embeddings_bytes(spark: SparkSession, sf_dir: str, n_bands: int = 1, shift:
 
 def suppliers(spark: SparkSession, sf_dir: str, n_bands: int = 1) -> DataFrame:
     """32 by 32 images from the suppliers' keys."""
-    frames = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), F.lit(32).alias("w"), F.lit(32).alias("h"))
-    pixels = grid(frames)
+    images = by_image(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id")), 32 * 32)
+    pixels = grid(images.select("image_id", F.lit(32).alias("w"), F.lit(32).alias("h")))
     value = lambda k: ((F.col("image_id") * (7 + 4 * k) + F.col("x") * (3 + k) + F.col("y") * (5 - k) + F.floor(F.col("x") * F.col("y") / (k + 2))) % (200 + 20 * k) + 10).cast("int")
     return pixels.select("image_id", "w", "h", "x", "y", *(value(k).alias(f"b{k}") for k in range(n_bands)))
 

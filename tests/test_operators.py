@@ -452,3 +452,63 @@ def test_bicubic_samples_of_images_of_many_sizes(spark):
     assert same == {(k, x, y): (a, b) for k, _, _, x, y, a, b in rows}
     turned = S.rotate(df, 17, "BICUBIC", fill=[0, 99]).collect()
     assert len(turned) == len(rows) and {r["b1"] for r in turned} == {99}
+
+
+def _operators(df):
+    """df's plan as text."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pixels_are_not_broadcast_and_images_fill_tasks(spark, tmp_path):
+    from rasterloom import queries
+    from rasterloom.sources import tables
+
+    at = "/root/testdata/sf0.001"
+    for name in ("op_autocontrast", "op_equalize", "op_expand_palette", "op_rotate", "op_rotate_bicubic", "op_transform_affine_bicubic", "op_rotate_bicubic_rgba",
+                 "op_transform_perspective_bicubic", "op_putdata", "op_putalpha", "op_merge", "op_blend", "op_font_mask"):
+        plan = _operators(queries.QUERIES[name](spark, at))
+        assert "SortMergeJoin" in plan, name
+        assert name == "op_font_mask" or "BroadcastHashJoin" not in plan, name
+    spark.range(3000).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    pixels = tables.suppliers(spark, str(tmp_path))
+    assert pixels.rdd.getNumPartitions() == 6  # 3,000 images of 1,024 pixels, and 2**19 pixels a task
+    assert _operators(pixels.groupBy("image_id", "y").count()).count("Exchange") == 1  # that of the images
+
+
+def test_samples_of_tiles_are_those_of_all_taps(spark):
+    """Images of several tiles, by the taps one by one; of pixels that come twice the higher sample counts."""
+    affine = lambda df, c, how: resample.transform_affine(df, (50, 60), c, how, [9])
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 256, (70, 41))
+    df = relation(spark, {7: a[..., None], 8: a[:3, :2, None]}, 1)
+    c = (0.9, 0.2, -3.0, -0.3, 1.1, 5.0)
+    for n, how in ((2, "BILINEAR"), (4, "BICUBIC")):
+        found = arrays(affine(df, c, how))
+        for k, img in ((7, a), (8, a[:3, :2])):
+            h, w = img.shape
+            for y in range(0, 60):
+                for x in range(0, 50, 3):
+                    sx, sy = c[0] * (x + 0.5) + c[1] * (y + 0.5) + c[2], c[3] * (x + 0.5) + c[4] * (y + 0.5) + c[5]
+                    wanted = 9
+                    if 0 <= sx < w and 0 <= sy < h:
+                        u, v = math.floor(sx - 0.5), math.floor(sy - 0.5)
+                        near = lambda p, m: max(0, min(p, m - 1))
+                        first = -1 if n == 4 else 0
+                        tap = [[float(img[near(v + first + j, h), near(u + first + i, w)]) for i in range(n)] for j in range(n)]
+                        rows = [resample._mixed(t, sx - 0.5 - u) for t in tap]
+                        wanted = int(max(0, min(255, resample._mixed(rows, sy - 0.5 - v))))
+                    assert found[k][y, x, 0] == wanted, (k, x, y)
+    once = arrays(affine(df, c, "BICUBIC"))
+    twice = df.unionByName(df.withColumn("b0", F.lit(0)))
+    equal(arrays(affine(twice, c, "BICUBIC")), once)
+    shape = affine(df.where("image_id = 7"), c, "BICUBIC")
+    assert shape.count() == 60 * 50 and shape.where("b0 is null").count() == 0
+
+
+def test_palette_text_fills_gaps_and_refuses_doubles(spark):
+    rows = spark.createDataFrame([(1, 3, 10, 20, 30, 255), (1, 255, 1, 2, 3, 255), (2, 0, 7, 8, 9, 255), (1, 300, 0, 0, 0, 255)], "image_id bigint, idx int, r int, g int, b int, a int")
+    found = {r["image_id"]: r["text"] for r in color.palette_text(rows).collect()}
+    lines = lambda known: "# Palette\n# Mode: RGB\n" + "\n".join(f"{k} {known.get(k, '0 0 0')}" for k in range(256)) + "\n"
+    assert found == {1: lines({3: "10 20 30", 255: "1 2 3"}), 2: lines({0: "7 8 9"})}
+    with pytest.raises(Exception, match="two entries"):
+        color.palette_text(rows.unionByName(rows)).collect()
