@@ -3,7 +3,8 @@ strip; texts laid out by running sums of advances over lines and glyphs, and dra
 
 A font is two relations: glyphs (font_id, code, dx, dy, x0, y0, x1, y1, sx0, sy0, sx1, sy1, height, baseline) with pen
 steps, boxes around the pen and boxes in the strip, and strokes (font_id, code, gx, gy, value), the strip's pixels by
-glyph. Both are as large as the fonts, not the texts, and are joined by font and code.
+glyph. Both are as large as the fonts, not the texts, and are broadcast: dealt by code, texts would be in as many tasks as
+they have characters.
 
 Texts are Latin-1 and end at a NUL. Where glyph boxes overlap the later glyph's pixels count, blank ones too. A glyph whose
 two boxes differ in size has an advance, but no pixels.
@@ -93,9 +94,9 @@ def lines_of(words: DataFrame, glyphs: DataFrame, spacing: int = 4, align: str =
     lines = words.select("image_id", "font_id", F.posexplode(split).alias("line", "text")).withColumn("text", F.regexp_replace("text", "\\x00[\\s\\S]*", ""))
     steps = glyphs.select("font_id", "code", "dx")
     chars = lines.select("image_id", "font_id", "line", F.explode(F.split("text", "", -1)).alias("c")).where("c <> ''").withColumn("code", _code("c"))
-    widths = chars.join(steps, ["font_id", "code"]).groupBy("image_id", "font_id", "line").agg(F.sum("dx").cast("int").alias("width"))
+    widths = chars.join(F.broadcast(steps), ["font_id", "code"]).groupBy("image_id", "font_id", "line").agg(F.sum("dx").cast("int").alias("width"))
     heights = glyphs.groupBy("font_id").agg(F.any_value("height").alias("height"), F.any_value("baseline").alias("baseline"))
-    rows = with_rows(lines, widths, ["image_id", "font_id", "line"], "left").join(heights, "font_id").withColumn("width", F.coalesce("width", F.lit(0)))
+    rows = with_rows(lines, widths, ["image_id", "font_id", "line"], "left").join(F.broadcast(heights), "font_id").withColumn("width", F.coalesce("width", F.lit(0)))
     empty = F.length("text") == 0
     text = Window.partitionBy("image_id", "font_id")
     before = text.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,11 +119,11 @@ def _code(c: str) -> Column:
 def line_pixels(lines: DataFrame, glyphs: DataFrame, strokes: DataFrame) -> DataFrame:
     """(image_id, px, py, value): pixels of the lines, blank ones in glyph boxes too. A line's pixels stay within its width."""
     chars = lines.select("*", F.posexplode(F.split("text", "", -1)).alias("i", "c")).where("c <> ''").withColumn("code", _code("c"))
-    chars = chars.join(glyphs.select("font_id", "code", "dx", "dy"), ["font_id", "code"])
+    chars = chars.join(F.broadcast(glyphs.select("font_id", "code", "dx", "dy")), ["font_id", "code"])
     order = Window.partitionBy("image_id", "font_id", "line").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     pen = lambda n: F.coalesce(F.sum(n).over(order), F.lit(0)).cast("int")
     chars = chars.withColumns({"at": pen("dx"), "down": pen("dy") + F.col("baseline")})
-    put = chars.join(strokes, ["font_id", "code"]).withColumns({"x": F.col("at") + F.col("gx"), "y": F.col("down") + F.col("gy")})
+    put = chars.join(F.broadcast(strokes), ["font_id", "code"]).withColumns({"x": F.col("at") + F.col("gx"), "y": F.col("down") + F.col("gy")})
     put = put.where("x >= 0 and x < width and y >= 0 and y < height")
     last = F.max_by("value", F.struct("line", "i")).alias("value")
     return put.groupBy("image_id", (F.col("left") + F.col("x")).alias("px"), (F.col("top") + F.col("y")).alias("py")).agg(last)
