@@ -3,7 +3,7 @@ in one row, and a vectorised function maps batches of such rows. An image must f
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -291,10 +291,36 @@ def octree(points: np.ndarray, counts: np.ndarray, sums: np.ndarray, colors: int
 _TOGETHER = 65_536
 
 
-def _spread_images(df: DataFrame) -> DataFrame:
-    """df by image, in as many parts as shuffles have: an image's work is in Python, so few bytes are no reason to put
-    many images together in one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+def _by_key(df: DataFrame, keys: Sequence[str], made: Callable[[np.ndarray], np.ndarray], shape: Sequence[str]) -> DataFrame:
+    """made from the rows of each key, whole numbers in df's columns, to rows of shape (name and type). df is in tasks by its
+    key; a task sorts its rows and hands over key after key, as a call of Python for each would take longer than its work."""
+    schema = pa.schema([(n, pa.int64() if t == "bigint" else pa.int32()) for n, t in (s.split() for s in shape)])
+    at = [df.columns.index(k) for k in keys]
+
+    def done(groups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if groups:
+            rows = np.concatenate([made(g) for g in groups])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # what has come of the last key
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            own = rows[:, at]
+            first, *others = np.split(rows, np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1)
+            if held and (held[0][0, at] != first[0, at]).any():
+                yield from done([np.concatenate(held)])
+                held = []
+            held.append(first)
+            if others:
+                yield from done([np.concatenate(held), *others[:-1]])
+                held = [others[-1]]
+        yield from done([np.concatenate(held)] if held else [])
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(shape))
 
 
 def _by_octree(df: DataFrame, colors: int) -> tuple[DataFrame, DataFrame]:
@@ -310,18 +336,18 @@ def _by_octree(df: DataFrame, colors: int) -> tuple[DataFrame, DataFrame]:
     cubes = df.groupBy("image_id", "__cube").agg(
         F.count(F.lit(1)).alias("n"), *(F.min(b).cast("int").alias(b) for b in own), *(F.sum(b).alias(f"s{b}") for b in own))
 
-    def made(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("__cube")
-        index, palette = octree(frame[own].to_numpy(np.int64), frame["n"].to_numpy(np.int64), frame[[f"s{b}" for b in own]].to_numpy(np.int64), colors)
+    n_bands = len(own)
+
+    def made(rows: np.ndarray) -> np.ndarray:
+        rows = rows[rows[:, 1].argsort()]
+        index, palette = octree(rows[:, 3 : 3 + n_bands], rows[:, 2], rows[:, 3 + n_bands :], colors)
         entry = np.arange(colors)
-        image = frame["image_id"].iloc[0]
-        out = pd.DataFrame({"image_id": image, "cube": np.concatenate([frame["__cube"], -1 - entry]), "idx": np.concatenate([index, entry])})
-        return out.assign(**{f"p{k}": palette[out["idx"], k] for k in range(len(own))})
+        of = np.concatenate([index, entry])
+        return np.column_stack([np.full(len(of), rows[0, 0]), np.concatenate([rows[:, 1], -1 - entry]), of, palette[of]])
 
-    shape = f"image_id bigint, cube int, idx int, {', '.join(f'p{k} int' for k in range(len(own)))}"
-    mapped = _spread_images(cubes).groupBy("image_id").applyInPandas(made, shape)
+    mapped = _by_key(cubes, ["image_id"], made, ["image_id bigint", "cube int", "idx int", *(f"p{k} int" for k in range(n_bands))])
     found = mapped.where("cube >= 0").select("image_id", F.col("cube").alias("__cube"), "idx")
-    pixels = df.join(found, ["image_id", "__cube"]).select(*KEYS, F.col("idx").alias("b0"))
+    pixels = with_rows(df, found, ["image_id", "__cube"]).select(*KEYS, F.col("idx").alias("b0"))
     names = zip(range(len(own)), ("r", "g", "b", "a"), strict=False)
     return pixels, mapped.where("cube < 0").select("image_id", "idx", *(F.col(f"p{k}").alias(n) for k, n in names))
 
@@ -330,21 +356,18 @@ def _assigned(started: DataFrame, palette: DataFrame) -> DataFrame:
     """started (image_id, buckets, b0, b1, b2, n, start) with idx, the entry of each colour; start becomes idx. Colours of an
     image are dealt into buckets, each of which gets the palette (image_id, buckets, idx, p0, p1, p2)."""
     own = ["b0", "b1", "b2"]
-    dealt = started.withColumn("bucket", F.pmod(F.xxhash64(*own), F.col("buckets")).cast("int"))
+    dealt = started.withColumn("bucket", F.pmod(F.xxhash64(*own), F.col("buckets")).cast("int")).select("image_id", "bucket", "buckets", *own, "n", "start")
     copies = palette.withColumn("bucket", F.explode(F.expr("sequence(0, buckets - 1)")))
+    # Entries are rows without pixels.
+    entries = copies.select("image_id", "bucket", "buckets", *(F.col(f"p{k}").alias(b) for k, b in enumerate(own)), F.lit(0).cast("bigint").alias("n"), F.col("idx").alias("start"))
 
-    def made(colours: pa.Table, entries: pa.Table) -> pa.Table:
-        table = _columns(entries, "p0", "p1", "p2")[np.argsort(_columns(entries, "idx")[:, 0])]
-        index = _nearer(_columns(colours, *own), _columns(colours, "start")[:, 0], table)
-        kept = colours.select(["image_id", "buckets", *own, "n"])
-        return kept.append_column("start", pa.array(index, pa.int32()))
-
-    shape = "image_id bigint, buckets int, b0 int, b1 int, b2 int, n bigint, start int"
-    return dealt.groupBy("image_id", "bucket").cogroup(copies.groupBy("image_id", "bucket")).applyInArrow(made, shape)
-
+    def made(rows: np.ndarray) -> np.ndarray:
+        table, colours = rows[rows[:, 6] == 0], rows[rows[:, 6] > 0]
+        index = _nearer(colours[:, 3:6], colours[:, 7], table[table[:, 7].argsort(), 3:6])
+        return np.column_stack([colours[:, [0, 2, 3, 4, 5, 6]], index])
 
-def _columns(table: pa.Table, *names: str) -> np.ndarray:
-    return np.column_stack([table[n].to_numpy().astype(np.int64) for n in names])
+    shape = ["image_id bigint", "buckets int", "b0 int", "b1 int", "b2 int", "n bigint", "start int"]
+    return _by_key(dealt.unionByName(entries), ["image_id", "bucket"], made, shape)
 
 
 def _by_median_cut(df: DataFrame, colors: int, kmeans: int) -> tuple[DataFrame, DataFrame]:
@@ -356,33 +379,28 @@ def _by_median_cut(df: DataFrame, colors: int, kmeans: int) -> tuple[DataFrame,
     found = counted.groupBy("image_id").agg(F.count(F.lit(1)).alias("n0"), *(F.count_distinct(cell(s)).alias(f"n{s}") for s in range(1, COARSEST)))
     fits = F.coalesce(*(F.when(F.col(f"n{s}") <= CELLS, s) for s in range(COARSEST)), F.lit(COARSEST))
     scales = found.select("image_id", fits.alias("scale"), F.ceil(F.col("n0") / _TOGETHER).cast("int").alias("buckets"))
-    placed = counted.join(scales, "image_id").withColumns({f"c{k}": F.expr(f"shiftright(cast({b} as int), scale)") for k, b in enumerate(own)})
+    placed = with_rows(counted, scales, ["image_id"]).withColumns({f"c{k}": F.expr(f"shiftright(cast({b} as int), scale)") for k, b in enumerate(own)})
     cells = placed.groupBy("image_id", "c0", "c1", "c2").agg(F.sum("n").alias("n"), F.max("buckets").alias("buckets"), *(F.sum(F.col("n") * F.col(b)).alias(f"s{b}") for b in own))
 
-    def made(table: pa.Table) -> pa.Table:
-        points = _columns(table, "c0", "c1", "c2")
-        order = np.lexsort(points.T[::-1])
-        points = points[order]
-        index, palette = median_cut(points, _columns(table, "n")[order, 0], _columns(table, *(f"s{b}" for b in own))[order], colors)
+    def made(rows: np.ndarray) -> np.ndarray:
+        rows = rows[np.lexsort(rows[:, 3:0:-1].T)]
+        points = rows[:, 1:4]
+        index, palette = median_cut(points, rows[:, 4], rows[:, 6:], colors)
         none = np.full((colors, 3), -1)
         places, values = np.concatenate([points, none]), np.concatenate([np.zeros_like(points), palette])
-        image, buckets, size = table["image_id"][0].as_py(), table["buckets"][0].as_py(), len(places)
-        columns = [pa.array(np.full(size, image), pa.int64()), pa.array(np.full(size, buckets), pa.int32()), pa.array(np.concatenate([index, np.arange(colors)]), pa.int32())]
-        columns += [pa.array(v[:, k], pa.int32()) for v in (places, values) for k in range(3)]
-        return pa.Table.from_arrays(columns, names=["image_id", "buckets", "idx", "c0", "c1", "c2", "p0", "p1", "p2"])
+        return np.column_stack([np.broadcast_to(rows[0, [0, 5]], (len(places), 2)), np.concatenate([index, np.arange(colors)]), places, values])
 
-    shape = "image_id bigint, buckets int, idx int, c0 int, c1 int, c2 int, p0 int, p1 int, p2 int"
-    mapped = _spread_images(cells).groupBy("image_id").applyInArrow(made, shape)
+    mapped = _by_key(cells, ["image_id"], made, ["image_id bigint", "buckets int", "idx int", *(f"{n}{k} int" for n in "cp" for k in range(3))])
     palette = mapped.where("c0 < 0").select("image_id", "buckets", "idx", "p0", "p1", "p2")
     boxes = mapped.where("c0 >= 0").select("image_id", "c0", "c1", "c2", F.col("idx").alias("start"))
-    colours = placed.join(boxes, ["image_id", "c0", "c1", "c2"]).select("image_id", "buckets", *(F.col(b).cast("int").alias(b) for b in own), "n", "start")
+    colours = with_rows(placed, boxes, ["image_id", "c0", "c1", "c2"]).select("image_id", "buckets", *(F.col(b).cast("int").alias(b) for b in own), "n", "start")
     colours = _assigned(colours, palette)
     for _ in range(kmeans):
         mean = lambda b: F.floor(F.sum(F.col("n") * F.col(b)) / F.sum("n") + 0.5).cast("int")
         means = colours.groupBy("image_id", F.col("start").alias("idx")).agg(*(mean(b).alias(f"m{k}") for k, b in enumerate(own)))
-        palette = palette.join(means, ["image_id", "idx"], "left").select("image_id", "buckets", "idx", *(F.coalesce(f"m{k}", f"p{k}").alias(f"p{k}") for k in range(3)))
+        palette = with_rows(palette, means, ["image_id", "idx"], "left").select("image_id", "buckets", "idx", *(F.coalesce(f"m{k}", f"p{k}").alias(f"p{k}") for k in range(3)))
         colours = _assigned(colours, palette)
-    pixels = df.join(colours.select("image_id", *own, "start"), ["image_id", *own]).select(*KEYS, F.col("start").alias("b0"))
+    pixels = with_rows(df, colours.select("image_id", *own, "start"), ["image_id", *own]).select(*KEYS, F.col("start").alias("b0"))
     return pixels, palette.select("image_id", "idx", F.col("p0").alias("r"), F.col("p1").alias("g"), F.col("p2").alias("b"))
 
 
@@ -401,19 +419,17 @@ def quantize(df: DataFrame, colors: int = 256, method: int = 0, kmeans: int = 0)
         return _by_median_cut(df, colors, kmeans)
     counted = df.groupBy("image_id", *own).agg(F.count(F.lit(1)).alias("n"))
 
-    def made(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(own)  # whatever order the rows came in
-        points, counts = frame[own].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
+    def made(rows: np.ndarray) -> np.ndarray:
+        rows = rows[np.lexsort(rows[:, -2:0:-1].T)]  # whatever order the rows came in
+        points, counts = rows[:, 1:-1], rows[:, -1]
         palette = max_coverage(points, counts, colors)
         for _ in range(kmeans):
             palette = _means(points, counts, _nearest(points, palette), palette)
         index = _nearest(points, palette)
-        out = frame[["image_id", *own]].assign(idx=index.astype(np.int32))
-        return out.assign(**{f"p{k}": palette[index, k].astype(np.int32) for k in range(len(own))})
+        return np.column_stack([rows[:, :-1], index, palette[index]])
 
-    shape = f"image_id bigint, {', '.join(f'{b} int' for b in own)}, idx int, {', '.join(f'p{k} int' for k in range(len(own)))}"
-    mapped = _spread_images(counted).groupBy("image_id").applyInPandas(made, shape)
-    pixels = df.join(mapped.select("image_id", *own, "idx"), ["image_id", *own]).select(*KEYS, F.col("idx").alias("b0"))
+    mapped = _by_key(counted, ["image_id"], made, ["image_id bigint", *(f"{b} int" for b in own), "idx int", *(f"p{k} int" for k in range(len(own)))])
+    pixels = with_rows(df, mapped.select("image_id", *own, "idx"), ["image_id", *own]).select(*KEYS, F.col("idx").alias("b0"))
     palette = mapped.groupBy("image_id", "idx").agg(*(F.any_value(f"p{k}").alias(n) for k, n in zip(range(len(own)), ("r", "g", "b", "a"), strict=False)))
     return pixels, palette
 

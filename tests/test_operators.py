@@ -512,3 +512,19 @@ def test_palette_text_fills_gaps_and_refuses_doubles(spark):
     assert found == {1: lines({3: "10 20 30", 255: "1 2 3"}), 2: lines({0: "7 8 9"})}
     with pytest.raises(Exception, match="two entries"):
         color.palette_text(rows.unionByName(rows)).collect()
+
+
+def test_keys_are_handed_over_whole_and_in_one_call_of_python_a_batch(spark):
+    """Keys that reach over Arrow batches of three rows, and the plan, which has no call for each group."""
+    rows = spark.createDataFrame([(k, j) for k in range(40) for j in range(k % 9 + 1)], "image_id bigint, v int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = procedural._by_key(rows, ["image_id"], lambda r: np.array([[r[0, 0], len(r), r[:, 1].sum()]]), ["image_id bigint", "n int", "s bigint"])
+        assert sorted(map(tuple, out.collect())) == [(k, k % 9 + 1, sum(range(k % 9 + 1))) for k in range(40)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    colours = spark.range(64).selectExpr("0L AS image_id", "8 AS w", "8 AS h", "cast(id % 8 AS int) AS x", "cast(id / 8 AS int) AS y", *(f"cast(id * {k + 3} % 256 AS int) AS b{k}" for k in range(3)))
+    for method in range(3):
+        plan = _operators(procedural.quantize(colours, 4, method)[0])
+        assert "MapInArrow" in plan and "Groups" not in plan
