@@ -47,8 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with a check that decoding them gives the text back."""
-    bpe = public_bpe()
-    coded = bpe.decode(bpe.encode(docs))
+    coded = public_bpe().round_trip(docs)
     return coded.select(
         "doc_id", "lang", "source", "n_chars",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",

@@ -19,7 +19,7 @@ columns pass through.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -98,21 +98,25 @@ def pieces(text: str, pattern: str, size: int, overlap: int) -> list[str]:
     return [*out, text[at:]]
 
 
-def _mapped(df: DataFrame, column: str, to: str, fn: Callable[[list], list[bytes]]) -> DataFrame:
-    """df with the column ``to``: fn of lists of the column's values. Rows go through in small slices, so
-    that a worker holds the results of a few hundred texts at most."""
+def _mapped(df: DataFrame, column: str, to: dict[str, Callable[[list], list[bytes]]], drop: Sequence[str] = ()) -> DataFrame:
+    """df without the columns to drop, and with those named by ``to``: the first function's is of lists of the column's values,
+    each further one's of the list before it. Rows go through in small slices, so that a worker holds the results of a few
+    hundred texts at most."""
     bounded_batches(df.sparkSession)
-    kept = [c for c in df.columns if c != to]
+    kept = [c for c in df.columns if c not in to and c not in drop]
     at, keep = df.columns.index(column), [df.columns.index(c) for c in kept]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(start, _SLICE)
-                made = pa.array(fn(part.column(at).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), made], names=[*kept, to])
+                values, made = part.column(at).to_pylist(), []
+                for fn in to.values():
+                    values = fn(values)
+                    made.append(pa.array(values, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *made], names=[*kept, *to])
 
-    schema = StructType([df.schema[c] for c in kept] + [StructField(to, BinaryType())])
+    schema = StructType([df.schema[c] for c in kept] + [StructField(c, BinaryType()) for c in to])
     return df.mapInArrow(rows, schema)
 
 
@@ -124,21 +128,41 @@ class ByteBPE:
             raise ValueError("overlap must be shorter than a chunk")
         self.path, self.pattern, self.chunk, self.overlap, self.section = path, pattern, chunk, overlap, chunk * spread
 
-    def _encoded(self, df: DataFrame, text: str, to: str) -> DataFrame:
-        """df with the ids of its texts, whose chunks are stitched and whose pieces are encoded inside a task."""
+    def _ids(self) -> Callable[[list], list[bytes]]:
+        """Ids of texts, whose chunks are stitched and whose pieces are encoded inside a task."""
         path, pattern, size, overlap = self.path, self.pattern, self.chunk, self.overlap
 
         def ids(texts: list[str | None]) -> list[bytes]:
             encode = _encoding(path, pattern).encode_ordinary
             return [b"".join(np.array(encode(piece), "<u4").tobytes() for piece in pieces(t or "", pattern, size, overlap)) for t in texts]
 
-        return _mapped(df, text, to, ids)
+        return ids
+
+    def _raw(self) -> Callable[[list], list[bytes]]:
+        """The tokens' raw bytes put together, of ids."""
+        path = self.path
+
+        def raw(series: list[bytes | None]) -> list[bytes]:
+            table = _pieces(path)
+            return [b"".join(table[np.frombuffer(x or b"", "<u4")].tolist()) for x in series]
+
+        return raw
+
+    def _parted(self, df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+        """Rows whose text is a section at most, and those whose text is longer."""
+        return df.where(F.coalesce(F.length(text), F.lit(0)) <= self.section), df.where(F.length(text) > self.section)
 
     def encode(self, df: DataFrame, text: str = "text", to: str = "ids") -> DataFrame:
         """df with the column named by ``to``: the ids as little-endian unsigned 32-bit integers."""
-        whole = df.where(F.coalesce(F.length(text), F.lit(0)) <= self.section)
-        long = df.where(F.length(text) > self.section)
-        return self._encoded(whole, text, to).unionByName(self._stitched(long, text, to))
+        whole, long = self._parted(df, text)
+        return _mapped(whole, text, {to: self._ids()}).unionByName(self._stitched(long, text, to))
+
+    def round_trip(self, df: DataFrame, text: str = "text", to: str = "ids", back: str = "decoded", drop: Sequence[str] = ()) -> DataFrame:
+        """As decode(encode(df)), without the columns to drop. One Python worker of a task does both; one after the other
+        they are two, and an executor keeps twice as many."""
+        whole, long = self._parted(df, text)
+        coded = self._stitched(long, text, to)
+        return _mapped(whole, text, {to: self._ids(), back: self._raw()}, drop).unionByName(_mapped(coded, to, {back: self._raw()}, drop))
 
     def _stitched(self, long: DataFrame, text: str, to: str) -> DataFrame:
         size, overlap, pattern = self.section, self.overlap, self.pattern
@@ -184,7 +208,7 @@ class ByteBPE:
         whole = F.expr(f"if(lost = 1, null, substring(t, cast(a + 1 as int), cast(coalesce(b + {size}, length(t)) - a as int)))")
         cuts = staged(spans.select("__key", "k", whole.alias("t")).repartition("__key", "k"), "bpe-pieces")
         kept_whole = rows.join(cuts.where("t is null").select("__key"), "__key", "left_semi").select("__key", F.lit(0).alias("k"), body.alias("t"))
-        coded = self._encoded(cuts.where("t is not null").unionByName(kept_whole), "t", "ids").select("__key", "k", "ids")
+        coded = _mapped(cuts.where("t is not null").unionByName(kept_whole), "t", {"ids": self._ids()}, ["t"])
         joined = coded.groupBy("__key").agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY k)").alias("__ids"))
         kept = [F.col("__row").getField(c).alias(c) for c in long.columns if c != to]
         return rows.join(joined, "__key").select(*kept, F.col("__ids").alias(to))
@@ -192,10 +216,4 @@ class ByteBPE:
     def decode(self, df: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """df with the column named by ``to``: the tokens' raw bytes put together (null ids: none).
         They need not be UTF-8 when ids are only part of a text's."""
-        path = self.path
-
-        def raw(series: list[bytes | None]) -> list[bytes]:
-            table = _pieces(path)
-            return [b"".join(table[np.frombuffer(x or b"", "<u4")].tolist()) for x in series]
-
-        return _mapped(df, ids, to, raw)
+        return _mapped(df, ids, {to: self._raw()})

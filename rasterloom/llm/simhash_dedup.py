@@ -25,6 +25,7 @@ shingles. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,6 +44,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
 #: Up to so many buckets of four entries or more are broadcast to the entries.
 BROADCAST_ROWS = 500_000
+#: Fingerprints of a task before it makes its rows of each: 64 buckets, or 31 masks.
+TASK_PRINTS = 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -68,6 +71,12 @@ def _fingerprints(text: Column) -> Column:
     return of(text)
 
 
+def _spread(prints: DataFrame) -> DataFrame:
+    """prints over a task for each TASK_PRINTS of them. A file of a few bytes a row would be one task, whose aggregate
+    holds 64 rows for each."""
+    return prints.repartition(max(1, math.ceil(prints.count() / TASK_PRINTS)), "fp")
+
+
 def _buckets(prints: DataFrame) -> DataFrame:
     """(bucket, fp): 64 rows for each fingerprint. A bucket is the bit left out and the segment's rest."""
     keys = []
@@ -129,8 +138,8 @@ def _met(outsiders: DataFrame, members: DataFrame) -> DataFrame:
 
 def _cross_links(parts: DataFrame, mixed: DataFrame) -> DataFrame:
     """(u, v): parts that are linked by fingerprints in the mixed buckets, those with members of several parts."""
-    prints = parts.join(mixed, "bucket", "left_semi").groupBy("fp").agg(F.first("part").alias("part"))
-    keyed = staged(_keyed(prints), "simhash-keyed")
+    prints = staged(parts.join(mixed, "bucket", "left_semi").groupBy("fp").agg(F.first("part").alias("part")), "simhash-inside")
+    keyed = staged(_keyed(_spread(prints)), "simhash-keyed")
     pairs = _met(_outsiders(keyed), keyed).where(_near("a", "b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     first = F.lit(None).cast("int")
@@ -141,7 +150,7 @@ def _cross_links(parts: DataFrame, mixed: DataFrame) -> DataFrame:
 
 def _links(prints: DataFrame) -> DataFrame:
     """(node, root): fingerprints that have a link, with the smallest one they reach."""
-    entries = _buckets(prints)
+    entries = _buckets(_spread(prints))
     by_hash = lambda pick, seed: pick("fp", F.xxhash64("fp", F.lit(seed)))
     ends = entries.groupBy("bucket").agg(
         F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("all"), F.count(F.lit(1)).alias("n"),

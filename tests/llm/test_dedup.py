@@ -171,6 +171,22 @@ def test_near_links_of_planted_fingerprints(spark):
     assert groups(a) == groups(b)
 
 
+def test_fingerprints_are_spread_before_they_are_indexed(spark, monkeypatch):
+    """A file of fingerprints is small, its 64 rows of each are not: tasks are for a number of fingerprints."""
+    from rasterloom.llm import simhash_dedup as S
+
+    tasks, masked = [], []
+    monkeypatch.setattr(S, "TASK_PRINTS", 50, raising=False)
+    buckets, keyed = S._buckets, S._keyed
+    monkeypatch.setattr(S, "_buckets", lambda prints: (tasks.append(prints.rdd.getNumPartitions()), buckets(prints))[1])
+    monkeypatch.setattr(S, "_keyed", lambda prints: (masked.append((prints.count(), prints.rdd.getNumPartitions())), keyed(prints))[1])
+    rng = random.Random(5)
+    prints = {(rng.getrandbits(21) | (1 << 30)) << 1 for _ in range(480)}  # two equal segments: hot buckets of several components
+    S._links(spark.createDataFrame([(p,) for p in prints], "fp bigint").coalesce(1)).collect()
+    assert tasks == [-(-len(prints) // 50)]
+    assert masked and all(n == max(1, -(-rows // 50)) for rows, n in masked)
+
+
 def test_without_near_copies(docs, rows):
     found = without_near_copies(docs)
     assert found.columns == docs.columns

@@ -109,6 +109,23 @@ def test_byte_bpe_equals_the_library_and_round_trips(spark, chunk, overlap):
         assert bytes(r["decoded"]).decode() == (r["text"] or "")
 
 
+def test_byte_bpe_round_trip_is_one_python_pass(spark):
+    """A task that encodes and decodes needs one Python worker, not one for each."""
+    bpe = ByteBPE(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 64, 32, 2)
+    texts = [*BPE_TEXTS, "word " * 400, "x" * 700 + " end"]  # some longer than a section of 128
+    df = spark.createDataFrame([(i % 9 or None, t, "n") for i, t in enumerate(texts)], "doc_id bigint, text string, decoded string").repartition(3)
+    key = lambda r: (r["text"] or "", r["text"] is None, r["doc_id"] or 0)
+    both, one = bpe.decode(bpe.encode(df)), bpe.round_trip(df)
+    found = sorted(one.collect(), key=key)
+    assert found == sorted(both.select(*one.columns).collect(), key=key)
+    assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in found)
+    bare = bpe.round_trip(df, drop=["text"])
+    assert sorted(bare.columns) == ["decoded", "doc_id", "ids"] and bare.count() == len(texts)
+    short = bpe.round_trip(df.where("length(text) < 50"), drop=["text"])
+    plan = short._jdf.queryExecution().optimizedPlan().toString().split("Union", 1)[1]
+    assert plan.split("\n:- ", 1)[1].split("\n+- ", 1)[0].count("MapInArrow") == 1
+
+
 def test_pieces_of_ordinary_texts():
     """The texts that queries meet are cut as well, and their pieces encode to the ids of the whole."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
