@@ -157,9 +157,9 @@ class _Fullest:
     ones, the left one of two equal children is taken, and sinks under equal ones."""
 
     def __init__(self) -> None:
-        self.heap: list[tuple[int, int]] = []
+        self.heap: list[tuple[int, tuple[int, int]]] = []
 
-    def push(self, pixels: int, box: int) -> None:
+    def push(self, pixels: int, box: tuple[int, int]) -> None:
         at = len(self.heap)
         self.heap.append((pixels, box))
         while at and self.heap[(at - 1) // 2][0] < pixels:
@@ -167,7 +167,7 @@ class _Fullest:
             at = (at - 1) // 2
         self.heap[at] = (pixels, box)
 
-    def pop(self) -> int:
+    def pop(self) -> tuple[int, int]:
         top, moved = self.heap[0], self.heap.pop()
         if self.heap:
             at, n = 0, len(self.heap)
@@ -181,56 +181,75 @@ class _Fullest:
         return top[1]
 
 
-def _halves(cells: np.ndarray, counts: np.ndarray) -> np.ndarray | None:
-    """Which of a box's cells are in its high half: the fewest highest levels of its longest side with over half of the
-    pixels, but not all levels."""
-    side = int((np.ptp(cells, axis=0) * _SIDES).argmax())
-    levels, where = np.unique(cells[:, side], return_inverse=True)
-    if len(levels) < 2:
-        return None
-    above = np.cumsum(np.bincount(where, counts)[::-1])[::-1]
-    return where >= max(1, int(np.flatnonzero(2 * above > counts.sum())[-1]))
-
-
-def median_cut(cells: np.ndarray, counts: np.ndarray, sums: np.ndarray, colors: int) -> tuple[np.ndarray, np.ndarray]:
-    """(box of each cell, palette): the box with the most pixels is cut, again and again. Boxes are numbered by the cuts they
-    come from, high halves first; entries without a box are the last one's."""
-    boxes, cuts, heap = [np.arange(len(cells))], {}, _Fullest()
-    heap.push(int(counts.sum()), 0)
-    while len(cuts) + 1 < colors and heap.heap:
-        box = heap.pop()
-        own = boxes[box]
-        high = _halves(cells[own], counts[own])
-        if high is not None:
-            cuts[box] = len(boxes)
-            boxes += [own[high], own[~high]]
-            for k in (-2, -1):
-                heap.push(int(counts[boxes[k]].sum()), len(boxes) + k)
-    order, stack = [], [0]
-    while stack:
-        box = stack.pop()
-        if box in cuts:
-            stack += [cuts[box] + 1, cuts[box]]
-        else:
-            order.append(boxes[box])
-    index, palette = np.zeros(len(cells), np.int64), np.zeros((colors, cells.shape[1]), np.int64)
-    for k, own in enumerate(order):
-        index[own] = k
-        n = counts[own].sum()
-        palette[k:] = (sums[own].sum(axis=0) + n // 2) // n
-    return index, palette
-
-
-def _nearer(points: np.ndarray, start: np.ndarray, palette: np.ndarray) -> np.ndarray:
-    """The nearest entry to each point; of equally near ones the point's own one (start), then what is nearest to that."""
-    gaps = ((palette[:, None, :] - palette[None]) ** 2).sum(axis=2)
-    np.fill_diagonal(gaps, -1)
-    rank = np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1, kind="stable")
-    parts = []
-    for k in range(0, len(points), 16_384):
-        p, own = points[k : k + 16_384], start[k : k + 16_384]
-        parts.append(((((p[:, None, :] - palette[None]) ** 2).sum(axis=2) << 8) + rank[own]).argmin(axis=1))
-    return np.concatenate(parts or [np.empty(0, np.int64)])
+def _cut(cells: np.ndarray, counts: np.ndarray, order: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts boxes, the stretches from a to b of order: (where each one's low half starts, pixels of its high half and of all).
+    The high half comes first: the fewest highest levels of the longest side with over half of the pixels, but not all levels.
+    A box of one level is left alone, its low half starts at a."""
+    length = b - a
+    first, last = np.cumsum(length) - length, np.cumsum(length) - 1
+    box = np.repeat(np.arange(len(a)), length)
+    at = np.arange(len(box)) + (a - first)[box]
+    own = cells[order[at]]
+    side = ((np.maximum.reduceat(own, first) - np.minimum.reduceat(own, first)) * _SIDES).argmax(axis=1)
+    level = own[np.arange(len(own)), side[box]]
+    falling = np.argsort((box << 8) - level, kind="stable")
+    order[at], level = order[at][falling], level[falling]
+    above = np.cumsum(counts[order[at]])
+    above -= np.concatenate([[0], above[last[:-1]]])[box]
+    pixels = above[last]
+    half = np.minimum.reduceat(np.where(2 * above > pixels[box], np.arange(len(box)), len(box)), first)
+    high = np.add.reduceat((level >= np.maximum(level[half], level[last] + 1)[box]).astype(np.int64), first)
+    return a + high, np.where(high > 0, above[first + high - 1], 0), pixels
+
+
+def median_cut(first: np.ndarray, cells: np.ndarray, counts: np.ndarray, sums: np.ndarray, colors: int) -> tuple[np.ndarray, np.ndarray]:
+    """(box of each cell, palette of each image) of images whose cells follow each other, from first on. An image's box with the
+    most pixels is cut, again and again, in all images together. Boxes are numbered by the cuts they come from, high halves
+    first; entries without a box are the last one's."""
+    ends = np.append(first[1:], len(cells))
+    order, starts = np.arange(len(cells)), np.zeros(len(cells), bool)
+    starts[first] = True
+    few = ends - first <= colors
+    a, b = first[few], ends[few]
+    while len(a):  # all boxes are cut, whatever comes first
+        low = _cut(cells, counts, order, a, b)[0]
+        starts[low] = True
+        a, b = np.concatenate([a, low]), np.concatenate([low, b])
+        a, b = a[b - a > 1], b[b - a > 1]
+    heaps = {k: _Fullest() for k in np.flatnonzero(~few).tolist()}
+    left = dict.fromkeys(heaps, colors - 1)
+    for k, heap in heaps.items():
+        heap.push(int(counts[first[k] : ends[k]].sum()), (int(first[k]), int(ends[k])))
+    while live := [k for k, heap in heaps.items() if left[k] and heap.heap]:
+        boxes = [heaps[k].pop() for k in live]
+        cuts = _cut(cells, counts, order, *np.array(boxes).T)
+        starts[cuts[0]] = True
+        for k, (a, b), low, high, pixels in zip(live, boxes, *(c.tolist() for c in cuts), strict=True):
+            if low > a:
+                left[k] -= 1
+                heaps[k].push(high, (a, low))
+                heaps[k].push(pixels - high, (low, b))
+    box, edges = np.cumsum(starts) - 1, np.flatnonzero(starts)
+    n = np.add.reduceat(counts[order], edges)[:, None]
+    means = (np.add.reduceat(sums[order], edges) + n // 2) // n
+    index = np.empty(len(cells), np.int64)
+    index[order] = box - np.repeat(box[first], ends - first)
+    return index, means[np.minimum(box[first][:, None] + np.arange(colors), box[ends - 1][:, None])]
+
+
+def _nearer(points: np.ndarray, start: np.ndarray, palettes: np.ndarray, image: np.ndarray) -> np.ndarray:
+    """The nearest entry of its image's palette to each point; of equally near ones the point's own one (start), then what is
+    nearest to that. A point that is its own entry stays."""
+    out, colors = start.copy(), palettes.shape[1]
+    off = np.flatnonzero((points != palettes[image, start]).any(axis=1))
+    step = max(1, (1 << 20) // colors)
+    for rows in (off[k : k + step] for k in range(0, len(off), step)):
+        own, table = start[rows], palettes[image[rows]]
+        away = ((points[rows, None] - table) ** 2).sum(axis=2)
+        gaps = ((palettes[image[rows], own][:, None] - table) ** 2).sum(axis=2) + 1
+        gaps[np.arange(len(rows)), own] = 0
+        out[rows] = ((away << 26) | (gaps << 8) | np.arange(colors)).min(axis=1) & 255
+    return out
 
 
 def max_coverage(points: np.ndarray, counts: np.ndarray, colors: int) -> np.ndarray:
@@ -291,36 +310,47 @@ def octree(points: np.ndarray, counts: np.ndarray, sums: np.ndarray, colors: int
 _TOGETHER = 65_536
 
 
-def _by_key(df: DataFrame, keys: Sequence[str], made: Callable[[np.ndarray], np.ndarray], shape: Sequence[str]) -> DataFrame:
-    """made from the rows of each key, whole numbers in df's columns, to rows of shape (name and type). df is in tasks by its
-    key; a task sorts its rows and hands over key after key, as a call of Python for each would take longer than its work."""
+def _by_keys(df: DataFrame, keys: Sequence[str], made: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: Sequence[str]) -> DataFrame:
+    """made from the rows of whole keys, numbers in df's columns, and the first row of each, to rows of shape (name and type).
+    df is in tasks by its key; a task sorts its rows and hands over many keys at once, as a call of Python for each would take
+    longer than its work."""
     schema = pa.schema([(n, pa.int64() if t == "bigint" else pa.int32()) for n, t in (s.split() for s in shape)])
     at = [df.columns.index(k) for k in keys]
 
-    def done(groups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if groups:
-            rows = np.concatenate([made(g) for g in groups])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k], f.type) for k, f in enumerate(schema)], schema=schema)
+    def firsts(rows: np.ndarray) -> np.ndarray:
+        own = rows[:, at]
+        return np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1])
+
+    def done(rows: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        out = made(rows, first)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, k], f.type) for k, f in enumerate(schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # what has come of the last key
+        held, n, enough = [], 0, _TOGETHER
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            own = rows[:, at]
-            first, *others = np.split(rows, np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1)
-            if held and (held[0][0, at] != first[0, at]).any():
-                yield from done([np.concatenate(held)])
-                held = []
-            held.append(first)
-            if others:
-                yield from done([np.concatenate(held), *others[:-1]])
-                held = [others[-1]]
-        yield from done([np.concatenate(held)] if held else [])
-
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(shape))
+            held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            n += batch.num_rows
+            if n < enough:
+                continue
+            rows = np.concatenate(held)
+            *first, last = firsts(rows)
+            if first:
+                yield done(rows[:last], np.array(first))
+            held, n = [rows[last:]], len(rows) - last  # the last key can go on
+            enough = max(_TOGETHER, 2 * n)
+        if held:
+            rows = np.concatenate(held)
+            yield done(rows, firsts(rows))
+
+    # Without a number Spark merges tasks with few rows.
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(shape))
+
+
+def _by_key(df: DataFrame, keys: Sequence[str], made: Callable[[np.ndarray], np.ndarray], shape: Sequence[str]) -> DataFrame:
+    """made from the rows of each key."""
+    return _by_keys(df, keys, lambda rows, first: np.concatenate([made(g) for g in np.split(rows, first[1:])]), shape)
 
 
 def _by_octree(df: DataFrame, colors: int) -> tuple[DataFrame, DataFrame]:
@@ -363,16 +393,56 @@ def _assigned(started: DataFrame, palette: DataFrame) -> DataFrame:
 
     def made(rows: np.ndarray) -> np.ndarray:
         table, colours = rows[rows[:, 6] == 0], rows[rows[:, 6] > 0]
-        index = _nearer(colours[:, 3:6], colours[:, 7], table[table[:, 7].argsort(), 3:6])
+        index = _nearer(colours[:, 3:6], colours[:, 7], table[None, table[:, 7].argsort(), 3:6], np.zeros(len(colours), np.int64))
         return np.column_stack([colours[:, [0, 2, 3, 4, 5, 6]], index])
 
     shape = ["image_id bigint", "buckets int", "b0 int", "b1 int", "b2 int", "n bigint", "start int"]
     return _by_key(dealt.unionByName(entries), ["image_id", "bucket"], made, shape)
 
 
-def _by_median_cut(df: DataFrame, colors: int, kmeans: int) -> tuple[DataFrame, DataFrame]:
-    """Colours, and the cells of a histogram whose precision is chosen by their number, are counted by Spark: an image is at
-    most CELLS rows where its boxes are cut. Means of rounds of k-means are grouped by Spark too."""
+def _by_median_cut(df: DataFrame, colors: int, kmeans: int, kept: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Colours are counted by Spark. An image whose places are no more than its cells may be has its boxes, entries and means
+    made from its counted colours in one pass, together with others; a larger one is dealt. Pixels keep the columns kept."""
+    places, most = F.col("w").cast("bigint") * F.col("h"), min(CELLS, _TOGETHER)
+    small, large = _by_colours(df.where(places <= most), colors, kmeans, kept), _by_cells(df.where(places > most), colors, kmeans, kept)
+    return small[0].unionByName(large[0]), small[1].unionByName(large[1])
+
+
+def _by_colours(df: DataFrame, colors: int, kmeans: int, kept: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Median cut of images whose colours are all cells."""
+    own = ["b0", "b1", "b2"]
+    counted = df.groupBy("image_id", *(F.col(b).cast("int").alias(b) for b in own)).agg(F.count(F.lit(1)).alias("n"))
+
+    def tables(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        points, counts = rows[:, 1:4], rows[:, 4]
+        image = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))
+        index, palettes = median_cut(first, points, counts, points * counts[:, None], colors)
+        index = _nearer(points, index, palettes, image)
+        for _ in range(kmeans):
+            palettes = _means(points, counts, image * colors + index, palettes.reshape(-1, 3)).reshape(palettes.shape)
+            index = _nearer(points, index, palettes, image)
+        return index, palettes
+
+    def coloured(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.column_stack([rows[:, :4], tables(rows, first)[0]])
+
+    def entries(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        palettes = tables(rows, first)[1]
+        new = np.ones(palettes.shape[:2], bool)  # equal entries that follow each other are one row
+        new[:, 1:] = (palettes[:, 1:] != palettes[:, :-1]).any(axis=2)
+        image, idx = np.nonzero(new)
+        until = np.append(idx[1:], 0) - 1
+        return np.column_stack([rows[first[image], 0], idx, np.where(until < 0, colors - 1, until), palettes[image, idx]])
+
+    found = _by_keys(counted, ["image_id"], coloured, ["image_id bigint", *(f"{b} int" for b in own), "idx int"])
+    runs = _by_keys(counted, ["image_id"], entries, ["image_id bigint", "idx int", "until int", "r int", "g int", "b int"])
+    pixels = with_rows(df, found, ["image_id", *own]).select(*KEYS, F.col("idx").alias("b0"), *kept)
+    return pixels, runs.select("image_id", F.explode(F.sequence("idx", "until")).alias("idx"), "r", "g", "b")
+
+
+def _by_cells(df: DataFrame, colors: int, kmeans: int, kept: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Cells of a histogram whose precision is chosen by the number of colours are counted by Spark too: an image is at most
+    CELLS rows where its boxes are cut. Means of rounds of k-means are grouped by Spark."""
     own = ["b0", "b1", "b2"]
     counted = df.groupBy("image_id", *own).agg(F.count(F.lit(1)).alias("n"))
     cell = lambda s: F.struct(*(F.shiftright(F.col(b).cast("int"), s) for b in own))
@@ -383,9 +453,8 @@ def _by_median_cut(df: DataFrame, colors: int, kmeans: int) -> tuple[DataFrame,
     cells = placed.groupBy("image_id", "c0", "c1", "c2").agg(F.sum("n").alias("n"), F.max("buckets").alias("buckets"), *(F.sum(F.col("n") * F.col(b)).alias(f"s{b}") for b in own))
 
     def made(rows: np.ndarray) -> np.ndarray:
-        rows = rows[np.lexsort(rows[:, 3:0:-1].T)]
         points = rows[:, 1:4]
-        index, palette = median_cut(points, rows[:, 4], rows[:, 6:], colors)
+        index, (palette,) = median_cut(np.zeros(1, np.int64), points, rows[:, 4], rows[:, 6:], colors)
         none = np.full((colors, 3), -1)
         places, values = np.concatenate([points, none]), np.concatenate([np.zeros_like(points), palette])
         return np.column_stack([np.broadcast_to(rows[0, [0, 5]], (len(places), 2)), np.concatenate([index, np.arange(colors)]), places, values])
@@ -400,7 +469,7 @@ def _by_median_cut(df: DataFrame, colors: int, kmeans: int) -> tuple[DataFrame,
         means = colours.groupBy("image_id", F.col("start").alias("idx")).agg(*(mean(b).alias(f"m{k}") for k, b in enumerate(own)))
         palette = with_rows(palette, means, ["image_id", "idx"], "left").select("image_id", "buckets", "idx", *(F.coalesce(f"m{k}", f"p{k}").alias(f"p{k}") for k in range(3)))
         colours = _assigned(colours, palette)
-    pixels = with_rows(df, colours.select("image_id", *own, "start"), ["image_id", *own]).select(*KEYS, F.col("start").alias("b0"))
+    pixels = with_rows(df, colours.select("image_id", *own, "start"), ["image_id", *own]).select(*KEYS, F.col("start").alias("b0"), *kept)
     return pixels, palette.select("image_id", "idx", F.col("p0").alias("r"), F.col("p1").alias("g"), F.col("p2").alias("b"))
 
 
@@ -445,9 +514,8 @@ def convert_to_palette(df: DataFrame, source: str, alpha: bool = False) -> tuple
     if source == "RGBA":
         if not alpha:
             raise ValueError("RGBA becomes PA; quantize() makes P of it")
-        found, palette = quantize(df.drop("b3"), 256, 0)
-        joined = with_rows(found, df.select("image_id", "x", "y", F.col("b3").alias("b1")), ["image_id", "x", "y"])
-        return with_bands(joined, F.col("b0"), F.col("b1")), palette.withColumn("a", F.lit(255))
+        found, palette = _by_median_cut(df.withColumnRenamed("b3", "alpha"), 256, 0, ["alpha"])
+        return with_bands(found, F.col("b0"), F.col("alpha")), palette.withColumn("a", F.lit(255))
     found = to_web_palette(convert(df, source, "RGB"))
     return with_bands(found, F.col("b0"), *([F.lit(255)] if alpha else [])), put_palette(frames, web_palette())
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import procedural
+from rasterloom.operators import color, procedural
 
 
 def brute_median_cut(pixels, colors, cells):
@@ -111,3 +111,39 @@ def test_means_of_a_round(spark):
     _, palette = procedural.quantize(df, 6, 0, 1)
     joined = df.join(first.select("x", "y", F.col("b0").alias("k")), ["x", "y"]).groupBy("k").agg(*(F.floor(F.avg(f"b{c}") + 0.5).alias(f"m{c}") for c in range(3)))
     assert {(r["k"], r["m0"], r["m1"], r["m2"]) for r in joined.collect()} == {(r["idx"], r["r"], r["g"], r["b"]) for r in palette.collect()}
+
+
+def _of(spark, images):
+    rows = [(k, a.shape[1], a.shape[0], x, y, *map(int, a[y, x])) for k, a in images.items() for y in range(a.shape[0]) for x in range(a.shape[1])]
+    return spark.createDataFrame(rows, "image_id bigint, w int, h int, x int, y int, b0 int, b1 int, b2 int")
+
+
+def test_small_and_large_images_have_the_same_entries(spark, monkeypatch):
+    """Images made in one pass, and the same ones dealt, with rounds of k-means; in between some of them are dealt."""
+    rng = np.random.default_rng(4)
+    images = {k: rng.integers(0, 256 if k % 2 else 5, (4 + k, 5, 3)) for k in range(6)}
+    df = _of(spark, images)
+    found = []
+    for together in (1 << 16, 30, 1):
+        monkeypatch.setattr(procedural, "_TOGETHER", together)
+        pixels, palette = procedural.quantize(df, 8, 0, 2)
+        found.append((sorted(map(tuple, pixels.collect())), sorted(map(tuple, palette.collect()))))
+        assert len(found[-1][0]) == sum(a.shape[0] * 5 for a in images.values()) and len(found[-1][1]) == 8 * len(images)
+    assert found[0] == found[1] == found[2]
+
+
+def test_small_images_are_cut_together(spark):
+    """Two passes over the counted colours, one for pixels and one for entries, and two joins of pixels; of the tables' sizes
+    Spark knows that no image is dealt. Ten images take as many cuts as one."""
+    df = spark.range(640).selectExpr("cast(id / 64 AS bigint) AS image_id", "8 AS w", "8 AS h", "cast(id % 8 AS int) AS x", "cast(id / 8 % 8 AS int) AS y",
+                                     *(f"cast(id * {k + 3} % 256 AS int) AS b{k}" for k in range(4)))
+    found, palette = procedural.convert_to_palette(df, "RGBA", True)
+    out = color.expand_palette(found, palette, alpha=True)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 3 and plan.count("Join") == 2 and "Expand" not in plan
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+    one = np.random.default_rng(3).integers(0, 256, (64, 3))
+    for colors in (16, 256):
+        index, palettes = procedural.median_cut(np.arange(10) * 64, np.tile(one, (10, 1)), np.ones(640, np.int64), np.tile(one, (10, 1)), colors)
+        alone, (entries,) = procedural.median_cut(np.zeros(1, np.int64), one, np.ones(64, np.int64), one, colors)
+        assert (index.reshape(10, 64) == alone).all() and (palettes == entries).all()
