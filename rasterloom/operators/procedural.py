@@ -214,7 +214,8 @@ def median_cut(first: np.ndarray, cells: np.ndarray, counts: np.ndarray, sums: n
     while len(a):  # all boxes are cut, whatever comes first
         low = _cut(cells, counts, order, a, b)[0]
         starts[low] = True
-        a, b = np.concatenate([a, low]), np.concatenate([low, b])
+        cut = low > a
+        a, b = np.concatenate([a[cut], low[cut]]), np.concatenate([low[cut], b[cut]])
         a, b = a[b - a > 1], b[b - a > 1]
     heaps = {k: _Fullest() for k in np.flatnonzero(~few).tolist()}
     left = dict.fromkeys(heaps, colors - 1)

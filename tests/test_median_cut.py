@@ -147,3 +147,5 @@ def test_small_images_are_cut_together(spark):
         index, palettes = procedural.median_cut(np.arange(10) * 64, np.tile(one, (10, 1)), np.ones(640, np.int64), np.tile(one, (10, 1)), colors)
         alone, (entries,) = procedural.median_cut(np.zeros(1, np.int64), one, np.ones(64, np.int64), one, colors)
         assert (index.reshape(10, 64) == alone).all() and (palettes == entries).all()
+    twice = np.array([[5, 5, 5], [5, 5, 5], [9, 9, 9]])  # cells that cannot be told apart stay together
+    assert procedural.median_cut(np.zeros(1, np.int64), twice, np.ones(3, np.int64), twice, 4)[0].tolist() == [1, 1, 0]
