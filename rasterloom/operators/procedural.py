@@ -316,7 +316,7 @@ def _by_keys(df: DataFrame, keys: Sequence[str], made: Callable[[np.ndarray, np.
     df is in tasks by its key; a task sorts its rows and hands over many keys at once, as a call of Python for each would take
     longer than its work."""
     schema = pa.schema([(n, pa.int64() if t == "bigint" else pa.int32()) for n, t in (s.split() for s in shape)])
-    at = [df.columns.index(k) for k in keys]
+    at, together = [df.columns.index(k) for k in keys], _TOGETHER
 
     def firsts(rows: np.ndarray) -> np.ndarray:
         own = rows[:, at]
@@ -327,7 +327,7 @@ def _by_keys(df: DataFrame, keys: Sequence[str], made: Callable[[np.ndarray, np.
         return pa.RecordBatch.from_arrays([pa.array(out[:, k], f.type) for k, f in enumerate(schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, enough = [], 0, _TOGETHER
+        held, n, enough = [], 0, together
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -340,7 +340,7 @@ def _by_keys(df: DataFrame, keys: Sequence[str], made: Callable[[np.ndarray, np.
             if first:
                 yield done(rows[:last], np.array(first))
             held, n = [rows[last:]], len(rows) - last  # the last key can go on
-            enough = max(_TOGETHER, 2 * n)
+            enough = max(together, 2 * n)
         if held:
             rows = np.concatenate(held)
             yield done(rows, firsts(rows))

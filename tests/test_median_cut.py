@@ -149,3 +149,20 @@ def test_small_images_are_cut_together(spark):
         assert (index.reshape(10, 64) == alone).all() and (palettes == entries).all()
     twice = np.array([[5, 5, 5], [5, 5, 5], [9, 9, 9]])  # cells that cannot be told apart stay together
     assert procedural.median_cut(np.zeros(1, np.int64), twice, np.ones(3, np.int64), twice, 4)[0].tolist() == [1, 1, 0]
+
+
+def test_keys_are_whole_wherever_a_task_hands_over(spark, monkeypatch):
+    """Keys of up to nine rows, of which a task hands over some two, seven or all at once."""
+    rows = spark.createDataFrame([(k, j) for k in range(60) for j in range(k % 9 + 1)], "image_id bigint, v int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    made = lambda r, first: np.column_stack([r[first, 0], np.diff(np.append(first, len(r))), np.add.reduceat(r[:, 1], first), np.full(len(first), len(first))])
+    try:
+        for together in (2, 30, 1 << 16):
+            monkeypatch.setattr(procedural, "_TOGETHER", together)
+            out = [tuple(r) for r in procedural._by_keys(rows.coalesce(1), ["image_id"], made, ["image_id bigint", "n int", "s bigint", "beside int"]).collect()]
+            assert sorted(r[:3] for r in out) == [(k, k % 9 + 1, (k % 9) * (k % 9 + 1) // 2) for k in range(60)]
+            assert max(r[3] for r in out) > 1
+            assert together > 2 or max(r[3] for r in out) < 10
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
